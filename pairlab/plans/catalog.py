@@ -14,6 +14,7 @@ from pairlab.operators.dedupe import cross_source_duplicates, distinct_rows, rem
 from pairlab.operators.harmonize import harmonize, recode
 from pairlab.operators.ratings import describe_ratings, mean_rating, zip_by_position
 from pairlab.operators.split import split3, split_sizes
+from pairlab.operators.textstats import describe_corpus, doc_stats, metrics_long, top_words, wide_report
 from pairlab.plans import standins as S
 from pairlab.sources.io import union_all
 
@@ -129,6 +130,60 @@ def q10_split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split_sizes(split3(pairs, ["original", "simplification"], seed=SEED))
 
 
+# --- text statistics ------------------------------------------------------------------
+
+def q11_doc_token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kept tokens and lexical words per document."""
+    st = doc_stats(S.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return st.select("doc_id", "n_tokens", "n_lexical")
+
+
+def q12_sentence_length(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T7, T8, per-text A9/A10: sentences and mean tokens per sentence."""
+    st = doc_stats(S.table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return st.select("doc_id", "n_sentences", r6("avg_sentence_len").alias("avg_sentence_len"),
+                     r6("avg_sentence_len_lexical").alias("avg_sentence_len_lexical"))
+
+
+def _corpus_report(df, by):
+    rep = describe_corpus(df, "text", by)
+    return rep.select(*by, "n_texts", "vocab_size", "lexical_vocab_size",
+                      *[r6(c).alias(c) for c in ("avg_sentence_len", "avg_sentence_len_lexical", "lexical_richness")])
+
+
+def q13_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7, A8, A11 (+A9, A10): corpus figures per language."""
+    return _corpus_report(S.table(spark, sf_dir, "documents").select("lang", "text"), ["lang"])
+
+
+def q14_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12 + L1: 50 most frequent lexical words."""
+    return top_words(S.table(spark, sf_dir, "documents"), "text", 50)
+
+
+def _pair_texts(spark, sf_dir):
+    rated = S.rated_pairs(spark, sf_dir)
+    return rated.select("source", "original", "simplification").unpivot(
+        ["source"], ["original", "simplification"], "side", "text")
+
+
+def q15_corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A13 + S6: five corpus figures per (source, side) of the rated pairs."""
+    return _corpus_report(_pair_texts(spark, sf_dir), ["source", "side"])
+
+
+LANGS = ["de", "en", "es", "fr"]
+
+
+def q15w_wide_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metric rows x language columns."""
+    rep = _corpus_report(S.table(spark, sf_dir, "documents").select("lang", "text"), ["lang"])
+    long = metrics_long(rep, ["lang"])
+    return wide_report(long, "metric", "lang", "value", LANGS,
+                       ["vocab_size", "lexical_vocab_size", "avg_sentence_len", "avg_sentence_len_lexical",
+                        "lexical_richness"])
+
+
 QUERIES = {
     "q01_mean_rating": q01_mean_rating,
     "q02_mean_positional": q02_mean_positional,
@@ -140,4 +195,10 @@ QUERIES = {
     "q08_describe": q08_describe,
     "q09_split_assign": q09_split_assign,
     "q10_split_counts": q10_split_counts,
+    "q11_doc_token_stats": q11_doc_token_stats,
+    "q12_sentence_length": q12_sentence_length,
+    "q13_vocabulary": q13_vocabulary,
+    "q14_top_words": q14_top_words,
+    "q15_corpus_report": q15_corpus_report,
+    "q15w_wide_report": q15w_wide_report,
 }

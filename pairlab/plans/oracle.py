@@ -137,3 +137,76 @@ r AS (SELECT *, row_number() OVER (ORDER BY {md5_key(42, 'original', 'simplifica
              AS k, count(*) OVER () AS n FROM mp)
 SELECT {split_case('k', 'n')} AS split, count(*) AS n_rows FROM r GROUP BY 1
 """
+
+
+# ---- text statistics -----------------------------------------------------------------
+
+def _tok(expr: str) -> str:
+    return keep_tokens(word_tokens(expr))
+
+
+def _mean_list(expr: str) -> str:
+    return f"CASE WHEN len({expr}) > 0 THEN list_sum({expr}) / len({expr}) END"
+
+
+def doc_stats_cte(src: str, cols: str) -> str:
+    st = f"list_transform({sentences('lower(text)')}, lambda x: {_tok('x')})"
+    return f"""ds AS (
+      SELECT {cols}, tok, {lexical_tokens('tok')} AS lex, st FROM (
+        SELECT {cols}, {_tok('text')} AS tok, {st} AS st FROM {src}))"""
+
+
+def _sent_cols() -> str:
+    lens = "list_transform(st, lambda y: len(y))"
+    lex_lens = f"list_transform(st, lambda y: len({lexical_tokens('y')}))"
+    return f"{_mean_list(lens)} AS avg_sentence_len, {_mean_list(lex_lens)} AS avg_sentence_len_lexical"
+
+
+SQL["q11_doc_token_stats"] = f"""WITH {doc_stats_cte('documents', 'doc_id')}
+SELECT doc_id, len(tok) AS n_tokens, len(lex) AS n_lexical FROM ds"""
+
+SQL["q12_sentence_length"] = f"""WITH {doc_stats_cte('documents', 'doc_id')},
+z AS (SELECT doc_id, len(st) AS n_sentences, {_sent_cols()} FROM ds)
+SELECT doc_id, n_sentences, round(avg_sentence_len, 6) AS avg_sentence_len,
+       round(avg_sentence_len_lexical, 6) AS avg_sentence_len_lexical FROM z"""
+
+
+def corpus_report_sql(src: str, by: list[str]) -> str:
+    keys = ", ".join(by)
+    join = " AND ".join(f"g.{k} IS NOT DISTINCT FROM v.{k}" for k in by)
+    return f"""WITH {doc_stats_cte(src, keys)},
+per_doc AS (SELECT {keys}, len(lex) AS n_lex, {_sent_cols()} FROM ds),
+g AS (SELECT {keys}, count(*) AS n_texts, sum(n_lex) AS n_lex, avg(avg_sentence_len) AS asl,
+             avg(avg_sentence_len_lexical) AS asll FROM per_doc GROUP BY {keys}),
+u AS (SELECT DISTINCT {keys}, unnest(tok) AS token FROM ds),
+v AS (SELECT {keys}, count(*) AS vocab_size,
+             count(*) FILTER (WHERE NOT list_contains({stop_list()}, token)) AS lexical_vocab_size
+      FROM u GROUP BY {keys})
+SELECT {", ".join("g." + k for k in by)}, g.n_texts, coalesce(v.vocab_size, 0) AS vocab_size,
+       coalesce(v.lexical_vocab_size, 0) AS lexical_vocab_size,
+       round(g.asl, 6) AS avg_sentence_len, round(g.asll, 6) AS avg_sentence_len_lexical,
+       round(CASE WHEN g.n_lex > 0 THEN coalesce(v.lexical_vocab_size, 0) / g.n_lex END, 6) AS lexical_richness
+FROM g LEFT JOIN v ON {join}"""
+
+
+SQL["q13_vocabulary"] = corpus_report_sql("documents", ["lang"])
+
+SQL["q14_top_words"] = f"""
+WITH t AS (SELECT unnest({lexical_tokens(_tok('text'))}) AS token FROM documents)
+SELECT token, count(*) AS freq FROM t GROUP BY token ORDER BY freq DESC, token LIMIT 50"""
+
+PAIR_TEXTS = f"""(WITH {rated_pairs_cte()}
+  SELECT source, 'original' AS side, original AS text FROM rated
+  UNION ALL SELECT source, 'simplification' AS side, simplification AS text FROM rated)"""
+
+SQL["q15_corpus_report"] = corpus_report_sql(PAIR_TEXTS, ["source", "side"])
+
+_WIDE_ORDER = ["vocab_size", "lexical_vocab_size", "avg_sentence_len", "avg_sentence_len_lexical", "lexical_richness"]
+SQL["q15w_wide_report"] = f"""WITH rep AS ({corpus_report_sql("documents", ["lang"])}),
+long AS (
+""" + "\n  UNION ALL ".join(
+    f"SELECT lang, {lit(m)} AS metric, CAST({m} AS DOUBLE) AS value, {i} AS row_order FROM rep"
+    for i, m in enumerate(_WIDE_ORDER)) + """)
+SELECT metric, """ + ", ".join(f"max(value) FILTER (WHERE lang = {lit(g)}) AS {g}" for g in ["de", "en", "es", "fr"]) + """,
+       CAST(min(row_order) AS INTEGER) AS row_order
+FROM long GROUP BY metric"""
