@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from pairlab.operators.dedupe import cross_source_duplicates, distinct_rows, remove_cross_source_duplicates
 from pairlab.operators.harmonize import harmonize, recode
 from pairlab.operators.ratings import describe_ratings, mean_rating, zip_by_position
+from pairlab.operators.ranking import hash_key, with_global_rank
+from pairlab.operators.scoring import flag_unrelated, score_pairs
 from pairlab.operators.split import split3, split_sizes
 from pairlab.operators.textstats import describe_corpus, doc_stats, metrics_long, top_words, wide_report
 from pairlab.plans import standins as S
@@ -184,6 +186,38 @@ def q15w_wide_report(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "lexical_richness"])
 
 
+# --- pair metrics ------------------------------------------------------------------------
+
+def _metric_query(metric):
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        scored = score_pairs(S.rated_pairs(spark, sf_dir), metrics=(metric,))
+        return scored.select("pair_id", r6(metric).alias(metric))
+    q.__doc__ = f"M0-M4: {metric} of each rated pair (original vs simplification)."
+    return q
+
+
+q16_rouge1 = _metric_query("rouge1")
+q17_rouge2 = _metric_query("rouge2")
+q18_rougel = _metric_query("rougeL")
+q19_bleu = _metric_query("bleu")
+
+
+def first_round_pairs(rows: DataFrame, pool: DataFrame, seed: int = SEED) -> DataFrame:
+    """k-th row (md5 order of its id) meets the k-th candidate (md5 order)."""
+    r = with_global_rank(rows.withColumn("_h", hash_key(seed, "pair_id")), [F.col("_h"), F.col("pair_id")], "k")
+    c = with_global_rank(pool.withColumn("_h", hash_key(seed, "cand_id")), [F.col("_h"), F.col("cand_id")], "k")
+    return r.drop("_h").join(c.drop("_h"), "k")
+
+
+def q20_unrelated_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """rated originals against rank-aligned candidates, thresholds 0.20/20."""
+    pairs = first_round_pairs(S.rated_pairs(spark, sf_dir).select("pair_id", "original"),
+                              S.candidate_pool(spark, sf_dir))
+    flagged = flag_unrelated(pairs, "original", "cand_text")
+    return flagged.select("pair_id", "cand_id", r6("rouge1").alias("rouge1"), r6("rouge2").alias("rouge2"),
+                          r6("bleu").alias("bleu"), "unrelated")
+
+
 QUERIES = {
     "q01_mean_rating": q01_mean_rating,
     "q02_mean_positional": q02_mean_positional,
@@ -201,4 +235,9 @@ QUERIES = {
     "q14_top_words": q14_top_words,
     "q15_corpus_report": q15_corpus_report,
     "q15w_wide_report": q15w_wide_report,
+    "q16_rouge1": q16_rouge1,
+    "q17_rouge2": q17_rouge2,
+    "q18_rougel": q18_rougel,
+    "q19_bleu": q19_bleu,
+    "q20_unrelated_filter": q20_unrelated_filter,
 }

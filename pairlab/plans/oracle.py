@@ -210,3 +210,118 @@ long AS (
 SELECT metric, """ + ", ".join(f"max(value) FILTER (WHERE lang = {lit(g)}) AS {g}" for g in ["de", "en", "es", "fr"]) + """,
        CAST(min(row_order) AS INTEGER) AS row_order
 FROM long GROUP BY metric"""
+
+
+# ---- pair metrics --------------------------------------------------------------------------
+
+def rouge_tok(x: str) -> str:
+    return f"regexp_extract_all(lower({x}), {lit(M.ROUGE_TOKEN_RE)})"
+
+
+def ngr(arr: str, n: int) -> str:
+    return (f"CASE WHEN len({arr}) >= {n} THEN list_transform(range(1, len({arr}) - {n} + 2), "
+            f"lambda i: array_to_string({arr}[i:i + {n - 1}], ' ')) ELSE CAST([] AS VARCHAR[]) END")
+
+
+def overlap(a: str, b: str) -> str:
+    return (f"coalesce(list_sum(list_transform(list_intersect({a}, {b}), lambda g: "
+            f"least(len(list_filter({a}, lambda x: x = g)), len(list_filter({b}, lambda x: x = g))))), 0)")
+
+
+def fmeasure(i: str, na: str, nb: str) -> str:
+    p = f"({i} / greatest({na}, 1))"
+    r = f"({i} / greatest({nb}, 1))"
+    return f"CASE WHEN {p} + {r} > 0 THEN 2 * {p} * {r} / ({p} + {r}) ELSE CAST(0.0 AS DOUBLE) END"
+
+
+def bleu_tok(x: str) -> str:
+    s = f"replace(replace(replace({x}, '<skipped>', ''), '-' || chr(10), ''), chr(10), ' ')"
+    for ent, ch in M.BLEU_ENTITIES:
+        s = f"replace({s}, {lit(ent)}, {lit(ch)})"
+    s = f"(' ' || {s} || ' ')"
+    for pattern, repl in M.BLEU_RULES:
+        s = f"regexp_replace({s}, {lit(pattern)}, {lit(_dollar_to_backslash(repl))}, 'g')"
+    return f"list_filter(regexp_split_to_array({s}, {lit(T.WS_CLASS + '+')}), lambda t: t <> '')"
+
+
+def rouge_n_sql(a: str, b: str, n: int) -> str:
+    ga, gb = ngr(a, n), ngr(b, n)
+    return fmeasure(overlap(ga, gb), f"len({ga})", f"len({gb})")
+
+
+def bleu_sql_ctes(src: str, id_cols: str, hyp: str, ref: str) -> str:
+    """CTEs bl1..bl3 over ``src``; bl3 has id columns + bleu."""
+    cs = ", ".join(f"{overlap(ngr('h', n), ngr('r', n))} AS c{n}" for n in range(1, 5))
+    ts = ", ".join(f"greatest(len(h) - {n - 1}, 0) AS t{n}" for n in range(1, 5))
+    zs = []
+    acc = []
+    for n in range(1, 5):
+        acc.append(f"CAST(c{n} = 0 AS INTEGER)")
+        zs.append(f"({' + '.join(acc)}) AS z{n}")
+    ps = ", ".join(
+        f"CASE WHEN c{n} > 0 THEN CAST(100.0 AS DOUBLE) * c{n} / t{n} "
+        f"ELSE CAST(100.0 AS DOUBLE) / (pow(CAST(2.0 AS DOUBLE), z{n}) * t{n}) END AS p{n}" for n in range(1, 5))
+    return f"""bl1 AS (SELECT {id_cols}, {bleu_tok(hyp)} AS h, {bleu_tok(ref)} AS r FROM {src}),
+bl2 AS (SELECT {id_cols}, len(h) AS sys_len, len(r) AS ref_len, {cs}, {ts} FROM bl1),
+bl2b AS (SELECT *, {", ".join(zs)} FROM bl2),
+bl2c AS (SELECT *, {ps} FROM bl2b),
+bl3 AS (SELECT {id_cols}, CASE WHEN c1 + c2 + c3 + c4 = 0 OR t4 = 0 THEN CAST(0.0 AS DOUBLE)
+   ELSE (CASE WHEN sys_len < ref_len THEN (CASE WHEN sys_len > 0 THEN exp(1 - ref_len / sys_len) ELSE 0.0 END)
+              ELSE 1.0 END) * exp((ln(p1) + ln(p2) + ln(p3) + ln(p4)) / 4) END AS bleu FROM bl2c)"""
+
+
+_RATED = f"WITH {rated_pairs_cte()}"
+
+SQL["q16_rouge1"] = _RATED + f""",
+rt AS (SELECT pair_id, {rouge_tok('original')} AS a, {rouge_tok('simplification')} AS b FROM rated)
+SELECT pair_id, round({rouge_n_sql('a', 'b', 1)}, 6) AS rouge1 FROM rt"""
+
+SQL["q17_rouge2"] = _RATED + f""",
+rt AS (SELECT pair_id, {rouge_tok('original')} AS a, {rouge_tok('simplification')} AS b FROM rated)
+SELECT pair_id, round({rouge_n_sql('a', 'b', 2)}, 6) AS rouge2 FROM rt"""
+
+SQL["q18_rougel"] = "WITH RECURSIVE " + rated_pairs_cte() + f""",
+rt AS (SELECT pair_id, {rouge_tok('original')} AS a, {rouge_tok('simplification')} AS b FROM rated),
+dp(pair_id, i, r) AS (
+  SELECT pair_id, 0, list_transform(range(0, len(b) + 1), lambda x: 0) FROM rt
+  UNION ALL
+  SELECT dp.pair_id, dp.i + 1, [0] || list_transform(range(1, len(rt.b) + 1), lambda j: list_max(list_transform(
+      range(1, j + 1), lambda k: greatest(dp.r[k + 1], CASE WHEN rt.a[dp.i + 1] = rt.b[k] THEN dp.r[k] + 1 ELSE 0 END))))
+  FROM dp JOIN rt ON dp.pair_id = rt.pair_id WHERE dp.i < len(rt.a)),
+lcs AS (SELECT dp.pair_id, dp.r[len(dp.r)] AS lcs FROM dp JOIN rt ON dp.pair_id = rt.pair_id WHERE dp.i = len(rt.a))
+SELECT rt.pair_id, round({fmeasure('lcs.lcs', 'len(rt.a)', 'len(rt.b)')}, 6) AS rougeL
+FROM rt JOIN lcs ON rt.pair_id = lcs.pair_id"""
+
+SQL["q19_bleu"] = _RATED + f""",
+{bleu_sql_ctes('rated', 'pair_id', 'original', 'simplification')}
+SELECT pair_id, round(bleu, 6) AS bleu FROM bl3"""
+
+
+def pool_cte() -> str:
+    return f"""dp_s AS (SELECT doc_id, {sentences('text')} AS s FROM documents),
+    pool AS (SELECT doc_id AS cand_id, s[1] AS cand_text FROM dp_s WHERE len(s) >= 1
+             UNION ALL SELECT -1 - item_id AS cand_id, text AS cand_text FROM benchmark)"""
+
+
+def first_round_cte(rows: str, id_col: str, seed: int = 42) -> str:
+    return f"""rr AS (SELECT *, row_number() OVER (ORDER BY {md5_key(seed, id_col)}, {id_col}) AS k FROM {rows}),
+    cr AS (SELECT *, row_number() OVER (ORDER BY {md5_key(seed, 'cand_id')}, cand_id) AS k FROM pool),
+    fr AS (SELECT rr.{id_col}, rr.original, cr.cand_id, cr.cand_text FROM rr JOIN cr ON rr.k = cr.k)"""
+
+
+def unrelated_sql(src: str, id_cols: str, threshold: float) -> str:
+    """CTEs us1 (rouge) + bl* (bleu) + us2 with rouge1, rouge2, bleu, unrelated."""
+    t = repr(threshold)
+    return f"""us0 AS (SELECT {id_cols}, {rouge_tok('original')} AS a, {rouge_tok('cand_text')} AS b FROM {src}),
+us1 AS (SELECT {id_cols}, {rouge_n_sql('a', 'b', 1)} AS rouge1, {rouge_n_sql('a', 'b', 2)} AS rouge2 FROM us0),
+{bleu_sql_ctes(src, id_cols, 'original', 'cand_text')},
+us2 AS (SELECT us1.*, bl3.bleu, (us1.rouge1 < {t} AND us1.rouge2 < {t} AND bl3.bleu < 100 * {t}) AS unrelated
+        FROM us1 JOIN bl3 USING ({id_cols}))"""
+
+
+SQL["q20_unrelated_filter"] = _RATED + f""",
+{pool_cte()},
+{first_round_cte('rated', 'pair_id')},
+{unrelated_sql('fr', 'pair_id, cand_id', 0.2)}
+SELECT pair_id, cand_id, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(bleu, 6) AS bleu, unrelated
+FROM us2"""
