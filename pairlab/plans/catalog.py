@@ -11,7 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlab.operators.dedupe import cross_source_duplicates, distinct_rows, remove_cross_source_duplicates
-from pairlab.operators.harmonize import harmonize, recode
+from pairlab.operators.augment import augment, holdout
+from pairlab.operators.harmonize import harmonize, identical_pairs, inverse_pairs, recode
+from pairlab.operators.matching import match_unrelated
 from pairlab.operators.ratings import describe_ratings, mean_rating, zip_by_position
 from pairlab.operators.ranking import hash_key, with_global_rank
 from pairlab.operators.scoring import flag_unrelated, score_pairs
@@ -218,6 +220,57 @@ def q20_unrelated_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
                           r6("bleu").alias("bleu"), "unrelated")
 
 
+# --- matching and augmentation -------------------------------------------------------------
+
+def _rated_rows(spark, sf_dir):
+    return S.rated_pairs(spark, sf_dir).select("pair_id", "original", "simplification", "label")
+
+
+def q21_unrelated_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J4 + A14: one unrelated candidate per rated original (rounds until done).
+    No SQL oracle: checked by invariants and brute force in tests."""
+    rows = _rated_rows(spark, sf_dir).select(F.col("pair_id").alias("row_id"), "original")
+    m = match_unrelated(rows, S.candidate_pool(spark, sf_dir), seed=SEED)
+    return m.pairs.select(F.col("row_id").alias("pair_id"), "cand_id", "round", r6("rouge1").alias("rouge1"),
+                          r6("rouge2").alias("rouge2"), r6("bleu").alias("bleu"))
+
+
+def q22_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P8 + G1: one self-pair (label 100) per rated row."""
+    return identical_pairs(_rated_rows(spark, sf_dir).select("pair_id", "original"))
+
+
+def q23_commutative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P7 + G3: inverse pairs, label kept, already-identical pairs skipped."""
+    return inverse_pairs(_rated_rows(spark, sf_dir))
+
+
+def q24_augmented_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2 + G4 + SP1: rows per (kind, split) of the augmented, re-split set."""
+    aug = augment(_rated_rows(spark, sf_dir), S.candidate_pool(spark, sf_dir), seed=SEED)
+    return split3(aug.pairs, ["kind", "pair_id"], seed=SEED).groupBy("kind", "split").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+
+
+def _holdout_rows(spark, sf_dir):
+    return S.holdout_source(spark, sf_dir).select(F.col("row_id").alias("pair_id"), "original")
+
+
+def q25_holdout_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5 (identical part): label-100 self-pairs of the holdout source."""
+    return identical_pairs(_holdout_rows(spark, sf_dir))
+
+
+def q25u_holdout_unrelated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G5 (unrelated part): threshold 0.25, candidates from the other end of the
+    pool, none the augmentation looked at.  Rows-only check."""
+    pool = S.candidate_pool(spark, sf_dir)
+    aug = augment(_rated_rows(spark, sf_dir), pool, seed=SEED)
+    _, m = holdout(_holdout_rows(spark, sf_dir), pool, aug.match.used, seed=SEED)
+    return m.pairs.select(F.col("row_id").alias("pair_id"), "cand_id", "round", r6("rouge1").alias("rouge1"),
+                          r6("rouge2").alias("rouge2"), r6("bleu").alias("bleu"))
+
+
 QUERIES = {
     "q01_mean_rating": q01_mean_rating,
     "q02_mean_positional": q02_mean_positional,
@@ -240,4 +293,10 @@ QUERIES = {
     "q18_rougel": q18_rougel,
     "q19_bleu": q19_bleu,
     "q20_unrelated_filter": q20_unrelated_filter,
+    "q21_unrelated_match": q21_unrelated_match,
+    "q22_identical": q22_identical,
+    "q23_commutative": q23_commutative,
+    "q24_augmented_dataset": q24_augmented_dataset,
+    "q25_holdout_identical": q25_holdout_identical,
+    "q25u_holdout_unrelated": q25u_holdout_unrelated,
 }

@@ -325,3 +325,30 @@ SQL["q20_unrelated_filter"] = _RATED + f""",
 {unrelated_sql('fr', 'pair_id, cand_id', 0.2)}
 SELECT pair_id, cand_id, round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(bleu, 6) AS bleu, unrelated
 FROM us2"""
+
+
+# ---- augmentation --------------------------------------------------------------------------
+
+SQL["q22_identical"] = _RATED + """
+SELECT pair_id, original, original AS simplification, CAST(100.0 AS DOUBLE) AS label FROM rated"""
+
+SQL["q23_commutative"] = _RATED + """
+SELECT pair_id, simplification AS original, original AS simplification, label FROM rated
+WHERE original IS DISTINCT FROM simplification"""
+
+# Key set of the augmented table: every rated row gets an unrelated partner at
+# this scale (the pool is 2.5x the rows), so kinds are known without the match.
+SQL["q24_augmented_dataset"] = _RATED + f""",
+keys AS (
+  SELECT 'rated' AS kind, pair_id FROM rated
+  UNION ALL SELECT 'unrelated', pair_id FROM rated
+  UNION ALL SELECT 'identical', pair_id FROM rated
+  UNION ALL SELECT 'inverse-rated', pair_id FROM rated WHERE original IS DISTINCT FROM simplification
+  UNION ALL SELECT 'inverse-unrelated', pair_id FROM rated),
+r AS (SELECT *, row_number() OVER (ORDER BY {md5_key(42, 'kind', 'pair_id')}, kind, pair_id) AS k,
+             count(*) OVER () AS n FROM keys)
+SELECT kind, {split_case('k', 'n')} AS split, count(*) AS n_rows FROM r GROUP BY ALL"""
+
+SQL["q25_holdout_identical"] = f"""
+WITH c AS (SELECT conv_id * 1000 + turn AS pair_id, {sentences('text')} AS s FROM conversations WHERE role = 'user')
+SELECT pair_id, s[1] AS original, s[1] AS simplification, CAST(100.0 AS DOUBLE) AS label FROM c WHERE len(s) >= 1"""
