@@ -28,9 +28,12 @@ BANNED_CHARS_RE = r"[\n|$<> `\x{A0}]"
 # Whitespace = the characters Python's str.split() splits on.
 WS_CLASS = (r"[\t\n\x{0B}\x{0C}\r\x{1C}-\x{1F} \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}"
             r"\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]")
-# Sentence boundary: . ! or ? followed by whitespace, or a newline.
+# The same whitespace as a plain character list (for trimming without regex).
+WS_CHARS = "".join(chr(c) for c in [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85, 0xA0, 0x1680]
+                   + list(range(0x2000, 0x200B)) + [0x2028, 0x2029, 0x202F, 0x205F, 0x3000])
+# Sentence boundary: . ! or ? followed by whitespace, or a newline.  Sentences
+# are trimmed of whitespace; empty ones are dropped.
 SENTENCE_END_RE = r"([.!?])" + WS_CLASS + "+"
-TRIM_RE = "^" + WS_CLASS + "+|" + WS_CLASS + "+$"
 
 
 @lru_cache(maxsize=None)
@@ -78,8 +81,7 @@ def lexical_tokens(tokens, stop_words=None) -> Column:
 def sentences_of(text) -> Column:
     """Split a text into sentences (boundary rule above), trimmed, no empties."""
     marked = F.regexp_replace(_col(text), F.lit(SENTENCE_END_RE), F.lit("$1\n"))
-    parts = F.split(marked, "\n")
-    trimmed = F.transform(parts, lambda s: F.regexp_replace(s, F.lit(TRIM_RE), F.lit("")))
+    trimmed = F.transform(F.split(marked, "\n"), lambda s: F.btrim(s, F.lit(WS_CHARS)))
     return F.filter(trimmed, lambda s: s != "")
 
 

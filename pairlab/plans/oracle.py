@@ -22,9 +22,13 @@ def _dollar_to_backslash(repl: str) -> str:
 
 # ---- text rules ------------------------------------------------------------------
 
+def _chars(s: str) -> str:
+    return "(" + " || ".join(f"chr({ord(c)})" for c in s) + ")"
+
+
 def sentences(expr: str) -> str:
     marked = f"regexp_replace({expr}, {lit(T.SENTENCE_END_RE)}, '\\1' || chr(10), 'g')"
-    trimmed = f"list_transform(string_split({marked}, chr(10)), lambda s: regexp_replace(s, {lit(T.TRIM_RE)}, '', 'g'))"
+    trimmed = f"list_transform(string_split({marked}, chr(10)), lambda s: trim(s, {_chars(T.WS_CHARS)}))"
     return f"list_filter({trimmed}, lambda s: s <> '')"
 
 

@@ -71,3 +71,13 @@ def local_test_session(tmp_root: str | None = None, cores: int = 8) -> SparkSess
     if tmp_root and not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(os.path.join(tmp_root, "checkpoints"))
     return spark
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage: write ``df`` as a parquet table in the shared folder and read
+    it back.  One job (no double evaluation as with an unpersisted checkpoint),
+    survives executor loss, and the re-read carries real size statistics."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.mode("errorifexists").parquet(path)
+    return spark.read.parquet(path)
