@@ -12,6 +12,12 @@ from pyspark.sql import functions as F
 
 from pairlab.operators.dedupe import cross_source_duplicates, distinct_rows, remove_cross_source_duplicates
 from pairlab.operators.augment import augment, holdout
+from pairlab.operators.batch import batch_apply
+from pairlab.operators.ngrams import copied_ngrams, penalise, repeated_ngram_share, self_copies
+from pairlab.operators.scored import best_by, cut_at, pick_by, prefix_score, softmax_by, top_k, top_k_top_p
+from pairlab.functions.text import keep_tokens, word_tokens
+from pairlab.sources.io import read_split, write_delimited
+from pairlab.session import scratch_path
 from pairlab.operators.harmonize import harmonize, identical_pairs, inverse_pairs, recode
 from pairlab.operators.matching import match_unrelated
 from pairlab.operators.ratings import describe_ratings, mean_rating, zip_by_position
@@ -271,6 +277,128 @@ def q25u_holdout_unrelated(spark: SparkSession, sf_dir: str) -> DataFrame:
                           r6("rouge2").alias("rouge2"), r6("bleu").alias("bleu"))
 
 
+# --- score tables ------------------------------------------------------------------------------
+
+def _scores(spark, sf_dir):
+    """events as a long score table: group = user_id, item = event_id."""
+    return S.table(spark, sf_dir, "events").select(
+        "user_id", "event_id", (F.col("value") / F.lit(100.0)).alias("score"))
+
+
+def q26_topk_ties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-3 per group, ties at the 3rd place kept."""
+    ev = S.table(spark, sf_dir, "events").select("user_id", "event_id", "value")
+    return top_k(ev, "user_id", "event_id", "value", 3)
+
+
+def q27_top_p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Top-k 10, then top-p 0.9 on the survivors' softmax, min_keep 2."""
+    return top_k_top_p(_scores(spark, sf_dir), "user_id", "event_id", "score", top_k=10, top_p=0.9, min_keep=2)
+
+
+def q28_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-group softmax."""
+    p = softmax_by(_scores(spark, sf_dir), "user_id", "score")
+    return p.select("user_id", "event_id", r6("prob").alias("prob"))
+
+
+def q29_argmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arg-max item per group (ties: smallest item)."""
+    return best_by(_scores(spark, sf_dir), "user_id", "event_id", "score")
+
+
+def q30_weighted_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seeded draw per group from softmax(score)."""
+    return pick_by(_scores(spark, sf_dir), "user_id", "event_id", "score", seed=SEED)
+
+
+def q31_prefix_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per user, summed value of the events before the first error."""
+    ev = S.table(spark, sf_dir, "events")
+    ps = prefix_score(ev, "user_id", ["ts", "event_id"], "value", F.col("event_type") == "error")
+    return ps.select("user_id", r6("seq_score").alias("seq_score"), "n_steps", "ended")
+
+
+def _turn_tokens(spark, sf_dir):
+    conv = S.table(spark, sf_dir, "conversations")
+    return conv.select("conv_id", "turn", keep_tokens(word_tokens(F.col("text"))).alias("tokens"))
+
+
+def q32_cut_at_marker(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """W10 + W11: tokens before the first end marker ("the"), at most 100."""
+    cut = _turn_tokens(spark, sf_dir).select("conv_id", "turn", cut_at(F.col("tokens"), "the", 100).alias("c"))
+    return cut.select("conv_id", "turn", F.size("c").alias("n_kept"), F.array_join("c", " ").alias("kept_text"))
+
+
+def _toy_generator(pdf):
+    """Deterministic stand-in for a generation callable (one output per input)."""
+    import pandas as pd
+
+    return pd.DataFrame({
+        "output_text": pdf["lang"].astype(str) + "#" + pdf["run_id"].astype(str),
+        "score": ((pdf["n_chars"] * (pdf["run_id"] + 1)) % 7).astype("float64"),
+    })
+
+
+def q33_fanout_refold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1 + G6 + G7 + W2: 3 runs per document in batches of 8, refolded per
+    document and ordered by score (ties: run order)."""
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
+    out = batch_apply(docs, _toy_generator, "output_text string, score double", ["doc_id"], batch_size=8,
+                      num_runs=3, sort_by="score")
+    best = F.col("runs")[0]
+    return out.select("doc_id", best["run_id"].cast("bigint").alias("best_run"),
+                      F.array_join(F.transform("runs", lambda r: r["run_id"].cast("string")), ",").alias("run_order"),
+                      best["score"].alias("best_score"), best["output_text"].alias("best_text"))
+
+
+def q34_ngram_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark texts (as generated sequences) whose last 3-gram occurs in
+    a document, with the document token that follows it there."""
+    docs = S.table(spark, sf_dir, "documents").select("doc_id", keep_tokens(word_tokens(F.col("text"))).alias("t"))
+    bench = S.table(spark, sf_dir, "benchmark").select("item_id", keep_tokens(word_tokens(F.col("text"))).alias("t"))
+    return copied_ngrams(bench, ["item_id"], "t", docs, ["doc_id"], "t", 3)
+
+
+def q35_ngram_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns whose last 3-gram occurred earlier in the same turn."""
+    return self_copies(_turn_tokens(spark, sf_dir), ["conv_id", "turn"], "tokens", 3)
+
+
+def q35r_repeat_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N2 summary: 3-gram occurrences and repeated ones per turn."""
+    return repeated_ngram_share(_turn_tokens(spark, sf_dir), ["conv_id", "turn"], "tokens", 3)
+
+
+def q36_copy_penalty(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token scores (count in the turn) minus 1000 once for every token that
+    would repeat a 3-gram of the turn."""
+    toks = _turn_tokens(spark, sf_dir)
+    scores = toks.select("conv_id", "turn", F.explode("tokens").alias("token")).groupBy(
+        "conv_id", "turn", "token").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    hits = self_copies(toks, ["conv_id", "turn"], "tokens", 3).withColumnRenamed("next_token", "token")
+    return penalise(scores, hits, ["conv_id", "turn", "token"])
+
+
+def q37_tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write conversations as TSV, one folder per role (split), and
+    read all splits back through the split catalogue."""
+    conv = S.table(spark, sf_dir, "conversations")
+    path = scratch_path(spark, "tsv-roundtrip")
+    write_delimited(conv, path, sep="\t", partition_by="role")
+    roles = [r["role"] for r in conv.select("role").distinct().collect()]  # a handful of split names
+    catalog = {"conversations": {r: f"{path}/role={r}" for r in roles}}
+    schema = "conv_id bigint, turn bigint, text string"
+    back = read_split(spark, catalog, "conversations", "full", schema=T_schema(schema))
+    return back.select("conv_id", "turn", F.col("split").alias("role"), "text")
+
+
+def T_schema(ddl: str):
+    from pyspark.sql.types import _parse_datatype_string
+
+    return _parse_datatype_string(ddl)
+
+
 QUERIES = {
     "q01_mean_rating": q01_mean_rating,
     "q02_mean_positional": q02_mean_positional,
@@ -299,4 +427,17 @@ QUERIES = {
     "q24_augmented_dataset": q24_augmented_dataset,
     "q25_holdout_identical": q25_holdout_identical,
     "q25u_holdout_unrelated": q25u_holdout_unrelated,
+    "q26_topk_ties": q26_topk_ties,
+    "q27_top_p": q27_top_p,
+    "q28_softmax": q28_softmax,
+    "q29_argmax": q29_argmax,
+    "q30_weighted_pick": q30_weighted_pick,
+    "q31_prefix_score": q31_prefix_score,
+    "q32_cut_at_marker": q32_cut_at_marker,
+    "q33_fanout_refold": q33_fanout_refold,
+    "q34_ngram_copy": q34_ngram_copy,
+    "q35_ngram_repeat": q35_ngram_repeat,
+    "q35r_repeat_share": q35r_repeat_share,
+    "q36_copy_penalty": q36_copy_penalty,
+    "q37_tsv_roundtrip": q37_tsv_roundtrip,
 }

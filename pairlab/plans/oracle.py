@@ -356,3 +356,101 @@ SELECT kind, {split_case('k', 'n')} AS split, count(*) AS n_rows FROM r GROUP BY
 SQL["q25_holdout_identical"] = f"""
 WITH c AS (SELECT conv_id * 1000 + turn AS pair_id, {sentences('text')} AS s FROM conversations WHERE role = 'user')
 SELECT pair_id, s[1] AS original, s[1] AS simplification, CAST(100.0 AS DOUBLE) AS label FROM c WHERE len(s) >= 1"""
+
+
+# ---- score tables ------------------------------------------------------------------------------
+
+_SC = "sc AS (SELECT user_id, event_id, value / CAST(100.0 AS DOUBLE) AS score FROM events)"
+
+SQL["q26_topk_ties"] = """
+WITH r AS (SELECT user_id, event_id, value, rank() OVER (PARTITION BY user_id ORDER BY value DESC) AS rk FROM events)
+SELECT user_id, event_id, value FROM r WHERE rk <= 3"""
+
+SQL["q27_top_p"] = f"""WITH {_SC},
+k AS (SELECT *, rank() OVER (PARTITION BY user_id ORDER BY score DESC) AS rk FROM sc),
+m AS (SELECT *, max(score) OVER (PARTITION BY user_id) AS mx FROM k WHERE rk <= 10),
+e AS (SELECT *, exp(score - mx) AS ex FROM m),
+pr AS (SELECT *, ex / sum(ex) OVER (PARTITION BY user_id) AS p FROM e),
+c AS (SELECT *, coalesce(sum(p) OVER (PARTITION BY user_id ORDER BY score DESC, event_id
+                 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+             row_number() OVER (PARTITION BY user_id ORDER BY score DESC, event_id) - 1 AS r0 FROM pr)
+SELECT user_id, event_id, score FROM c WHERE r0 = 0 OR before <= 0.9 OR r0 <= 2"""
+
+SQL["q28_softmax"] = f"""WITH {_SC},
+m AS (SELECT *, score - max(score) OVER (PARTITION BY user_id) AS z FROM sc)
+SELECT user_id, event_id, round(exp(z) / sum(exp(z)) OVER (PARTITION BY user_id), 6) AS prob FROM m"""
+
+SQL["q29_argmax"] = f"""WITH {_SC}
+SELECT user_id, first(event_id ORDER BY score DESC, event_id) AS best FROM sc GROUP BY user_id"""
+
+_U = ("((('0x' || substr(md5(concat_ws(':', '42', CAST(user_id AS VARCHAR), CAST(event_id AS VARCHAR))), 1, 13))"
+      "::BIGINT)::DOUBLE + 0.5) / CAST(4503599627370496.0 AS DOUBLE)")
+SQL["q30_weighted_pick"] = f"""WITH {_SC},
+g AS (SELECT *, score / CAST(1.0 AS DOUBLE) + (-ln(-ln({_U}))) AS key FROM sc)
+SELECT user_id, first(event_id ORDER BY key DESC, event_id) AS pick FROM g GROUP BY user_id"""
+
+SQL["q31_prefix_score"] = """
+WITH s AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step FROM events),
+f AS (SELECT user_id, min(step) FILTER (WHERE event_type = 'error') AS fe FROM s GROUP BY user_id)
+SELECT s.user_id, round(sum(CASE WHEN f.fe IS NULL OR s.step < f.fe THEN value ELSE 0.0 END), 6) AS seq_score,
+       count(*) FILTER (WHERE f.fe IS NULL OR s.step < f.fe) AS n_steps, bool_or(f.fe IS NOT NULL) AS ended
+FROM s JOIN f ON s.user_id = f.user_id GROUP BY s.user_id"""
+
+_TT = f"tt AS (SELECT conv_id, turn, {_tok('text')} AS tokens FROM conversations)"
+
+SQL["q32_cut_at_marker"] = f"""WITH {_TT},
+c AS (SELECT conv_id, turn, (CASE WHEN list_position(tokens, 'the') IS NOT NULL
+                                 THEN tokens[1:list_position(tokens, 'the') - 1] ELSE tokens END)[1:100] AS c FROM tt)
+SELECT conv_id, turn, CAST(len(c) AS INTEGER) AS n_kept, array_to_string(c, ' ') AS kept_text FROM c"""
+
+SQL["q33_fanout_refold"] = """
+WITH r AS (SELECT doc_id, lang, n_chars, unnest(range(0, 3)) AS run_id FROM documents),
+o AS (SELECT doc_id, run_id, CAST((n_chars * (run_id + 1)) % 7 AS DOUBLE) AS score,
+             lang || '#' || CAST(run_id AS VARCHAR) AS output_text FROM r),
+k AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, run_id) AS rn FROM o)
+SELECT doc_id, CAST(max(run_id) FILTER (WHERE rn = 1) AS BIGINT) AS best_run,
+       string_agg(CAST(run_id AS VARCHAR), ',' ORDER BY rn) AS run_order,
+       max(score) FILTER (WHERE rn = 1) AS best_score, max(output_text) FILTER (WHERE rn = 1) AS best_text
+FROM k GROUP BY doc_id"""
+
+
+def shingles_sql(src: str, id_cols: str, tokens: str, n: int) -> str:
+    return f"""(SELECT {id_cols}, CAST(p AS INTEGER) AS pos, array_to_string({tokens}[p:p + {n - 1}], ' ') AS gram,
+          {tokens}[p + {n}] AS next_token
+   FROM (SELECT {id_cols}, {tokens}, unnest(range(1, greatest(len({tokens}) - {n - 1}, 1))) AS p FROM {src}))"""
+
+
+def last_gram_sql(tokens: str, n: int) -> str:
+    return f"CASE WHEN len({tokens}) >= {n} THEN array_to_string({tokens}[len({tokens}) - {n - 1}:], ' ') END"
+
+
+SQL["q34_ngram_copy"] = f"""WITH d AS (SELECT doc_id, {_tok('text')} AS t FROM documents),
+b AS (SELECT item_id, {_tok('text')} AS t FROM benchmark),
+g AS (SELECT item_id, {last_gram_sql('t', 3)} AS gram FROM b),
+s AS {shingles_sql('d', 'doc_id', 't', 3)}
+SELECT g.item_id, s.doc_id, s.pos, s.next_token FROM g JOIN s ON g.gram = s.gram"""
+
+SELF_COPIES = f"""{_TT},
+g AS (SELECT conv_id, turn, {last_gram_sql('tokens', 3)} AS gram FROM tt),
+s AS {shingles_sql('tt', 'conv_id, turn', 'tokens', 3)},
+hits AS (SELECT g.conv_id, g.turn, s.pos, s.next_token FROM g JOIN s
+         ON g.conv_id = s.conv_id AND g.turn = s.turn AND g.gram = s.gram)"""
+
+SQL["q35_ngram_repeat"] = f"WITH {SELF_COPIES} SELECT conv_id, turn, pos, next_token FROM hits"
+
+SQL["q35r_repeat_share"] = f"""WITH {_TT},
+e AS (SELECT conv_id, turn, unnest({ngr('tokens', 3)}) AS gram FROM tt),
+c AS (SELECT conv_id, turn, gram, count(*) AS c FROM e GROUP BY ALL)
+SELECT conv_id, turn, CAST(sum(c) AS BIGINT) AS n_ngrams,
+       CAST(sum(CASE WHEN c > 1 THEN c ELSE 0 END) AS BIGINT) AS n_repeated
+FROM c GROUP BY conv_id, turn"""
+
+SQL["q36_copy_penalty"] = f"""WITH {SELF_COPIES},
+sc AS (SELECT conv_id, turn, token, CAST(count(*) AS DOUBLE) AS score
+       FROM (SELECT conv_id, turn, unnest(tokens) AS token FROM tt) GROUP BY ALL),
+h AS (SELECT DISTINCT conv_id, turn, next_token AS token FROM hits)
+SELECT sc.conv_id, sc.turn, sc.token,
+       CASE WHEN h.token IS NOT NULL THEN sc.score - 1000.0 ELSE sc.score END AS score
+FROM sc LEFT JOIN h ON sc.conv_id = h.conv_id AND sc.turn = h.turn AND sc.token = h.token"""
+
+SQL["q37_tsv_roundtrip"] = "SELECT conv_id, turn, role, text FROM conversations"
