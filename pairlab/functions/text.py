@@ -72,10 +72,12 @@ def keep_tokens(tokens) -> Column:
 
 
 def lexical_tokens(tokens, stop_words=None) -> Column:
-    """kept tokens that are not stop words (tokens must already be F4-kept)."""
+    """kept tokens that are not stop words (tokens must already be F4-kept).
+    ``isin`` over the literal list is planned as a hash-set lookup (InSet)."""
     stop = default_stop_words() if stop_words is None else tuple(stop_words)
-    stop_arr = F.array(*[F.lit(w) for w in stop]) if stop else F.array().cast("array<string>")
-    return F.filter(_col(tokens), lambda t: ~F.array_contains(stop_arr, t))
+    if not stop:
+        return _col(tokens)
+    return F.filter(_col(tokens), lambda t: ~t.isin(*stop))
 
 
 def sentences_of(text) -> Column:

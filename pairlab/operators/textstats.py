@@ -27,21 +27,24 @@ REPORT_METRICS = ["vocab_size", "lexical_vocab_size", "avg_sentence_len", "avg_s
 def doc_stats(df: DataFrame, text: str = "text", stop_words=None, keep_arrays: bool = False) -> DataFrame:
     """A5, A6, T7, T8, per-text A9/A10 inputs.  Adds n_tokens, n_lexical,
     n_sentences, avg_sentence_len, avg_sentence_len_lexical (NULL for a text
-    without sentences); ``keep_arrays`` also keeps ``tokens`` and ``lexical``."""
+    without sentences); ``keep_arrays`` also keeps ``tokens`` and ``lexical``.
+
+    Each sentence is tokenised once; the text's tokens are the concatenation
+    of its sentences' tokens (tokens never contain whitespace, and sentence
+    cuts only remove whitespace, so this equals tokenising the whole text)."""
     stop = default_stop_words() if stop_words is None else tuple(stop_words)
     low = F.lower(F.col(text))
-    out = (df.withColumn("tokens", keep_tokens(word_tokens(F.col(text))))
-             .withColumn("lexical", lexical_tokens("tokens", stop))
-             .withColumn("_sent_tok", F.transform(sentences_of(low), lambda s: keep_tokens(word_tokens(s)))))
+    out = df.withColumn("_st", F.transform(sentences_of(low), lambda s: keep_tokens(word_tokens(s))))
+    out = out.withColumn("_sl", F.transform("_st", lambda t: lexical_tokens(t, stop)))
     out = out.select(
         "*",
-        F.size("tokens").alias("n_tokens"),
-        F.size("lexical").alias("n_lexical"),
-        F.size("_sent_tok").alias("n_sentences"),
-        array_mean(F.transform("_sent_tok", lambda t: F.size(t))).alias("avg_sentence_len"),
-        array_mean(F.transform("_sent_tok", lambda t: F.size(lexical_tokens(t, stop)))).alias(
-            "avg_sentence_len_lexical"),
-    ).drop("_sent_tok")
+        F.size("_st").alias("n_sentences"),
+        array_mean(F.transform("_st", lambda t: F.size(t))).alias("avg_sentence_len"),
+        array_mean(F.transform("_sl", lambda t: F.size(t))).alias("avg_sentence_len_lexical"),
+        F.flatten("_st").alias("tokens"),
+        F.flatten("_sl").alias("lexical"),
+    ).drop("_st", "_sl")
+    out = out.withColumn("n_tokens", F.size("tokens")).withColumn("n_lexical", F.size("lexical"))
     return out if keep_arrays else out.drop("tokens", "lexical")
 
 
@@ -49,36 +52,51 @@ def vocabulary(stats: DataFrame, by: list[str], approx: bool = False, stop_words
     """Distinct kept tokens and distinct lexical words per group.
     ``stats`` must come from ``doc_stats(..., keep_arrays=True)``."""
     stop = default_stop_words() if stop_words is None else tuple(stop_words)
-    stop_arr = F.array(*[F.lit(w) for w in stop])
     tok = stats.select(*by, F.explode(F.array_distinct("tokens")).alias("token"))
+    is_lex = ~F.col("token").isin(*stop) if stop else F.lit(True)
     if approx:
-        lex = F.when(~F.array_contains(stop_arr, F.col("token")), F.col("token"))
         return tok.groupBy(*by).agg(F.approx_count_distinct("token").alias("vocab_size"),
-                                    F.approx_count_distinct(lex).alias("lexical_vocab_size"))
+                                    F.approx_count_distinct(F.when(is_lex, F.col("token"))).alias(
+                                        "lexical_vocab_size"))
     per_token = tok.groupBy(*by, "token").agg(F.lit(1).alias("_one"))
-    return per_token.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("vocab_size"),
-        F.count_if(~F.array_contains(stop_arr, F.col("token"))).alias("lexical_vocab_size"))
+    return per_token.groupBy(*by).agg(F.count(F.lit(1)).alias("vocab_size"),
+                                      F.count_if(is_lex).alias("lexical_vocab_size"))
 
 
-def describe_corpus(df: DataFrame, text: str, by: list[str], stop_words=None, approx: bool = False) -> DataFrame:
+def describe_corpus(df: DataFrame, text: str, by: list[str], stop_words=None) -> DataFrame:
     """Per group n_texts, vocabulary sizes, macro-averaged sentence lengths
-    (A9, A10: mean over texts of each text's mean) and lexical richness (A11)."""
-    stats = doc_stats(df.select(*by, text), text, stop_words, keep_arrays=True)
-    per_group = stats.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_texts"),
-        F.sum("n_lexical").alias("_n_lex"),
-        F.avg("avg_sentence_len").alias("avg_sentence_len"),
-        F.avg("avg_sentence_len_lexical").alias("avg_sentence_len_lexical"))
-    vocab = vocabulary(stats, by, approx, stop_words)
-    out = per_group.join(vocab, by, "left").select(
-        *by, "n_texts",
-        F.coalesce("vocab_size", F.lit(0)).alias("vocab_size"),
-        F.coalesce("lexical_vocab_size", F.lit(0)).alias("lexical_vocab_size"),
-        "avg_sentence_len", "avg_sentence_len_lexical",
-        F.try_divide(F.coalesce("lexical_vocab_size", F.lit(0)).cast("double"), F.col("_n_lex")).alias(
-            "lexical_richness"))
-    return out
+    (A9, A10: mean over texts of each text's mean) and lexical richness (A11).
+
+    One pass over the text statistics: every text explodes to its distinct
+    tokens; the text-level figures ride on the text's first exploded row.
+    Aggregation is two-level - (group, token), then group - both with map-side
+    partial aggregation, so a group holding most texts still spreads out."""
+    stop = default_stop_words() if stop_words is None else tuple(stop_words)
+    stats = doc_stats(df.select(*by, text), text, stop, keep_arrays=True)
+    ex = stats.select(*by, "n_lexical", "avg_sentence_len", "avg_sentence_len_lexical",
+                      F.posexplode_outer(F.array_distinct("tokens")).alias("_pos", "token"))
+    first = F.coalesce(F.col("_pos"), F.lit(0)) == 0
+    on_first = lambda c: F.when(first, F.col(c))
+    per_token = ex.groupBy(*by, "token").agg(
+        F.count_if(first).alias("_texts"),
+        F.sum(on_first("n_lexical")).alias("_lex"),
+        F.sum(on_first("avg_sentence_len")).alias("_asl_sum"),
+        F.count(on_first("avg_sentence_len")).alias("_asl_n"),
+        F.sum(on_first("avg_sentence_len_lexical")).alias("_asll_sum"),
+        F.count(on_first("avg_sentence_len_lexical")).alias("_asll_n"))
+    is_tok = F.col("token").isNotNull()
+    is_lex = is_tok & ~F.col("token").isin(*stop) if stop else is_tok
+    g = per_token.groupBy(*by).agg(
+        F.sum("_texts").alias("n_texts"),
+        F.count_if(is_tok).alias("vocab_size"),
+        F.count_if(is_lex).alias("lexical_vocab_size"),
+        F.sum("_lex").alias("_n_lex"),
+        F.try_divide(F.sum("_asl_sum"), F.sum("_asl_n")).alias("avg_sentence_len"),
+        F.try_divide(F.sum("_asll_sum"), F.sum("_asll_n")).alias("avg_sentence_len_lexical"))
+    return g.select(*by, "n_texts", "vocab_size", "lexical_vocab_size", "avg_sentence_len",
+                    "avg_sentence_len_lexical",
+                    F.try_divide(F.col("lexical_vocab_size").cast("double"), F.col("_n_lex")).alias(
+                        "lexical_richness"))
 
 
 def top_words(df: DataFrame, text: str = "text", n: int = 50, stop_words=None) -> DataFrame:

@@ -167,10 +167,10 @@ def _sent_cols() -> str:
 
 
 SQL["q11_doc_token_stats"] = f"""WITH {doc_stats_cte('documents', 'doc_id')}
-SELECT doc_id, len(tok) AS n_tokens, len(lex) AS n_lexical FROM ds"""
+SELECT doc_id, CAST(len(tok) AS INTEGER) AS n_tokens, CAST(len(lex) AS INTEGER) AS n_lexical FROM ds"""
 
 SQL["q12_sentence_length"] = f"""WITH {doc_stats_cte('documents', 'doc_id')},
-z AS (SELECT doc_id, len(st) AS n_sentences, {_sent_cols()} FROM ds)
+z AS (SELECT doc_id, CAST(len(st) AS INTEGER) AS n_sentences, {_sent_cols()} FROM ds)
 SELECT doc_id, n_sentences, round(avg_sentence_len, 6) AS avg_sentence_len,
        round(avg_sentence_len_lexical, 6) AS avg_sentence_len_lexical FROM z"""
 

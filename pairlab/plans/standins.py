@@ -16,8 +16,12 @@ from pairlab.functions.text import sentences_of
 from pairlab.sources.io import read_table
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, sf_dir, name)
+TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A driver table; text tables are spread over the cores for regex work."""
+    return read_table(spark, sf_dir, name, columns, spread_cpu=name in TEXT_TABLES)
 
 
 def rated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -35,9 +35,26 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's parquet tables, NaN cleaned."""
-    return nan_to_null(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a CPU-heavy input over the cluster's cores when it comes from fewer
+    files than there are cores (one file = one row group = one busy task).  Large
+    inputs already span many files and are left alone (no shuffle)."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    if len(df.inputFiles()) < cores:
+        return df.repartition(cores)
+    return df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
+               spread_cpu: bool = False) -> DataFrame:
+    """One of the driver's parquet tables, NaN cleaned; optionally column-pruned
+    and spread for CPU-heavy text work."""
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    if columns:
+        df = df.select(*columns)
+    df = nan_to_null(df)
+    return spread(df) if spread_cpu else df
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None,
