@@ -36,10 +36,12 @@ def copied_ngrams(gen: DataFrame, gen_id: list[str], gen_tokens: str, src: DataF
     (the reference's row-aligned case); without it every source is searched."""
     if n <= 0:
         return gen.sparkSession.createDataFrame([], "pos int, next_token string")
-    g = gen.select(*gen_id, last_ngram(gen_tokens, n).alias("gram")).filter(F.col("gram").isNotNull())
-    s = shingles_with_next(src, src_id, src_tokens, n)
-    on = ["gram"] + (pair_on or [])
-    return g.join(s, on).drop("gram")
+    pair_on = list(pair_on or [])
+    g_cols = list(dict.fromkeys(gen_id + pair_on))
+    s_cols = list(dict.fromkeys(src_id + pair_on))
+    g = gen.select(*g_cols, last_ngram(gen_tokens, n).alias("gram")).filter(F.col("gram").isNotNull())
+    s = shingles_with_next(src, s_cols, src_tokens, n)
+    return g.join(s, ["gram"] + pair_on).drop("gram")
 
 
 def self_copies(df: DataFrame, id_cols: list[str], tokens: str, n: int = 3) -> DataFrame:
