@@ -1,0 +1,5 @@
+from pairlab.streaming.ratings import (  # noqa: F401
+    rating_stream,
+    stream_mean_ratings,
+    stream_without_duplicates,
+)

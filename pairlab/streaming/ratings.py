@@ -1,0 +1,56 @@
+"""Structured Streaming forms of the rating operators.
+
+Rating rows often arrive in batches of files (new annotation rounds).  These
+functions apply the same operators to a file stream:
+
+* ``stream_mean_ratings`` - A1 as a streaming aggregation (state = one partial
+  aggregate per key in the state store; ``update`` output mode).
+* ``stream_without_duplicates`` - J1 for arriving rows against a static
+  reference table (stream-static left-anti join; no state).
+
+Checkpoints go below the cluster's shared folder (see ``pairlab.session``).
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import StructType
+
+from pairlab.operators.dedupe import remove_cross_source_duplicates
+from pairlab.session import scratch_path
+from pairlab.sources.io import nan_to_null
+
+
+def rating_stream(spark: SparkSession, path: str, schema: StructType, fmt: str = "parquet",
+                  max_files_per_trigger: int | None = None) -> DataFrame:
+    """Streaming scan of rating files (explicit schema, NaN -> NULL)."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", str(max_files_per_trigger))
+    return nan_to_null(reader.load(path))
+
+
+def stream_mean_ratings(stream: DataFrame, keys: list[str], rating: str, query_name: str,
+                        checkpoint: str | None = None, sink: str = "memory",
+                        available_now: bool = True) -> StreamingQuery:
+    """A1 over a stream: running mean and count per key (NULL keys dropped)."""
+    cond = None
+    for k in keys:
+        c = F.col(k).isNotNull()
+        cond = c if cond is None else cond & c
+    agg = stream.filter(cond).groupBy(*keys).agg(F.avg(rating).alias("rating"),
+                                                 F.count(rating).alias("n_ratings"))
+    spark = stream.sparkSession
+    w = (agg.writeStream.outputMode("complete" if sink == "memory" else "update").format(sink)
+         .queryName(query_name)
+         .option("checkpointLocation", checkpoint or scratch_path(spark, f"stream-{query_name}")))
+    w = w.trigger(availableNow=True) if available_now else w
+    return w.start()
+
+
+def stream_without_duplicates(stream: DataFrame, reference: DataFrame, keys, only_when: Column | None = None
+                              ) -> DataFrame:
+    """J1 on a stream: arriving rows that do not repeat a reference row."""
+    return remove_cross_source_duplicates(stream, reference, keys, only_when)

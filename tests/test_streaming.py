@@ -1,0 +1,38 @@
+"""Streaming forms give the batch answers once the stream has drained."""
+
+from conftest import SF_SMALL
+from pyspark.sql import functions as F
+
+from pairlab.operators.dedupe import remove_cross_source_duplicates
+from pairlab.operators.ratings import mean_rating
+from pairlab.session import scratch_path
+from pairlab.streaming import rating_stream, stream_mean_ratings, stream_without_duplicates
+
+
+def test_stream_mean_ratings_equals_batch(spark):
+    ev = spark.read.parquet(f"{SF_SMALL}/events.parquet").select("user_id", "value")
+    src = scratch_path(spark, "stream-src")
+    ev.repartition(4).write.parquet(src)  # four files = four arriving batches
+    stream = rating_stream(spark, src, ev.schema, max_files_per_trigger=1)
+    q = stream_mean_ratings(stream, ["user_id"], "value", "pl_stream_mean")
+    q.awaitTermination()
+    got = {r["user_id"]: (round(r["rating"], 9), r["n_ratings"]) for r in spark.table("pl_stream_mean").collect()}
+    want = {r["user_id"]: (round(r["rating"], 9), r["n_ratings"])
+            for r in mean_rating(ev, ["user_id"], "value").collect()}
+    assert got == want
+
+
+def test_stream_without_duplicates_equals_batch(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text", "lang")
+    ref = docs.filter(F.col("doc_id") < 100)
+    arriving = docs.filter(F.col("doc_id") >= 100)
+    src = scratch_path(spark, "stream-docs")
+    arriving.write.parquet(src)
+    stream = spark.readStream.schema(arriving.schema).parquet(src)
+    out = stream_without_duplicates(stream, ref, ["text", "lang"])
+    q = out.writeStream.format("memory").queryName("pl_stream_dedupe").trigger(availableNow=True) \
+        .option("checkpointLocation", scratch_path(spark, "ck")).start()
+    q.awaitTermination()
+    got = sorted(r["doc_id"] for r in spark.table("pl_stream_dedupe").collect())
+    want = sorted(r["doc_id"] for r in remove_cross_source_duplicates(arriving, ref, ["text", "lang"]).collect())
+    assert got == want and len(want) > 0
