@@ -399,6 +399,24 @@ def T_schema(ddl: str):
     return _parse_datatype_string(ddl)
 
 
+# --- end to end ----------------------------------------------------------------------------------
+
+def q38_build_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average ratings per pair -> exact split -> augmented set re-split ->
+    holdout identical/unrelated; rows per (config, split)."""
+    from pairlab.plans.build import build_dataset
+
+    b = build_dataset(_rated_rows(spark, sf_dir), S.candidate_pool(spark, sf_dir), _holdout_rows(spark, sf_dir),
+                      seed=SEED)
+    parts = [
+        b.meaning.select(F.lit("meaning").alias("config"), "split"),
+        b.augmented.select(F.lit("meaning_with_data_augmentation").alias("config"), "split"),
+        b.holdout_identical.select(F.lit("meaning_holdout_identical").alias("config"), F.lit("holdout").alias("split")),
+        b.holdout_unrelated.select(F.lit("meaning_holdout_unrelated").alias("config"), F.lit("holdout").alias("split")),
+    ]
+    return union_all(*parts).groupBy("config", "split").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 QUERIES = {
     "q01_mean_rating": q01_mean_rating,
     "q02_mean_positional": q02_mean_positional,
@@ -440,4 +458,5 @@ QUERIES = {
     "q35r_repeat_share": q35r_repeat_share,
     "q36_copy_penalty": q36_copy_penalty,
     "q37_tsv_roundtrip": q37_tsv_roundtrip,
+    "q38_build_dataset": q38_build_dataset,
 }

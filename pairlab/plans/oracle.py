@@ -454,3 +454,27 @@ SELECT sc.conv_id, sc.turn, sc.token,
 FROM sc LEFT JOIN h ON sc.conv_id = h.conv_id AND sc.turn = h.turn AND sc.token = h.token"""
 
 SQL["q37_tsv_roundtrip"] = "SELECT conv_id, turn, role, text FROM conversations"
+
+# Every averaged pair and every holdout row finds an unrelated partner at this
+# scale (the pool is about 2.5 times the rows), so all counts follow from keys.
+SQL["q38_build_dataset"] = _RATED + f""",
+mp AS (SELECT original, simplification, min(pair_id) AS pair_id FROM rated
+       WHERE original IS NOT NULL AND simplification IS NOT NULL GROUP BY original, simplification),
+m AS (SELECT pair_id, row_number() OVER (ORDER BY {md5_key(42, 'pair_id')}, pair_id) AS k, count(*) OVER () AS n
+      FROM mp),
+keys AS (
+  SELECT 'rated' AS kind, pair_id FROM mp
+  UNION ALL SELECT 'unrelated', pair_id FROM mp
+  UNION ALL SELECT 'identical', pair_id FROM mp
+  UNION ALL SELECT 'inverse-rated', pair_id FROM mp WHERE original IS DISTINCT FROM simplification
+  UNION ALL SELECT 'inverse-unrelated', pair_id FROM mp),
+a AS (SELECT row_number() OVER (ORDER BY {md5_key(42, 'kind', 'pair_id')}, kind, pair_id) AS k,
+             count(*) OVER () AS n FROM keys),
+h AS (SELECT {sentences('text')} AS s FROM conversations WHERE role = 'user')
+SELECT 'meaning' AS config, {split_case('k', 'n')} AS split, count(*) AS n_rows FROM m GROUP BY ALL
+UNION ALL
+SELECT 'meaning_with_data_augmentation', {split_case('k', 'n')}, count(*) FROM a GROUP BY ALL
+UNION ALL
+SELECT 'meaning_holdout_identical', 'holdout', count(*) FROM h WHERE len(s) >= 1
+UNION ALL
+SELECT 'meaning_holdout_unrelated', 'holdout', count(*) FROM h WHERE len(s) >= 1"""

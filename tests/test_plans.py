@@ -8,7 +8,7 @@ from conftest import SF_SMALL
 import __spark_entry__ as E
 
 QUERIES = E.queries()
-EAGER = {"q24_augmented_dataset", "q25u_holdout_unrelated"}  # same operators as q21 (checked)
+EAGER = {"q24_augmented_dataset", "q25u_holdout_unrelated", "q38_build_dataset"}  # same operators as q21
 
 
 def plan_of(df):
