@@ -36,12 +36,18 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a CPU-heavy input over the cluster's cores when it comes from fewer
-    files than there are cores (one file = one row group = one busy task).  Large
-    inputs already span many files and are left alone (no shuffle)."""
+    """Spread a CPU-heavy input over the cores when its scan would give fewer
+    splits than there are cores (estimated bytes / maxPartitionBytes, from the
+    plan's size statistics; no job runs).  Large inputs already yield many
+    splits and are left alone, so no big shuffle is ever added."""
     spark = df.sparkSession
     cores = spark.sparkContext.defaultParallelism
-    if len(df.inputFiles()) < cores:
+    try:
+        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("bB") or 134217728)
+    except Exception:  # noqa: BLE001 - no estimate: keep the scan as it is
+        return df
+    if size // max(split, 1) + 1 < cores and len(df.inputFiles()) < cores:
         return df.repartition(cores)
     return df
 
