@@ -44,11 +44,13 @@ def numeric_cut_bucket(df: DataFrame, col: str, n_buckets: int = 256, accuracy:
 
 
 def with_global_rank(df: DataFrame, order: list, name: str = "rank", bucket: Column | None = None,
-                     total_col: str | None = None) -> DataFrame:
+                     total_col: str | None = None, limit: int | None = None) -> DataFrame:
     """Add a 1-based global row number in ``order`` (ascending columns/expressions).
 
     ``bucket`` must be non-decreasing in the sort order.  Default: hex prefix of
     the first order column (for md5 keys).  ``total_col`` also adds the row count.
+    ``limit``: only rows ranked <= limit are needed - buckets starting beyond it
+    are dropped before any sorting (the rest of the table is never ranked).
     """
     order_cols = [F.col(c) if isinstance(c, str) else c for c in order]
     if bucket is None:
@@ -63,6 +65,10 @@ def with_global_rank(df: DataFrame, order: list, name: str = "rank", bucket: Col
         *([F.sum("_rk_n").over(Window.partitionBy()).alias(total_col)] if total_col else []),
     )
     w = Window.partitionBy("_rk_bucket").orderBy(*order_cols)
-    out = (b.join(F.broadcast(offsets), "_rk_bucket")
-           .withColumn(name, (F.row_number().over(w) + F.col("_rk_off")).cast("bigint")))
+    out = b.join(F.broadcast(offsets), "_rk_bucket")
+    if limit is not None:
+        out = out.filter(F.col("_rk_off") < F.lit(int(limit)))
+    out = out.withColumn(name, (F.row_number().over(w) + F.col("_rk_off")).cast("bigint"))
+    if limit is not None:
+        out = out.filter(F.col(name) <= F.lit(int(limit)))
     return out.drop("_rk_bucket", "_rk_off")
