@@ -40,16 +40,15 @@ def spread(df: DataFrame) -> DataFrame:
     splits than there are cores (estimated bytes / maxPartitionBytes, from the
     plan's size statistics; no job runs).  Large inputs already yield many
     splits and are left alone, so no big shuffle is ever added."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
     try:
+        spark = df.sparkSession
+        cores = spark.sparkContext.defaultParallelism
         size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
         split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("bB") or 134217728)
+        small = size // max(split, 1) + 1 < cores and len(df.inputFiles()) < cores
     except Exception:  # noqa: BLE001 - no estimate: keep the scan as it is
         return df
-    if size // max(split, 1) + 1 < cores and len(df.inputFiles()) < cores:
-        return df.repartition(cores)
-    return df
+    return df.repartition(cores) if small else df
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,

@@ -232,3 +232,26 @@ def test_golden_dev_split(spark):
     path = scratch_path(spark, "golden")
     write_delimited(dev, path)
     assert sorted(read_delimited(spark, path, schema=PAIR_SCHEMA, sep="\t").collect()) == sorted(dev.collect())
+
+
+def test_hot_group_is_split_and_exact(spark):
+    """One group holds a third of the rows: windows run per (group, bucket) or
+    (group, salt), never per group alone, and the answer stays exact."""
+    rnd = random.Random(99)
+    rows = [(0, i, float(rnd.randint(0, 40)) / 10) for i in range(1200)]
+    rows += [(g, i, float(rnd.randint(0, 40)) / 10) for g in range(1, 200) for i in range(12)]
+    df = spark.createDataFrame(rows, "g int, item int, score double")
+    out = top_k_top_p(df, "g", "item", "score", top_k=50, top_p=0.6, min_keep=2, n_buckets=8)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    for line in plan.split("\n"):
+        if "Window [" in line and "specifiedwindowframe" in line.lower():
+            assert "_bk" in line or "_tk_salt" in line or "_rk_bucket" in line, line
+    got = {(r["g"], r["item"]) for r in out.collect()}
+    want = set()
+    by_g = {}
+    for g, i, s in rows:
+        by_g.setdefault(g, []).append((i, s))
+    for g, items in by_g.items():
+        mask = pyref.top_k_top_p([s for _, s in items], 50, 0.6, 2)
+        want |= {(g, i) for (i, _), k in zip(items, mask) if k}
+    assert got == want
