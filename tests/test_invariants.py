@@ -70,6 +70,10 @@ def test_matching_rules(spark):
     used = {r["cand_id"] for r in m.used.collect()}
     assert {p["cand_id"] for p in pairs} <= used
     assert m.unmatched.count() == 0
+    stats = m.stats.orderBy("round").collect()            # A14 counters
+    assert sum(r["accepted"] for r in stats) == len(pairs)
+    assert sum(r["accepted"] + r["rejected"] for r in stats) == len(used)
+    assert stats[0]["window"] == 1 and stats[0]["rows_open"] == len(pairs)
 
 
 def test_matching_pool_exhaustion(spark):
