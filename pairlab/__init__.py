@@ -11,3 +11,15 @@ expressions, aggregates, windows and joins.  Sub-packages:
 """
 
 __version__ = "0.1.0"
+
+# Functions of this package that run inside Python workers (the LCS pandas UDF,
+# batch_apply's mapInPandas wrapper and user callables defined here) are
+# pickled by value, so executors need no installed copy of the package.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cloudpickle
+
+    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # noqa: BLE001 - older cloudpickle: ship the package with --py-files instead
+    pass
