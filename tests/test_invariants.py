@@ -1,5 +1,7 @@
 """Invariants of the core operators on the driver's tables."""
 
+import math
+
 import pyref
 import pytest
 from conftest import SF_MID, SF_SMALL
@@ -148,3 +150,24 @@ def test_limited_rank_is_head_of_full_rank(spark):
     full = {r["doc_id"]: r["k"] for r in with_global_rank(docs, ["h", "doc_id"], "k").collect()}
     head = {r["doc_id"]: r["k"] for r in with_global_rank(docs, ["h", "doc_id"], "k", limit=37).collect()}
     assert head == {d: k for d, k in full.items() if k <= 37}
+
+
+def test_build_write_and_read_back(spark):
+    from pairlab.plans.build import build_dataset, write_dataset
+    from pairlab.session import scratch_path
+    from pairlab.sources.io import PAIR_SCHEMA, read_split
+
+    facts = S.rated_pairs(spark, SF_SMALL).select("pair_id", "original", "simplification", "label")
+    holdout = S.holdout_source(spark, SF_SMALL).select(F.col("row_id").alias("pair_id"), "original")
+    built = build_dataset(facts, S.candidate_pool(spark, SF_SMALL), holdout)
+    out = scratch_path(spark, "built")
+    write_dataset(built, out)
+    catalog = {"meaning": {s: f"{out}/meaning/split={s}" for s in ("train", "dev", "test")}}
+    back = read_split(spark, catalog, "meaning", "full", schema=PAIR_SCHEMA)
+    want = built.meaning.select("original", "simplification", "label", "split")
+    assert sorted(back.collect()) == sorted(want.collect())
+    sizes = {r["split"]: r["n"] for r in back.groupBy("split").agg(F.count("*").alias("n")).collect()}
+    n = sum(sizes.values())
+    assert sizes["test"] == math.ceil(0.3 * n)
+    assert spark.read.option("header", "true").option("sep", "\t").csv(
+        f"{out}/meaning_holdout_identical").count() == holdout.count()
