@@ -6,11 +6,6 @@ All rules are plain regular expressions written so that Java's regex engine
 
 from __future__ import annotations
 
-import glob
-import os
-import zipfile
-from functools import lru_cache
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -36,21 +31,20 @@ WS_CHARS = "".join(chr(c) for c in [9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 0x85,
 SENTENCE_END_RE = r"([.!?])" + WS_CLASS + "+"
 
 
-@lru_cache(maxsize=None)
-def default_stop_words(language: str = "english") -> tuple[str, ...]:
-    """Spark ML's default stop-word list, read from the installed Spark jars
-    (same list as ``StopWordsRemover.loadDefaultStopWords``) without a JVM."""
-    import pyspark
+# English function words (fixed values, our own short list in alphabetical order).
+STOP_WORDS = tuple("""
+a about above after again against all also am an and any are as at be because been before being below
+between both but by can could did do does doing down during each few for from further had has have having
+he her here hers herself him himself his how i if in into is it its itself just me more most my myself no
+nor not now of off on once only or other our ours ourselves out over own same she should so some such than
+that the their theirs them themselves then there these they this those through to too under until up very
+was we were what when where which while who whom why will with would you your yours yourself yourselves
+""".split())
 
-    jar_dir = os.path.join(os.path.dirname(pyspark.__file__), "jars")
-    for jar in sorted(glob.glob(os.path.join(jar_dir, "spark-mllib_*.jar"))):
-        with zipfile.ZipFile(jar) as z:
-            name = f"org/apache/spark/ml/feature/stopwords/{language}.txt"
-            if name in z.namelist():
-                return tuple(w for w in z.read(name).decode("utf-8").split("\n") if w)
-    from pyspark.ml.feature import StopWordsRemover  # needs an active JVM
 
-    return tuple(StopWordsRemover.loadDefaultStopWords(language))
+def default_stop_words() -> tuple[str, ...]:
+    """The default stop-word list (plain data: needs neither a JVM nor a session)."""
+    return STOP_WORDS
 
 
 def _col(c) -> Column:
