@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from pairlab.llm.common import documents
 from pairlab.llm.fingerprints import edited_fingerprints
+from pairlab.llm.licences import licence_scan
+from pairlab.llm.mixing import mix
 from pairlab.llm.packing import pack
 from pairlab.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, quality_measures
 
@@ -18,10 +20,19 @@ def op2_fingerprints(spark, sf_dir):
     return edited_fingerprints(documents(spark, sf_dir))
 
 
+def op3_license_scan(spark, sf_dir):
+    return licence_scan(documents(spark, sf_dir))
+
+
 def op5_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), TOKENIZER)
 
 
+def op7_mixing(spark, sf_dir):
+    return mix(documents(spark, sf_dir), cut_last=True).select(
+        "doc_id", "size", "source_size", "target", "taken", "source", "copies")
+
+
 def op10_quality_rules(spark, sf_dir):
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return quality_measures(documents(spark, sf_dir)).select(
@@ -29,7 +40,7 @@ def op10_quality_rules(spark, sf_dir):
         failed.alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op5_packing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_license_scan, op5_packing, op7_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
