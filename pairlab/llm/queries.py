@@ -10,6 +10,7 @@ from pairlab.llm.fingerprints import edited_fingerprints
 from pairlab.llm.licences import licence_scan
 from pairlab.llm.mixing import mix
 from pairlab.llm.packing import pack
+from pairlab.llm.pii import find_personal_data
 from pairlab.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, quality_measures
 
 #: The byte-level BPE vocabulary as ranks: same ids as byte_bpe_50k.json (tested), several times faster.
@@ -28,6 +29,10 @@ def op5_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), TOKENIZER)
 
 
+def op6_pii(spark, sf_dir):
+    return find_personal_data(documents(spark, sf_dir))
+
+
 def op7_mixing(spark, sf_dir):
     return mix(documents(spark, sf_dir), cut_last=True).select(
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
@@ -40,7 +45,7 @@ def op10_quality_rules(spark, sf_dir):
         failed.alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_license_scan, op5_packing, op7_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_license_scan, op5_packing, op6_pii, op7_mixing, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
