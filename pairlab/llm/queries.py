@@ -11,7 +11,9 @@ from pairlab.llm.licences import licence_scan
 from pairlab.llm.mixing import mix
 from pairlab.llm.packing import pack
 from pairlab.llm.pii import find_personal_data
+from pairlab.llm.quality_model import score_quality
 from pairlab.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, quality_measures
+from pairlab.llm.secrets import find_secrets
 
 #: The byte-level BPE vocabulary as ranks: same ids as byte_bpe_50k.json (tested), several times faster.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -25,6 +27,10 @@ def op3_license_scan(spark, sf_dir):
     return licence_scan(documents(spark, sf_dir))
 
 
+def op4_quality_classifier(spark, sf_dir):
+    return score_quality(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/labels.parquet"))
+
+
 def op5_packing(spark, sf_dir):
     return pack(documents(spark, sf_dir), TOKENIZER)
 
@@ -38,6 +44,10 @@ def op7_mixing(spark, sf_dir):
         "doc_id", "size", "source_size", "target", "taken", "source", "copies")
 
 
+def op8_secrets(spark, sf_dir):
+    return find_secrets(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark, sf_dir):
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return quality_measures(documents(spark, sf_dir)).select(
@@ -45,7 +55,9 @@ def op10_quality_rules(spark, sf_dir):
         failed.alias("base_failed"), "kept")
 
 
-QUERIES = {f.__name__: f for f in (op2_fingerprints, op3_license_scan, op5_packing, op6_pii, op7_mixing, op10_quality_rules)}
+QUERIES = {f.__name__: f for f in (
+    op2_fingerprints, op3_license_scan, op4_quality_classifier, op5_packing, op6_pii, op7_mixing,
+    op8_secrets, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:
