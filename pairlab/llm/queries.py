@@ -9,6 +9,7 @@ from pairlab.llm.common import documents
 from pairlab.llm.fingerprints import edited_fingerprints
 from pairlab.llm.licences import licence_scan
 from pairlab.llm.mixing import mix
+from pairlab.llm.ngram_join import ngram_components
 from pairlab.llm.packing import pack
 from pairlab.llm.pii import find_personal_data
 from pairlab.llm.quality_model import score_quality
@@ -19,6 +20,10 @@ from pairlab.llm.secrets import find_secrets
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_ngram_join(spark, sf_dir):
+    return ngram_components(documents(spark, sf_dir))
+
+
 def op2_fingerprints(spark, sf_dir):
     return edited_fingerprints(documents(spark, sf_dir))
 
@@ -56,7 +61,7 @@ def op10_quality_rules(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_fingerprints, op3_license_scan, op4_quality_classifier, op5_packing, op6_pii, op7_mixing,
+    op1_ngram_join, op2_fingerprints, op3_license_scan, op4_quality_classifier, op5_packing, op6_pii, op7_mixing,
     op8_secrets, op10_quality_rules)}
 
 
