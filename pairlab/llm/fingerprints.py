@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pairlab.llm.common import id_text, map_rows, shuffle_partitions
 
 #: K-mer and s-mer lengths in code points, anchors kept, multipliers of the rolling hash.
-K, S, ANCHORS = 20, 8, 192
+K, S, ANCHORS = 20, 8, 128
 _M1, _M2, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
 
 

@@ -17,7 +17,7 @@ any other; an empty table gives an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.llm.common import WORD_RE
@@ -29,10 +29,14 @@ WEIGHTS, BUDGET, CAP, SEED, FAN = (5, 2, 1), 1.5, 2.0, 42, 64
 _UNIT = "struct<h:bigint,doc_id:bigint,size:bigint,m:bigint,full:bigint,p:double>"
 
 
+def _words(text: str) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
+
+
 def sized(docs: DataFrame) -> DataFrame:
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"),
-        F.coalesce(F.regexp_count("text", F.lit(WORD_RE)), F.lit(0)).cast("long").alias("size"))
+        _words("text").alias("size"))
 
 
 def source_targets(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP) -> DataFrame:
@@ -108,10 +112,9 @@ def _level(units: DataFrame, seed: int, level: int) -> DataFrame:
                         F.aggregate(rest, start, lambda acc, x: _pair(acc, x, seed, level)).alias("r"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED,
+def _mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED,
         fan: int = FAN, cut_last: bool = False) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, copies (a fraction only for the
-    last document of a source under ``cut_last``) and taken = the words the mix takes of it."""
+    """Rows of ``mix`` and k, the row's number among those of equal (doc_id, source, size)."""
     sizes = materialize(sized(docs), "mix-sizes")
     targets = source_targets(sizes, weights, budget, cap)
     units = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m"))
@@ -145,6 +148,27 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = C
     last = F.col("u.p") if cut_last else (_uniform(F.col("u.h"), F.lit(seed), F.lit(-1)) < F.col("u.p")).cast("double")
     extra = F.when(F.col("k") <= F.col("u.full"), 1.0).when(F.col("k") == F.col("u.full") + 1, last).otherwise(0.0)
     return every.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("u.m")))).select(
-        F.col("u.doc_id").alias("doc_id"), "source", F.col("u.size").alias("size"), "source_size", "target",
+        F.col("u.doc_id").alias("doc_id"), "source", F.col("u.size").alias("size"), "source_size", "target", "k",
         (base + extra).alias("copies")) \
         .withColumn("taken", F.least(F.round(F.col("copies") * F.col("size")), F.col("size") * 2.0).cast("long"))
+
+
+def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED,
+        fan: int = FAN, cut_last: bool = False) -> DataFrame:
+    """One row per document: doc_id, source, size, source_size, target, copies (a fraction only for the
+    last document of a source under ``cut_last``) and taken = the words the mix takes of it."""
+    return _mixed(docs, weights, budget, cap, seed, fan, cut_last).drop("k")
+
+
+def mixed_documents(docs: DataFrame, **choices) -> DataFrame:
+    """The documents of the mix, each as often as it is taken (whole copies), all columns as they were."""
+    picks = _mixed(docs, **choices).filter("copies >= 1").select(
+        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"),
+        F.col("k").alias("_mix_k"), F.col("copies").cast("int").alias("_mix_copies"))
+    key = [F.col("doc_id").cast("long"), F.col("source").cast("string"), _words("text")]
+    rows = docs.withColumns({"_id": key[0], "_source": key[1], "_size": key[2]})
+    same = Window.partitionBy("_id", "_source", "_size").orderBy("text")  # rows beyond the first: repeated rows only
+    rows = rows.withColumn("_k", F.row_number().over(same).cast("long"))
+    joined = rows.join(picks, F.col("_id").eqNullSafe(F.col("_mix_id")) & F.col("_source").eqNullSafe(F.col("_mix_source"))
+                       & (F.col("_size") == F.col("_mix_size")) & (F.col("_k") == F.col("_mix_k")))
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)

@@ -290,3 +290,15 @@ def _sets(texts: DataFrame, size: int) -> DataFrame:
                 yield {"node": [n for n, _ in found], "s": [s for _, s in found]}
 
     return map_rows(texts, run, "node long, s binary", {"node": pa.int64(), "s": pa.binary()})
+
+
+def one_of_each(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
+    """``docs`` with one document of each group of near duplicates: the one with the smallest doc_id (of
+    repeated rows, one).  Documents without words or without a doc_id are no group and stay."""
+    found = ngram_components(docs, size, similarity)
+    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()) \
+        .select(F.col("doc_id").alias("_keep_id")).distinct()
+    rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
+    kept = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep_id")), "left_semi")
+    # only repeated rows of one id meet here; they hold equal texts or are no group
+    return kept.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["_id", "_hash"]).select(*docs.columns)

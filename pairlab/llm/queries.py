@@ -5,9 +5,11 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from pairlab.llm.common import documents
 from pairlab.llm.fingerprints import edited_fingerprints
 from pairlab.llm.licences import licence_scan
+from pairlab.llm.line_dedup import line_classes
 from pairlab.llm.mixing import mix
 from pairlab.llm.ngram_join import ngram_components
 from pairlab.llm.packing import pack
@@ -53,6 +55,10 @@ def op8_secrets(spark, sf_dir):
     return find_secrets(documents(spark, sf_dir))
 
 
+def op9_line_dedup(spark, sf_dir):
+    return line_classes(documents(spark, sf_dir))
+
+
 def op10_quality_rules(spark, sf_dir):
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return quality_measures(documents(spark, sf_dir)).select(
@@ -62,7 +68,8 @@ def op10_quality_rules(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_fingerprints, op3_license_scan, op4_quality_classifier, op5_packing, op6_pii, op7_mixing,
-    op8_secrets, op10_quality_rules)}
+    op8_secrets, op9_line_dedup, op10_quality_rules)}
+QUERIES["pipeline"] = corpus_pipeline.run
 
 
 def oracle_sql() -> dict[str, str]:
