@@ -33,7 +33,7 @@ _LOCAL = r"[A-Za-z0-9._%+-]"
 BASE = {
     "email": r"(?:(?<!" + _LOCAL + r")|\G)" + _LOCAL + r"++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
-    "card": r"(?<![0-9])[0-9]++(?:[\x20-][0-9]++)*+",
+    "card": r"(?<![0-9])(?=(?:[0-9][\x20-]?){12}[0-9])[0-9]++(?:[\x20-][0-9]++)*+",  # runs of under 13 digits never pass
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What a text must hold for a match to be possible.
@@ -61,6 +61,7 @@ CONTEXT = {
 AGAINST = "article chapter isbn issn order page release section total version"
 IBAN_COUNTRIES = "AT BE BG CH CY CZ DE DK EE ES FI FR GB GR HR HU IE IT LI LT LU LV MT NL NO PL PT RO SE SI SK".split()
 CONTEXT_CHARS = 32
+RUN = 128
 LABELERS = ("pattern", "test", "gazetteer", "before", "after")
 FEATURES = ("kind", "length", "digits", "left", "right", "near")
 ROUNDS, SMOOTH, THRESHOLD = 30, 1.0, 0.5
@@ -73,23 +74,35 @@ def _matches(kind: str, pattern: str, need: str) -> Column:
     none = F.expr(f"cast(array() as {_FOUND})")
     pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
+    def add(acc: Column, x: Column) -> Column:
+        start = acc["at"] + F.length(x["p"])
+        end = start + F.length(x["m"])
+        return F.struct(end.alias("at"), F.concat(acc["all"], F.array(F.struct(
+            F.lit(kind).alias("kind"), start.alias("s"), end.alias("e"), x["m"].alias("m"),
+            F.right(x["p"], F.lit(CONTEXT_CHARS)).alias("l"), F.left(x["n"], F.lit(CONTEXT_CHARS)).alias("r")))
+            .cast(_FOUND)).alias("all"))
+
+    def shifted(part: Column, by: Column) -> Column:
+        return F.transform(part["all"], lambda c: c.withField("s", c["s"] + by).withField("e", c["e"] + by))
+
     def placed(v: Column) -> Column:
-        step = F.struct(F.lit(0).cast("long").alias("at"), none.alias("all"))
-        each = F.transform(v["hits"], lambda m, i: F.struct(
-            m.alias("m"), F.get(v["pieces"], i).alias("p"), F.get(v["pieces"], i + 1).alias("n")))
-
-        def add(acc: Column, x: Column) -> Column:
-            start = acc["at"] + F.length(x["p"])
-            end = start + F.length(x["m"])
-            return F.struct(end.alias("at"), F.concat(acc["all"], F.array(F.struct(
-                F.lit(kind).alias("kind"), start.alias("s"), end.alias("e"), x["m"].alias("m"),
-                F.right(x["p"], F.lit(CONTEXT_CHARS)).alias("l"), F.left(x["n"], F.lit(CONTEXT_CHARS)).alias("r")))
-                .cast(_FOUND)).alias("all"))
-
-        return F.aggregate(each, step, add, lambda acc: acc["all"])
-
-    both = F.array(F.struct(pieces.alias("pieces"), hits.alias("hits")))
-    return F.when(text.rlike(need), F.element_at(F.transform(both, placed), 1)).otherwise(none)
+        """Running sums within runs of RUN matches, then over the runs: linear for any number of matches."""
+        start = F.struct(F.lit(0).cast("long").alias("at"), none.alias("all"))
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(v["hits"]) - 1) / RUN).cast("int")), lambda k: F.aggregate(
+            F.slice(v["each"], k * RUN + 1, F.lit(RUN)), start, add))
+        return runs
+
+    def located(v: Column) -> Column:
+        first = F.array(F.lit(0).cast("long"))
+        offsets = F.aggregate(v, first, lambda acc, r: F.concat(acc, F.array(F.element_at(acc, -1) + r["at"])))
+        return F.flatten(F.zip_with(v, F.slice(offsets, F.lit(1), F.size(v)), shifted))
+
+    joined = lambda v: F.struct(v["hits"].alias("hits"), F.transform(v["hits"], lambda m, i: F.struct(
+        m.alias("m"), F.get(v["pieces"], i).alias("p"), F.get(v["pieces"], i + 1).alias("n"))).alias("each"))
+    let = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)
+    both = F.struct(pieces.alias("pieces"), hits.alias("hits"))
+    found = let(let(both, joined), lambda v: F.when(F.size(v["hits"]) > 0, let(placed(v), located)).otherwise(none))
+    return F.when(text.rlike(need), found).otherwise(none)
 
 
 def _digits(m: Column) -> Column:
