@@ -7,7 +7,6 @@ expressions, aggregates, windows and joins.  Sub-packages:
 * ``functions`` – Column expressions (tokenisers, sentences, ROUGE, BLEU)
 * ``operators`` – DataFrame -> DataFrame operators (dedupe, split, matching, ...)
 * ``plans``     – end-to-end builds and the registered query catalogue
-* ``streaming`` – the same operators applied to Structured Streaming inputs
 """
 
 __version__ = "0.1.0"
@@ -15,11 +14,8 @@ __version__ = "0.1.0"
 # Functions of this package that run inside Python workers (the LCS pandas UDF,
 # batch_apply's mapInPandas wrapper and user callables defined here) are
 # pickled by value, so executors need no installed copy of the package.
-try:
-    import sys as _sys
+import sys as _sys  # noqa: E402
 
-    from pyspark import cloudpickle as _cloudpickle
+from pyspark import cloudpickle as _cloudpickle  # noqa: E402
 
-    _cloudpickle.register_pickle_by_value(_sys.modules[__name__])
-except Exception:  # noqa: BLE001 - older cloudpickle: ship the package with --py-files instead
-    pass
+_cloudpickle.register_pickle_by_value(_sys.modules[__name__])

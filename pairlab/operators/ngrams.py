@@ -17,12 +17,14 @@ from pairlab.functions.metrics import ngrams
 
 def last_ngram(tokens, n: int):
     a = F.col(tokens) if isinstance(tokens, str) else tokens
+    if n <= 0:
+        return F.lit(None).cast("string")  # no n-gram, so nothing is a copy
     return F.when(F.size(a) >= n, F.array_join(F.slice(a, F.size(a) - n + 1, n), " "))
 
 
 def shingles_with_next(df: DataFrame, id_cols: list[str], tokens: str, n: int) -> DataFrame:
     """(id..., pos, gram, next_token) for every n-gram that has a follower."""
-    a = F.col(tokens)
+    a, n = F.col(tokens), max(n, 1)  # an n of 0 or less matches nothing: last_ngram is NULL
     grams = F.slice(ngrams(a, n), 1, F.greatest(F.size(a) - n, F.lit(0)))
     ex = df.select(*id_cols, tokens, F.posexplode(grams).alias("_p0", "gram"))
     return ex.select(*id_cols, (F.col("_p0") + 1).alias("pos"), "gram",
@@ -34,8 +36,6 @@ def copied_ngrams(gen: DataFrame, gen_id: list[str], gen_tokens: str, src: DataF
     """Hits (gen ids, src ids, pos, next_token).  ``pair_on`` = key columns
     present on both sides that pair a generated sequence with its own source
     (the reference's row-aligned case); without it every source is searched."""
-    if n <= 0:
-        return gen.sparkSession.createDataFrame([], "pos int, next_token string")
     pair_on = list(pair_on or [])
     g_cols = list(dict.fromkeys(gen_id + pair_on))
     s_cols = list(dict.fromkeys(src_id + pair_on))
@@ -55,7 +55,7 @@ def self_copies(df: DataFrame, id_cols: list[str], tokens: str, n: int = 3) -> D
 def repeated_ngram_share(df: DataFrame, id_cols: list[str], tokens: str, n: int = 3) -> DataFrame:
     """Share of n-gram occurrences whose n-gram occurs more than once in the
     same sequence (per sequence)."""
-    ex = df.select(*id_cols, F.explode(ngrams(F.col(tokens), n)).alias("gram"))
+    ex = df.select(*id_cols, F.explode(ngrams(F.col(tokens), max(n, 1))).alias("gram")).filter(F.lit(n > 0))
     per = ex.groupBy(*id_cols, "gram").agg(F.count(F.lit(1)).alias("c"))
     return per.groupBy(*id_cols).agg(
         F.sum("c").alias("n_ngrams"),

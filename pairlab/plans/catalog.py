@@ -182,14 +182,13 @@ def q15_corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus_report(_pair_texts(spark, sf_dir), ["source", "side"])
 
 
-LANGS = ["de", "en", "es", "fr"]
-
-
 def q15w_wide_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric rows x language columns."""
-    rep = _corpus_report(S.table(spark, sf_dir, "documents").select("lang", "text"), ["lang"])
+    docs = S.table(spark, sf_dir, "documents").select("lang", "text")
+    langs = sorted(r["lang"] for r in docs.select("lang").distinct().collect() if r["lang"] is not None)  # the columns
+    rep = _corpus_report(docs, ["lang"])
     long = metrics_long(rep, ["lang"])
-    return wide_report(long, "metric", "lang", "value", LANGS,
+    return wide_report(long, "metric", "lang", "value", langs,
                        ["vocab_size", "lexical_vocab_size", "avg_sentence_len", "avg_sentence_len_lexical",
                         "lexical_richness"])
 
@@ -389,16 +388,10 @@ def q37_tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     roles = [r["role"] for r in conv.select("role").distinct().collect()]  # a handful of split names
     catalog = {"conversations": {r: f"{path}/role={r}" for r in roles}}
     schema = "conv_id bigint, turn bigint, text string"
-    back = read_split(spark, catalog, "conversations", "full", schema=T_schema(schema))
+    back = read_split(spark, catalog, "conversations", "full", schema=schema)
     return back.select("conv_id", "turn", F.col("split").alias("role"), "text")
 
 
-def T_schema(ddl: str):
-    from pyspark.sql.types import _parse_datatype_string
-
-    return _parse_datatype_string(ddl)
-
-
 # --- end to end ----------------------------------------------------------------------------------
 
 def q38_build_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:

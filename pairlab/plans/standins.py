@@ -1,15 +1,17 @@
 """Pair-curation inputs derived (by Spark) from the driver's tables.
 
-* rated pairs      - a document's 1st and 2nd sentence, label = 100 * quality
+* rated pairs      - every two consecutive sentences of a labelled document, label = 100 * quality
 * rating facts     - ``events`` (item = user_id, aspect = event_type, rating = value)
-* candidate pool   - 1st sentence of every document plus every benchmark text
-* holdout source   - 1st sentence of every user turn of ``conversations``
+* candidate pool   - every sentence of every document plus every benchmark text
+* holdout source   - every sentence of every user turn of ``conversations``
 * scores           - ``events`` (group = user_id, item = event_id, score = value)
+
+Ids are strings of the key columns joined by ":", so they cannot collide.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlab.functions.text import sentences_of
@@ -20,38 +22,47 @@ TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
-    """A driver table; text tables are spread over the cores for regex work."""
-    return read_table(spark, sf_dir, name, columns, spread_cpu=name in TEXT_TABLES)
+    """A driver table.  A session may ask (``spark.pairlab.textTasks``) for text tables to be dealt to that
+    many tasks, for local runs on one small file; by default nothing is moved."""
+    df = read_table(spark, sf_dir, name, columns)
+    tasks = spark.conf.get("spark.pairlab.textTasks", None)
+    return df.repartition(int(tasks)) if tasks and name in TEXT_TABLES else df
+
+
+def _each_sentence(df: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
+    """One row per sentence with its number from 1."""
+    return df.select(*keys, F.posexplode(sentences_of(text)).alias("_at", "sentence")).withColumn(
+        "position", F.col("_at") + 1).drop("_at")
+
+
+def _id(*parts) -> Column:
+    return F.concat_ws(":", *[F.col(p).cast("string") if isinstance(p, str) else p for p in parts])
 
 
 def rated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(pair_id, source, lang, original, simplification, label)."""
+    """(pair_id, source, lang, original, simplification, label); pair_id = doc_id:position of the original."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", sentences_of("text").alias("_s"))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    pairs = docs.filter(F.size("_s") >= 2).select(
-        "doc_id", "source", "lang",
-        F.try_element_at("_s", F.lit(1)).alias("original"),
-        F.try_element_at("_s", F.lit(2)).alias("simplification"))
-    return pairs.join(labels, "doc_id").select(
-        F.col("doc_id").alias("pair_id"), "source", "lang", "original", "simplification",
+    n = F.greatest(F.size("_s") - 1, F.lit(0))
+    two = F.arrays_zip(F.slice("_s", F.lit(1), n).alias("a"), F.slice("_s", F.lit(2), n).alias("b"))
+    pairs = docs.join(labels, "doc_id").select("doc_id", "source", "lang", "quality", F.posexplode(two).alias("_at", "_p"))
+    return pairs.select(
+        _id("doc_id", (F.col("_at") + 1).cast("string")).alias("pair_id"), "source", "lang",
+        F.col("_p.a").alias("original"), F.col("_p.b").alias("simplification"),
         (F.lit(100.0) * F.col("quality")).alias("label"))
 
 
 def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(cand_id, cand_text): documents' 1st sentences (id = doc_id) and benchmark
-    texts (id = -1 - item_id, so both id ranges stay disjoint)."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", sentences_of("text").alias("_s"))
-    first = docs.filter(F.size("_s") >= 1).select(F.col("doc_id").alias("cand_id"),
-                                                  F.try_element_at("_s", F.lit(1)).alias("cand_text"))
-    bench = table(spark, sf_dir, "benchmark").select((F.lit(-1) - F.col("item_id")).alias("cand_id"),
+    """(cand_id, cand_text): documents' sentences (id = doc_id:position) and benchmark texts (id = item:item_id)."""
+    docs = _each_sentence(table(spark, sf_dir, "documents"), ["doc_id"]).select(
+        _id("doc_id", "position").alias("cand_id"), F.col("sentence").alias("cand_text"))
+    bench = table(spark, sf_dir, "benchmark").select(_id(F.lit("item"), "item_id").alias("cand_id"),
                                                      F.col("text").alias("cand_text"))
-    return first.unionByName(bench)
+    return docs.unionByName(bench)
 
 
 def holdout_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(row_id, original): first sentence of each user turn; row_id = conv_id * 1000 + turn."""
+    """(row_id, original): sentences of user turns; row_id = conv_id:turn:position."""
     conv = table(spark, sf_dir, "conversations").filter(F.col("role") == "user")
-    s = sentences_of("text")
-    return (conv.select((F.col("conv_id") * 1000 + F.col("turn")).alias("row_id"), s.alias("_s"))
-            .filter(F.size("_s") >= 1)
-            .select("row_id", F.try_element_at("_s", F.lit(1)).alias("original")))
+    return _each_sentence(conv, ["conv_id", "turn"]).select(
+        _id("conv_id", "turn", "position").alias("row_id"), F.col("sentence").alias("original"))

@@ -22,7 +22,7 @@ DEFAULT_CONF = {
 
 # Local runs hold little data per shuffle but much regex work per byte; let AQE
 # keep small post-shuffle partitions apart so the text work uses every core.
-LOCAL_CONF = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k"}
+LOCAL_CONF = {"spark.sql.adaptive.coalescePartitions.minPartitionSize": "64k", "spark.pairlab.textTasks": "8"}
 
 
 def build_session(master: str | None = None, app: str = "pairlab", shuffle_partitions: int | None = None,
@@ -45,8 +45,8 @@ def shared_dir(spark: SparkSession) -> str:
     """Folder for lineage cuts and intermediate tables.
 
     Uses the cluster's ``spark.checkpoint.dir`` (or a checkpoint dir already set
-    on the context).  Only when neither is set (local runs, tests) a folder below
-    the session's warehouse dir is chosen and registered as checkpoint dir.
+    on the context).  Where neither is set, a local run (``local[..]`` master) uses
+    a folder below the warehouse; on a cluster that is an error.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -54,6 +54,8 @@ def shared_dir(spark: SparkSession) -> str:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         warehouse = spark.conf.get("spark.sql.warehouse.dir", "spark-warehouse")
         conf_dir = warehouse.rstrip("/") + "/_pairlab_checkpoints"
     sc.setCheckpointDir(conf_dir)
@@ -61,7 +63,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh, unique path below the shared folder (never machine-local)."""
+    """A fresh, unique path below the shared folder."""
     base = shared_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 

@@ -35,31 +35,12 @@ def nan_to_null(df: DataFrame) -> DataFrame:
     return df.select(*cols)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread a CPU-heavy input over the cores when its scan would give fewer
-    splits than there are cores (estimated bytes / maxPartitionBytes, from the
-    plan's size statistics; no job runs).  Large inputs already yield many
-    splits and are left alone, so no big shuffle is ever added."""
-    try:
-        spark = df.sparkSession
-        cores = spark.sparkContext.defaultParallelism
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-        split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("bB") or 134217728)
-        small = size // max(split, 1) + 1 < cores and len(df.inputFiles()) < cores
-    except Exception:  # noqa: BLE001 - no estimate: keep the scan as it is
-        return df
-    return df.repartition(cores) if small else df
-
-
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None,
-               spread_cpu: bool = False) -> DataFrame:
-    """One of the driver's parquet tables, NaN cleaned; optionally column-pruned
-    and spread for CPU-heavy text work."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: list[str] | None = None) -> DataFrame:
+    """One of the driver's parquet tables, NaN cleaned; optionally column-pruned."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     if columns:
         df = df.select(*columns)
-    df = nan_to_null(df)
-    return spread(df) if spread_cpu else df
+    return nan_to_null(df)
 
 
 def read_delimited(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None,

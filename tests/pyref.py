@@ -89,34 +89,24 @@ def bleu(hyp, ref):
 
 
 def top_k_top_p(scores, top_k=0, top_p=1.0, min_keep=1):
-    """Keep-mask of one group under the tensor filtering rule (ties: order of
-    ``scores`` index for equal scores)."""
-    s = np.array(scores, dtype=float)
-    keep = np.ones(len(s), dtype=bool)
-    if top_k > 0:
-        k = min(max(top_k, min_keep), len(s))
-        kth = np.sort(s)[::-1][k - 1]
-        keep &= s >= kth
-    if top_p < 1.0:
-        masked = np.where(keep, s, -np.inf)
-        order = sorted(range(len(s)), key=lambda i: (-masked[i], i))
-        z = masked[order] - masked[order].max()
-        p = np.exp(z) / np.exp(z).sum()
-        cum = np.cumsum(p)
-        remove = cum > top_p
-        if min_keep > 1:
-            remove[:min_keep] = False
-        remove[1:] = remove[:-1].copy()
-        remove[0] = False
-        for pos, i in enumerate(order):
-            if remove[pos]:
-                keep[i] = False
-    return keep
+    """Which scores of one group stay.  Rank 0 is the best (ties: smaller index first).  Top-k: at least
+    the k-th best value.  Top-p, over what top-k left: the best one, those with at most p of the mass
+    strictly before them, and with ``min_keep`` m > 1 the ranks up to m."""
+    order = sorted(range(len(scores)), key=lambda i: (-scores[i], i))
+    limit = scores[order[min(max(top_k, min_keep), len(order)) - 1]] if top_k > 0 else -math.inf
+    left = [i for i in order if scores[i] >= limit]
+    mass = [math.exp(scores[i] - scores[left[0]]) for i in left]
+    stay, before = set(), 0.0
+    for rank, i in enumerate(left):
+        if top_p >= 1.0 or rank == 0 or before / sum(mass) <= top_p or (min_keep > 1 and rank <= min_keep):
+            stay.add(i)
+        before += mass[rank]
+    return np.array([i in stay for i in range(len(scores))])
 
 
 def copy_followers(generated, source, n):
-    """Tokens that follow the last n-gram of ``generated`` inside ``source``."""
-    if n <= 0 or len(generated) < n or len(source) < n:
-        return []
-    last = generated[-n:]
-    return [source[x + n] for x in range(len(source) - n) if source[x:x + n] == last]
+    """What follows the closing n-gram of ``generated`` at its places in ``source``."""
+    followers = {}
+    for gram_and_next in zip(*(source[k:] for k in range(max(n, 0) + 1))):
+        followers.setdefault(gram_and_next[:-1], []).append(gram_and_next[-1])
+    return followers.get(tuple(generated[len(generated) - n:]), []) if 0 < n <= len(generated) else []

@@ -132,19 +132,6 @@ def test_metrics_equal_plain_python(spark):
         assert r["bleu"] == pytest.approx(pyref.bleu(a, b), abs=1e-9)
 
 
-def test_spread_only_small_inputs(spark):
-    from pairlab.sources.io import spread
-
-    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
-    assert "RoundRobinPartitioning" in spread(docs)._jdf.queryExecution().executedPlan().toString()
-    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
-    try:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", "1024")  # the same file now means many splits
-        assert "RoundRobinPartitioning" not in spread(docs)._jdf.queryExecution().executedPlan().toString()
-    finally:
-        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-
-
 def test_limited_rank_is_head_of_full_rank(spark):
     docs = S.table(spark, SF_MID, "documents").select("doc_id").withColumn("h", hash_key(5, "doc_id"))
     full = {r["doc_id"]: r["k"] for r in with_global_rank(docs, ["h", "doc_id"], "k").collect()}

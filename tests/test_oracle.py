@@ -21,12 +21,12 @@ def con():
 
 
 def test_every_query_registered_with_oracle_or_documented():
-    rows_only = set(QUERIES) - set(SQL)
-    assert rows_only == {"q21_unrelated_match", "q25u_holdout_unrelated"}
+    rows_only = {q for q in set(QUERIES) - set(SQL) if q.startswith("q")}
+    assert rows_only == {"q18_rougel", "q21_unrelated_match", "q25u_holdout_unrelated"}
     assert set(SQL) <= set(QUERIES)
 
 
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(q for q in SQL if q.startswith("q")))
 def test_query_matches_oracle(spark, con, name):
     sp = QUERIES[name](spark, SF_SMALL).toPandas()
     od = con.sql(SQL[name]).df()
