@@ -22,13 +22,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.llm.common import WS, id_text, map_rows, slices
 from pairlab.llm.components import components
 from pairlab.llm.ngram_join import keep_shared
-from pairlab.llm.regions import link_cells, one_cell_each
+from pairlab.llm.regions import link_cells, maybe_wanted, one_cell_each, wanted_filter
 from pairlab.session import materialize
 
 THRESHOLD, MIN_CHARS = 2, 30
@@ -141,20 +141,6 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
-def _distances(pairs: DataFrame, lines: DataFrame, most: int) -> DataFrame:
-    a = lines.select(F.col("x").alias("a"), F.col("line").alias("la"))
-    b = lines.select(F.col("x").alias("b"), F.col("line").alias("lb"))
-
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            yield {"a": batch.column("a"), "b": batch.column("b"), "d": [
-                float(edit_distance(x, y, most)) for x, y in
-                zip(batch.column("la").to_pylist(), batch.column("lb").to_pylist())]}
-
-    return map_rows(pairs.join(a, "a").join(b, "b").select("a", "b", "la", "lb"), run, "a long, b long, d double",
-                    {"a": pa.int64(), "b": pa.int64(), "d": pa.float64()})
-
-
 def _every_line(texts: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
@@ -168,7 +154,7 @@ def _every_line(texts: DataFrame) -> DataFrame:
                     dict.fromkeys(("doc_id", "line_no", "x", "n_chars"), pa.int64()))
 
 
-def _new_lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[list[tuple[int, str]]]:
+def _new_lines(batches: Iterator[pa.RecordBatch], min_chars: int, wanted=lambda x: True) -> Iterator[list[tuple[int, str]]]:
     """Long enough lines, each once a task (its memory of names is bounded)."""
     seen: set[int] = set()
     for batch in batches:
@@ -176,7 +162,7 @@ def _new_lines(batches: Iterator[pa.RecordBatch], min_chars: int) -> Iterator[li
             new = []
             for t in part.column("text").to_pylist():
                 for _, line in lines_of(t):
-                    if len(line) >= min_chars and (x := name_of(line)) not in seen:
+                    if len(line) >= min_chars and (x := name_of(line)) not in seen and wanted(x):
                         seen.add(x)
                         new.append((x, line))
             if len(seen) > 2_000_000:
@@ -194,23 +180,23 @@ def line_links(texts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
             yield {"cell": keys.view(np.int64), "x": np.array([x for x, _ in new], np.int64)[owner],
                    "w": np.array([len(line) for _, line in new], np.int64)[owner]}
 
-    def texts_of(batches: Iterator[pa.RecordBatch]):
-        for new in _new_lines(batches, min_chars):
-            yield {"x": [x for x, _ in new], "line": [line for _, line in new]}
-
     long_types = {"cell": pa.int64(), "x": pa.int64(), "w": pa.int64()}
     rows = map_rows(texts.select("text"), keyed, "cell long, x long, w long", long_types)
     cells = materialize(keep_shared(rows), "line-cells")
     cells = materialize(one_cell_each(cells), "line-cells")
-    wanted = cells.select("x").distinct()
-    lines = materialize(map_rows(texts.select("text"), texts_of, "x long, line string",
-                                 {"x": pa.int64(), "line": pa.string()}).join(wanted, "x", "left_semi")
-                        .dropDuplicates(["x"]), "line-texts")
+    bits = texts.sparkSession.sparkContext.broadcast(wanted_filter(cells.select("x")))  # 8 MB at any size
+
+    def texts_of(batches: Iterator[pa.RecordBatch]):
+        for new in _new_lines(batches, min_chars, lambda x: maybe_wanted(bits.value, x)):
+            yield {"x": [x for x, _ in new], "p": [line.encode("utf-8", "surrogatepass") for _, line in new]}
+
+    lines = map_rows(texts.select("text"), texts_of, "x long, p binary", {"x": pa.int64(), "p": pa.binary()})
+    lines = materialize(lines.join(cells.select("x").distinct(), "x", "left_semi").dropDuplicates(["x"]), "line-texts")
 
-    def reach(v: Column, w: Column, k: int) -> Column:
-        return F.abs(v - w) <= k * threshold
+    def distance(p: bytes, q: bytes) -> float:
+        return float(edit_distance(p.decode("utf-8", "surrogatepass"), q.decode("utf-8", "surrogatepass"), 2 * threshold))
 
-    return link_cells(cells, lambda pairs: _distances(pairs, lines, 2 * threshold), reach, float(threshold))
+    return link_cells(cells, lines, distance, float(threshold))
 
 
 def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -2,8 +2,9 @@
 
 Jaccard distance is a metric.  Documents are first collapsed to their distinct shingle sets.  The first
 pivots are single shingles: a set's region is its first shingle in one global order, and a set is
-replicated to the regions of its first ``n - ceil(t n) + 1`` shingles - the window within which a set of
-similarity t or more must meet it (by the triangle inequality with what both sets lack).  Common shingles
+replicated to the regions of its first ``n - ceil(t n) + l`` shingles - the window within which a set of
+similarity t or more must meet it l times (by the triangle inequality with what both sets lack; l is a
+twentieth of n, or of the smallest set that can be similar).  Sets that meet others less often are done.  Common shingles
 are put last in the order (``common_shingles``: an aid for speed; any order is exact), so that passages
 which many documents share make no crowded regions.  Regions then join recursively by document pivots
 (``regions.link_cells``): Voronoi cells, 2-theta windows, until every link is found or implied by a chain
@@ -23,17 +24,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.llm.common import id_text, map_rows, slices
 from pairlab.llm.components import components
-from pairlab.llm.regions import link_cells, one_cell_each
+from pairlab.llm.regions import link_cells, maybe_wanted, one_cell_each, wanted_filter
 from pairlab.session import materialize
 
 SIZE, SIMILARITY = 5, 0.8
 #: Common shingles: counted where a task sees them in LOCAL sets or more, common from TOTAL on; at most MOST are kept.
 LOCAL, TOTAL, MOST = 3, 24, 500_000
+#: A set of n shingles meets a similar one of n or more at least ``n // EXTRA`` times (once at least).
+EXTRA = 20
 CHUNK = 1 << 20
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _SPACE = np.zeros(256, bool)
@@ -79,9 +82,8 @@ class Shingler:
             edge = np.flatnonzero(np.diff(np.concatenate([[True], space, [True]]).astype(np.int8)))
             a, b = edge[::2], edge[1::2]
             if len(a):
-                if len(part) > len(self.powers):  # one word longer than the tables
-                    digest = [hashlib.blake2b(bytes(part[x:y]), digest_size=8).digest() for x, y in zip(a, b)]
-                    h = np.frombuffer(b"".join(digest), _U)
+                if len(part) > len(self.powers):  # holds a very long word: one by one
+                    h = np.array([self._word(part[x:y]) for x, y in zip(a, b)], _U)
                 else:
                     sums = np.concatenate([[_U(0)], np.cumsum(self.values[part] * self.powers[:len(part)], dtype=_U)])
                     h = (sums[b] - sums[a]) * self.inverse[a]
@@ -92,6 +94,11 @@ class Shingler:
             return np.zeros(0, _U), np.zeros(0, np.int64)
         return np.concatenate(hashes), np.concatenate(starts)
 
+    def _word(self, part: np.ndarray) -> np.uint64:
+        if len(part) > len(self.powers):
+            return np.frombuffer(hashlib.blake2b(part.tobytes(), digest_size=8).digest(), _U)[0]
+        return (self.values[part] * self.powers[:len(part)]).sum(dtype=_U)
+
     def sets(self, texts: list[str]) -> list[np.ndarray]:
         """The sorted distinct shingles of every text."""
         raws = [t.encode("utf-8", "surrogatepass").translate(_LOWER) for t in texts]
@@ -123,7 +130,7 @@ def node_of(s: np.ndarray) -> int:
 def window(s: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
     """The shingles whose regions a set must be in."""
     n = len(s)
-    take = n - math.ceil(similarity * n - 1e-9) + 1
+    take = n - math.ceil(similarity * n - 1e-9) + max(1, n // EXTRA)
     if len(common):
         at = np.minimum(np.searchsorted(common, s), len(common) - 1)
         rare = common[at] != s
@@ -210,21 +217,25 @@ def keep_shared(rows: DataFrame) -> DataFrame:
     return map_rows(dealt, run, "cell long, x long, w long", {"cell": pa.int64(), "x": pa.int64(), "w": pa.int64()})
 
 
-def _jaccard_distances(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    a = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-    b = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+def _often_met(cells: DataFrame, similarity: float) -> DataFrame:
+    """The rows of sets that meet others as often as a similar one would make them (an exact condition)."""
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.lit(similarity) * F.col("w") - 1e-9) / EXTRA))
+    kept = cells.groupBy("x").agg(F.count(F.lit(1)).alias("met"), F.max("w").alias("w")).filter(F.col("met") >= least)
+    return cells.join(kept.select("x"), "x", "left_semi")
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        for batch in batches:
-            d = []
-            for x, y in zip(batch.column("sa"), batch.column("sb")):
-                p, q = np.frombuffer(x.as_buffer(), _U), np.frombuffer(y.as_buffer(), _U)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                d.append(1 - both / (len(p) + len(q) - both))
-            yield {"a": batch.column("a"), "b": batch.column("b"), "d": d}
 
-    return map_rows(pairs.join(a, "a").join(b, "b").select("a", "b", "sa", "sb"), run, "a long, b long, d double",
-                    {"a": pa.int64(), "b": pa.int64(), "d": pa.float64()})
+def set_distance(similarity: float):
+    """Jaccard distance of packed sorted sets; 1 where the sizes alone put it beyond 2 theta."""
+    least = 1 - 2 * (1 - similarity) - 1e-9
+
+    def distance(p: bytes, q: bytes) -> float:
+        n, m = len(p) >> 3, len(q) >> 3
+        if min(n, m) < least * max(n, m):
+            return 1.0
+        both = len(np.intersect1d(np.frombuffer(p, _U), np.frombuffer(q, _U), assume_unique=True))
+        return 1 - both / (n + m - both)
+
+    return distance
 
 
 def ngram_components(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
@@ -253,13 +264,11 @@ def ngram_components(docs: DataFrame, size: int = SIZE, similarity: float = SIMI
     rows = map_rows(texts.select("text"), windows, "cell long, x long, w long",
                     {"cell": pa.int64(), "x": pa.int64(), "w": pa.int64()})
     cells = materialize(keep_shared(rows), "ngram-cells")
-    cells = materialize(one_cell_each(cells), "ngram-cells")
-    key = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    nodes = path.filter("n > 0").groupBy("node").agg(F.min(key).alias("key"))
-    needed = cells.select(F.col("x").alias("node")).distinct().join(nodes, "node")
-    sets = materialize(_sets(texts.withColumn("key", key).join(needed, "key").select("node", "text"), size), "ngram-sets")
-    theta = 1 - similarity
-    links = link_cells(cells, lambda pairs: _jaccard_distances(pairs, sets), _reach(similarity), theta + 1e-12)
+    cells = materialize(one_cell_each(_often_met(cells, similarity)), "ngram-cells")
+    bits = docs.sparkSession.sparkContext.broadcast(wanted_filter(cells.select("x")))  # 8 MB at any size
+    names = cells.select("x").distinct()
+    sets = materialize(_sets(texts, size, bits).join(names, "x", "left_semi").dropDuplicates(["x"]), "ngram-sets")
+    links = link_cells(cells, sets, set_distance(similarity), 1 - similarity + 1e-12)
     comps = components(links).withColumnRenamed("component", "root")
     rooted = path.join(comps, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
     named = rooted.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -268,28 +277,21 @@ def ngram_components(docs: DataFrame, size: int = SIZE, similarity: float = SIMI
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _reach(similarity: float):
-    def reach(v: Column, w: Column, k: int) -> Column:
-        return F.least(v, w) >= (1 - k * (1 - similarity) - 1e-9) * F.greatest(v, w)
-
-    return reach
-
-
-def _sets(texts: DataFrame, size: int) -> DataFrame:
-    """(node, its shingles) from (node, text of a document that may be it)."""
+def _sets(texts: DataFrame, size: int, bits) -> DataFrame:
+    """(x, its shingles) of the nodes that the filter lets through, each once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         shingler, seen = Shingler(size), set()
         for batch in batches:
             for part in slices(batch):
                 found = []
-                for want, s in zip(part.column("node").to_pylist(), shingler.sets(part.column("text").to_pylist())):
-                    if want not in seen and node_of(s) == want:  # repeated rows of an id lie in one task
-                        seen.add(want)
-                        found.append((want, s.tobytes()))
-                yield {"node": [n for n, _ in found], "s": [s for _, s in found]}
+                for s in shingler.sets(part.column("text").to_pylist()):
+                    if len(s) and (x := node_of(s)) not in seen and maybe_wanted(bits.value, x):
+                        seen.add(x)
+                        found.append((x, s.tobytes()))
+                yield {"x": [x for x, _ in found], "p": [p for _, p in found]}
 
-    return map_rows(texts, run, "node long, s binary", {"node": pa.int64(), "s": pa.binary()})
+    return map_rows(texts.select("text"), run, "x long, p binary", {"x": pa.int64(), "p": pa.binary()})
 
 
 def one_of_each(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:

@@ -4,100 +4,214 @@
 cell.  ``link_cells`` returns links (pairs within ``theta``) that have the same connected components as
 all links together, without comparing all pairs of a cell:
 
-* cells of at most ``small`` items compare theirs directly;
-* in a larger cell up to ``pivots`` items become pivots, and every item is measured against them.  Items
-  within theta of their nearest pivot form its region; they are linked through it.  By the triangle
-  inequality an item's partner lies within 2 theta of that pivot, so the region's next cell is the region
-  and its window (theta, 2 theta]; everything in no region stays in the remaining cell.  Pivots are done:
-  they have met everything.  The cells that arise are handled in the next round in the same way;
+* cells that overlap, in chains, form a cluster.  A cluster of at most ``block`` items is compared
+  directly, but for items already linked by a chain;
+* the items of a larger cluster are first measured against a few pivots, which joins its dense parts; then
+  its cells are taken one by one.  Small ones are compared directly.  In a larger one up to ``pivots``
+  items become pivots, and every item is measured against them.  Items within theta of their nearest pivot
+  form its region; they are linked through it.  By the triangle inequality an item's partner lies within
+  2 theta of that pivot, so the region's next cell is the region and its window (theta, 2 theta];
+  everything in no region stays in the remaining cell.  Pivots are done: they have met everything.  The
+  cells that arise are handled in the next round in the same way;
 * items of one component need no comparison among themselves: a cell of one component is closed, and
   pivots are picked outside a cell's largest component, so that region needs none.
 
-Every aggregate has a fixed number of values per cell and combines before its shuffle; no cell is
-collected.  Rounds are written to the shared folder.
+Items meet in blocks of bounded size: a small cluster, or the pivots of a cell and about ``block`` of its
+other items.  An item's payload (its set, its line) is shipped once per block.  Every aggregate has a fixed
+number of values per cell and combines before its shuffle; rounds are written to the shared folder.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pairlab.llm.common import map_rows
 from pairlab.llm.components import components
 from pairlab.session import materialize
 
-SMALL, PIVOTS = 16, 24
+SMALL, PIVOTS, BLOCK, BLOCK_WEIGHT = 16, 24, 256, 1 << 22
+MEMBER, PIVOT = 1, 2
+#: Bits of the fixed-size filter of wanted items.
+FILTER_BITS = 1 << 26
 
 
 def one_cell_each(members: DataFrame) -> DataFrame:
     """Keeps one of the cells with the same items (the count and a 64-bit hash of the set tell them apart)."""
-    marks = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"),
-                                        F.bit_xor(F.xxhash64("x")).alias("s"))
+    marks = members.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("x")).alias("s"))
     first = marks.groupBy("n", "s").agg(F.min("cell").alias("cell")).filter("n > 1").select("cell")
     return members.join(first, "cell", "left_semi")
 
 
-def link_cells(members: DataFrame, verify: Callable[[DataFrame], DataFrame],
-               reach: Callable[[Column, Column, int], Column], theta: float,
-               small: int = SMALL, pivots: int = PIVOTS) -> DataFrame:
-    """Links (a, b).  ``members``: cell, x, w (long); ``reach(w1, w2, k)``: may items of these sizes be
-    within k * theta; ``verify``: (a, b) -> (a, b, d) for all pairs with d <= 2 * theta at least."""
-    open_ = materialize(members.select("cell", "x", "w"), "cells")
-    links, comps = None, None
-    while True:
-        tagged = open_.withColumn("c", F.col("x")) if comps is None else open_.join(
-            comps.select(F.col("node").alias("x"), "component"), "x", "left") \
+def wanted_filter(items: DataFrame) -> np.ndarray:
+    """A bitmap of ``FILTER_BITS`` bits (8 MB, however many items) with the bit of every ``x`` set: tasks
+    skip most items that are not wanted before anything is shuffled; an exact join follows."""
+    bit = F.pmod("x", F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
+    rows = items.select(bit.alias("bit")).groupBy(F.call_function("bitmap_bucket_number", F.col("bit")).alias("bucket")) \
+        .agg(F.call_function("bitmap_construct_agg", F.call_function("bitmap_bit_position", F.col("bit"))).alias("map"))
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in rows.collect():  # at most FILTER_BITS / 32768 rows of 4 kB
+        at = (r["bucket"] - 1) * 4096
+        out[at:at + 4096] |= np.frombuffer(bytes(r["map"]), np.uint8)
+    return out
+
+
+def maybe_wanted(bitmap: np.ndarray, x: int) -> bool:
+    bit = x % FILTER_BITS
+    return bool(bitmap[bit >> 3] >> (bit & 7) & 1)
+
+
+def link_cells(members: DataFrame, payloads: DataFrame, distance: Callable[[bytes, bytes], float], theta: float,
+               small: int = SMALL, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+    """Links (a, b).  ``members``: cell, x, w (long; w about the payload's size); ``payloads``: x, p
+    (binary), one row per item; ``distance(p, q)``: a metric, or anything over 2 * theta beyond that."""
+    members = materialize(members.select("cell", "x", "w"), "cells")
+    clusters = _clusters(members, block)
+    rows = clusters.filter("m <= most").select(
+        F.xxhash64(F.lit("cluster"), "cell").alias("block"), "cell", F.lit(True).alias("star"),
+        F.lit(MEMBER | PIVOT).alias("role"), "x")
+    crowded = clusters.filter("m > most").select("cell", "x", "w", F.col("x").alias("c"), "chunks")
+    open_ = materialize(members.join(crowded.select("x"), "x", "left_semi"), "cells")
+    more = open_.limit(1).count()
+    if more:
+        rows = rows.union(_large_blocks(crowded, materialize(_pivots(crowded, pivots), "pivots")))
+    near = materialize(_meet(rows.join(payloads, "x"), distance, theta), "near")
+    links = near.filter(F.col("d") <= theta).select("a", "b")
+    while more:
+        comps = materialize(components(links), "components")
+        tagged = open_.join(comps.select(F.col("node").alias("x"), "component"), "x", "left") \
             .select("cell", "x", "w", F.coalesce("component", "x").alias("c"))
-        alive = tagged.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("lo"), F.max("c").alias("hi")) \
-            .filter("lo < hi").select("cell", "n")
+        alive = tagged.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"),
+                                           F.min("c").alias("lo"), F.max("c").alias("hi")) \
+            .filter("lo < hi").select("cell", "n", _chunks(F.col("n"), F.col("sw"), block).alias("chunks"))
         live = materialize(tagged.join(alive, "cell"), "cells")
         sizes = live.agg(F.count(F.lit(1)), F.max("n")).first()
         if not sizes[0]:
             break
-        left = live.filter(F.col("n") <= small).select("cell", F.col("x").alias("a"), F.col("w").alias("wa"),
-                                                       F.col("c").alias("ca"))
-        right = left.toDF("cell", "b", "wb", "cb")
-        pairs = left.join(right, "cell").filter((F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
-                                                & reach(F.col("wa"), F.col("wb"), 1)).select("a", "b")
-        measured = None
-        if sizes[1] > small:
+        rows = live.filter(F.col("n") <= small).select(
+            F.col("cell").alias("block"), "cell", F.lit(True).alias("star"), F.lit(MEMBER | PIVOT).alias("role"), "x")
+        more = sizes[1] > small
+        if more:
             large = live.filter(F.col("n") > small)
             chosen = materialize(_pivots(large, pivots), "pivots")
-            measured = materialize(large.join(chosen, "cell").filter(
-                (F.col("x") != F.col("q")) & reach(F.col("w"), F.col("wq"), 2)).select("cell", "x", "w", "q"), "measured")
-            pairs = pairs.union(measured.select(F.least("x", "q"), F.greatest("x", "q")))
-        near = materialize(verify(pairs.distinct()).filter(F.col("d") <= 2 * theta), "near")
-        found = near.filter(F.col("d") <= theta).select("a", "b")
-        links = found if links is None else links.union(found)
-        if measured is None:
-            break
-        comps = materialize(components(links), "components")
-        open_ = materialize(_next_cells(large, chosen, measured, near, theta), "cells")
-    return links if links is not None else members.select(F.col("x").alias("a"), F.col("x").alias("b")).limit(0)
+            rows = rows.union(_large_blocks(large, chosen))
+        near = materialize(_meet(rows.join(payloads, "x"), distance, theta), "near")
+        links = links.union(near.filter(F.col("d") <= theta).select("a", "b"))
+        if more:
+            open_ = materialize(_next_cells(large, chosen, near.filter("not star"), theta), "cells")
+    return links
+
+
+def _chunks(n, weight, block: int):
+    return F.greatest(F.ceil(n / block), F.ceil(weight / BLOCK_WEIGHT))
+
+
+def _clusters(members: DataFrame, block: int) -> DataFrame:
+    """(cell = cluster, x, w, m, most, chunks): the items of cells that overlap in chains; a cluster of
+    m <= most items is one block."""
+    least = members.groupBy("cell").agg(F.min("x").alias("b"))
+    groups = components(members.join(least, "cell").select(F.col("x").alias("a"), "b"))
+    items = members.select("x", "w").distinct().join(groups.select(F.col("node").alias("x"), "component"), "x")
+    sizes = items.groupBy("component").agg(F.count(F.lit(1)).alias("m"), F.sum("w").alias("sw"))
+    most = F.when(F.col("sw") <= 4 * BLOCK_WEIGHT, block).otherwise(2)  # few but huge items meet in chunks
+    return materialize(items.join(sizes, "component").select(
+        F.col("component").alias("cell"), "x", "w", "m", most.alias("most"),
+        _chunks(F.col("m"), F.col("sw"), block).alias("chunks")), "clusters")
+
+
+def _large_blocks(large: DataFrame, chosen: DataFrame) -> DataFrame:
+    """Each cell's items dealt into chunks, and its pivots in every chunk."""
+    items = large.select(
+        F.xxhash64("cell", F.pmod(F.xxhash64("x"), "chunks")).alias("block"), "cell", F.lit(False).alias("star"),
+        F.lit(MEMBER).alias("role"), "x")
+    each = chosen.join(large.select("cell", "chunks").distinct(), "cell") \
+        .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return items.union(each.select(F.xxhash64("cell", "chunk").alias("block"), "cell", F.lit(False).alias("star"),
+                                   F.lit(PIVOT).alias("role"), F.col("q").alias("x")))
 
 
 def _pivots(large: DataFrame, k: int) -> DataFrame:
-    """(cell, q, wq): up to ``k`` items per cell outside its largest component: the smallest hash of each of ``k`` classes."""
+    """(cell, q): up to ``k`` items per cell outside its largest component: the smallest hash of each of
+    ``k`` classes."""
     per = large.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("n"))
     most = per.groupBy("cell").agg(F.max(F.struct("n", "c")).alias("most")).select("cell", F.col("most.c").alias("most"))
-    rest = large.join(most, "cell").filter(F.col("c") != F.col("most")).withColumn("h", F.xxhash64("x"))
-    picks = [F.min(F.when(F.pmod("h", F.lit(k)) == j, F.struct("h", F.col("x").alias("q"), F.col("w").alias("wq"))))
-             .alias(f"p{j}") for j in range(k)]
+    rest = large.join(most, "cell").filter(F.col("c") != F.col("most")).withColumn("h", F.xxhash64(F.lit("pivot"), "x"))
+    picks = [F.min(F.when(F.pmod("h", F.lit(k)) == j, F.struct("h", F.col("x").alias("q")))).alias(f"p{j}")
+             for j in range(k)]
     rows = rest.groupBy("cell").agg(*picks)
     return rows.select("cell", F.explode(F.array_compact(F.array(*[F.col(f"p{j}") for j in range(k)]))).alias("p")) \
-        .select("cell", "p.q", "p.wq")
-
-
-def _next_cells(large: DataFrame, chosen: DataFrame, measured: DataFrame, near: DataFrame, theta: float) -> DataFrame:
-    met = measured.withColumn("a", F.least("x", "q")).withColumn("b", F.greatest("x", "q")).join(near, ["a", "b"])
+        .select("cell", "p.q")
+
+
+def meet(items: list[tuple[int, int, bytes]], star: bool, distance, theta: float) -> list[tuple[int, int, float]]:
+    """(a, b, d) among the (x, role, payload) of one block: in a star block links until its items hang
+    together as they do by all links, else members against pivots within 2 theta."""
+    out = []
+    if not star:
+        for x, role, p in items:
+            if role & MEMBER:
+                for q, other, r in items:
+                    if other & PIVOT and q != x and (d := distance(p, r)) <= 2 * theta:
+                        out.append((x, q, d))
+        return out
+    root = list(range(len(items)))
+
+    def top(k: int) -> int:
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for k in range(len(items)):
+        for j in range(k):
+            if top(k) != top(j) and (d := distance(items[k][2], items[j][2])) <= theta:
+                root[top(k)] = top(j)
+                out.append((items[k][0], items[j][0], d))
+    return out
+
+
+def _meet(rows: DataFrame, distance: Callable, theta: float) -> DataFrame:
+    """Runs ``meet`` on every block; blocks are sorted within hash partitions and streamed."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        head, items = None, []
+
+        def settled():
+            if head is None:
+                return
+            found = meet(sorted(items), head[2], distance, theta)
+            yield {"cell": [head[1]] * len(found), "star": [head[2]] * len(found), "a": [f[0] for f in found],
+                   "b": [f[1] for f in found], "d": [f[2] for f in found]}
+
+        for batch in batches:
+            for block, cell, star, role, x, p in zip(*(batch.column(k).to_pylist()
+                                                       for k in ("block", "cell", "star", "role", "x", "p"))):
+                if head is None or block != head[0]:
+                    yield from settled()
+                    head, items = (block, cell, star), []
+                items.append((x, role, p))
+        yield from settled()
+
+    dealt = rows.select("block", "cell", "star", "role", "x", "p").repartition("block").sortWithinPartitions("block")
+    return map_rows(dealt, run, "cell long, star boolean, a long, b long, d double", {
+        "cell": pa.int64(), "star": pa.bool_(), "a": pa.int64(), "b": pa.int64(), "d": pa.float64()})
+
+
+def _next_cells(large: DataFrame, chosen: DataFrame, met: DataFrame, theta: float) -> DataFrame:
+    """The cells that remain of large ones: per pivot its region and window, and what is in no region."""
+    met = met.select("cell", F.col("a").alias("x"), F.col("b").alias("q"), "d")
     homes = met.filter(F.col("d") <= theta).groupBy("cell", "x").agg(F.min(F.struct("d", "q")).alias("home")) \
         .select("cell", "x", F.col("home.q").alias("home"))
     done = chosen.select("cell", F.col("q").alias("x"))
     settled = homes.select("cell", "x").union(done).distinct()
+    items = large.select("cell", "x", "w")
     around = met.join(homes, ["cell", "x"], "left").join(done, ["cell", "x"], "left_anti") \
-        .filter((F.col("d") > theta) | (F.col("home") == F.col("q"))) \
+        .filter((F.col("d") > theta) | (F.col("home") == F.col("q"))).join(items, ["cell", "x"]) \
         .select(F.xxhash64("cell", "q").alias("cell"), "x", "w")
-    rest = large.select("cell", "x", "w").join(settled, ["cell", "x"], "left_anti") \
+    rest = items.join(settled, ["cell", "x"], "left_anti") \
         .select(F.xxhash64("cell", F.lit("rest")).alias("cell"), "x", "w")
     return around.union(rest).distinct()
