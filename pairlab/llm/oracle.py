@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pairlab.llm import licences as L
 from pairlab.llm import quality_rules as Q
 
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -29,4 +30,41 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
        AND 100 * n_dup_lines <= {Q.MAX_DUP_LINE_PERCENT} * n_lines AS kept
 FROM b"""
 
-SQL = {"op10_quality_rules": OP10_QUALITY_RULES}
+
+
+def _lit(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def licence_sql() -> str:
+    known = L.known_sentences(L.SENTENCES)
+    keys = "[" + ", ".join(map(_lit, known)) + "]"
+    ids = "[" + ", ".join(map(_lit, known.values())) + "]"
+    norm = "trim(regexp_replace(lower({}), '[^a-z0-9]+', ' ', 'g'))"
+    steps, hits = [], []
+    for k, (name, sequence) in enumerate(L.RULES):
+        pattern = _lit("," + ",,".join(sequence) + ",")
+        steps.append(f"r{k} AS (SELECT * REPLACE (replace(rest, {pattern}, '-') AS rest), contains(rest, {pattern}) AS h{k} "
+                     f"FROM {f'r{k - 1}' if k else 'ids'})")
+        before = "".join(f" AND NOT h{j}" for j in range(k) if L.RULES[j][0] == name)
+        hits.append(f"CASE WHEN h{k}{before} THEN {_lit(name)} END")
+    hits.append("CASE WHEN regexp_matches(rest, '[a-z]') THEN 'unknown' END")
+    return f"""
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), {_lit(L.SENTENCE_RE)}),
+                                      lambda s: regexp_matches(s, '[A-Za-z0-9]')) AS parts FROM documents),
+tried AS (SELECT doc_id, parts, flatten(list_transform(
+            list_filter(parts, lambda s: length(s) >= {min(map(len, known))}),
+            lambda s: CASE WHEN contains(s, chr(10)) AND NOT list_contains({keys}, {norm.format('s')})
+                           THEN string_split(s, chr(10)) ELSE [s] END)) AS t FROM d),
+found AS (SELECT doc_id, parts, list_transform(
+            list_filter(list_transform(t, lambda s: {norm.format('s')}), lambda s: list_contains({keys}, s)),
+            lambda s: list_extract({ids}, list_position({keys}, s))) AS f FROM tried),
+ids AS (SELECT doc_id, len(parts)::BIGINT AS n_sentences, len(f)::BIGINT AS n_known,
+               array_to_string(f, ',') AS sentence_ids, ',' || array_to_string(f, ',,') || ',' AS rest FROM found),
+{", ".join(steps)}
+SELECT doc_id, n_sentences, n_known, sentence_ids,
+       array_to_string(list_filter([{", ".join(hits)}], lambda x: x IS NOT NULL), ',') AS licences
+FROM r{len(L.RULES) - 1}"""
+
+
+SQL = {"op3_license_scan": licence_sql(), "op10_quality_rules": OP10_QUALITY_RULES}

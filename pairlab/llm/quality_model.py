@@ -79,7 +79,7 @@ def coded(rows: np.ndarray, cuts: np.ndarray) -> np.ndarray:
 
 def fit(pos: np.ndarray, unl: np.ndarray, prior: float, seed: int = 11) -> Model:
     """Mini-batch Adam on the non-negative risk."""
-    both = np.concatenate([pos, unl])
+    both = np.concatenate([pos, unl, np.zeros((1, len(NAMES)))])
     cuts = np.quantile(both, np.concatenate([np.linspace(0.05, 0.95, BINS), [0.98, 0.02]]), axis=0).T
     if not len(pos) or not len(unl):
         return Model(cuts, np.zeros(cuts.size), math.log(prior / (1 - prior)))
