@@ -255,3 +255,19 @@ def test_hot_group_is_split_and_exact(spark):
         mask = pyref.top_k_top_p([s for _, s in items], 50, 0.6, 2)
         want |= {(g, i) for (i, _), k in zip(items, mask) if k}
     assert got == want
+
+
+def test_ngrams_of_no_length_and_beyond_the_sequence_match_nothing(spark):
+    df = spark.createDataFrame([(1, ["a", "b", "a", "b", "c"]), (2, [])], "id long, t array<string>")
+    for n in (0, -1, 9):
+        hits = self_copies(df, ["id"], "t", n)
+        assert hits.columns == ["id", "pos", "next_token"] and hits.count() == 0
+        both = copied_ngrams(df, ["id"], "t", df.withColumnRenamed("id", "src"), ["src"], "t", n)
+        assert both.columns == ["id", "src", "pos", "next_token"] and both.count() == 0
+
+
+def test_null_groups_keep_their_rows(spark):
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), ("g", 3, 1.0)], "g string, i long, s double")
+    assert softmax_by(df, "g", "s").count() == 3 and top_k(df, "g", "i", "s", 1).count() == 2
+    assert top_k_top_p(df, "g", "i", "s", top_k=2, top_p=0.99).count() >= 2
+    assert prefix_score(df, "g", ["i"], "s", F.lit(False)).count() == 2

@@ -81,7 +81,7 @@ def test_matching_rules(spark):
 def test_matching_pool_exhaustion(spark):
     rows = S.rated_pairs(spark, SF_SMALL).select(F.col("pair_id").alias("row_id"), "original")
     pool = S.candidate_pool(spark, SF_SMALL).orderBy("cand_id").limit(10)
-    m = match_unrelated(rows, pool)
+    m = match_unrelated(rows, pool, strict=False)
     assert m.pairs.count() + m.unmatched.count() == rows.count()
     assert m.pairs.count() <= 10
     with pytest.raises(PoolExhausted):
