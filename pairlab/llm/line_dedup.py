@@ -158,14 +158,14 @@ def _new_lines(batches: Iterator[pa.RecordBatch], min_chars: int, wanted=lambda
     """Long enough lines, each once a task (its memory of names is bounded)."""
     seen: set[int] = set()
     for batch in batches:
-        for part in slices(batch, 2_000_000):
+        for part in slices(batch, 500_000):
             new = []
             for t in part.column("text").to_pylist():
                 for _, line in lines_of(t):
                     if len(line) >= min_chars and (x := name_of(line)) not in seen and wanted(x):
                         seen.add(x)
                         new.append((x, line))
-            if len(seen) > 2_000_000:
+            if len(seen) > 200_000:
                 seen = set()
             yield new
 

@@ -163,7 +163,7 @@ def _first_pass(texts: DataFrame, size: int) -> DataFrame:
                         seen.add(name)
                         held.append(s)
                         total += len(s)
-            if total > 8_000_000:
+            if total > 4_000_000:
                 yield counted()
                 held, total, seen = [], 0, set()
         if held:
@@ -254,7 +254,7 @@ def ngram_components(docs: DataFrame, size: int = SIZE, similarity: float = SIMI
                     if len(s) and (name := node_of(s)) not in seen:  # a task names a node once
                         seen.add(name)
                         new.append((name, len(s), window(s, common.value, similarity)))
-                if len(seen) > 2_000_000:
+                if len(seen) > 500_000:
                     seen = set()
                 lengths = [len(v) for _, _, v in new]
                 yield {"cell": np.concatenate([v for _, _, v in new] or [np.zeros(0, _U)]).view(np.int64),

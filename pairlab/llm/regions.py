@@ -6,13 +6,13 @@ all links together, without comparing all pairs of a cell:
 
 * cells that overlap, in chains, form a cluster.  A cluster of at most ``block`` items is compared
   directly, but for items already linked by a chain;
-* the items of a larger cluster are first measured against a few pivots, which joins its dense parts; then
-  its cells are taken one by one.  Small ones are compared directly.  In a larger one up to ``pivots``
-  items become pivots, and every item is measured against them.  Items within theta of their nearest pivot
-  form its region; they are linked through it.  By the triangle inequality an item's partner lies within
-  2 theta of that pivot, so the region's next cell is the region and its window (theta, 2 theta];
-  everything in no region stays in the remaining cell.  Pivots are done: they have met everything.  The
-  cells that arise are handled in the next round in the same way;
+* in a larger cluster every item is first measured against one pivot of its cells, a few times over, which
+  joins the dense parts.  Then its cells are taken one by one.  Small ones are compared directly.  In a
+  larger one up to ``pivots`` items become pivots, and every item is measured against them.  Items within
+  theta of their nearest pivot form its region; they are linked through it.  By the triangle inequality an
+  item's partner lies within 2 theta of that pivot, so the region's next cell is the region and its window
+  (theta, 2 theta]; everything in no region stays in the remaining cell.  Pivots are done: they have met
+  everything.  The cells that arise are handled in the next round in the same way;
 * items of one component need no comparison among themselves: a cell of one component is closed, and
   pivots are picked outside a cell's largest component, so that region needs none.
 
@@ -34,7 +34,7 @@ from pairlab.llm.common import map_rows
 from pairlab.llm.components import components
 from pairlab.session import materialize
 
-SMALL, PIVOTS, BLOCK, BLOCK_WEIGHT = 16, 24, 256, 1 << 22
+SMALL, PIVOTS, BLOCK, BLOCK_WEIGHT, STARS = 16, 24, 256, 1 << 22, 3
 MEMBER, PIVOT = 1, 2
 #: Bits of the fixed-size filter of wanted items.
 FILTER_BITS = 1 << 26
@@ -74,36 +74,69 @@ def link_cells(members: DataFrame, payloads: DataFrame, distance: Callable[[byte
     rows = clusters.filter("m <= most").select(
         F.xxhash64(F.lit("cluster"), "cell").alias("block"), "cell", F.lit(True).alias("star"),
         F.lit(MEMBER | PIVOT).alias("role"), "x")
-    crowded = clusters.filter("m > most").select("cell", "x", "w", F.col("x").alias("c"), "chunks")
-    open_ = materialize(members.join(crowded.select("x"), "x", "left_semi"), "cells")
-    more = open_.limit(1).count()
-    if more:
-        rows = rows.union(_large_blocks(crowded, materialize(_pivots(crowded, pivots), "pivots")))
     near = materialize(_meet(rows.join(payloads, "x"), distance, theta), "near")
     links = near.filter(F.col("d") <= theta).select("a", "b")
-    while more:
-        comps = materialize(components(links), "components")
-        tagged = open_.join(comps.select(F.col("node").alias("x"), "component"), "x", "left") \
-            .select("cell", "x", "w", F.coalesce("component", "x").alias("c"))
-        alive = tagged.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"),
-                                           F.min("c").alias("lo"), F.max("c").alias("hi")) \
-            .filter("lo < hi").select("cell", "n", _chunks(F.col("n"), F.col("sw"), block).alias("chunks"))
-        live = materialize(tagged.join(alive, "cell"), "cells")
+    open_ = materialize(members.join(clusters.filter("m > most").select("x"), "x", "left_semi"), "cells")
+    if not open_.limit(1).count():
+        return links
+
+    def linked(near: DataFrame) -> DataFrame:
+        return links.union(near.filter(F.col("d") <= theta).select("a", "b"))
+
+    for turn in range(STARS):
+        near = materialize(_meet(_stars(_live(open_, links, block), turn, block).join(payloads, "x"), distance, theta), "near")
+        links = linked(near)
+    return _cell_by_cell(open_, links, payloads, distance, theta, small, pivots, block)
+
+
+def _live(open_: DataFrame, links: DataFrame, block: int) -> DataFrame:
+    """(cell, x, w, c, n, chunks): the cells that hold more than one component."""
+    comps = components(links).select(F.col("node").alias("x"), "component")
+    tagged = open_.join(comps, "x", "left").select("cell", "x", "w", F.coalesce("component", "x").alias("c"))
+    alive = tagged.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"),
+                                       F.min("c").alias("lo"), F.max("c").alias("hi")) \
+        .filter("lo < hi").select("cell", "n", _chunks(F.col("n"), F.col("sw"), block).alias("chunks"))
+    return materialize(tagged.join(alive, "cell"), "cells")
+
+
+def _measure(pairs: DataFrame, block: int) -> DataFrame:
+    """Blocks for (x, w, q): every x meets its q; the items of a q are dealt into chunks."""
+    pairs = materialize(pairs, "pairs")
+    chunks = pairs.groupBy("q").agg(_chunks(F.count(F.lit(1)), F.sum("w"), block).alias("chunks"))
+    items = pairs.join(chunks, "q").select(
+        F.xxhash64("q", F.pmod(F.xxhash64("x"), "chunks")).alias("block"), F.col("q").alias("cell"),
+        F.lit(False).alias("star"), F.lit(MEMBER).alias("role"), "x")
+    each = chunks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return items.union(each.select(F.xxhash64("q", "chunk").alias("block"), F.col("q").alias("cell"),
+                                   F.lit(False).alias("star"), F.lit(PIVOT).alias("role"), F.col("q").alias("x")))
+
+
+def _stars(live: DataFrame, turn: int, block: int) -> DataFrame:
+    """Every item and the foremost pivot of its cells: one distance an item."""
+    first = live.groupBy("cell").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "x").alias("h"), F.col("x").alias("q"),
+                                                    F.col("c").alias("qc"))).alias("p"))
+    return _measure(live.join(first, "cell").filter(F.col("c") != F.col("p.qc")).groupBy("x").agg(
+        F.max("w").alias("w"), F.min(F.struct("p.h", "p.q")).alias("p")).select("x", "w", F.col("p.q").alias("q")), block)
+
+
+def _cell_by_cell(open_: DataFrame, links: DataFrame, payloads: DataFrame, distance: Callable, theta: float,
+                  small: int, pivots: int, block: int) -> DataFrame:
+    while True:
+        live = _live(open_, links, block)
         sizes = live.agg(F.count(F.lit(1)), F.max("n")).first()
         if not sizes[0]:
-            break
+            return links
         rows = live.filter(F.col("n") <= small).select(
             F.col("cell").alias("block"), "cell", F.lit(True).alias("star"), F.lit(MEMBER | PIVOT).alias("role"), "x")
-        more = sizes[1] > small
-        if more:
+        if sizes[1] > small:
             large = live.filter(F.col("n") > small)
             chosen = materialize(_pivots(large, pivots), "pivots")
             rows = rows.union(_large_blocks(large, chosen))
         near = materialize(_meet(rows.join(payloads, "x"), distance, theta), "near")
         links = links.union(near.filter(F.col("d") <= theta).select("a", "b"))
-        if more:
-            open_ = materialize(_next_cells(large, chosen, near.filter("not star"), theta), "cells")
-    return links
+        if sizes[1] <= small:
+            return links
+        open_ = materialize(_next_cells(large, chosen, near.filter("not star"), theta), "cells")
 
 
 def _chunks(n, weight, block: int):
