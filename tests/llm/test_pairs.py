@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pairlab.llm.components import components
 from pairlab.llm.line_dedup import drop_duplicate_lines, edit_distance, line_classes, places, segment
 from pairlab.llm.ngram_join import Shingler, ngram_components, one_of_each
-from pairlab.llm.regions import FILTER_BITS, link_cells, maybe_wanted, meet, wanted_filter
+from pairlab.llm.regions import FILTER_BITS, _cell_by_cell, maybe_wanted, meet, wanted_filter
 
 
 def test_components_of_a_path_a_star_and_loops(spark):
@@ -27,7 +27,8 @@ def test_crowded_cells_are_linked_by_pivots(spark):
     points = np.unique(np.concatenate([rng.integers(0, 40, 24), rng.integers(5000, 5200, 10)]))
     members = spark.createDataFrame([(1, int(p), 1) for p in points], "cell long, x long, w long")
     payloads = members.select("x", F.col("x").cast("string").cast("binary").alias("p"))
-    links = link_cells(members, payloads, lambda p, q: float(abs(int(p) - int(q))), 3.0, small=4, pivots=12, block=8)
+    none = spark.createDataFrame([], "a long, b long")
+    links = _cell_by_cell(members, none, payloads, lambda p, q: float(abs(int(p) - int(q))), 3.0, 4, 12, 8)
     got = {r["node"]: r["component"] for r in components(links).collect()}
     group = points[0]
     for prev, p in zip(points[:-1], points[1:]):
