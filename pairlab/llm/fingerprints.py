@@ -2,10 +2,11 @@
 
 A k-mer of code points is a closed syncmer when the smallest hash among its inner s-mers is the first or
 the last one.  That depends on the k-mer alone, so an edit elsewhere moves no anchor.  A fingerprint keeps
-the ``anchors`` smallest syncmer hashes of the whole text, each with the place of its first occurrence, in
-order of place.  Two fingerprints are matched by position: equal hashes, of which the longest chain that
-rises in both texts counts.  Over the smallest hashes of both (all, while neither is cut) this estimates
-Jaccard similarity J; likeness is Dice's 2 J / (1 + J): about the share of text they have in common.
+the hash and place of every closed syncmer of the whole text, in order of place: packed as all 32-bit
+hashes, then one byte a gap between places (k - s consecutive k-mers hold an anchor, so gaps are below
+that).  Two fingerprints are matched by position: the longest chain of equal hashes that rises in both.
+With J the chain over the anchors of both (repeats counted), likeness is Dice's 2 J / (1 + J): about the
+share of text they have in common.
 
 Defined cases: a null text is empty; a text shorter than k is one anchor; an empty text has no anchors, and
 two empty fingerprints have likeness 1; equal texts have equal fingerprints; rows with equal doc_id are
@@ -15,6 +16,7 @@ ordered by text, a null doc_id comes first; a single document is its own next on
 from __future__ import annotations
 
 import hashlib
+import math
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 
 from pairlab.llm.common import id_text, map_rows, shuffle_partitions
 
-#: K-mer and s-mer lengths in code points, anchors kept, multipliers of the rolling hash.
-K, S, ANCHORS = 20, 8, 128
+#: K-mer and s-mer lengths in code points, most anchors kept (all are), multipliers of the rolling hash.
+K, S, ANCHORS = 20, 8, math.inf
 _M1, _M2, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xFF51AFD7ED558CCD)
 
 
@@ -66,36 +68,93 @@ def closed_syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
     return (_mix(h) >> np.uint64(32)).astype(np.uint32), at
 
 
-def anchors_of(text: str, anchors: int = ANCHORS) -> list[tuple[int, int]]:
-    """(hash, place) of the smallest distinct hashes, in order of place."""
+def anchors_of(text: str) -> np.ndarray:
+    """Rows (hash, place) of all closed syncmers, in order of place."""
     hashes, places = closed_syncmers(text)
-    low, first = np.unique(hashes, return_index=True)
-    return sorted(zip(low[:anchors].tolist(), places[first[:anchors]].tolist()), key=lambda x: (x[1], x[0]))
+    return np.column_stack([hashes.astype(np.int64), places])
 
 
-def fingerprint(text: str) -> str:
-    return as_text(anchors_of(text))
+def packed(found: np.ndarray) -> bytes:
+    return found[:, 0].astype("<u4").tobytes() + np.diff(found[:, 1], prepend=0).astype(np.uint8).tobytes()
 
 
-def as_text(found: list[tuple[int, int]]) -> str:
-    return " ".join(f"{h:08x}@{p:x}" for h, p in found)
+def unpacked(data: bytes) -> np.ndarray:
+    n = len(data) // 5
+    places = np.cumsum(np.frombuffer(data, np.uint8, n, 4 * n), dtype=np.int64)
+    return np.column_stack([np.frombuffer(data, "<u4", n).astype(np.int64), places])
 
 
-def likeness(a: list[tuple[int, int]], b: list[tuple[int, int]], anchors: int = ANCHORS) -> float:
-    if a == b:
-        return 1.0
-    if not a or not b:
-        return 0.0
-    there = dict(b)
-    pool = sorted({h for h, _ in a} | there.keys())[:anchors]
-    top = pool[-1]
-    tails: list[int] = []  # longest rising chain of matched places
-    for h, _ in a:
-        if h <= top and h in there:
-            p = there[h]
+def fingerprint(text: str) -> bytes:
+    return packed(anchors_of(text))
+
+
+def _same_start(a: np.ndarray, b: np.ndarray) -> int:
+    n = min(len(a), len(b))
+    other = np.flatnonzero(a[:n] != b[:n])
+    return int(other[0]) if len(other) else n
+
+
+def longest_chain(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest common subsequence."""
+    done = 0
+    for _ in range(2):  # what only one holds, and equal starts and ends, need no search
+        a = a[np.isin(a, b)]
+        b = b[np.isin(b, a)]
+        k = _same_start(a, b)
+        a, b = a[k:], b[k:]
+        e = _same_start(a[::-1], b[::-1])
+        a, b, done = a[:len(a) - e], b[:len(b) - e], done + k + e
+    if not len(a) or not len(b):
+        return done
+    codes = np.unique(np.concatenate([a, b]), return_inverse=True)[1]
+    a, b = codes[:len(a)], codes[len(a):]
+    n = int(codes.max()) + 1
+    pairs = int((np.bincount(a, minlength=n) * np.bincount(b, minlength=n)).sum())
+    return done + (_chain_by_pairs if pairs <= 16 * len(codes) else _chain_by_bits)(a.tolist(), b.tolist())
+
+
+def _chain_by_pairs(a: list[int], b: list[int]) -> int:
+    """Longest rising chain of the places of equal anchors: time by their number."""
+    where: dict[int, list[int]] = {}
+    for p in range(len(b) - 1, -1, -1):
+        where.setdefault(b[p], []).append(p)
+    tails: list[int] = []
+    for x in a:
+        for p in where.get(x, ()):
             k = bisect_left(tails, p)
             tails[k:k + 1] = [p]
-    j = len(tails) / len(pool)
+    return len(tails)
+
+
+def _chain_by_bits(a: list[int], b: list[int], block: int = 1 << 13) -> int:
+    """The same for texts of many repeats: bit-parallel over blocks of ``a``, one carry per element of ``b``."""
+    carry, found = bytearray(len(b)), 0
+    for lo in range(0, len(a), block):
+        masks: dict[int, int] = {}
+        for k, x in enumerate(a[lo:lo + block]):
+            masks[x] = masks.get(x, 0) | 1 << k
+        n = min(block, len(a) - lo)
+        full = v = (1 << n) - 1
+        for k, x in enumerate(b):
+            m = masks.get(x, 0)
+            if m or carry[k]:
+                u = v & m
+                total = v + u + carry[k]
+                carry[k] = total >> n
+                v = (total & full) | (v ^ u)
+        found += n - v.bit_count()
+    return found
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = (np.asarray(x, np.int64).reshape(-1, 2)[:, 0] for x in (a, b))
+    if np.array_equal(a, b):
+        return 1.0
+    (x, n), (y, m) = np.unique(a, return_counts=True), np.unique(b, return_counts=True)
+    _, i, k = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    if not len(i):
+        return 0.0
+    j = longest_chain(a, b) / (len(a) + len(b) - int(np.minimum(n[i], m[k]).sum()))
     return 2 * j / (1 + j)
 
 
@@ -130,10 +189,10 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         .repartition(buckets, "bucket").sortWithinPartitions("bucket", "guest", "key", "text")
 
 
-DDL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
+DDL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
        "near_edited double, near_next double")
-_TYPES = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(),
-          "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
+_TYPES = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.binary(),
+          "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64()}
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -156,7 +215,7 @@ def edited_fingerprints(docs: DataFrame) -> DataFrame:
                     changed = anchors_of(edited)
                     for k, v in zip(_TYPES, (prev_id, len(prev),
                                              hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(),
-                                             as_text(prev_own), as_text(changed), likeness(prev_own, changed),
+                                             packed(prev_own), packed(changed), likeness(prev_own, changed),
                                              likeness(prev_own, own))):
                         out[k].append(v)
                 held = None if guest else (bucket, doc_id, text, own)
@@ -174,4 +233,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield {"doc_id": batch.column("doc_id"), "n_chars": [len(t) for t in texts],
                    "fingerprint": [fingerprint(t) for t in texts]}
 
-    return map_rows(id_text(docs), run, "doc_id long, n_chars long, fingerprint string", _TYPES)
+    return map_rows(id_text(docs), run, "doc_id long, n_chars long, fingerprint binary", _TYPES)

@@ -13,7 +13,8 @@ from messy_table import messy_rows, rows_of
 
 import corpus_pipeline
 from pairlab.llm import queries
-from pairlab.llm.fingerprints import ANCHORS, K, S, anchors_of, closed_syncmers, edited_fingerprints, fingerprints, likeness
+from pairlab.llm.fingerprints import (ANCHORS, K, S, _chain_by_bits, _chain_by_pairs, anchors_of, closed_syncmers,
+                                      edited_fingerprints, fingerprint, fingerprints, likeness, longest_chain, unpacked)
 from pairlab.llm.mixing import mix, mixed_documents, sized, source_targets
 from pairlab.llm.packing import Encoder, best_cuts, pack
 from pairlab.llm.quality_model import NAMES, fit, score_quality, statistics
@@ -121,6 +122,36 @@ def test_likeness_follows_the_share_in_common():
     assert likeness([], []) == 1 and likeness([], anchors_of(a)) == 0
 
 
+def test_a_short_passage_shared_by_long_texts_is_found():
+    rng = np.random.default_rng(10)
+    text = lambda n: "".join(rng.choice(list("abcdefghij klmnop"), n))
+    passage = text(300)
+    a, b = text(90_000) + passage + text(60_000), text(30_000) + passage + text(120_000)
+    assert likeness(anchors_of(a), anchors_of(b)) > 0 and len(anchors_of(a)) > 0.14 * len(a)
+    assert (unpacked(fingerprint(a)) == anchors_of(a)).all() and len(fingerprint("")) == 0
+    for k in range(0, len(a) - K, 997):
+        assert set(closed_syncmers(a[k:k + 400])[0]) <= set(anchors_of(a)[:, 0])
+
+
+def test_chains_are_the_longest_common_subsequences():
+    rng = np.random.default_rng(12)
+
+    def brute_chain(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before = 0
+            for k, y in enumerate(b, 1):
+                before, row[k] = row[k], before + 1 if x == y else max(row[k], row[k - 1])
+        return row[-1]
+
+    for n in range(120):
+        a, b = (rng.integers(0, int(rng.integers(1, 12)), int(rng.integers(0, 40))) for _ in range(2))
+        want = brute_chain(a.tolist(), b.tolist())
+        assert longest_chain(a, b) == want == _chain_by_pairs(a.tolist(), b.tolist())
+        assert _chain_by_bits(a.tolist(), b.tolist(), 7) == want
+    assert likeness(anchors_of(" " * 3000 + "x" + "-" * 3000), anchors_of(" " * 4000 + "-" * 2000)) > 0.7
+
+
 # ---- packing -----------------------------------------------------------------------
 
 def test_cuts_are_the_cheapest():
