@@ -8,8 +8,8 @@ that).  Two fingerprints are matched by position: the longest chain of equal has
 With J the chain over the anchors of both (repeats counted), likeness is Dice's 2 J / (1 + J): about the
 share of text they have in common.
 
-Defined cases: a null text is empty; a text shorter than k is one anchor; an empty text has no anchors, and
-two empty fingerprints have likeness 1; equal texts have equal fingerprints; rows with equal doc_id are
+Defined cases: a null text is empty; a text shorter than k, or too short to hold a closed syncmer, is one
+anchor (the hash of the whole text); an empty text alone has no anchors, and two empty fingerprints have likeness 1; equal texts have equal fingerprints; rows with equal doc_id are
 ordered by text, a null doc_id comes first; a single document is its own next one.
 """
 
@@ -41,6 +41,14 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
+def _whole(h1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A whole text as its one anchor."""
+    whole = np.uint64(0)
+    for x in h1:
+        whole = np.uint64((int(whole) * int(_M1) + int(x)) & 0xFFFFFFFFFFFFFFFF)
+    return (_mix(np.array([whole])) >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.int64)
+
+
 def closed_syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes and places of the closed syncmers of a text."""
     n = len(text)
@@ -49,10 +57,7 @@ def closed_syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
     c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     h1 = _mix((c + np.uint64(1)) * _M2)
     if n < K:
-        whole = np.uint64(0)
-        for x in h1:
-            whole = np.uint64((int(whole) * int(_M1) + int(x)) & 0xFFFFFFFFFFFFFFFF)
-        return (_mix(np.array([whole])) >> np.uint64(32)).astype(np.uint32), np.zeros(1, np.int64)
+        return _whole(h1)
     h2 = h1[:-1] * _M1 + h1[1:]
     h4 = h2[:-2] * _power(_M1, 2) + h2[2:]
     h8 = h4[:-4] * _power(_M1, 4) + h4[4:]
@@ -64,6 +69,8 @@ def closed_syncmers(text: str) -> tuple[np.ndarray, np.ndarray]:
     low = np.minimum(low[:-(span - 8)], low[span - 8:])
     m = n - K + 1
     at = np.flatnonzero((order[:m] == low[:m]) | (order[span - 1:span - 1 + m] == low[:m]))
+    if not len(at):
+        return _whole(h1)
     h = h8[at] * _power(_M1, 12) + h8[at + 8] * _power(_M1, 4) + h4[at + 16]
     return (_mix(h) >> np.uint64(32)).astype(np.uint32), at
 

@@ -133,6 +133,16 @@ def test_a_short_passage_shared_by_long_texts_is_found():
         assert set(closed_syncmers(a[k:k + 400])[0]) <= set(anchors_of(a)[:, 0])
 
 
+def test_short_texts_have_an_anchor():
+    rng = np.random.default_rng(13)
+    for n in range(1, 40):
+        texts = {"".join(rng.choice(list("abcdefghij klmnop"), n)) for _ in range(30)}
+        found = [anchors_of(t) for t in texts]
+        assert all(len(f) for f in found) and all(likeness(f, anchors_of("")) == 0 for f in found)
+        if n >= 20:
+            assert all(likeness(f, g) < 1 for k, f in enumerate(found) for g in found[:k])
+
+
 def test_chains_are_the_longest_common_subsequences():
     rng = np.random.default_rng(12)
 
