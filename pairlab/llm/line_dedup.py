@@ -7,10 +7,11 @@ hashes of its own segments (by length and number) and of the substrings at the p
 an equally long or shorter line could be (the multi-match-aware choice: 12 keys in all for threshold 2).
 Lines under a common key are candidates; crowded keys are narrowed by pivots (``regions.link_cells``), as
 edit distance is a metric.  Candidates are verified on the whole lines by banded bit-parallel edit
-distance.  Linked lines form a class; its first occurrence by (doc_id, line number) stays.
+distance.  Linked lines form a class; its first occurrence by (doc_id, line number, hash of the text) stays.
 
-Defined cases: a null text has no lines; lines shorter than ``min_chars`` are equal or different; rows
-with equal doc_id and line number are the same occurrence (both stay or both go); a null doc_id comes
+Defined cases: a null text has no lines; lines shorter than ``min_chars`` are equal or different; a row is
+known by its doc_id and the hash of its whole text, so rows without an id or with equal ids keep lines of
+their own, and only rows equal in both are the same occurrence (both stay or both go); a null doc_id comes
 last; an empty table gives an empty result; extra columns are carried by ``drop_duplicate_lines``; the
 length of lines and texts is not limited.  Lines are named by 64-bit hashes.
 """
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.llm.common import WS, id_text, map_rows, slices
@@ -141,17 +142,23 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
+def _row() -> Column:
+    """Names a row beside its doc_id."""
+    return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+
+
 def _every_line(texts: DataFrame) -> DataFrame:
+    names = ("doc_id", "row", "line_no", "x", "n_chars")
+
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             for part in slices(batch):
-                rows = [(i, k, name_of(line), len(line)) for i, t in
-                        zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()) for k, line in lines_of(t)]
-                yield dict(zip(("doc_id", "line_no", "x", "n_chars"), zip(*rows))) if rows else dict.fromkeys(
-                    ("doc_id", "line_no", "x", "n_chars"), [])
+                rows = [(i, row, k, name_of(line), len(line)) for i, row, t in
+                        zip(*(part.column(c).to_pylist() for c in ("doc_id", "row", "text"))) for k, line in lines_of(t)]
+                yield dict(zip(names, zip(*rows))) if rows else dict.fromkeys(names, [])
 
-    return map_rows(texts, run, "doc_id long, line_no long, x long, n_chars long",
-                    dict.fromkeys(("doc_id", "line_no", "x", "n_chars"), pa.int64()))
+    return map_rows(texts.withColumn("row", _row()), run, "doc_id long, row long, line_no long, x long, n_chars long",
+                    dict.fromkeys(names, pa.int64()))
 
 
 def _new_lines(batches: Iterator[pa.RecordBatch], min_chars: int, wanted=lambda x: True) -> Iterator[list[tuple[int, str]]]:
@@ -199,30 +206,37 @@ def line_links(texts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     return link_cells(cells, lines, distance, float(threshold))
 
 
-def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
-    """One row per line that holds a word: doc_id, line_no, n_chars, first_doc_id and first_line_no (the
-    first occurrence of its class), duplicate (it is another occurrence than the first)."""
+def _classes(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:
+    """One row per line that holds a word, with its row, and the first occurrence of its class."""
     texts = id_text(docs)
     every = materialize(_every_line(texts), "lines")
     comps = components(line_links(texts, threshold, min_chars))
     named = every.join(comps.withColumnRenamed("node", "x"), "x", "left") \
-        .select("doc_id", "line_no", "n_chars", F.coalesce("component", "x").alias("root"))
-    place = F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("k"), F.col("line_no").alias("l"),
-                     F.col("doc_id").alias("d"))
+        .select("doc_id", "row", "line_no", "n_chars", F.coalesce("component", "x").alias("root"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("line_no").alias("l"),
+                     F.col("row").alias("r"))
     firsts = named.groupBy("root").agg(F.min(place).alias("first"))
-    other = ~(F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("line_no") == F.col("first.l")))
+    other = ~(F.col("doc_id").eqNullSafe(F.col("first.d")) & (F.col("line_no") == F.col("first.l"))
+              & (F.col("row") == F.col("first.r")))
     return named.join(firsts, "root").select(
-        "doc_id", "line_no", "n_chars", F.col("first.d").alias("first_doc_id"), F.col("first.l").alias("first_line_no"),
-        other.alias("duplicate"))
+        "doc_id", "row", "line_no", "n_chars", F.col("first.d").alias("first_doc_id"),
+        F.col("first.l").alias("first_line_no"), other.alias("duplicate"))
+
+
+def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
+    """One row per line that holds a word: doc_id, line_no, n_chars, first_doc_id and first_line_no (the
+    first occurrence of its class), duplicate (it is another occurrence than the first)."""
+    return _classes(docs, threshold, min_chars).drop("row")
 
 
 def drop_duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without duplicate lines; documents of which no line stays go, all others keep their
     columns, and documents without a duplicate line keep their text as it is."""
-    drops = line_classes(docs, threshold, min_chars).filter("duplicate").groupBy("doc_id").agg(
-        F.collect_set("line_no").alias("_drop_lines"))  # bounded by the lines of one document
-    both = docs.join(drops.withColumnRenamed("doc_id", "_drop_id"),
-                     F.col("doc_id").cast("long").eqNullSafe(F.col("_drop_id")), "left").drop("_drop_id")
+    drops = _classes(docs, threshold, min_chars).filter("duplicate").groupBy(
+        F.col("doc_id").alias("_drop_id"), F.col("row").alias("_drop_row")).agg(
+        F.collect_set("line_no").alias("_drop_lines"))  # bounded by the lines of one text
+    both = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_drop_id")) & (_row() == F.col("_drop_row")),
+                     "left").drop("_drop_id", "_drop_row")
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -154,3 +154,16 @@ def test_dropping_lines_keeps_clean_documents_and_columns(spark, messy, empty):
     assert len(by[1]) == 1 and 2 not in by and by[4] == [None] and by[5] == [""]  # 2 repeats 1
     assert by[11] == ["short"]  # the other lines are those of 1, or one edit away
     assert by[12][0].startswith("w0x0 ") and drop_duplicate_lines(empty).count() == 0
+
+
+def test_rows_without_an_id_or_with_equal_ids_lose_their_own_lines_only(spark):
+    common = "a line that stands in several of the documents of this table"
+    own = [f"line number {k} of its own, with words {'abcdefgh'[k] * 12} that no other document holds" for k in range(8)]
+    rows = [(1, common), (None, own[0]), (None, f"{common}\n{own[1]}"), (None, own[2]), (None, common),
+            (7, own[3]), (7, f"{common}\n{own[4]}"), (7, f"{own[5]}\n{common}"), (9, own[6]), (9, own[7])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], r["text"]) for r in drop_duplicate_lines(df).collect())
+    assert got == Counter([(1, common), *((None, own[k]) for k in range(3)), *((7, own[k]) for k in (3, 4, 5)),
+                           (9, own[6]), (9, own[7])])
+    same = spark.createDataFrame([(None, f"{common}\n{own[0]}"), (None, f"{common}\n{own[1]}")], "doc_id long, text string")
+    assert Counter(len(r["text"].split("\n")) for r in drop_duplicate_lines(same).collect()) == {1: 1, 2: 1}
