@@ -1,9 +1,11 @@
 """Licence recognition by sentence rules (DataFrame functions only).
 
 A text is cut into sentences; a sentence is normalised (lower case, everything but a-z and 0-9 to single
-blanks) and looked up among known licence sentences.  A sentence that runs over lines and is unknown is
-tried line by line.  The known sentences' identifiers, in order of the text, are matched against ordered
-rules: each rule is a sequence of identifiers; what a rule matches is taken out before the next rule.
+blanks) and looked up among known licence sentences.  Known sentences that the cut itself parts (at a blank
+line or an abbreviation) are looked for as their pieces, one right after the other.  A sentence that runs
+over lines and is unknown is tried line by line.  The known sentences' identifiers, in order of the text,
+are matched against ordered rules: each rule is a sequence of identifiers; what a rule matches is taken out
+before the next rule.
 
 Defined cases: a null or empty text has no sentences; repeated rows give repeated results; identifiers
 that no rule takes give the licence ``unknown``; an empty table gives an empty result; extra columns are
@@ -12,6 +14,8 @@ ignored; everything works on whole texts, row by row, without a shuffle.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +61,8 @@ SENTENCES = {
     "mpl2": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
     "reserved": "All rights reserved",
 }
+#: Identifier -> the known sentence with the blank line that its standard notice has.
+BROKEN = {"apache2_copy": "You may obtain a copy of the License at\n\nhttp://www.apache.org/licenses/LICENSE-2.0"}
 #: Licence -> identifiers in order; longer rules come first.
 RULES = [
     ("Apache-2.0", ("apache2_grant", "apache2_copy", "apache2_warranty", "apache2_limits")),
@@ -88,6 +94,16 @@ def known_sentences(sentences: dict[str, str]) -> dict[str, str]:
     return {" ".join(normalise(s).split()): k for k, s in sentences.items()}
 
 
+def cut_sentences(sentences: dict[str, str]) -> dict[int, list[str]]:
+    """Number of pieces -> normalised first pieces, of the known sentences that the cut parts."""
+    out: dict[int, list[str]] = {}
+    for text in [*sentences.values(), *(s for k, s in BROKEN.items() if k in sentences)]:
+        pieces = [p for p in re.split(SENTENCE_RE, text) if normalise(p)]
+        if len(pieces) > 1:
+            out.setdefault(len(pieces), []).append(" ".join(normalise(pieces[0]).split()))
+    return out
+
+
 def _norm(s: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(s), F.lit("[^a-z0-9]+"), F.lit(" ")))
 
@@ -99,10 +115,19 @@ def licence_scan(docs: DataFrame, sentences: dict[str, str] = SENTENCES, rules=R
     keys, shortest = list(known), min(map(len, known))
     named = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
     parts = F.filter(F.split("text", SENTENCE_RE), lambda s: s.rlike("[A-Za-z0-9]"))
-    whole_or_lines = F.flatten(F.transform(F.filter("parts", lambda s: F.length(s) >= shortest), lambda s: F.when(
+    joined = F.col("parts")
+    for n, heads in cut_sentences(sentences).items():  # the other pieces are no known sentences by themselves
+
+        def whole(s: Column, k: Column) -> Column:
+            run = F.array_join(F.slice("parts", k + 1, F.lit(n)), " ")
+            long_enough = F.length(s) >= min(map(len, heads))
+            return F.when(long_enough & _norm(s).isin(heads) & _norm(run).isin(keys), run).otherwise(s)
+
+        joined = F.transform(joined, whole)
+    whole_or_lines = F.flatten(F.transform(F.filter("joined", lambda s: F.length(s) >= shortest), lambda s: F.when(
         F.instr(s, "\n") > 0, F.when(_norm(s).isin(keys), F.array(s)).otherwise(F.split(s, "\n"))).otherwise(F.array(s))))
     ids = F.transform(F.filter(F.transform("tried", _norm), lambda s: s.isin(keys)), lambda s: named[s])
-    found = id_text(docs).withColumn("parts", parts).withColumn("tried", whole_or_lines).select(
+    found = id_text(docs).withColumn("parts", parts).withColumn("joined", joined).withColumn("tried", whole_or_lines).select(
         "doc_id", F.size("parts").cast("long").alias("n_sentences"), ids.alias("ids")).select(
         "doc_id", "n_sentences", F.size("ids").cast("long").alias("n_known"),
         F.array_join("ids", ",").alias("sentence_ids"),

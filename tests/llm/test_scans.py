@@ -1,11 +1,13 @@
 """Personal data, secrets and licences against plain versions of their contracts."""
 
+import textwrap
+
 import brute
 import numpy as np
 from messy_table import rows_of
 
 from pairlab.llm.common import id_text
-from pairlab.llm.licences import RULES, SENTENCES, known_sentences, licence_scan
+from pairlab.llm.licences import RULES, SENTENCES, cut_sentences, known_sentences, licence_scan
 from pairlab.llm.pii import LABELERS, candidates, estimate, find_personal_data, train
 from pairlab.llm.secrets import Field, features, field_spans, find_secrets, fit
 
@@ -139,3 +141,83 @@ def test_licences(spark, messy, empty):
     assert got[4] == got[5] == (0, "", "") and got[6][2] == "unknown"  # in the wrong order
     assert licence_scan(messy).count() == len(rows_of()) and licence_scan(empty).count() == 0
     assert len(known_sentences(SENTENCES)) == len(SENTENCES) and id_text(messy).columns == ["doc_id", "text"]
+
+
+NOTICES = {  # identifiers' licence -> the standard notice, with its usual line breaks
+    "Apache-2.0": """Copyright 2020 A. Name
+
+   Licensed under the Apache License, Version 2.0 (the "License");
+   you may not use this file except in compliance with the License.
+   You may obtain a copy of the License at
+
+       http://www.apache.org/licenses/LICENSE-2.0
+
+   Unless required by applicable law or agreed to in writing, software
+   distributed under the License is distributed on an "AS IS" BASIS,
+   WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+   See the License for the specific language governing permissions and
+   limitations under the License.
+""",
+    "GPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU General Public License for more details.
+
+    You should have received a copy of the GNU General Public License
+    along with this program.  If not, see <https://www.gnu.org/licenses/>.
+""",
+    "BSD-3-Clause": """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its contributors
+   may be used to endorse or promote products derived from this software
+   without specific prior written permission.
+""",
+    "MIT": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+""",
+    "MPL-2.0": """This Source Code Form is subject to the terms of the Mozilla Public
+License, v. 2.0. If a copy of the MPL was not distributed with this
+file, You can obtain one at https://mozilla.org/MPL/2.0/.
+""",
+    "CC0-1.0": """To the extent possible under law, the author has waived all copyright
+and related or neighboring rights to this work.
+""",
+}
+NOTICES["BSD-2-Clause"] = NOTICES["BSD-3-Clause"].split("3. Neither")[0]
+
+
+def _wrapped(text):
+    return textwrap.fill(text, 72) + ".\n"
+
+
+def test_every_rule_matches_its_standard_notice(spark):
+    one_line = [(name, _wrapped(SENTENCES[ids[0]])) for name, ids in RULES if len(ids) == 1]
+    cases = [*NOTICES.items(), *one_line]
+    cases += [(name, "Some words before.\n\n" + text.replace("\n", "\r\n") + "\r\nMore words.") for name, text in cases]
+    cases += [("", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.0. Words"), ("", "v. 2.0. 2.0\n\n"),
+              ("", "http://www.apache.org/licenses/LICENSE-2.0"), ("", "You may obtain a copy of the License at\n\nhttp://x.y/z\n")]
+    df = spark.createDataFrame([(k, text) for k, (_, text) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["licences"] for r in licence_scan(df).collect()}
+    assert [got[k] for k in range(len(cases))] == [name for name, _ in cases]
+    assert {name for name, _ in RULES} == {name for name, _ in cases if name}
+    assert len(SENTENCES["mpl2"]) > 0 and sorted(len(v) for v in cut_sentences(SENTENCES).values()) == [2]
