@@ -11,13 +11,14 @@ length is a power of two need no padding and are tried beside it.  A stream is s
 ``block_tokens``; the last window of a block is carried into the next one, so memory stays bounded.
 
 Defined cases: a null or empty text is the closing id alone; repeated rows are packed one by one; ties in
-doc_id are ordered by text; an empty table gives no pieces; the special tokens' strings inside a text are
-ordinary text; extra columns are ignored.
+doc_id are ordered by text; an empty table gives no pieces; the string of an added token of the tokenizer
+file inside a text is that token's id; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -41,14 +42,14 @@ _TYPES = {f.split(" ")[0]: pa.int64() for f in DDL.split(", ")}
 
 class Encoder:
     """Token ids of a text, and which ids end a sentence.  Reads a ``tokenizers`` file (.json) or the same
-    vocabulary as byte ranks (.tiktoken, several times faster, same ids)."""
+    vocabulary as byte ranks (.tiktoken, several times faster, same ids), with the added tokens of the .json
+    file beside it."""
 
     def __init__(self, path: str):
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
             tok = Tokenizer.from_file(path)
-            tok.encode_special_tokens = True
             self.encode = lambda text: tok.encode(text, add_special_tokens=False).ids
             pieces = {i: p.replace("Ċ", "\n").encode() for p, i in tok.get_vocab().items()}
         else:
@@ -57,10 +58,13 @@ class Encoder:
 
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+            with open(path.removesuffix(".tiktoken") + ".json", encoding="utf-8") as f:
+                added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
             tok = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
-                                    special_tokens={})
-            self.encode = tok.encode_ordinary
-            pieces = {i: p for p, i in ranks.items()}
+                                    special_tokens=added)
+            self.encode = lambda text: (tok.encode(text, allowed_special="all") if any(t in text for t in added)
+                                        else tok.encode_ordinary(text))
+            pieces = {i: p for p, i in ranks.items()} | {i: t.encode() for t, i in added.items()}
         self.ends = np.zeros(max(pieces) + 1, bool)
         for i, p in pieces.items():
             self.ends[i] = p[-1:] in (b".", b"!", b"?") or b"\n" in p

@@ -228,6 +228,22 @@ def test_both_tokenizer_files_give_the_same_ids(small_rows):
     assert (a.ends[:n] == b.ends[:n]).all()
 
 
+def test_added_tokens_inside_a_text_have_their_own_ids(spark):
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(TOKENIZER.replace(".tiktoken", ".json"))  # as it is, no setting changed
+    mark = "<|endoftext|>"
+    texts = [mark, f"x {mark} y", f"{mark}{mark}\n\n {mark}. A b", f"<|endof{mark}text|>", f"a  {mark}  b", "<|endoftext|", f"é{mark}\n"]
+    a, b = Encoder(TOKENIZER), Encoder(TOKENIZER.replace(".tiktoken", ".json"))
+    want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [list(a.encode(t)) for t in texts] == want == [list(b.encode(t)) for t in texts] and 50256 in want[1]
+    rows = pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), TOKENIZER).collect()
+    for r in rows:
+        ids = np.array([*want[r["doc_id"]], 0], "<u4")
+        assert r["doc_tokens"] == len(ids)
+        assert r["ids_crc32"] == zlib.crc32(ids[r["start"]:r["start"] + r["length"]].tobytes())
+
+
 # ---- mixing ------------------------------------------------------------------------
 
 def _mixed(rows):
