@@ -139,7 +139,7 @@ def window(s: np.ndarray, common: np.ndarray, similarity: float) -> np.ndarray:
 
 
 def _first_pass(texts: DataFrame, size: int) -> DataFrame:
-    """kind 0: a document's id, node and set size; kind 1: a shingle and in how many sets a task saw it."""
+    """kind 0: a document's id, node, set size and hash of its text; kind 1: a shingle and in how many sets a task saw it."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         shingler, seen = Shingler(size), set()
@@ -150,14 +150,14 @@ def _first_pass(texts: DataFrame, size: int) -> DataFrame:
             h, n = np.unique(np.concatenate(held), return_counts=True)
             often = n >= LOCAL
             return {"kind": np.ones(int(often.sum()), np.int8), "k": h[often].view(np.int64),
-                    "v": n[often].astype(np.int64), "n": np.zeros(int(often.sum()), np.int64)}
+                    "v": n[often].astype(np.int64), "n": np.zeros(int(often.sum()), np.int64), "row": np.zeros(int(often.sum()), np.int64)}
 
         for batch in batches:
             for part in slices(batch):
                 sets = shingler.sets(part.column("text").to_pylist())
                 names = [node_of(s) for s in sets]
                 yield {"kind": np.zeros(len(sets), np.int8), "k": part.column("doc_id"), "v": names,
-                       "n": [len(s) for s in sets]}
+                       "n": [len(s) for s in sets], "row": part.column("row")}
                 for name, s in zip(names, sets):
                     if name not in seen:  # copies within a task count once
                         seen.add(name)
@@ -169,8 +169,8 @@ def _first_pass(texts: DataFrame, size: int) -> DataFrame:
         if held:
             yield counted()
 
-    return map_rows(texts, run, "kind byte, k long, v long, n long",
-                    {"kind": pa.int8(), "k": pa.int64(), "v": pa.int64(), "n": pa.int64()})
+    return map_rows(texts.withColumn("row", F.xxhash64("text")), run, "kind byte, k long, v long, n long, row long",
+                    {"kind": pa.int8(), "k": pa.int64(), "v": pa.int64(), "n": pa.int64(), "row": pa.int64()})
 
 
 def common_shingles(first: DataFrame) -> np.ndarray:
@@ -238,11 +238,11 @@ def set_distance(similarity: float):
     return distance
 
 
-def ngram_components(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+def _rooted(docs: DataFrame, size: int, similarity: float) -> DataFrame:
+    """One row per document: doc_id, row (hash of its text), n (shingles), root (its component; null without words)."""
     texts = id_text(docs)
     first = materialize(_first_pass(texts, size), "ngram-first")
-    path = first.filter("kind = 0").select(F.col("k").alias("doc_id"), F.col("v").alias("node"), "n")
+    path = first.filter("kind = 0").select(F.col("k").alias("doc_id"), F.col("v").alias("node"), "n", "row")
     common = docs.sparkSession.sparkContext.broadcast(common_shingles(first))  # at most MOST numbers
 
     def windows(batches: Iterator[pa.RecordBatch]):
@@ -270,7 +270,13 @@ def ngram_components(docs: DataFrame, size: int = SIZE, similarity: float = SIMI
     sets = materialize(_sets(texts, size, bits).join(names, "x", "left_semi").dropDuplicates(["x"]), "ngram-sets")
     links = link_cells(cells, sets, set_distance(similarity), 1 - similarity + 1e-12)
     comps = components(links).withColumnRenamed("component", "root")
-    rooted = path.join(comps, "node", "left").withColumn("root", F.when(F.col("n") > 0, F.coalesce("root", "node")))
+    return path.join(comps, "node", "left").select(
+        "doc_id", "row", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
+
+
+def ngram_components(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable by links)."""
+    rooted = _rooted(docs, size, similarity).drop("row")
     named = rooted.filter("n > 0").groupBy("root").agg(F.min("doc_id").alias("component_id"))
     return rooted.join(named, "root", "left").select(
         "doc_id", F.col("n").alias("n_shingles"),
@@ -295,12 +301,15 @@ def _sets(texts: DataFrame, size: int, bits) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:
-    """``docs`` with one document of each group of near duplicates: the one with the smallest doc_id (of
-    repeated rows, one).  Documents without words or without a doc_id are no group and stay."""
-    found = ngram_components(docs, size, similarity)
-    keep = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")) | F.col("doc_id").isNull()) \
-        .select(F.col("doc_id").alias("_keep_id")).distinct()
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long"))
-    kept = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep_id")), "left_semi")
-    # only repeated rows of one id meet here; they hold equal texts or are no group
-    return kept.withColumn("_hash", F.xxhash64("text")).dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    """``docs`` with one document of each group of near duplicates: the one with the smallest doc_id (a null
+    doc_id comes last), then the smallest hash of its text; of repeated rows, one.  Documents without words
+    are no group and stay."""
+    alone = F.col("n") == 0
+    best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
+    keep = _rooted(docs, size, similarity).groupBy("root", F.when(alone, best)).agg(F.min(best).alias("best")) \
+        .select(F.col("best.d").alias("_keep_id"), F.col("best.r").alias("_keep_row"))
+    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text"))
+    row = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    kept = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep_id")) & (row == F.col("_keep_row")), "left_semi")
+    # only repeated rows of one id meet here; they hold equal texts
+    return kept.dropDuplicates(["_id", "_hash"]).select(*docs.columns)

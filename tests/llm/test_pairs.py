@@ -167,3 +167,14 @@ def test_rows_without_an_id_or_with_equal_ids_lose_their_own_lines_only(spark):
                            (9, own[6]), (9, own[7])])
     same = spark.createDataFrame([(None, f"{common}\n{own[0]}"), (None, f"{common}\n{own[1]}")], "doc_id long, text string")
     assert Counter(len(r["text"].split("\n")) for r in drop_duplicate_lines(same).collect()) == {1: 1, 2: 1}
+
+
+def test_near_copies_without_an_id_or_under_a_kept_id_go(spark):
+    words = [f"w{k}" for k in range(120)]
+    copy = lambda k: " ".join([*words[:60], f"x{k}", *words[61:]])
+    other = lambda k: " ".join(f"v{k}x{j}" for j in range(40))
+    rows = [(3, copy(0)), (3, copy(1)), (None, copy(2)), (None, copy(3)), (None, other(1)), (None, other(1) + " more"),
+            (None, other(2)), (4, other(3)), (4, other(4)), (None, ""), (5, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = Counter((r["doc_id"], (r["text"] or "")[:3]) for r in one_of_each(df).collect())
+    assert got == Counter([(3, "w0 "), (None, "v1x"), (None, "v2x"), (4, "v3x"), (4, "v4x"), (None, ""), (5, "")])
