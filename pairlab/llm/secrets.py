@@ -74,6 +74,11 @@ def shape(word: str) -> tuple[str, ...]:
             f"mix{min(n // 6, 6)}_{4 * digits // n}_{min(turns // 2, 3)}")
 
 
+def plain_line(line: str) -> bool:
+    """All words are plain by ``shape``; for ASCII lines the pattern says the same."""
+    return not ODD.search(line) and (line.isascii() or all(shape(w) == ("plain",) for w in WORD.findall(line)))
+
+
 def file_features(text: str) -> tuple[str, ...]:
     n = max(len(text), 1)
     marks = sum(text.count(c) for c in "={};")
@@ -247,7 +252,7 @@ def field_spans(text: str, field: Field, plain_is_out: bool) -> list[tuple[str,
     found: list[tuple[str, int, int]] = []
     file: tuple[str, ...] | None = None
     for at, line in _lines(text):
-        if plain_is_out and not ODD.search(line):
+        if plain_is_out and plain_line(line):
             continue
         words = list(WORD.finditer(line))
         if not words:

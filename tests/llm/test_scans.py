@@ -127,6 +127,17 @@ def test_viterbi_finds_the_best_path():
     assert tuple(field.decode(rows)) == best
 
 
+def test_the_gate_leaves_out_plain_lines_only():
+    weights = np.zeros((3, 3))
+    weights[0], weights[1] = (30, 0, 0), (0, 9, 0)
+    field = Field({"plain": 0, "alnum0": 1, "bias": 2}, weights, np.zeros((3, 3)))
+    assert field.plain_lines_are_out()
+    lines = ["some words, all plain", "ein " + "ä" * 12 + " wort", "ein " + "\u0661\u0662\u0663" + "ж" * 6 + " wort",
+             "kurz ö", "a " + "é" * 9 + "\u00b2 b", "an ascii " + "y" * 30 + "-"]
+    found = [field_spans(x, field, True) for x in lines]
+    assert found == [field_spans(x, field, False) for x in lines] and found[1] and found[2] and not found[0]
+
+
 def test_licences(spark, messy, empty):
     full = ". ".join(SENTENCES[k] for k in RULES[0][1]) + "."
     texts = [full, "Some words\nReleased under the MIT License.\nAll rights reserved.", SENTENCES["bsd_source"] + ".",
