@@ -5,9 +5,10 @@ import duckdb
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+from llm_paths import SF  # noqa: E402
 from messy_table import SCHEMA, messy_rows  # noqa: E402
 
-SF = "/root/testdata/sf0.001"
+
 @pytest.fixture(scope="session")
 def messy(spark):
     return spark.createDataFrame(messy_rows(), SCHEMA).repartition(3)

@@ -8,7 +8,7 @@ import brute
 import duckdb
 import numpy as np
 import pytest
-from conftest import SF
+from llm_paths import SF
 from messy_table import messy_rows, rows_of
 
 import corpus_pipeline
