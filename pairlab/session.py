@@ -80,11 +80,33 @@ def local_test_session(tmp_root: str | None = None, cores: int = 8) -> SparkSess
     return spark
 
 
+#: Spark's own switch: remove the shuffle files of a statement when it ends.
+CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df, name: str = "stage"):
     """Cut lineage: write ``df`` as a parquet table in the shared folder and read
     it back.  One job (no double evaluation as with an unpersisted checkpoint),
-    survives executor loss, and the re-read carries real size statistics."""
+    survives executor loss, and the re-read carries real size statistics.  The
+    shuffles that made the table go once it is written: nothing reads them again."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.mode("errorifexists").parquet(path)
-    return spark.read.parquet(path)
+    before = spark.conf.get(CLEAN_SHUFFLES, "false")
+    spark.conf.set(CLEAN_SHUFFLES, "true")
+    try:
+        df.write.mode("errorifexists").parquet(path)
+    finally:
+        spark.conf.set(CLEAN_SHUFFLES, before)
+    out = spark.read.parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discard(*tables) -> None:
+    """Delete tables that ``materialize`` wrote; only when nothing will read them again."""
+    for df in tables:
+        path = df.__dict__.pop("_scratch_path", None)
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)

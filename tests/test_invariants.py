@@ -4,7 +4,7 @@ import math
 
 import pyref
 import pytest
-from conftest import SF_MID, SF_SMALL
+from paths import SF_MID, SF_SMALL
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
