@@ -4,17 +4,20 @@ A k-mer of code points is a closed syncmer when the smallest hash among its inne
 the last one.  That depends on the k-mer alone, so an edit elsewhere moves no anchor.  A fingerprint keeps
 the hash and place of every closed syncmer of the whole text, in order of place: packed as all 32-bit
 hashes, then one byte a gap between places (k - s consecutive k-mers hold an anchor, so gaps are below
-that).  Two fingerprints are matched by position: the longest chain of equal hashes that rises in both.
+that), as base64 text.  Two fingerprints are matched by position: the longest chain of equal hashes that rises in both.
 With J the chain over the anchors of both (repeats counted), likeness is Dice's 2 J / (1 + J): about the
 share of text they have in common.
 
 Defined cases: a null text is empty; a text shorter than k, or too short to hold a closed syncmer, is one
-anchor (the hash of the whole text); an empty text alone has no anchors, and two empty fingerprints have likeness 1; equal texts have equal fingerprints; rows with equal doc_id are
-ordered by text, a null doc_id comes first; a single document is its own next one.
+anchor (the hash of the whole text); an empty text alone has no anchors, and two empty fingerprints have
+likeness 1; equal texts have equal fingerprints; rows with equal doc_id are ordered by text, a null doc_id
+comes first; a single document is its own next one; an empty table gives an empty result; extra columns
+are ignored; long texts are worked on whole, one at a time.
 """
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import math
 from bisect import bisect_left
@@ -81,17 +84,19 @@ def anchors_of(text: str) -> np.ndarray:
     return np.column_stack([hashes.astype(np.int64), places])
 
 
-def packed(found: np.ndarray) -> bytes:
-    return found[:, 0].astype("<u4").tobytes() + np.diff(found[:, 1], prepend=0).astype(np.uint8).tobytes()
+def packed(found: np.ndarray) -> str:
+    gaps = np.diff(found[:, 1], prepend=0).astype(np.uint8)
+    return base64.b64encode(found[:, 0].astype("<u4").tobytes() + gaps.tobytes()).decode()
 
 
-def unpacked(data: bytes) -> np.ndarray:
+def unpacked(text: str) -> np.ndarray:
+    data = base64.b64decode(text)
     n = len(data) // 5
     places = np.cumsum(np.frombuffer(data, np.uint8, n, 4 * n), dtype=np.int64)
     return np.column_stack([np.frombuffer(data, "<u4", n).astype(np.int64), places])
 
 
-def fingerprint(text: str) -> bytes:
+def fingerprint(text: str) -> str:
     return packed(anchors_of(text))
 
 
@@ -196,10 +201,10 @@ def with_next(docs: DataFrame, buckets: int | None = None) -> DataFrame:
         .repartition(buckets, "bucket").sortWithinPartitions("bucket", "guest", "key", "text")
 
 
-DDL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, "
+DDL = ("doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
        "near_edited double, near_next double")
-_TYPES = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.binary(),
-          "edited_fingerprint": pa.binary(), "near_edited": pa.float64(), "near_next": pa.float64()}
+_TYPES = {"doc_id": pa.int64(), "n_chars": pa.int64(), "edited_sha256": pa.string(), "fingerprint": pa.string(),
+          "edited_fingerprint": pa.string(), "near_edited": pa.float64(), "near_next": pa.float64()}
 
 
 def edited_fingerprints(docs: DataFrame) -> DataFrame:
@@ -240,4 +245,4 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             yield {"doc_id": batch.column("doc_id"), "n_chars": [len(t) for t in texts],
                    "fingerprint": [fingerprint(t) for t in texts]}
 
-    return map_rows(id_text(docs), run, "doc_id long, n_chars long, fingerprint binary", _TYPES)
+    return map_rows(id_text(docs), run, "doc_id long, n_chars long, fingerprint string", _TYPES)
