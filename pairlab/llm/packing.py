@@ -12,13 +12,15 @@ length is a power of two need no padding and are tried beside it.  A stream is s
 
 Defined cases: a null or empty text is the closing id alone; repeated rows are packed one by one; ties in
 doc_id are ordered by text; an empty table gives no pieces; the string of an added token of the tokenizer
-file inside a text is that token's id; extra columns are ignored.
+file inside a text is that token's id; extra columns are ignored; texts and runs of white space may be of any
+length.
 """
 
 from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -35,6 +37,8 @@ SIZE = 1024
 CLOSING_ID = 0
 SENTENCE_PENALTY, INNER_PENALTY = 1, 48
 SEQUENCE_BITS = 40
+#: Runs of white space from this length on are left to the .json tokenizer (the ranks' matcher recurses).
+LONGEST_BLANK = 50_000
 
 DDL = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 _TYPES = {f.split(" ")[0]: pa.int64() for f in DDL.split(", ")}
@@ -43,9 +47,10 @@ _TYPES = {f.split(" ")[0]: pa.int64() for f in DDL.split(", ")}
 class Encoder:
     """Token ids of a text, and which ids end a sentence.  Reads a ``tokenizers`` file (.json) or the same
     vocabulary as byte ranks (.tiktoken, several times faster, same ids), with the added tokens of the .json
-    file beside it."""
+    file beside it.  Texts with a run of white space of ``LONGEST_BLANK`` or more go through the .json file."""
 
     def __init__(self, path: str):
+        self._file = None
         if path.endswith(".json"):
             from tokenizers import Tokenizer
 
@@ -62,13 +67,29 @@ class Encoder:
                 added = {t["content"]: t["id"] for t in json.load(f)["added_tokens"]}
             tok = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks,
                                     special_tokens=added)
-            self.encode = lambda text: (tok.encode(text, allowed_special="all") if any(t in text for t in added)
-                                        else tok.encode_ordinary(text))
+            blanks = re.compile(r"\s{%d}" % LONGEST_BLANK)
+
+            def encode(text: str) -> list[int]:
+                if len(text) >= LONGEST_BLANK and blanks.search(text):  # the ranks' matcher would run out of stack
+                    return self._by_file(path.removesuffix(".tiktoken") + ".json").encode(
+                        text, add_special_tokens=False).ids
+                return (tok.encode(text, allowed_special="all") if any(t in text for t in added)
+                        else tok.encode_ordinary(text))
+
+            self.encode = encode
             pieces = {i: p for p, i in ranks.items()} | {i: t.encode() for t, i in added.items()}
         self.ends = np.zeros(max(pieces) + 1, bool)
         for i, p in pieces.items():
             self.ends[i] = p[-1:] in (b".", b"!", b"?") or b"\n" in p
 
+    def _by_file(self, path: str):
+        """The .json tokenizer, read when the first text needs it."""
+        if self._file is None:
+            from tokenizers import Tokenizer
+
+            self._file = Tokenizer.from_file(path)
+        return self._file
+
 
 def best_cuts(places: np.ndarray, penalties: np.ndarray, size: int = SIZE) -> list[int]:
     """Indexes into ``places`` (ascending, first 0; gaps of at most ``size``) of the cheapest cuts."""
