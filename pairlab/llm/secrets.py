@@ -20,7 +20,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +71,7 @@ def shape(word: str) -> tuple[str, ...]:
     return (f"len{min(n // 6, 6)}", f"digits{4 * digits // n}", f"turns{min(turns, 6)}",
             f"case{int(upper > 0)}{int(lower > 0)}", f"distinct{min(len(set(core)) // 4, 5)}",
             f"inner{int(any(c in '@/.:()+' for c in core))}{int('=' in core)}",
-            f"alnum{int(core.isascii() and core.isalnum())}", f"hex{int(all(c in '0123456789abcdef' for c in core))}",
+            f"alnum{int(core.isalnum())}", f"ascii{int(core.isascii())}", f"hex{int(all(c in '0123456789abcdef' for c in core))}",
             f"key{int(bool(KEY_RE.search(core)))}", f"mark{int(word[-1:] in ':=')}",
             f"mix{min(n // 6, 6)}_{4 * digits // n}_{min(turns // 2, 3)}")
 
@@ -193,17 +195,28 @@ def _lines(text: str) -> Iterator[tuple[int, str]]:
 
 
 def _tags(words: list[tuple[int, int]], spans: list[tuple[str, int, int]]) -> list[int]:
-    """Tags of words (start, end) from base spans: words that a span covers for the most part."""
-    tags = [OUT] * len(words)
+    """Tags of words (start, end), in order, from base spans: words that a span covers for the most part.
+    Each span looks only at the words it meets."""
+    tags, ends = [OUT] * len(words), [e for _, e in words]
     for _, a, b in spans:
         first = True
-        for k, (s, e) in enumerate(words):
+        for k in range(bisect_right(ends, a), len(words)):
+            s, e = words[k]
+            if s >= b:
+                break
             if min(b, e) - max(a, s) > (e - s) / 2:
                 tags[k] = BEGIN if first else INSIDE
                 first = False
     return tags
 
 
+def clear_of(spans: list[tuple[str, int, int]], base: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
+    """The spans that overlap none of ``base`` (which is sorted by start)."""
+    starts = [b[1] for b in base]
+    reach = list(accumulate((b[2] for b in base), max))  # how far the spans up to each one go
+    return [s for s in spans if not (k := bisect_left(starts, s[2])) or reach[k - 1] <= s[1]]
+
+
 def train(docs: DataFrame, sample_lines: int = 4000, window: int = 12) -> Field:
     """Fits the field on at most about ``sample_lines`` stretches of ``window`` words on either side of an
     odd word, picked by hash; half of them hold a base span."""
@@ -213,11 +226,12 @@ def train(docs: DataFrame, sample_lines: int = 4000, window: int = 12) -> Field:
             rank, rows = [], []
             for text in batch.column("text").to_pylist():
                 spans = base_spans(text)
+                starts = [s[1] for s in spans]
                 for at, line in _lines(text):
                     if not ODD.search(line):
                         continue
                     words = [(at + m.start(), at + m.end()) for m in WORD.finditer(line)]
-                    inside = [s for s in spans if at <= s[1] <= at + len(line)]
+                    inside = spans[bisect_left(starts, at):bisect_right(starts, at + len(line))]
                     tags = _tags(words, inside)
                     centre = next((k for k, t in enumerate(tags) if t), None)
                     centre = centre if centre is not None else next(
@@ -282,8 +296,7 @@ def find_secrets(docs: DataFrame, sample_lines: int = 4000) -> DataFrame:
                                     ("n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_added")}
             for text in batch.column("text").to_pylist():
                 base = base_spans(text)
-                extra = [s for s in field_spans(text, field, plain_is_out)
-                         if all(s[2] <= b[1] or b[2] <= s[1] for b in base)] if trained else []
+                extra = clear_of(field_spans(text, field, plain_is_out), base) if trained else []
                 for kind in BASE:
                     out[f"n_{kind}"].append(sum(s[0] == kind for s in base))
                 joined = ",".join(f"{k}:{a}:{b}" for k, a, b in base)

@@ -9,7 +9,7 @@ from messy_table import rows_of
 from pairlab.llm.common import id_text
 from pairlab.llm.licences import RULES, SENTENCES, cut_sentences, known_sentences, licence_scan
 from pairlab.llm.pii import LABELERS, candidates, estimate, find_personal_data, train
-from pairlab.llm.secrets import Field, features, field_spans, find_secrets, fit
+from pairlab.llm.secrets import WORD, Field, _tags, features, field_spans, find_secrets, fit
 
 
 def _spans(text):
@@ -130,7 +130,7 @@ def test_viterbi_finds_the_best_path():
 def test_the_gate_leaves_out_plain_lines_only():
     weights = np.zeros((3, 3))
     weights[0], weights[1] = (30, 0, 0), (0, 9, 0)
-    field = Field({"plain": 0, "alnum0": 1, "bias": 2}, weights, np.zeros((3, 3)))
+    field = Field({"plain": 0, "ascii0": 1, "bias": 2}, weights, np.zeros((3, 3)))
     assert field.plain_lines_are_out()
     lines = ["some words, all plain", "ein " + "ä" * 12 + " wort", "ein " + "\u0661\u0662\u0663" + "ж" * 6 + " wort",
              "kurz ö", "a " + "é" * 9 + "\u00b2 b", "an ascii " + "y" * 30 + "-"]
@@ -232,3 +232,32 @@ def test_every_rule_matches_its_standard_notice(spark):
     assert [got[k] for k in range(len(cases))] == [name for name, _ in cases]
     assert {name for name, _ in RULES} == {name for name, _ in cases if name}
     assert len(SENTENCES["mpl2"]) > 0 and sorted(len(v) for v in cut_sentences(SENTENCES).values()) == [2]
+
+
+def test_a_long_line_takes_time_in_proportion():
+    import time
+
+    from pairlab.llm.secrets import base_spans, clear_of
+
+    field = _trained()
+
+    def seconds(n):
+        line = " ".join(f"name{k} token=abcdef{k:08d} {k:016x} plain" for k in range(n))
+        t = time.process_time()
+        base = base_spans(line)
+        words = [(m.start(), m.end()) for m in WORD.finditer(line)]
+        assert sum(map(bool, _tags(words, base))) == 2 * n
+        clear_of(field_spans(line, field, True), base)
+        return time.process_time() - t
+
+    few, many = min(seconds(1500) for _ in range(2)), seconds(6000)
+    assert many < 8 * few  # 16 if each word met each span
+
+
+def test_spans_that_overlap_a_base_span_are_left_out():
+    from pairlab.llm.secrets import clear_of
+
+    base = [("assign", 2, 30), ("hex", 5, 8), ("hex", 40, 44)]
+    spans = [("crf", a, b) for a, b in [(0, 2), (0, 3), (9, 12), (30, 31), (29, 31), (31, 40), (31, 41), (43, 50), (44, 50)]]
+    assert clear_of(spans, base) == [s for s in spans if all(s[2] <= b[1] or b[2] <= s[1] for b in base)]
+    assert clear_of(spans, []) == spans
