@@ -232,17 +232,19 @@ def line_classes(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = M
 def drop_duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` without duplicate lines; documents of which no line stays go, all others keep their
     columns, and documents without a duplicate line keep their text as it is."""
-    drops = _classes(docs, threshold, min_chars).filter("duplicate").groupBy(
-        F.col("doc_id").alias("_drop_id"), F.col("row").alias("_drop_row")).agg(
-        F.collect_set("line_no").alias("_drop_lines"))  # bounded by the lines of one text
-    both = docs.join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_drop_id")) & (_row() == F.col("_drop_row")),
-                     "left").drop("_drop_id", "_drop_row")
+    drops = _classes(docs, threshold, min_chars).filter("duplicate").groupBy("doc_id", "row").agg(
+        F.collect_set("line_no").alias("gone"))  # bounded by the lines of one text
+    drops = drops.select(F.col("doc_id").alias("i"), F.col("row").alias("r"), "gone")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), _row().alias("h"),
+                       F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("kept"))
+    both = rows.join(drops, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("r")), "left").select("kept", "gone")
     at, names = docs.columns.index("text"), docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
+            columns = batch.column(0).flatten()
             out, keep = [], []
-            for text, drop in zip(batch.column(at).to_pylist(), batch.column("_drop_lines").to_pylist()):
+            for text, drop in zip(columns[at].to_pylist(), batch.column(1).to_pylist()):
                 if drop is None:
                     out.append(text)
                     keep.append(True)
@@ -251,8 +253,7 @@ def drop_duplicate_lines(docs: DataFrame, threshold: int = THRESHOLD, min_chars:
                 left = [line for k, line in enumerate(text.split("\n")) if k not in gone]
                 out.append("\n".join(left))
                 keep.append(any(line.strip(WS) for line in left))
-            columns = [batch.column(k) for k in range(len(names))]
-            columns[at] = pa.array(out, batch.schema.field(at).type)
+            columns[at] = pa.array(out, columns[at].type)
             yield pa.RecordBatch.from_arrays(columns, names=names).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(run, docs.schema)

@@ -114,7 +114,7 @@ def _level(units: DataFrame, seed: int, level: int) -> DataFrame:
 
 def _mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED,
         fan: int = FAN, cut_last: bool = False) -> DataFrame:
-    """Rows of ``mix`` and k, the row's number among those of equal (doc_id, source, size)."""
+    """Rows of ``mix`` and k, the row's number among the m of equal (doc_id, source, size)."""
     sizes = materialize(sized(docs), "mix-sizes")
     targets = source_targets(sizes, weights, budget, cap)
     units = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m"))
@@ -149,6 +149,7 @@ def _mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float
     extra = F.when(F.col("k") <= F.col("u.full"), 1.0).when(F.col("k") == F.col("u.full") + 1, last).otherwise(0.0)
     return every.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("u.m")))).select(
         F.col("u.doc_id").alias("doc_id"), "source", F.col("u.size").alias("size"), "source_size", "target", "k",
+        F.col("u.m").alias("m"),
         (base + extra).alias("copies")) \
         .withColumn("taken", F.least(F.round(F.col("copies") * F.col("size")), F.col("size") * 2.0).cast("long"))
 
@@ -157,18 +158,26 @@ def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = C
         fan: int = FAN, cut_last: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies (a fraction only for the
     last document of a source under ``cut_last``) and taken = the words the mix takes of it."""
-    return _mixed(docs, weights, budget, cap, seed, fan, cut_last).drop("k")
+    return _mixed(docs, weights, budget, cap, seed, fan, cut_last).drop("k", "m")
 
 
 def mixed_documents(docs: DataFrame, **choices) -> DataFrame:
-    """The documents of the mix, each as often as it is taken (whole copies), all columns as they were."""
-    picks = _mixed(docs, **choices).filter("copies >= 1").select(
-        F.col("doc_id").alias("_mix_id"), F.col("source").alias("_mix_source"), F.col("size").alias("_mix_size"),
-        F.col("k").alias("_mix_k"), F.col("copies").cast("int").alias("_mix_copies"))
-    key = [F.col("doc_id").cast("long"), F.col("source").cast("string"), _words("text")]
-    rows = docs.withColumns({"_id": key[0], "_source": key[1], "_size": key[2]})
-    same = Window.partitionBy("_id", "_source", "_size").orderBy("text")  # rows beyond the first: repeated rows only
-    rows = rows.withColumn("_k", F.row_number().over(same).cast("long"))
-    joined = rows.join(picks, F.col("_id").eqNullSafe(F.col("_mix_id")) & F.col("_source").eqNullSafe(F.col("_mix_source"))
-                       & (F.col("_size") == F.col("_mix_size")) & (F.col("_k") == F.col("_mix_k")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies")))).select(*docs.columns)
+    """The documents of the mix, each as often as it is taken (whole copies), all columns as they were.
+    The caller's row travels as one struct.  Only rows that share (doc_id, source, size) with others are
+    numbered (by text); every other row is shuffled once."""
+    picks = materialize(_mixed(docs, **choices).filter("copies >= 1").select(
+        F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("no_i"),
+        F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_s"),
+        F.col("size").alias("z"), "k", "m", F.col("copies").cast("int").alias("copies")), "mix-picks")
+    key = ["i", "no_i", "s", "no_s", "z"]
+    doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
+    rows = docs.select(
+        F.coalesce(doc_id, F.lit(0)).alias("i"), doc_id.isNull().alias("no_i"), F.coalesce(source, F.lit("")).alias("s"),
+        source.isNull().alias("no_s"), _words("text").alias("z"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    alone = rows.join(picks.filter("m = 1").drop("k", "m"), key)
+    several = picks.filter("m > 1")
+    same = Window.partitionBy(*key).orderBy("row.text")
+    numbered = rows.join(several.select(*key).distinct(), key, "left_semi") \
+        .withColumn("k", F.row_number().over(same).cast("long")).join(several.drop("m"), [*key, "k"])
+    taken = alone.select("row", "copies").unionByName(numbered.select("row", "copies"))
+    return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

@@ -306,10 +306,12 @@ def one_of_each(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARIT
     are no group and stay."""
     alone = F.col("n") == 0
     best = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("d"), F.col("row").alias("r"))
-    keep = _rooted(docs, size, similarity).groupBy("root", F.when(alone, best)).agg(F.min(best).alias("best")) \
-        .select(F.col("best.d").alias("_keep_id"), F.col("best.r").alias("_keep_row"))
-    rows = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_hash", F.xxhash64("text"))
-    row = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    kept = rows.join(keep, F.col("_id").eqNullSafe(F.col("_keep_id")) & (row == F.col("_keep_row")), "left_semi")
-    # only repeated rows of one id meet here; they hold equal texts
-    return kept.dropDuplicates(["_id", "_hash"]).select(*docs.columns)
+    keep = _rooted(docs, size, similarity).groupBy("root", F.when(alone, best)).agg(F.min(best).alias("best")).select(
+        F.coalesce("best.d", F.lit(0)).alias("i"), F.col("best.d").isNull().alias("no_i"), F.col("best.r").alias("r"))
+    doc_id = F.col("doc_id").cast("long")
+    rows = docs.select(F.coalesce(doc_id, F.lit(0)).alias("i"), doc_id.isNull().alias("no_i"),
+                       F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("r"),
+                       F.col("text").isNull().alias("no_text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    kept = rows.join(keep, ["i", "no_i", "r"], "left_semi")
+    # only repeated rows of one id meet here; they hold equal texts (the texts are dealt once, for both steps)
+    return kept.groupBy("i", "no_i", "r", "no_text").agg(F.first("row").alias("row")).select("row.*")

@@ -128,7 +128,7 @@ def test_a_short_passage_shared_by_long_texts_is_found():
     passage = text(300)
     a, b = text(90_000) + passage + text(60_000), text(30_000) + passage + text(120_000)
     assert likeness(anchors_of(a), anchors_of(b)) > 0 and len(anchors_of(a)) > 0.14 * len(a)
-    assert (unpacked(fingerprint(a)) == anchors_of(a)).all() and len(fingerprint("")) == 0
+    assert (unpacked(fingerprint(a)) == anchors_of(a)).all() and fingerprint("") == ""
     for k in range(0, len(a) - K, 997):
         assert set(closed_syncmers(a[k:k + 400])[0]) <= set(anchors_of(a)[:, 0])
 
@@ -308,3 +308,34 @@ def test_pipeline_stages(spark, messy, empty, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         nothing = stage(spark, nothing, SF)
     assert nothing.count() == 0
+
+
+# ---- columns of the caller, long runs ------------------------------------------------
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_keep_the_callers_columns(spark, messy, name):
+    """Helper names of the stages (_id, _k, row, gone ...) are ordinary columns of the caller."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out = stage(spark, messy.filter("text IS NOT NULL"), "")
+    assert out.columns == messy.columns
+    given = [c for c in messy.columns if c.startswith("_") or c in ("row", "i", "key", "picks", "gone")]
+    rows = out.collect()
+    assert rows and all(r[c] == f"keep-{k}-{r['doc_id']}" for r in rows for k, c in enumerate(given))
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", " "])
+def test_long_runs_of_white_space_are_encoded_as_by_the_file(blank):
+    from tokenizers import Tokenizer
+
+    file = Tokenizer.from_file(TOKENIZER.removesuffix(".tiktoken") + ".json")
+    enc = Encoder(TOKENIZER)
+    for text in (blank * 1_000_000, "a " + blank * 1_000_000 + "word", blank * 49_999 + "x"):
+        assert enc.encode(text) == file.encode(text, add_special_tokens=False).ids
+
+
+def test_a_page_of_blanks_is_packed(spark):
+    docs = spark.createDataFrame([(1, " " * 1_000_000), (2, "one two")], "doc_id long, text string").coalesce(1)
+    rows = pack(docs, TOKENIZER).collect()
+    file = Encoder(TOKENIZER.removesuffix(".tiktoken") + ".json")
+    assert sum(r["length"] for r in rows if r["doc_id"] == 1) == len(file.encode(" " * 1_000_000)) + 1
+    assert all(0 <= r["offset"] and r["offset"] + r["length"] <= 1024 for r in rows)
