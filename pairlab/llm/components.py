@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.session import materialize
+from pairlab.session import discard, materialize
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -36,7 +36,19 @@ def components(edges: DataFrame) -> DataFrame:
         mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
         if mark == before or not mark[0]:
             break
-        before = mark
-        now = materialize(_small_star(_large_star(now)).distinct(), "star")
+        before, last = mark, now
+        now = materialize(_small_star(_large_star(last)).distinct(), "star")
+        discard(last)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
         now.select("b", "b").distinct())
+
+
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """``groups`` (x, c: its component so far, a table of ``materialize``) after new ``links`` (a, b) between its
+    items: only the links between different components are worked on.  The old table is deleted."""
+    a, b = groups.select(F.col("x").alias("a"), F.col("c").alias("ca")), groups.select(F.col("x").alias("b"), F.col("c").alias("cb"))
+    edges = links.join(a, "a").join(b, "b").filter("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    steps = components(edges).withColumnRenamed("node", "c")
+    out = materialize(groups.join(steps, "c", "left").select("x", F.coalesce("component", "c").alias("c")), "groups")
+    discard(groups)
+    return out

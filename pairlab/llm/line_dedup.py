@@ -30,7 +30,7 @@ from pairlab.llm.common import WS, id_text, map_rows, slices
 from pairlab.llm.components import components
 from pairlab.llm.ngram_join import keep_shared
 from pairlab.llm.regions import link_cells, maybe_wanted, one_cell_each, wanted_filter
-from pairlab.session import materialize
+from pairlab.session import discard, materialize
 
 THRESHOLD, MIN_CHARS = 2, 30
 _U = np.uint64
@@ -189,8 +189,9 @@ def line_links(texts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
 
     long_types = {"cell": pa.int64(), "x": pa.int64(), "w": pa.int64()}
     rows = map_rows(texts.select("text"), keyed, "cell long, x long, w long", long_types)
-    cells = materialize(keep_shared(rows), "line-cells")
-    cells = materialize(one_cell_each(cells), "line-cells")
+    shared = materialize(keep_shared(rows), "line-cells")
+    cells = materialize(one_cell_each(shared), "line-cells")
+    discard(shared)
     bits = texts.sparkSession.sparkContext.broadcast(wanted_filter(cells.select("x")))  # 8 MB at any size
 
     def texts_of(batches: Iterator[pa.RecordBatch]):
@@ -203,7 +204,7 @@ def line_links(texts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
     def distance(p: bytes, q: bytes) -> float:
         return float(edit_distance(p.decode("utf-8", "surrogatepass"), q.decode("utf-8", "surrogatepass"), 2 * threshold))
 
-    return link_cells(cells, lines, distance, float(threshold))
+    return link_cells(cells, lines, distance, float(threshold), near_sizes=lambda w, v: F.abs(w - v) <= threshold)
 
 
 def _classes(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:

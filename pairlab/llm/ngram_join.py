@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pairlab.llm.common import id_text, map_rows, slices
 from pairlab.llm.components import components
 from pairlab.llm.regions import link_cells, maybe_wanted, one_cell_each, wanted_filter
-from pairlab.session import materialize
+from pairlab.session import discard, materialize
 
 SIZE, SIMILARITY = 5, 0.8
 #: Common shingles: counted where a task sees them in LOCAL sets or more, common from TOTAL on; at most MOST are kept.
@@ -263,13 +263,16 @@ def _rooted(docs: DataFrame, size: int, similarity: float) -> DataFrame:
 
     rows = map_rows(texts.select("text"), windows, "cell long, x long, w long",
                     {"cell": pa.int64(), "x": pa.int64(), "w": pa.int64()})
-    cells = materialize(keep_shared(rows), "ngram-cells")
-    cells = materialize(one_cell_each(_often_met(cells, similarity)), "ngram-cells")
+    shared = materialize(keep_shared(rows), "ngram-cells")
+    cells = materialize(one_cell_each(_often_met(shared, similarity)), "ngram-cells")
+    discard(shared)
     bits = docs.sparkSession.sparkContext.broadcast(wanted_filter(cells.select("x")))  # 8 MB at any size
     names = cells.select("x").distinct()
     sets = materialize(_sets(texts, size, bits).join(names, "x", "left_semi").dropDuplicates(["x"]), "ngram-sets")
-    links = link_cells(cells, sets, set_distance(similarity), 1 - similarity + 1e-12)
+    links = link_cells(cells, sets, set_distance(similarity), 1 - similarity + 1e-12,
+                       near_sizes=lambda w, v: F.least(w, v) >= F.lit(similarity - 1e-9) * F.greatest(w, v))
     comps = components(links).withColumnRenamed("component", "root")
+    discard(cells, sets)
     return path.join(comps, "node", "left").select(
         "doc_id", "row", "n", F.when(F.col("n") > 0, F.coalesce("root", "node")).alias("root"))
 

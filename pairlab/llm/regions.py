@@ -27,12 +27,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.llm.common import map_rows
-from pairlab.llm.components import components
-from pairlab.session import materialize
+from pairlab.llm.components import components, merged
+from pairlab.session import discard, materialize
 
 SMALL, PIVOTS, BLOCK, BLOCK_WEIGHT, STARS = 16, 24, 256, 1 << 22, 3
 MEMBER, PIVOT = 1, 2
@@ -66,9 +66,12 @@ def maybe_wanted(bitmap: np.ndarray, x: int) -> bool:
 
 
 def link_cells(members: DataFrame, payloads: DataFrame, distance: Callable[[bytes, bytes], float], theta: float,
-               small: int = SMALL, pivots: int = PIVOTS, block: int = BLOCK) -> DataFrame:
+               small: int = SMALL, pivots: int = PIVOTS, block: int = BLOCK,
+               near_sizes: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Links (a, b).  ``members``: cell, x, w (long; w about the payload's size); ``payloads``: x, p
-    (binary), one row per item; ``distance(p, q)``: a metric, or anything over 2 * theta beyond that."""
+    (binary), one row per item; ``distance(p, q)``: a metric, or anything over 2 * theta beyond that;
+    ``near_sizes(w, v)``: whether items of those sizes can be within theta (before any payload moves).
+    No members give no links."""
     members = materialize(members.select("cell", "x", "w"), "cells")
     clusters = _clusters(members, block)
     rows = clusters.filter("m <= most").select(
@@ -80,19 +83,20 @@ def link_cells(members: DataFrame, payloads: DataFrame, distance: Callable[[byte
     if not open_.limit(1).count():
         return links
 
-    def linked(near: DataFrame) -> DataFrame:
-        return links.union(near.filter(F.col("d") <= theta).select("a", "b"))
-
+    discard(members)
+    groups = materialize(open_.select("x", F.col("x").alias("c")).distinct(), "groups")
     for turn in range(STARS):
-        near = materialize(_meet(_stars(_live(open_, links, block), turn, block).join(payloads, "x"), distance, theta), "near")
-        links = linked(near)
-    return _cell_by_cell(open_, links, payloads, distance, theta, small, pivots, block)
+        live = _live(open_, groups, block)
+        near = materialize(_meet(_stars(live, turn, block, near_sizes).join(payloads, "x"), distance, theta).filter(
+            F.col("d") <= theta).select("a", "b"), "near")
+        discard(live)
+        links, groups = links.union(near), merged(groups, near)
+    return _cell_by_cell(open_, links, groups, payloads, distance, theta, small, pivots, block)
 
 
-def _live(open_: DataFrame, links: DataFrame, block: int) -> DataFrame:
+def _live(open_: DataFrame, groups: DataFrame, block: int) -> DataFrame:
     """(cell, x, w, c, n, chunks): the cells that hold more than one component."""
-    comps = components(links).select(F.col("node").alias("x"), "component")
-    tagged = open_.join(comps, "x", "left").select("cell", "x", "w", F.coalesce("component", "x").alias("c"))
+    tagged = open_.join(groups, "x")
     alive = tagged.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"),
                                        F.min("c").alias("lo"), F.max("c").alias("hi")) \
         .filter("lo < hi").select("cell", "n", _chunks(F.col("n"), F.col("sw"), block).alias("chunks"))
@@ -111,18 +115,22 @@ def _measure(pairs: DataFrame, block: int) -> DataFrame:
                                    F.lit(False).alias("star"), F.lit(PIVOT).alias("role"), F.col("q").alias("x")))
 
 
-def _stars(live: DataFrame, turn: int, block: int) -> DataFrame:
-    """Every item and the foremost pivot of its cells: one distance an item."""
-    first = live.groupBy("cell").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "x").alias("h"), F.col("x").alias("q"),
-                                                    F.col("c").alias("qc"))).alias("p"))
-    return _measure(live.join(first, "cell").filter(F.col("c") != F.col("p.qc")).groupBy("x").agg(
-        F.max("w").alias("w"), F.min(F.struct("p.h", "p.q")).alias("p")).select("x", "w", F.col("p.q").alias("q")), block)
+def _stars(live: DataFrame, turn: int, block: int, near_sizes: Callable | None) -> DataFrame:
+    """Every item and the foremost pivot of its cells, where their sizes can be near: one distance an item."""
+    first = live.groupBy("cell").agg(F.min(F.struct(
+        F.xxhash64(F.lit(turn), "x").alias("h"), F.col("x").alias("q"), F.col("c").alias("qc"),
+        F.col("w").alias("qw"))).alias("p"))
+    pairs = live.join(first, "cell").filter(F.col("c") != F.col("p.qc"))
+    if near_sizes is not None:
+        pairs = pairs.filter(near_sizes(F.col("w"), F.col("p.qw")))
+    return _measure(pairs.groupBy("x").agg(F.max("w").alias("w"), F.min(F.struct("p.h", "p.q")).alias("p")).select(
+        "x", "w", F.col("p.q").alias("q")), block)
 
 
-def _cell_by_cell(open_: DataFrame, links: DataFrame, payloads: DataFrame, distance: Callable, theta: float,
-                  small: int, pivots: int, block: int) -> DataFrame:
+def _cell_by_cell(open_: DataFrame, links: DataFrame, groups: DataFrame, payloads: DataFrame, distance: Callable,
+                  theta: float, small: int, pivots: int, block: int) -> DataFrame:
     while True:
-        live = _live(open_, links, block)
+        live = _live(open_, groups, block)
         sizes = live.agg(F.count(F.lit(1)), F.max("n")).first()
         if not sizes[0]:
             return links
@@ -133,10 +141,13 @@ def _cell_by_cell(open_: DataFrame, links: DataFrame, payloads: DataFrame, dista
             chosen = materialize(_pivots(large, pivots), "pivots")
             rows = rows.union(_large_blocks(large, chosen))
         near = materialize(_meet(rows.join(payloads, "x"), distance, theta), "near")
-        links = links.union(near.filter(F.col("d") <= theta).select("a", "b"))
+        found = near.filter(F.col("d") <= theta).select("a", "b")
+        links = links.union(found)
         if sizes[1] <= small:
             return links
+        groups, last = merged(groups, found), open_
         open_ = materialize(_next_cells(large, chosen, near.filter("not star"), theta), "cells")
+        discard(last, live, chosen)
 
 
 def _chunks(n, weight, block: int):

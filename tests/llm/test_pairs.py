@@ -28,7 +28,8 @@ def test_crowded_cells_are_linked_by_pivots(spark):
     members = spark.createDataFrame([(1, int(p), 1) for p in points], "cell long, x long, w long")
     payloads = members.select("x", F.col("x").cast("string").cast("binary").alias("p"))
     none = spark.createDataFrame([], "a long, b long")
-    links = _cell_by_cell(members, none, payloads, lambda p, q: float(abs(int(p) - int(q))), 3.0, 4, 12, 8)
+    alone = members.select("x", F.col("x").alias("c"))
+    links = _cell_by_cell(members, none, alone, payloads, lambda p, q: float(abs(int(p) - int(q))), 3.0, 4, 12, 8)
     got = {r["node"]: r["component"] for r in components(links).collect()}
     group = points[0]
     for prev, p in zip(points[:-1], points[1:]):

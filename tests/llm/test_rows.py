@@ -323,7 +323,7 @@ def test_stages_keep_the_callers_columns(spark, messy, name):
     assert rows and all(r[c] == f"keep-{k}-{r['doc_id']}" for r in rows for k, c in enumerate(given))
 
 
-@pytest.mark.parametrize("blank", [" ", "\n", "\t", " "])
+@pytest.mark.parametrize("blank", [" ", "\n", "\t", "\u00a0"])
 def test_long_runs_of_white_space_are_encoded_as_by_the_file(blank):
     from tokenizers import Tokenizer
 
