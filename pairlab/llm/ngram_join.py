@@ -8,7 +8,8 @@ twentieth of n, or of the smallest set that can be similar).  Sets that meet oth
 are put last in the order (``common_shingles``: an aid for speed; any order is exact), so that passages
 which many documents share make no crowded regions.  Regions then join recursively by document pivots
 (``regions.link_cells``): Voronoi cells, 2-theta windows, until every link is found or implied by a chain
-of links.  Links are verified on the whole shingle sets.
+of links.  Links are verified on the whole shingle sets; sets move only to blocks where their parity
+sketches, which bound distances from below, leave them a possible partner.
 
 Shingles are 64-bit hashes of the words' bytes.  Defined cases: a null or empty text has an empty set and
 is linked with nothing; fewer words than ``size`` make one shingle; equal sets are one node, so copies are
@@ -238,6 +239,40 @@ def set_distance(similarity: float):
     return distance
 
 
+def sketch(s: np.ndarray) -> bytes:
+    """Size of a set and the parities of its shingles in 2 n buckets or more (a power of two): a thirtieth of the
+    set.  Each bucket whose parity differs between two sets holds a shingle that only one of them has."""
+    bits = max(64, 1 << (2 * len(s) - 1).bit_length())
+    odd = np.bincount((s & _U(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return len(s).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def _folded(bits: np.ndarray, words: int) -> np.ndarray:
+    while bits.shape[-1] > words:
+        half = bits.shape[-1] // 2
+        bits = bits[..., :half] ^ bits[..., half:]
+    return bits
+
+
+def distance_bounds(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Lower bounds of the Jaccard distances of sets by their sketches: with D shingles that only one set has,
+    the distance is 2 D / (n + m + D), and D is at least the number of buckets of different parity."""
+    out = np.empty((len(a), len(b)))
+    n, m = (np.array([int.from_bytes(s[:8], "little") for s in x], np.int64) for x in (a, b))
+    by_size: dict[int, list[int]] = {}
+    for k, s in enumerate(a):
+        by_size.setdefault(len(s) - 8, []).append(k)
+    for size, rows in by_size.items():
+        own = np.frombuffer(b"".join([a[k][8:] for k in rows]), _U).reshape(len(rows), size // 8)
+        for j, s in enumerate(b):
+            words = min(size, len(s) - 8) // 8
+            other = _folded(np.frombuffer(s, _U, offset=8), words)
+            differ = np.bitwise_count(_folded(own, words) ^ other).sum(1, dtype=np.int64)
+            only = np.maximum(differ, np.abs(n[rows] - m[j]))
+            out[rows, j] = 2 * only / (n[rows] + m[j] + only)
+    return out
+
+
 def _rooted(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     """One row per document: doc_id, row (hash of its text), n (shingles), root (its component; null without words)."""
     texts = id_text(docs)
@@ -270,7 +305,8 @@ def _rooted(docs: DataFrame, size: int, similarity: float) -> DataFrame:
     names = cells.select("x").distinct()
     sets = materialize(_sets(texts, size, bits).join(names, "x", "left_semi").dropDuplicates(["x"]), "ngram-sets")
     links = link_cells(cells, sets, set_distance(similarity), 1 - similarity + 1e-12,
-                       near_sizes=lambda w, v: F.least(w, v) >= F.lit(similarity - 1e-9) * F.greatest(w, v))
+                       near_sizes=lambda w, v: F.least(w, v) >= F.lit(similarity - 1e-9) * F.greatest(w, v),
+                       bounds=distance_bounds)
     comps = components(links).withColumnRenamed("component", "root")
     discard(cells, sets)
     return path.join(comps, "node", "left").select(
@@ -287,7 +323,7 @@ def ngram_components(docs: DataFrame, size: int = SIZE, similarity: float = SIMI
 
 
 def _sets(texts: DataFrame, size: int, bits) -> DataFrame:
-    """(x, its shingles) of the nodes that the filter lets through, each once a task."""
+    """(x, its shingles, their sketch) of the nodes that the filter lets through, each once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         shingler, seen = Shingler(size), set()
@@ -297,10 +333,11 @@ def _sets(texts: DataFrame, size: int, bits) -> DataFrame:
                 for s in shingler.sets(part.column("text").to_pylist()):
                     if len(s) and (x := node_of(s)) not in seen and maybe_wanted(bits.value, x):
                         seen.add(x)
-                        found.append((x, s.tobytes()))
-                yield {"x": [x for x, _ in found], "p": [p for _, p in found]}
+                        found.append((x, s.tobytes(), sketch(s)))
+                yield {"x": [x for x, _, _ in found], "p": [p for _, p, _ in found], "s": [s for _, _, s in found]}
 
-    return map_rows(texts.select("text"), run, "x long, p binary", {"x": pa.int64(), "p": pa.binary()})
+    return map_rows(texts.select("text"), run, "x long, p binary, s binary",
+                    {"x": pa.int64(), "p": pa.binary(), "s": pa.binary()})
 
 
 def one_of_each(docs: DataFrame, size: int = SIZE, similarity: float = SIMILARITY) -> DataFrame:

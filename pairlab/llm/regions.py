@@ -67,10 +67,13 @@ def maybe_wanted(bitmap: np.ndarray, x: int) -> bool:
 
 def link_cells(members: DataFrame, payloads: DataFrame, distance: Callable[[bytes, bytes], float], theta: float,
                small: int = SMALL, pivots: int = PIVOTS, block: int = BLOCK,
-               near_sizes: Callable[[Column, Column], Column] | None = None) -> DataFrame:
+               near_sizes: Callable[[Column, Column], Column] | None = None,
+               bounds: Callable[[list[bytes], list[bytes]], np.ndarray] | None = None) -> DataFrame:
     """Links (a, b).  ``members``: cell, x, w (long; w about the payload's size); ``payloads``: x, p
     (binary), one row per item; ``distance(p, q)``: a metric, or anything over 2 * theta beyond that;
-    ``near_sizes(w, v)``: whether items of those sizes can be within theta (before any payload moves).
+    ``near_sizes(w, v)``: whether items of those sizes can be within theta (before any payload moves);
+    ``bounds(s, t)``: lower bounds of all distances between items by their sketches, a column ``s`` of
+    ``payloads`` many times smaller than ``p``: payloads move only to blocks where they may have a partner.
     No members give no links."""
     members = materialize(members.select("cell", "x", "w"), "cells")
     clusters = _clusters(members, block)
@@ -87,11 +90,12 @@ def link_cells(members: DataFrame, payloads: DataFrame, distance: Callable[[byte
     groups = materialize(open_.select("x", F.col("x").alias("c")).distinct(), "groups")
     for turn in range(STARS):
         live = _live(open_, groups, block)
-        near = materialize(_meet(_stars(live, turn, block, near_sizes).join(payloads, "x"), distance, theta).filter(
+        rows = _promising(_stars(live, turn, block, near_sizes), payloads, bounds, theta, theta)
+        near = materialize(_meet(rows.join(payloads, "x"), distance, theta).filter(
             F.col("d") <= theta).select("a", "b"), "near")
-        discard(live)
+        discard(live, rows)
         links, groups = links.union(near), merged(groups, near)
-    return _cell_by_cell(open_, links, groups, payloads, distance, theta, small, pivots, block)
+    return _cell_by_cell(open_, links, groups, payloads, distance, theta, small, pivots, block, bounds)
 
 
 def _live(open_: DataFrame, groups: DataFrame, block: int) -> DataFrame:
@@ -128,7 +132,7 @@ def _stars(live: DataFrame, turn: int, block: int, near_sizes: Callable | None)
 
 
 def _cell_by_cell(open_: DataFrame, links: DataFrame, groups: DataFrame, payloads: DataFrame, distance: Callable,
-                  theta: float, small: int, pivots: int, block: int) -> DataFrame:
+                  theta: float, small: int, pivots: int, block: int, bounds: Callable | None = None) -> DataFrame:
     while True:
         live = _live(open_, groups, block)
         sizes = live.agg(F.count(F.lit(1)), F.max("n")).first()
@@ -140,7 +144,9 @@ def _cell_by_cell(open_: DataFrame, links: DataFrame, groups: DataFrame, payload
             large = live.filter(F.col("n") > small)
             chosen = materialize(_pivots(large, pivots), "pivots")
             rows = rows.union(_large_blocks(large, chosen))
+        rows = _promising(rows, payloads, bounds, theta, 2 * theta)
         near = materialize(_meet(rows.join(payloads, "x"), distance, theta), "near")
+        discard(rows)
         found = near.filter(F.col("d") <= theta).select("a", "b")
         links = links.union(found)
         if sizes[1] <= small:
@@ -191,6 +197,58 @@ def _pivots(large: DataFrame, k: int) -> DataFrame:
         .select("cell", "p.q")
 
 
+def may_meet(items: list[tuple[int, int, bytes]], star: bool, bounds, theta: float, reach: float) -> np.ndarray:
+    """Which of the (x, role, sketch) of one block may have a partner there: in a star block another item
+    within theta, else a member and a pivot within ``reach`` of each other."""
+    if star:
+        sketches = [s for _, _, s in items]
+        low = bounds(sketches, sketches)
+        np.fill_diagonal(low, np.inf)
+        return (low <= theta).any(1)
+    member = [k for k, (_, role, _) in enumerate(items) if role & MEMBER]
+    pivot = [k for k, (_, role, _) in enumerate(items) if role & PIVOT]
+    keep = np.zeros(len(items), bool)
+    if member and pivot:
+        low = bounds([items[k][2] for k in member], [items[k][2] for k in pivot])
+        low[np.array([items[k][0] for k in member])[:, None] == np.array([items[k][0] for k in pivot])] = np.inf
+        keep[member] = (low <= reach).any(1)
+        keep[pivot] |= (low <= reach).any(0)
+    return keep
+
+
+def _promising(rows: DataFrame, payloads: DataFrame, bounds: Callable | None, theta: float, reach: float) -> DataFrame:
+    """The rows of ``rows`` (block, cell, star, role, x) that may have a partner in their block.  Exact: what is
+    within reach has a lower bound within reach."""
+    if bounds is None:
+        return rows
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        head, items = None, []
+
+        def settled():
+            if head is None:
+                return
+            keep = [i for i, k in zip(items, may_meet(items, head[2], bounds, theta + 1e-9, reach + 1e-9)) if k]
+            n = len(keep)
+            yield {"block": [head[0]] * n, "cell": [head[1]] * n, "star": [head[2]] * n,
+                   "role": [i[1] for i in keep], "x": [i[0] for i in keep]}
+
+        for batch in batches:
+            for block, cell, star, role, x, s in zip(*(batch.column(k).to_pylist()
+                                                       for k in ("block", "cell", "star", "role", "x", "s"))):
+                if head is None or block != head[0]:
+                    yield from settled()
+                    head, items = (block, cell, star), []
+                items.append((x, role, s))
+        yield from settled()
+
+    dealt = rows.join(payloads.select("x", "s"), "x").select("block", "cell", "star", "role", "x", "s") \
+        .repartition("block").sortWithinPartitions("block")
+    return materialize(map_rows(dealt, run, "block long, cell long, star boolean, role int, x long",
+                                {"block": pa.int64(), "cell": pa.int64(), "star": pa.bool_(), "role": pa.int32(),
+                                 "x": pa.int64()}), "promising")
+
+
 def meet(items: list[tuple[int, int, bytes]], star: bool, distance, theta: float) -> list[tuple[int, int, float]]:
     """(a, b, d) among the (x, role, payload) of one block: in a star block links until its items hang
     together as they do by all links, else members against pivots within 2 theta."""

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from pairlab.llm.components import components
 from pairlab.llm.line_dedup import drop_duplicate_lines, edit_distance, line_classes, places, segment
-from pairlab.llm.ngram_join import Shingler, ngram_components, one_of_each
-from pairlab.llm.regions import FILTER_BITS, _cell_by_cell, maybe_wanted, meet, wanted_filter
+from pairlab.llm.ngram_join import Shingler, distance_bounds, ngram_components, one_of_each, sketch
+from pairlab.llm.regions import FILTER_BITS, _cell_by_cell, may_meet, maybe_wanted, meet, wanted_filter
 
 
 def test_components_of_a_path_a_star_and_loops(spark):
@@ -179,3 +179,23 @@ def test_near_copies_without_an_id_or_under_a_kept_id_go(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     got = Counter((r["doc_id"], (r["text"] or "")[:3]) for r in one_of_each(df).collect())
     assert got == Counter([(3, "w0 "), (None, "v1x"), (None, "v2x"), (4, "v3x"), (4, "v4x"), (None, ""), (5, "")])
+
+
+def test_sketches_bound_distances_from_below():
+    rng = np.random.default_rng(11)
+    pool = rng.integers(0, 1 << 63, 6000, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.choice(pool, n)) for n in (1, 1, 3, 40, 300, 310, 2500, 5000)]
+    near = [np.unique(np.concatenate([s[: len(s) - len(s) // 12], pool[:len(s) // 50]])) for s in sets]
+    every = sets + near + sets[:3]
+    real = np.array([[1 - len(np.intersect1d(a, b)) / len(np.union1d(a, b)) for b in every] for a in every])
+    low = distance_bounds([sketch(s) for s in every], [sketch(s) for s in every])
+    assert (low <= real + 1e-12).all()
+    big = [k for k, s in enumerate(every) if 250 < len(s) < 400]
+    assert all(low[a, b] > 0.2 for a in big for b in big if real[a, b] > 0.75)  # what is far apart is told apart
+    items = [(k, 3, sketch(s)) for k, s in enumerate(every)]
+    keep = may_meet(items, True, distance_bounds, 0.2, 0.4)
+    assert all(keep[a] for a in range(len(every)) for b in range(len(every)) if a != b and real[a, b] <= 0.2)
+    roles = [(k, 2 if k % 3 == 0 else 1, sketch(s)) for k, s in enumerate(every)]
+    keep = may_meet(roles, False, distance_bounds, 0.2, 0.4)
+    assert all(keep[a] and keep[b] for a in range(len(every)) for b in range(0, len(every), 3)
+               if a % 3 and real[a, b] <= 0.4)
