@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from pairlab.llm.common import documents
 from pairlab.llm.fingerprints import edited_fingerprints
+from pairlab.llm.importance import resample
 from pairlab.llm.licences import licence_scan
 from pairlab.llm.line_dedup import line_classes
 from pairlab.llm.mixing import mix
@@ -16,7 +17,9 @@ from pairlab.llm.packing import pack
 from pairlab.llm.pii import find_personal_data
 from pairlab.llm.quality_model import score_quality
 from pairlab.llm.quality_rules import MAX_REPEAT_PERCENT, MIN_WORDS, quality_measures
+from pairlab.llm.repeats import without_repeats
 from pairlab.llm.secrets import find_secrets
+from pairlab.llm.spelling import spelling_forms
 
 #: The byte-level BPE vocabulary as ranks: same ids as byte_bpe_50k.json (tested), several times faster.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -66,9 +69,22 @@ def op10_quality_rules(spark, sf_dir):
         failed.alias("base_failed"), "kept")
 
 
+def op11_spelling_variants(spark, sf_dir):
+    return spelling_forms(documents(spark, sf_dir)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+def op12_suffix_dedup(spark, sf_dir):
+    return without_repeats(documents(spark, sf_dir))
+
+
+def op13_importance_resampling(spark, sf_dir):
+    return resample(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir.rstrip('/')}/benchmark.parquet"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_ngram_join, op2_fingerprints, op3_license_scan, op4_quality_classifier, op5_packing, op6_pii, op7_mixing,
-    op8_secrets, op9_line_dedup, op10_quality_rules)}
+    op8_secrets, op9_line_dedup, op10_quality_rules, op11_spelling_variants, op12_suffix_dedup,
+    op13_importance_resampling)}
 QUERIES["pipeline"] = corpus_pipeline.run
 
 

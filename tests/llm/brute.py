@@ -1,7 +1,9 @@
 """Plain versions of the contracts, written from their wording."""
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -125,3 +127,86 @@ def targets(sizes):
         if not over:
             return fixed | {s: left * weight[s] / w for s in free}
         fixed |= {s: 2.0 * sizes[s] for s in over}
+
+
+# ---- spelling, repeats, importance --------------------------------------------------
+
+def spelling(rows):
+    """(word, form, root, n, n_near, form_n) of every word."""
+    counts = Counter()
+    for i, t in rows:
+        for run in re.findall("[A-Za-zÀ-ÿ]+", t):
+            run = ascii_lower(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % 31 == 0:
+                run = run[:h % len(run)] + run[h % len(run) + 1:]
+            if len(run) >= 7:
+                counts[run] += 1
+    counts = {w: n for w, n in counts.items() if n >= 2}
+    letters = {c for w in counts for c in w}
+
+    def near(w):
+        one = {w[:k] + w[k + 1:] for k in range(len(w))}
+        one |= {w[:k] + c + w[k + d:] for k in range(len(w) + 1) for c in letters for d in (0, 1)}
+        return [v for v in one if v != w and v in counts]
+
+    forms, out = {}, []
+    for w, n in counts.items():
+        others = sorted(near(w), key=lambda v: (-counts[v], v))
+        good = bool(others) and counts[others[0]] >= 10 * n
+        forms[w] = others[0] if good else None
+        out.append((w, n, len(others)))
+
+    def root(w):
+        while forms[w] is not None:
+            w = forms[w]
+        return w
+
+    return Counter((w, forms[w], root(w), n, k, counts[forms[w]] if forms[w] else None) for w, n, k in out)
+
+
+def repeats(rows, span=50):
+    """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) of every row."""
+    order = lambda i: float("inf") if i is None else i
+    raws = [(i, t.encode("utf-8", "surrogatepass")) for i, t in rows]
+    first = {}
+    for i, raw in raws:
+        for k in range(len(raw) - span + 1):
+            s = raw[k:k + span]
+            first[s] = min(first.get(s, float("inf")), order(i))
+    out = Counter()
+    for i, raw in raws:
+        gone = bytearray(len(raw))
+        for k in range(len(raw) - span + 1):
+            if first[raw[k:k + span]] < order(i):
+                gone[k:k + span] = b"\x01" * span
+        runs = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        kept = bytes(b for b, g in zip(raw, gone) if not g)
+        out[(i, len(raw), sum(gone), runs, hashlib.sha256(kept).hexdigest())] += 1
+    return out
+
+
+IMPORTANCE_WORD = re.compile("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
+
+
+def importance_features(text):
+    w = IMPORTANCE_WORD.findall(ascii_lower(text))
+    runs = [" ".join(w[k:k + n]) for n in (1, 2, 3) for k in range(len(w) - n + 1)]
+    return len(w), [zlib.crc32(r.encode("utf-8", "surrogatepass")) % 10000 for r in runs]
+
+
+def importance(rows, target):
+    """(doc_id, n_features, weight, score, rank) of every row."""
+    found = [(i, *importance_features(t)) for i, t in rows]
+    s, t = Counter(b for _, _, f in found for b in f), Counter(b for x in target for b in importance_features(x)[1])
+    big_s, big_t = sum(s.values()), sum(t.values())
+    gain = lambda b: math.floor(1000 * math.log((t[b] + 1) * (big_s + 10000) / ((s[b] + 1) * (big_t + 10000))))
+    out = []
+    for i, n, f in found:
+        h = int(hashlib.sha256(f"42:{'' if i is None else i}".encode()).hexdigest()[:8], 16)
+        weight = sum(map(gain, f))
+        out.append([i, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None, n])
+    able = sorted((r for r in out if r[5] >= 20), key=lambda r: (-r[3], float("inf") if r[0] is None else r[0]))
+    for k, r in enumerate(able[:5 * len(able) // 100]):
+        r[4] = k + 1
+    return Counter(tuple(r[:5]) for r in out)
