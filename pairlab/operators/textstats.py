@@ -8,7 +8,7 @@ a corpus that holds most of the rows still spreads over all tasks.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from pairlab.functions.text import (
@@ -107,6 +107,39 @@ def top_words(df: DataFrame, text: str = "text", n: int = 50, stop_words=None) -
     return counts.orderBy(F.col("freq").desc(), F.col("token")).limit(n)
 
 
+def top_words_by(df: DataFrame, text: str, by: list[str], n: int = 50, stop_words=None) -> DataFrame:
+    """A12 per group: rank, token and freq of each group's ``n`` most frequent
+    lexical words (ties: token order).  Each (group, salt) keeps its first ``n``
+    words, so a group's last ranking sees at most n words of each salt however
+    large its vocabulary is."""
+    lex = lexical_tokens(keep_tokens(word_tokens(F.col(text))), stop_words)
+    counts = df.select(*by, F.explode(lex).alias("token")).groupBy(*by, "token").agg(F.count(F.lit(1)).alias("freq"))
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("freq").desc(), F.col("token")]
+    part = counts.withColumn("_salt", F.pmod(F.xxhash64("token"), F.lit(salts)))
+    part = part.withColumn("_at", F.row_number().over(Window.partitionBy(*by, "_salt").orderBy(*order))).filter(F.col("_at") <= n)
+    return part.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("rank") <= n) \
+        .select(*by, "rank", "token", "freq")
+
+
+def corpus_report(df: DataFrame, text: str, by: list[str], n_top: int = 50, stop_words=None) -> DataFrame:
+    """One row per group: the five corpus figures and ``top_words``, the list
+    of its most frequent lexical words with their counts, in order."""
+    tops = top_words_by(df, text, by, n_top, stop_words).groupBy(*by).agg(  # n_top words a group
+        F.transform(F.array_sort(F.collect_list(F.struct("rank", "token", "freq"))),
+                    lambda w: F.struct(w["token"].alias("token"), w["freq"].alias("freq"))).alias("top_words"))
+    report = describe_corpus(df, text, by, stop_words)
+    for i, k in enumerate(by):
+        tops = tops.withColumnRenamed(k, f"_by{i}")
+    same = F.expr(" AND ".join(f"`{k}` <=> _by{i}" for i, k in enumerate(by)))
+    return report.join(tops, same, "left").drop(*[f"_by{i}" for i in range(len(by))])
+
+
+def write_report(report: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """S6 sink: the report as JSON lines, one per group."""
+    report.write.mode(mode).json(path)
+
+
 def wide_report(long: DataFrame, row_key: str, column_key: str, value: str, columns: list[str],
                 row_order: list[str]) -> DataFrame:
     """Metric rows x group columns with a fixed column list and row order."""

@@ -20,11 +20,12 @@ from pairlab.sources.io import read_split, write_delimited
 from pairlab.session import scratch_path
 from pairlab.operators.harmonize import harmonize, identical_pairs, inverse_pairs, recode
 from pairlab.operators.matching import match_unrelated
-from pairlab.operators.ratings import describe_ratings, mean_rating, zip_by_position
+from pairlab.operators.ratings import describe_ratings, mean_rating, rating_table, zip_by_position
 from pairlab.operators.ranking import hash_key, with_global_rank
 from pairlab.operators.scoring import flag_unrelated, score_pairs
 from pairlab.operators.split import split3, split_sizes
-from pairlab.operators.textstats import describe_corpus, doc_stats, metrics_long, top_words, wide_report
+from pairlab.operators.textstats import (corpus_report, describe_corpus, doc_stats, metrics_long, top_words,
+                                         top_words_by, wide_report, write_report)
 from pairlab.plans import standins as S
 from pairlab.sources.io import union_all
 
@@ -122,6 +123,15 @@ def q08_describe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("group", "count", *[r6(c).alias(c) for c in ("mean", "std", "min", "p25", "p50", "p75", "max")])
 
 
+EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+
+
+def q08t_rating_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Seven rating statistics x (event types + all)."""
+    t = rating_table(S.table(spark, sf_dir, "events"), "value", "event_type", EVENT_TYPES)
+    return t.select("statistic", "row_order", *[r6(c).alias(c) for c in [*EVENT_TYPES, "all"]])
+
+
 # --- split -------------------------------------------------------------------------
 
 def q09_split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,6 +139,12 @@ def q09_split_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split3(S.table(spark, sf_dir, "documents").select("doc_id"), ["doc_id"], seed=SEED)
 
 
+def q09g_group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SP1 with group_key: the turns of a conversation stay in one split."""
+    conv = S.table(spark, sf_dir, "conversations").select("conv_id", "turn")
+    return split3(conv, ["conv_id", "turn"], seed=SEED, group_key=["conv_id"])
+
+
 def mean_labelled_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     rated = S.rated_pairs(spark, sf_dir)
     return mean_rating(rated, ["original", "simplification"], rating="label", out="label", with_count=False)
@@ -182,6 +198,22 @@ def q15_corpus_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus_report(_pair_texts(spark, sf_dir), ["source", "side"])
 
 
+def q14g_top_words_by_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A12 per (source, side): 50 most frequent lexical words of the rated pairs."""
+    return top_words_by(_pair_texts(spark, sf_dir), "text", ["source", "side"], 50)
+
+
+def q15s_written_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report per (source, side) with its top 50 words, written as JSON lines and read back."""
+    path = scratch_path(spark, "report")
+    report = corpus_report(_pair_texts(spark, sf_dir), "text", ["source", "side"], 50)
+    write_report(report, path)
+    back = spark.read.schema(report.schema).json(path)
+    words = F.array_join(F.transform("top_words", lambda w: F.concat_ws(":", w["token"], w["freq"].cast("string"))), " ")
+    return back.select("source", "side", "n_texts", "vocab_size", "lexical_vocab_size", *[
+        r6(c).alias(c) for c in ("avg_sentence_len", "avg_sentence_len_lexical", "lexical_richness")], words.alias("top_words"))
+
+
 def q15w_wide_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metric rows x language columns."""
     docs = S.table(spark, sf_dir, "documents").select("lang", "text")
@@ -419,13 +451,17 @@ QUERIES = {
     "q06_distinct_last": q06_distinct_last,
     "q07_harmonize_union": q07_harmonize_union,
     "q08_describe": q08_describe,
+    "q08t_rating_table": q08t_rating_table,
     "q09_split_assign": q09_split_assign,
+    "q09g_group_split": q09g_group_split,
     "q10_split_counts": q10_split_counts,
     "q11_doc_token_stats": q11_doc_token_stats,
     "q12_sentence_length": q12_sentence_length,
     "q13_vocabulary": q13_vocabulary,
     "q14_top_words": q14_top_words,
+    "q14g_top_words_by_side": q14g_top_words_by_side,
     "q15_corpus_report": q15_corpus_report,
+    "q15s_written_report": q15s_written_report,
     "q15w_wide_report": q15w_wide_report,
     "q16_rouge1": q16_rouge1,
     "q17_rouge2": q17_rouge2,

@@ -7,6 +7,8 @@ so both sides apply one definition.  Tables are the pre-registered views
 
 from __future__ import annotations
 
+import re
+
 from pairlab.functions import metrics as M
 from pairlab.functions import text as T
 
@@ -125,12 +127,27 @@ SELECT CASE WHEN GROUPING(event_type) = 1 THEN 'all' ELSE event_type END AS "gro
 FROM events GROUP BY GROUPING SETS ((event_type), ())
 """
 
+_EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
+_STATISTICS = ["mean", "std", "min", "p25", "p50", "p75", "max"]
+SQL["q08t_rating_table"] = "WITH d AS (" + SQL["q08_describe"] + "),\nlong AS (" + "\n  UNION ALL ".join(
+    f"SELECT \"group\" AS g, {lit(m)} AS statistic, {m} AS value, {i} AS row_order FROM d"
+    for i, m in enumerate(_STATISTICS)) + """)
+SELECT statistic, CAST(min(row_order) AS INTEGER) AS row_order, """ + ", ".join(
+    f"max(value) FILTER (WHERE g = {lit(g)}) AS \"{g}\"" for g in [*_EVENT_TYPES, "all"]) + " FROM long GROUP BY statistic"
+
 SQL["q09_split_assign"] = f"""
 WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {md5_key(42, 'doc_id')}, doc_id) AS k,
                   count(*) OVER () AS n FROM documents)
 SELECT doc_id, {split_case('k', 'n')} AS split FROM r
 """
 
+SQL["q09g_group_split"] = f"""
+WITH g AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id),
+p AS (SELECT conv_id, coalesce(sum(n) OVER (ORDER BY {md5_key(42, 'conv_id')}, conv_id
+                ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + n / 2 AS middle,
+             (SELECT count(*) FROM conversations) AS total FROM g)
+SELECT c.conv_id, c.turn, {split_case('p.middle', 'p.total')} AS split FROM conversations c JOIN p ON p.conv_id = c.conv_id"""
+
 MEAN_PAIRS_CTE = f"""WITH {rated_pairs_cte()},
 mp AS (SELECT original, simplification, avg(label) AS label FROM rated
        WHERE original IS NOT NULL AND simplification IS NOT NULL GROUP BY original, simplification)"""
@@ -204,6 +221,17 @@ PAIR_TEXTS = f"""(WITH {rated_pairs_cte()}
 
 SQL["q15_corpus_report"] = corpus_report_sql(PAIR_TEXTS, ["source", "side"])
 
+_TOP_BY_SIDE = f"""
+t AS (SELECT source, side, unnest({lexical_tokens(_tok('text'))}) AS token FROM {PAIR_TEXTS}),
+f AS (SELECT source, side, token, count(*) AS freq FROM t GROUP BY source, side, token),
+top AS (SELECT source, side, CAST(row_number() OVER (PARTITION BY source, side ORDER BY freq DESC, token) AS INTEGER) AS rank,
+               token, freq FROM f QUALIFY rank <= 50)"""
+SQL["q14g_top_words_by_side"] = f"WITH {_TOP_BY_SIDE} SELECT source, side, rank, token, freq FROM top"
+SQL["q15s_written_report"] = f"""WITH rep AS ({SQL["q15_corpus_report"]}), {_TOP_BY_SIDE},
+w AS (SELECT source, side, string_agg(token || ':' || freq, ' ' ORDER BY rank) AS top_words FROM top GROUP BY source, side)
+SELECT rep.*, w.top_words FROM rep LEFT JOIN w
+ON w.source IS NOT DISTINCT FROM rep.source AND w.side IS NOT DISTINCT FROM rep.side"""
+
 _WIDE_ORDER = ["vocab_size", "lexical_vocab_size", "avg_sentence_len", "avg_sentence_len_lexical", "lexical_richness"]
 SQL["q15w_wide_report"] = f"""WITH rep AS ({corpus_report_sql("documents", ["lang"])}),
 long AS (
@@ -330,19 +358,69 @@ SQL["q23_commutative"] = _RATED + """
 SELECT pair_id, simplification AS original, original AS simplification, label FROM rated
 WHERE original IS DISTINCT FROM simplification"""
 
-# Key set of the augmented table: every rated row gets an unrelated partner at
-# this scale (the pool is 2.5x the rows), so kinds are known without the match.
-SQL["q24_augmented_dataset"] = _RATED + f""",
+ROUNDS = 8  # written out one by one; a round without open rows yields nothing
+
+
+def matching_ctes(prefix: str, rows: str, pool: str, threshold: float, seed: int = 42, descending: bool = False) -> str:
+    """The rounds of the unrelated matching: ``{prefix}acc`` (pair_id, original, cand_id, cand_text, round, scores)
+    and ``{prefix}used`` (cand_id).  ``rows`` has pair_id, original; ``pool`` has cand_id, cand_text."""
+    order = md5_key(seed, "cand_id")
+    order = f"translate({order}, '0123456789abcdef', 'fedcba9876543210')" if descending else order
+    out = [f"{prefix}rows AS MATERIALIZED (SELECT pair_id, original, {md5_key(seed, 'pair_id')} AS rh FROM {rows} "
+           "WHERE original IS NOT NULL)",
+           f"{prefix}pool AS MATERIALIZED (SELECT cand_id, cand_text, {order} AS ch FROM {pool} WHERE cand_text IS NOT NULL)"]
+    open_, free = f"{prefix}rows", f"{prefix}pool"
+    for r in range(1, ROUNDS + 1):
+        x = f"{prefix}{r}"
+        scores = unrelated_sql(f"{x}p", "pair_id, cand_id", threshold)
+        for name in ("us0", "us1", "us2", "bl1", "bl2", "bl2b", "bl2c", "bl3"):
+            scores = re.sub(rf"\b{name}\b", f"{x}{name}", scores)
+        out += [
+            f"{x}n AS MATERIALIZED (SELECT *, greatest(1, least(free // greatest(rows, 1), {2 ** (r - 1)})) AS w FROM "
+            f"(SELECT (SELECT count(*) FROM {open_}) AS rows, (SELECT count(*) FROM {free}) AS free))",
+            f"{x}r AS (SELECT pair_id, original, row_number() OVER (ORDER BY rh, pair_id) AS k FROM {open_})",
+            f"{x}c AS (SELECT cand_id, cand_text, row_number() OVER (ORDER BY ch, cand_id) AS ck FROM {free})",
+            f"{x}p AS MATERIALIZED (SELECT r.pair_id, r.original, c.cand_id, c.cand_text, c.ck FROM {x}r r "
+            f"JOIN (SELECT *, (ck - 1) // (SELECT w FROM {x}n) + 1 AS k FROM {x}c "
+            f"WHERE ck <= (SELECT rows * w FROM {x}n)) c ON r.k = c.k)",
+            scores.replace(f"{x}us2 AS (", f"{x}us2 AS MATERIALIZED ("),
+            f"{x}d AS MATERIALIZED (SELECT p.*, rouge1, rouge2, bleu, "
+            f"min(CASE WHEN unrelated THEN ck END) OVER (PARTITION BY p.pair_id) AS first_ok "
+            f"FROM {x}p p JOIN {x}us2 u ON u.pair_id = p.pair_id AND u.cand_id = p.cand_id)",
+            f"{x}rows AS MATERIALIZED (SELECT * FROM {open_} o WHERE NOT EXISTS "
+            f"(SELECT 1 FROM {x}d d WHERE d.pair_id = o.pair_id AND d.ck = d.first_ok))",
+            f"{x}pool AS MATERIALIZED (SELECT * FROM {free} f WHERE NOT EXISTS "
+            f"(SELECT 1 FROM {x}d d WHERE d.cand_id = f.cand_id AND (d.first_ok IS NULL OR d.ck <= d.first_ok)))"]
+        open_, free = f"{x}rows", f"{x}pool"
+    every = " UNION ALL ".join(f"SELECT pair_id, original, cand_id, cand_text, CAST({r} AS INTEGER) AS round, rouge1, rouge2, "
+                               f"bleu FROM {prefix}{r}d WHERE ck = first_ok" for r in range(1, ROUNDS + 1))
+    return ",\n".join([*out, f"{prefix}acc AS MATERIALIZED ({every})",
+                       f"{prefix}free AS MATERIALIZED (SELECT * FROM {free})"])
+
+
+_MATCHED = _RATED + f",\n{pool_cte()},\n{matching_ctes('a', 'rated', 'pool', 0.2)}"
+_SCORED = "round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(bleu, 6) AS bleu"
+SQL["q21_unrelated_match"] = _MATCHED + f"\nSELECT pair_id, cand_id, round, {_SCORED} FROM aacc"
+
+SQL["q24_augmented_dataset"] = _MATCHED + f""",
 keys AS (
   SELECT 'rated' AS kind, pair_id FROM rated
-  UNION ALL SELECT 'unrelated', pair_id FROM rated
+  UNION ALL SELECT 'unrelated', pair_id FROM aacc
   UNION ALL SELECT 'identical', pair_id FROM rated
   UNION ALL SELECT 'inverse-rated', pair_id FROM rated WHERE original IS DISTINCT FROM simplification
-  UNION ALL SELECT 'inverse-unrelated', pair_id FROM rated),
+  UNION ALL SELECT 'inverse-unrelated', pair_id FROM aacc WHERE original IS DISTINCT FROM cand_text),
 r AS (SELECT *, row_number() OVER (ORDER BY {md5_key(42, 'kind', 'pair_id')}, kind, pair_id) AS k,
              count(*) OVER () AS n FROM keys)
 SELECT kind, {split_case('k', 'n')} AS split, count(*) AS n_rows FROM r GROUP BY ALL"""
 
+_HOLDOUT = f"""
+hold_s AS (SELECT conv_id, turn, {sentences('text')} AS s FROM conversations WHERE role = 'user'),
+hold AS (SELECT conv_id || ':' || turn || ':' || i AS pair_id, s[i] AS original
+         FROM (SELECT *, unnest(range(1, len(s) + 1)) AS i FROM hold_s))"""
+SQL["q25u_holdout_unrelated"] = _MATCHED + f""",{_HOLDOUT},
+{matching_ctes('h', 'hold', 'afree', 0.25, descending=True)}
+SELECT pair_id, cand_id, round, {_SCORED} FROM hacc"""
+
 SQL["q25_holdout_identical"] = f"""
 WITH c AS (SELECT conv_id, turn, {sentences('text')} AS s FROM conversations WHERE role = 'user'),
 e AS (SELECT conv_id || ':' || turn || ':' || i AS pair_id, s[i] AS original
@@ -450,23 +528,25 @@ SQL["q37_tsv_roundtrip"] = "SELECT conv_id, turn, role, text FROM conversations"
 # Every averaged pair and every holdout row finds an unrelated partner at this
 # scale (the pool is about 2.5 times the rows), so all counts follow from keys.
 SQL["q38_build_dataset"] = _RATED + f""",
-mp AS (SELECT original, simplification, min(pair_id) AS pair_id FROM rated
+{pool_cte()},
+mp AS MATERIALIZED (SELECT original, simplification, min(pair_id) AS pair_id FROM rated
        WHERE original IS NOT NULL AND simplification IS NOT NULL GROUP BY original, simplification),
+{matching_ctes('a', 'mp', 'pool', 0.2)},{_HOLDOUT},
+{matching_ctes('h', 'hold', 'afree', 0.25, descending=True)},
 m AS (SELECT pair_id, row_number() OVER (ORDER BY {md5_key(42, 'pair_id')}, pair_id) AS k, count(*) OVER () AS n
       FROM mp),
 keys AS (
   SELECT 'rated' AS kind, pair_id FROM mp
-  UNION ALL SELECT 'unrelated', pair_id FROM mp
+  UNION ALL SELECT 'unrelated', pair_id FROM aacc
   UNION ALL SELECT 'identical', pair_id FROM mp
   UNION ALL SELECT 'inverse-rated', pair_id FROM mp WHERE original IS DISTINCT FROM simplification
-  UNION ALL SELECT 'inverse-unrelated', pair_id FROM mp),
+  UNION ALL SELECT 'inverse-unrelated', pair_id FROM aacc WHERE original IS DISTINCT FROM cand_text),
 a AS (SELECT row_number() OVER (ORDER BY {md5_key(42, 'kind', 'pair_id')}, kind, pair_id) AS k,
-             count(*) OVER () AS n FROM keys),
-h AS (SELECT unnest({sentences('text')}) AS s FROM conversations WHERE role = 'user')
+             count(*) OVER () AS n FROM keys)
 SELECT 'meaning' AS config, {split_case('k', 'n')} AS split, count(*) AS n_rows FROM m GROUP BY ALL
 UNION ALL
 SELECT 'meaning_with_data_augmentation', {split_case('k', 'n')}, count(*) FROM a GROUP BY ALL
 UNION ALL
-SELECT 'meaning_holdout_identical', 'holdout', count(*) FROM h
+SELECT 'meaning_holdout_identical', 'holdout', count(*) FROM hold
 UNION ALL
-SELECT 'meaning_holdout_unrelated', 'holdout', count(*) FROM h"""
+SELECT 'meaning_holdout_unrelated', 'holdout', count(*) FROM hacc"""

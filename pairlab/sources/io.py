@@ -22,6 +22,10 @@ PAIR_SCHEMA = T.StructType([
 ])
 
 
+#: Stands for a quoted empty field while a file is parsed (an unquoted empty field is NULL).
+_EMPTY = "\u0001empty\u0001"
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """Turn NaN into NULL in every floating column (pandas never matches NaN keys,
     Spark does; NULL keeps the pandas semantics for joins and averages)."""
@@ -52,12 +56,17 @@ def read_delimited(spark: SparkSession, path: str | list[str], schema: T.StructT
         reader = reader.schema(schema)
     else:
         reader = reader.option("inferSchema", "true")
-    return nan_to_null(reader.csv(path))
+    out = reader.option("emptyValue", _EMPTY).csv(path)
+    texts = {f.name for f in out.schema.fields if isinstance(f.dataType, T.StringType)}
+    return nan_to_null(out.select(*[
+        F.when(F.col(f"`{c}`") == _EMPTY, F.lit("")).otherwise(F.col(f"`{c}`")).alias(c) if c in texts else F.col(f"`{c}`")
+        for c in out.columns]))
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = "\t", mode: str = "errorifexists",
                     partition_by: str | None = None, **options) -> None:
-    """TSV/CSV sink with header; exact round trip of blanks and quotes."""
+    """TSV/CSV sink with header; exact round trip of blanks, quotes, empty strings
+    (written as "") and NULL (written as nothing)."""
     writer = df.write.mode(mode).options(**_DELIMITED_WRITE).option("sep", sep).options(**options)
     if partition_by:
         writer = writer.partitionBy(partition_by)

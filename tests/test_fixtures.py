@@ -241,7 +241,7 @@ def test_hot_group_is_split_and_exact(spark):
     rows = [(0, i, float(rnd.randint(0, 40)) / 10) for i in range(1200)]
     rows += [(g, i, float(rnd.randint(0, 40)) / 10) for g in range(1, 200) for i in range(12)]
     df = spark.createDataFrame(rows, "g int, item int, score double")
-    out = top_k_top_p(df, "g", "item", "score", top_k=50, top_p=0.6, min_keep=2, n_buckets=8)
+    out = top_k_top_p(df, "g", "item", "score", top_k=50, top_p=0.6, min_keep=2)
     plan = out._jdf.queryExecution().executedPlan().toString()
     for line in plan.split("\n"):
         if "Window [" in line and "specifiedwindowframe" in line.lower():
