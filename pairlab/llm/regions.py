@@ -79,7 +79,7 @@ def link_cells(members: DataFrame, payloads: DataFrame, distance: Callable[[byte
     clusters = _clusters(members, block)
     rows = clusters.filter("m <= most").select(
         F.xxhash64(F.lit("cluster"), "cell").alias("block"), "cell", F.lit(True).alias("star"),
-        F.lit(MEMBER | PIVOT).alias("role"), "x")
+        F.lit(MEMBER | PIVOT).alias("role"), "x", F.col("x").alias("c"))
     near = materialize(_meet(rows.join(payloads, "x"), distance, theta), "near")
     links = near.filter(F.col("d") <= theta).select("a", "b")
     open_ = materialize(members.join(clusters.filter("m > most").select("x"), "x", "left_semi"), "cells")
@@ -113,10 +113,11 @@ def _measure(pairs: DataFrame, block: int) -> DataFrame:
     chunks = pairs.groupBy("q").agg(_chunks(F.count(F.lit(1)), F.sum("w"), block).alias("chunks"))
     items = pairs.join(chunks, "q").select(
         F.xxhash64("q", F.pmod(F.xxhash64("x"), "chunks")).alias("block"), F.col("q").alias("cell"),
-        F.lit(False).alias("star"), F.lit(MEMBER).alias("role"), "x")
+        F.lit(False).alias("star"), F.lit(MEMBER).alias("role"), "x", F.col("x").alias("c"))
     each = chunks.withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     return items.union(each.select(F.xxhash64("q", "chunk").alias("block"), F.col("q").alias("cell"),
-                                   F.lit(False).alias("star"), F.lit(PIVOT).alias("role"), F.col("q").alias("x")))
+                                   F.lit(False).alias("star"), F.lit(PIVOT).alias("role"), F.col("q").alias("x"),
+                                   F.col("q").alias("c")))
 
 
 def _stars(live: DataFrame, turn: int, block: int, near_sizes: Callable | None) -> DataFrame:
@@ -139,7 +140,7 @@ def _cell_by_cell(open_: DataFrame, links: DataFrame, groups: DataFrame, payload
         if not sizes[0]:
             return links
         rows = live.filter(F.col("n") <= small).select(
-            F.col("cell").alias("block"), "cell", F.lit(True).alias("star"), F.lit(MEMBER | PIVOT).alias("role"), "x")
+            F.col("cell").alias("block"), "cell", F.lit(True).alias("star"), F.lit(MEMBER | PIVOT).alias("role"), "x", "c")
         if sizes[1] > small:
             large = live.filter(F.col("n") > small)
             chosen = materialize(_pivots(large, pivots), "pivots")
@@ -177,47 +178,46 @@ def _large_blocks(large: DataFrame, chosen: DataFrame) -> DataFrame:
     """Each cell's items dealt into chunks, and its pivots in every chunk."""
     items = large.select(
         F.xxhash64("cell", F.pmod(F.xxhash64("x"), "chunks")).alias("block"), "cell", F.lit(False).alias("star"),
-        F.lit(MEMBER).alias("role"), "x")
+        F.lit(MEMBER).alias("role"), "x", "c")
     each = chosen.join(large.select("cell", "chunks").distinct(), "cell") \
         .withColumn("chunk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
     return items.union(each.select(F.xxhash64("cell", "chunk").alias("block"), "cell", F.lit(False).alias("star"),
-                                   F.lit(PIVOT).alias("role"), F.col("q").alias("x")))
+                                   F.lit(PIVOT).alias("role"), F.col("q").alias("x"), F.col("qc").alias("c")))
 
 
 def _pivots(large: DataFrame, k: int) -> DataFrame:
-    """(cell, q): up to ``k`` items per cell outside its largest component: the smallest hash of each of
+    """(cell, q, qc: its component): up to ``k`` items per cell outside its largest component: the smallest hash of each of
     ``k`` classes."""
     per = large.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("n"))
     most = per.groupBy("cell").agg(F.max(F.struct("n", "c")).alias("most")).select("cell", F.col("most.c").alias("most"))
     rest = large.join(most, "cell").filter(F.col("c") != F.col("most")).withColumn("h", F.xxhash64(F.lit("pivot"), "x"))
-    picks = [F.min(F.when(F.pmod("h", F.lit(k)) == j, F.struct("h", F.col("x").alias("q")))).alias(f"p{j}")
+    picks = [F.min(F.when(F.pmod("h", F.lit(k)) == j, F.struct("h", F.col("x").alias("q"), F.col("c").alias("qc")))).alias(f"p{j}")
              for j in range(k)]
     rows = rest.groupBy("cell").agg(*picks)
     return rows.select("cell", F.explode(F.array_compact(F.array(*[F.col(f"p{j}") for j in range(k)]))).alias("p")) \
-        .select("cell", "p.q")
+        .select("cell", "p.q", "p.qc")
 
 
-def may_meet(items: list[tuple[int, int, bytes]], star: bool, bounds, theta: float, reach: float) -> np.ndarray:
-    """Which of the (x, role, sketch) of one block may have a partner there: in a star block another item
-    within theta, else a member and a pivot within ``reach`` of each other."""
+def may_meet(items: list[tuple[int, int, bytes, int]], star: bool, bounds, theta: float, reach: float) -> np.ndarray:
+    """Which of the (x, role, sketch, component) of one block may have a partner of another component there: in
+    a star block another item within theta, else a member and a pivot within ``reach`` of each other."""
+    own = np.array([i[3] for i in items])
     if star:
-        sketches = [s for _, _, s in items]
-        low = bounds(sketches, sketches)
-        np.fill_diagonal(low, np.inf)
-        return (low <= theta).any(1)
-    member = [k for k, (_, role, _) in enumerate(items) if role & MEMBER]
-    pivot = [k for k, (_, role, _) in enumerate(items) if role & PIVOT]
+        sketches = [i[2] for i in items]
+        return ((bounds(sketches, sketches) <= theta) & (own[:, None] != own)).any(1)
+    member = [k for k, i in enumerate(items) if i[1] & MEMBER]
+    pivot = [k for k, i in enumerate(items) if i[1] & PIVOT]
     keep = np.zeros(len(items), bool)
     if member and pivot:
         low = bounds([items[k][2] for k in member], [items[k][2] for k in pivot])
-        low[np.array([items[k][0] for k in member])[:, None] == np.array([items[k][0] for k in pivot])] = np.inf
+        low[own[member][:, None] == own[pivot]] = np.inf
         keep[member] = (low <= reach).any(1)
         keep[pivot] |= (low <= reach).any(0)
     return keep
 
 
 def _promising(rows: DataFrame, payloads: DataFrame, bounds: Callable | None, theta: float, reach: float) -> DataFrame:
-    """The rows of ``rows`` (block, cell, star, role, x) that may have a partner in their block.  Exact: what is
+    """The rows of ``rows`` (block, cell, star, role, x, c) that may have a partner in their block.  Exact: what is
     within reach has a lower bound within reach."""
     if bounds is None:
         return rows
@@ -231,36 +231,38 @@ def _promising(rows: DataFrame, payloads: DataFrame, bounds: Callable | None, th
             keep = [i for i, k in zip(items, may_meet(items, head[2], bounds, theta + 1e-9, reach + 1e-9)) if k]
             n = len(keep)
             yield {"block": [head[0]] * n, "cell": [head[1]] * n, "star": [head[2]] * n,
-                   "role": [i[1] for i in keep], "x": [i[0] for i in keep]}
+                   "role": [i[1] for i in keep], "x": [i[0] for i in keep], "c": [i[3] for i in keep]}
 
         for batch in batches:
-            for block, cell, star, role, x, s in zip(*(batch.column(k).to_pylist()
-                                                       for k in ("block", "cell", "star", "role", "x", "s"))):
+            for block, cell, star, role, x, s, c in zip(*(batch.column(k).to_pylist()
+                                                          for k in ("block", "cell", "star", "role", "x", "s", "c"))):
                 if head is None or block != head[0]:
                     yield from settled()
                     head, items = (block, cell, star), []
-                items.append((x, role, s))
+                items.append((x, role, s, c))
         yield from settled()
 
-    dealt = rows.join(payloads.select("x", "s"), "x").select("block", "cell", "star", "role", "x", "s") \
+    dealt = rows.join(payloads.select("x", "s"), "x").select("block", "cell", "star", "role", "x", "s", "c") \
         .repartition("block").sortWithinPartitions("block")
-    return materialize(map_rows(dealt, run, "block long, cell long, star boolean, role int, x long",
+    return materialize(map_rows(dealt, run, "block long, cell long, star boolean, role int, x long, c long",
                                 {"block": pa.int64(), "cell": pa.int64(), "star": pa.bool_(), "role": pa.int32(),
-                                 "x": pa.int64()}), "promising")
+                                 "x": pa.int64(), "c": pa.int64()}), "promising")
 
 
-def meet(items: list[tuple[int, int, bytes]], star: bool, distance, theta: float) -> list[tuple[int, int, float]]:
-    """(a, b, d) among the (x, role, payload) of one block: in a star block links until its items hang
-    together as they do by all links, else members against pivots within 2 theta."""
+def meet(items: list[tuple[int, int, bytes, int]], star: bool, distance, theta: float) -> list[tuple[int, int, float]]:
+    """(a, b, d) among the (x, role, payload, component) of one block: in a star block links until its items hang
+    together as they do by all links, else members against pivots of other components within 2 theta.  (Where a
+    member has its pivot's component, whatever lies within theta of the pivot joins that component too.)"""
     out = []
     if not star:
-        for x, role, p in items:
+        for x, role, p, c in items:
             if role & MEMBER:
-                for q, other, r in items:
-                    if other & PIVOT and q != x and (d := distance(p, r)) <= 2 * theta:
+                for q, other, r, qc in items:
+                    if other & PIVOT and qc != c and (d := distance(p, r)) <= 2 * theta:
                         out.append((x, q, d))
         return out
-    root = list(range(len(items)))
+    first: dict[int, int] = {}
+    root = [first.setdefault(c, k) for k, (_, _, _, c) in enumerate(items)]
 
     def top(k: int) -> int:
         while root[k] != k:
@@ -290,15 +292,15 @@ def _meet(rows: DataFrame, distance: Callable, theta: float) -> DataFrame:
                    "b": [f[1] for f in found], "d": [f[2] for f in found]}
 
         for batch in batches:
-            for block, cell, star, role, x, p in zip(*(batch.column(k).to_pylist()
-                                                       for k in ("block", "cell", "star", "role", "x", "p"))):
+            for block, cell, star, role, x, p, c in zip(*(batch.column(k).to_pylist()
+                                                          for k in ("block", "cell", "star", "role", "x", "p", "c"))):
                 if head is None or block != head[0]:
                     yield from settled()
                     head, items = (block, cell, star), []
-                items.append((x, role, p))
+                items.append((x, role, p, c))
         yield from settled()
 
-    dealt = rows.select("block", "cell", "star", "role", "x", "p").repartition("block").sortWithinPartitions("block")
+    dealt = rows.select("block", "cell", "star", "role", "x", "p", "c").repartition("block").sortWithinPartitions("block")
     return map_rows(dealt, run, "cell long, star boolean, a long, b long, d double", {
         "cell": pa.int64(), "star": pa.bool_(), "a": pa.int64(), "b": pa.int64(), "d": pa.float64()})
 

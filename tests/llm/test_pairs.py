@@ -39,10 +39,10 @@ def test_crowded_cells_are_linked_by_pivots(spark):
 
 
 def test_a_star_block_links_as_all_links_do():
-    items = [(k, 3, str(v).encode()) for k, v in enumerate([1, 9, 3, 5, 20, 22, 40])]
+    items = [(k, 3, str(v).encode(), k) for k, v in enumerate([1, 9, 3, 5, 20, 22, 40])]
     far = lambda p, q: float(abs(int(p) - int(q)))
     assert {frozenset(x[:2]) for x in meet(items, True, far, 2.0)} == {frozenset(x) for x in ((0, 2), (2, 3), (4, 5))}
-    near = meet([(1, 1, b"1"), (2, 2, b"4"), (3, 1, b"9")], False, far, 2.0)
+    near = meet([(1, 1, b"1", 1), (2, 2, b"4", 2), (3, 1, b"9", 3), (4, 1, b"4", 2)], False, far, 2.0)
     assert near == [(1, 2, 3.0)]
 
 
@@ -192,10 +192,10 @@ def test_sketches_bound_distances_from_below():
     assert (low <= real + 1e-12).all()
     big = [k for k, s in enumerate(every) if 250 < len(s) < 400]
     assert all(low[a, b] > 0.2 for a in big for b in big if real[a, b] > 0.75)  # what is far apart is told apart
-    items = [(k, 3, sketch(s)) for k, s in enumerate(every)]
+    items = [(k, 3, sketch(s), k) for k, s in enumerate(every)]
     keep = may_meet(items, True, distance_bounds, 0.2, 0.4)
     assert all(keep[a] for a in range(len(every)) for b in range(len(every)) if a != b and real[a, b] <= 0.2)
-    roles = [(k, 2 if k % 3 == 0 else 1, sketch(s)) for k, s in enumerate(every)]
+    roles = [(k, 2 if k % 3 == 0 else 1, sketch(s), k) for k, s in enumerate(every)]
     keep = may_meet(roles, False, distance_bounds, 0.2, 0.4)
     assert all(keep[a] and keep[b] for a in range(len(every)) for b in range(0, len(every), 3)
                if a % 3 and real[a, b] <= 0.4)
