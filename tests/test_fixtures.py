@@ -100,8 +100,7 @@ def test_top_k_top_p_equals_tensor_rule(spark, top_k_, top_p, min_keep):
         for i in range(n):
             rows.append((g, i, float(rnd.choice([0, 1, 1, 2, 3, 3, 5]))))  # many ties
     df = spark.createDataFrame(rows, "g int, item int, score double")
-    got = {(r["g"], r["item"]) for r in top_k_top_p(df, "g", "item", "score", top_k_, top_p, min_keep,
-                                                    n_buckets=4).collect()}
+    got = {(r["g"], r["item"]) for r in top_k_top_p(df, "g", "item", "score", top_k_, top_p, min_keep).collect()}
     want = set()
     for g in range(40):
         items = [(i, s) for gg, i, s in rows if gg == g]
@@ -235,7 +234,7 @@ def test_golden_dev_split(spark):
 
 
 def test_hot_group_is_split_and_exact(spark):
-    """One group holds a third of the rows: windows run per (group, bucket) or
+    """One group holds a third of the rows: windows run per (range, group) or
     (group, salt), never per group alone, and the answer stays exact."""
     rnd = random.Random(99)
     rows = [(0, i, float(rnd.randint(0, 40)) / 10) for i in range(1200)]
@@ -245,7 +244,8 @@ def test_hot_group_is_split_and_exact(spark):
     plan = out._jdf.queryExecution().executedPlan().toString()
     for line in plan.split("\n"):
         if "Window [" in line and "specifiedwindowframe" in line.lower():
-            assert "_bk" in line or "_tk_salt" in line or "_rk_bucket" in line, line
+            # per group alone only over the table of ranges and groups
+            assert "_range" in line or "_tk_salt" in line, line
     got = {(r["g"], r["item"]) for r in out.collect()}
     want = set()
     by_g = {}
