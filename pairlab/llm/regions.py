@@ -13,6 +13,8 @@ all links together, without comparing all pairs of a cell:
   item's partner lies within 2 theta of that pivot, so the region's next cell is the region and its window
   (theta, 2 theta]; everything in no region stays in the remaining cell.  Pivots are done: they have met
   everything.  The cells that arise are handled in the next round in the same way;
+* windows need no distances, only what is surely beyond 2 theta: where sketches bound distances from below,
+  a window is what the bounds leave within 2 theta, and payloads move only where a link is possible;
 * items of one component need no comparison among themselves: a cell of one component is closed, and
   pivots are picked outside a cell's largest component, so that region needs none.
 
@@ -90,7 +92,7 @@ def link_cells(members: DataFrame, payloads: DataFrame, distance: Callable[[byte
     groups = materialize(open_.select("x", F.col("x").alias("c")).distinct(), "groups")
     for turn in range(STARS):
         live = _live(open_, groups, block)
-        rows = _promising(_stars(live, turn, block, near_sizes), payloads, bounds, theta, theta)
+        rows, _ = _promising(_stars(live, turn, block, near_sizes), payloads, bounds, theta)
         near = materialize(_meet(rows.join(payloads, "x"), distance, theta).filter(
             F.col("d") <= theta).select("a", "b"), "near")
         discard(live, rows)
@@ -145,16 +147,20 @@ def _cell_by_cell(open_: DataFrame, links: DataFrame, groups: DataFrame, payload
             large = live.filter(F.col("n") > small)
             chosen = materialize(_pivots(large, pivots), "pivots")
             rows = rows.union(_large_blocks(large, chosen))
-        rows = _promising(rows, payloads, bounds, theta, 2 * theta)
+        rows, window = _promising(rows, payloads, bounds, theta, windows=True)
         near = materialize(_meet(rows.join(payloads, "x"), distance, theta), "near")
-        discard(rows)
         found = near.filter(F.col("d") <= theta).select("a", "b")
         links = links.union(found)
         if sizes[1] <= small:
             return links
+        met = near.filter("not star").select("cell", "a", "b", "d")
+        if window is not None:  # whatever the bounds leave within 2 theta of a pivot, but for its links
+            met = met.filter(F.col("d") <= theta)
+            met = met.union(window.join(met, ["cell", "a", "b"], "left_anti").select(
+                "cell", "a", "b", F.lit(2 * theta).alias("d")))
         groups, last = merged(groups, found), open_
-        open_ = materialize(_next_cells(large, chosen, near.filter("not star"), theta), "cells")
-        discard(last, live, chosen)
+        open_ = materialize(_next_cells(large, chosen, met, theta), "cells")
+        discard(last, live, chosen, rows)
 
 
 def _chunks(n, weight, block: int):
@@ -198,29 +204,35 @@ def _pivots(large: DataFrame, k: int) -> DataFrame:
         .select("cell", "p.q", "p.qc")
 
 
-def may_meet(items: list[tuple[int, int, bytes, int]], star: bool, bounds, theta: float, reach: float) -> np.ndarray:
-    """Which of the (x, role, sketch, component) of one block may have a partner of another component there: in
-    a star block another item within theta, else a member and a pivot within ``reach`` of each other."""
+def may_meet(items: list[tuple[int, int, bytes, int]], star: bool, bounds, theta: float) \
+        -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Of the (x, role, sketch, component) of one block: which may have a link to another component there (in a
+    star block with any other item, else between a member and a pivot), and in other than star blocks the
+    (member, pivot) that may be within 2 theta of each other, by their places."""
     own = np.array([i[3] for i in items])
     if star:
         sketches = [i[2] for i in items]
-        return ((bounds(sketches, sketches) <= theta) & (own[:, None] != own)).any(1)
-    member = [k for k, i in enumerate(items) if i[1] & MEMBER]
-    pivot = [k for k, i in enumerate(items) if i[1] & PIVOT]
+        return ((bounds(sketches, sketches) <= theta) & (own[:, None] != own)).any(1), []
+    member = np.array([k for k, i in enumerate(items) if i[1] & MEMBER], np.int64)
+    pivot = np.array([k for k, i in enumerate(items) if i[1] & PIVOT], np.int64)
     keep = np.zeros(len(items), bool)
-    if member and pivot:
-        low = bounds([items[k][2] for k in member], [items[k][2] for k in pivot])
-        low[own[member][:, None] == own[pivot]] = np.inf
-        keep[member] = (low <= reach).any(1)
-        keep[pivot] |= (low <= reach).any(0)
-    return keep
-
-
-def _promising(rows: DataFrame, payloads: DataFrame, bounds: Callable | None, theta: float, reach: float) -> DataFrame:
-    """The rows of ``rows`` (block, cell, star, role, x, c) that may have a partner in their block.  Exact: what is
-    within reach has a lower bound within reach."""
+    if not len(member) or not len(pivot):
+        return keep, []
+    low = bounds([items[k][2] for k in member], [items[k][2] for k in pivot])
+    low[own[member][:, None] == own[pivot]] = np.inf
+    keep[member] = (low <= theta).any(1)
+    keep[pivot] |= (low <= theta).any(0)
+    a, b = np.nonzero(low <= 2 * theta)
+    return keep, list(zip(member[a].tolist(), pivot[b].tolist()))
+
+
+def _promising(rows: DataFrame, payloads: DataFrame, bounds: Callable | None, theta: float, windows: bool = False) \
+        -> tuple[DataFrame, DataFrame | None]:
+    """The rows of ``rows`` (block, cell, star, role, x, c) that may have a link in their block and, if asked for,
+    (cell, a, b): the items a that may lie within 2 theta of a pivot b of their cell.  Exact: what is within reach
+    has a lower bound within reach.  Without bounds all rows, and None."""
     if bounds is None:
-        return rows
+        return rows, None
 
     def run(batches: Iterator[pa.RecordBatch]):
         head, items = None, []
@@ -228,10 +240,14 @@ def _promising(rows: DataFrame, payloads: DataFrame, bounds: Callable | None, th
         def settled():
             if head is None:
                 return
-            keep = [i for i, k in zip(items, may_meet(items, head[2], bounds, theta + 1e-9, reach + 1e-9)) if k]
-            n = len(keep)
-            yield {"block": [head[0]] * n, "cell": [head[1]] * n, "star": [head[2]] * n,
-                   "role": [i[1] for i in keep], "x": [i[0] for i in keep], "c": [i[3] for i in keep]}
+            keep, near = may_meet(items, head[2], bounds, theta + 1e-9)
+            kept = [i for i, k in zip(items, keep) if k]
+            if not windows:
+                near = []
+            n, m = len(kept), len(near)
+            yield {"block": [head[0]] * (n + m), "cell": [head[1]] * (n + m), "star": [head[2]] * (n + m),
+                   "role": [i[1] for i in kept] + [0] * m, "x": [i[0] for i in kept] + [items[a][0] for a, _ in near],
+                   "c": [i[3] for i in kept] + [items[b][0] for _, b in near]}
 
         for batch in batches:
             for block, cell, star, role, x, s, c in zip(*(batch.column(k).to_pylist()
@@ -244,9 +260,12 @@ def _promising(rows: DataFrame, payloads: DataFrame, bounds: Callable | None, th
 
     dealt = rows.join(payloads.select("x", "s"), "x").select("block", "cell", "star", "role", "x", "s", "c") \
         .repartition("block").sortWithinPartitions("block")
-    return materialize(map_rows(dealt, run, "block long, cell long, star boolean, role int, x long, c long",
+    both = materialize(map_rows(dealt, run, "block long, cell long, star boolean, role int, x long, c long",
                                 {"block": pa.int64(), "cell": pa.int64(), "star": pa.bool_(), "role": pa.int32(),
                                  "x": pa.int64(), "c": pa.int64()}), "promising")
+    kept = both.filter("role > 0")
+    kept._scratch_path = both._scratch_path
+    return kept, both.filter("role = 0").select("cell", F.col("x").alias("a"), F.col("c").alias("b"))
 
 
 def meet(items: list[tuple[int, int, bytes, int]], star: bool, distance, theta: float) -> list[tuple[int, int, float]]:
