@@ -44,6 +44,16 @@ def copied_ngrams(gen: DataFrame, gen_id: list[str], gen_tokens: str, src: DataF
     return g.join(s, ["gram"] + pair_on).drop("gram")
 
 
+def copied_followers(gen: DataFrame, gen_id: list[str], gen_tokens: str, src: DataFrame, src_tokens: str,
+                     n: int = 3) -> DataFrame:
+    """N1 by follower: (gen ids, next_token, n_places: how often the last n-gram stands before it in all sources).
+    The sources are counted per (n-gram, follower) before the join, so a common n-gram is as many rows as it has
+    followers, however often it occurs."""
+    g = gen.select(*gen_id, last_ngram(gen_tokens, n).alias("gram")).filter(F.col("gram").isNotNull())
+    s = shingles_with_next(src, [], src_tokens, n).groupBy("gram", "next_token").agg(F.count(F.lit(1)).alias("n_places"))
+    return g.join(s, "gram").drop("gram")
+
+
 def self_copies(df: DataFrame, id_cols: list[str], tokens: str, n: int = 3) -> DataFrame:
     """The last n-gram of a sequence seen earlier in the same sequence, and
     the token that followed it there (the final n-gram itself has no follower)."""

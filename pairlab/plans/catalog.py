@@ -10,13 +10,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pairlab.operators.dedupe import cross_source_duplicates, distinct_rows, remove_cross_source_duplicates
+from pairlab.operators.dedupe import cross_source_duplicates, distinct_rows, duplicate_counts, remove_cross_source_duplicates
 from pairlab.operators.augment import augment, holdout
 from pairlab.operators.batch import batch_apply
-from pairlab.operators.ngrams import copied_ngrams, penalise, repeated_ngram_share, self_copies
+from pairlab.operators.ngrams import copied_followers, copied_ngrams, penalise, repeated_ngram_share, self_copies
 from pairlab.operators.scored import best_by, cut_at, pick_by, prefix_score, softmax_by, top_k, top_k_top_p
 from pairlab.functions.text import keep_tokens, word_tokens
-from pairlab.sources.io import read_split, write_delimited
+from pairlab.sources.io import read_delimited, read_split, write_delimited
 from pairlab.session import scratch_path
 from pairlab.operators.harmonize import harmonize, identical_pairs, inverse_pairs, recode
 from pairlab.operators.matching import match_unrelated
@@ -27,6 +27,7 @@ from pairlab.operators.split import split3, split_sizes
 from pairlab.operators.textstats import (corpus_report, describe_corpus, doc_stats, metrics_long, top_words,
                                          top_words_by, wide_report, write_report)
 from pairlab.plans import standins as S
+from pairlab.plans.build import RatedSource, clean_ratings, combine_sources
 from pairlab.sources.io import union_all
 
 SEED = 42
@@ -391,6 +392,13 @@ def q34_ngram_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return copied_ngrams(bench, ["item_id"], "t", docs, ["doc_id"], "t", 3)
 
 
+def q34f_copied_followers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N1 by follower: the same hits, counted per following token before they are joined."""
+    docs = S.table(spark, sf_dir, "documents").select(keep_tokens(word_tokens(F.col("text"))).alias("t"))
+    bench = S.table(spark, sf_dir, "benchmark").select("item_id", keep_tokens(word_tokens(F.col("text"))).alias("t"))
+    return copied_followers(bench, ["item_id"], "t", docs, "t", 3)
+
+
 def q35_ngram_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Turns whose last 3-gram occurred earlier in the same turn."""
     return self_copies(_turn_tokens(spark, sf_dir), ["conv_id", "turn"], "tokens", 3)
@@ -442,6 +450,42 @@ def q38_build_dataset(spark: SparkSession, sf_dir: str) -> DataFrame:
     return union_all(*parts).groupBy("config", "split").agg(F.count(F.lit(1)).alias("n_rows"))
 
 
+def q39_four_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four rating tables of different shapes, each filtered, averaged per its own key and renamed, as one."""
+    coded, named = S.coded_ratings(spark, sf_dir), S.named_ratings(spark, sf_dir)
+    direct = S.table(spark, sf_dir, "benchmark").select(
+        F.col("item_id").alias("sent_id"), F.col("text").alias("orig_sent"), F.col("text").alias("simp_sent"),
+        F.lit(100.0).alias("meaning"))
+    rated = S.rated_pairs(spark, sf_dir).select(
+        F.col("original").alias("Input.original"), F.col("simplification").alias("Input.simplified"),
+        F.col("pair_id").alias("Input.id"), F.col("label").alias("Answer.adequacy"))
+    kept, _ = clean_ratings(named, coded.filter("rating = 100"))
+    return combine_sources([
+        RatedSource("coded", coded, key=("original_sentence_id",), only=F.col("aspect") == 0),
+        RatedSource("input", rated, {"Input.original": "original", "Input.simplified": "simplification",
+                                     "Input.id": "original_sentence_id", "Answer.adequacy": "rating"},
+                    key=("simplification",)),
+        RatedSource("direct", direct, {"orig_sent": "original", "simp_sent": "simplification", "meaning": "rating",
+                                       "sent_id": "original_sentence_id"}),
+        RatedSource("named", kept, {"source": "original", "sentence_id": "original_sentence_id"},
+                    key=("original", "simplification"), only=F.col("aspect") == "meaning"),
+    ]).withColumn("label", r6("label"))
+
+
+def q40_clean_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F2 + J1 + P6 + S5: named ratings without the system rows that the coded table holds, as CSV and read back."""
+    kept, _ = clean_ratings(S.named_ratings(spark, sf_dir), S.coded_ratings(spark, sf_dir).filter("rating = 100"))
+    path = scratch_path(spark, "clean-ratings")
+    write_delimited(kept, path, sep=",")
+    return read_delimited(spark, path, schema=kept.schema)
+
+
+def q40c_duplicates_by_aspect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows q40 removes, per aspect."""
+    _, gone = clean_ratings(S.named_ratings(spark, sf_dir), S.coded_ratings(spark, sf_dir).filter("rating = 100"))
+    return duplicate_counts(gone, "aspect")
+
+
 QUERIES = {
     "q01_mean_rating": q01_mean_rating,
     "q02_mean_positional": q02_mean_positional,
@@ -483,9 +527,13 @@ QUERIES = {
     "q32_cut_at_marker": q32_cut_at_marker,
     "q33_fanout_refold": q33_fanout_refold,
     "q34_ngram_copy": q34_ngram_copy,
+    "q34f_copied_followers": q34f_copied_followers,
     "q35_ngram_repeat": q35_ngram_repeat,
     "q35r_repeat_share": q35r_repeat_share,
     "q36_copy_penalty": q36_copy_penalty,
     "q37_tsv_roundtrip": q37_tsv_roundtrip,
     "q38_build_dataset": q38_build_dataset,
+    "q39_four_sources": q39_four_sources,
+    "q40_clean_ratings": q40_clean_ratings,
+    "q40c_duplicates_by_aspect": q40c_duplicates_by_aspect,
 }

@@ -550,3 +550,47 @@ UNION ALL
 SELECT 'meaning_holdout_identical', 'holdout', count(*) FROM hold
 UNION ALL
 SELECT 'meaning_holdout_unrelated', 'holdout', count(*) FROM hacc"""
+
+SQL["q34f_copied_followers"] = f"""
+SELECT item_id, next_token, count(*) AS n_places FROM ({SQL["q34_ngram_copy"]}) GROUP BY item_id, next_token
+"""
+
+
+def named_cte() -> str:
+    """coded and named ratings; ``dup`` marks named system rows that the coded table holds with rating 100."""
+    return f"""{rated_pairs_cte()},
+    coded AS (SELECT original, simplification, pair_id AS sid, label AS rating,
+                     CAST(split_part(pair_id, ':', 2) AS BIGINT) % 3 AS code FROM rated),
+    named AS (SELECT original AS source, simplification, label AS rating, pair_id AS sentence_id,
+                     CASE WHEN lang = 'en' THEN 'system' ELSE 'human' END AS simplification_type,
+                     CASE CAST(split_part(pair_id, ':', 2) AS BIGINT) % 3 WHEN 0 THEN 'meaning' WHEN 1 THEN 'fluency'
+                       ELSE 'simplicity' END AS aspect FROM rated),
+    marked AS (SELECT n.*, n.simplification_type = 'system' AND EXISTS (
+                 SELECT 1 FROM coded c WHERE c.rating = 100 AND c.original = n.source
+                   AND c.simplification = n.simplification AND c.rating = n.rating AND c.sid = n.sentence_id
+                   AND n.aspect = CASE c.code WHEN 0 THEN 'meaning' WHEN 1 THEN 'fluency' ELSE 'simplicity' END) AS dup
+               FROM named n)"""
+
+
+SQL["q39_four_sources"] = f"""
+WITH {named_cte()},
+one AS (SELECT DISTINCT original, simplification, sid FROM coded WHERE code = 0),
+one_mean AS (SELECT sid, avg(rating) AS m FROM coded WHERE code = 0 GROUP BY sid),
+two AS (SELECT DISTINCT original, simplification FROM rated),
+two_mean AS (SELECT simplification, avg(label) AS m FROM rated GROUP BY simplification)
+SELECT 'coded' AS corpus, original, simplification, round(m, 6) AS label FROM one JOIN one_mean USING (sid)
+UNION ALL SELECT 'input', original, simplification, round(m, 6) FROM two JOIN two_mean USING (simplification)
+UNION ALL SELECT 'direct', text, text, CAST(100 AS DOUBLE) FROM benchmark
+UNION ALL SELECT 'named', source, simplification, round(avg(rating), 6) FROM marked
+          WHERE NOT dup AND aspect = 'meaning' GROUP BY source, simplification
+"""
+
+SQL["q40_clean_ratings"] = f"""
+WITH {named_cte()}
+SELECT source, simplification, rating, sentence_id, simplification_type, aspect FROM marked WHERE NOT dup
+"""
+
+SQL["q40c_duplicates_by_aspect"] = f"""
+WITH {named_cte()}
+SELECT aspect, count(*) AS n_duplicates FROM marked WHERE dup GROUP BY aspect
+"""

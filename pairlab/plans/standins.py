@@ -2,6 +2,8 @@
 
 * rated pairs      - every two consecutive sentences of a labelled document, label = 100 * quality
 * rating facts     - ``events`` (item = user_id, aspect = event_type, rating = value)
+* coded ratings    - rated pairs, aspect code = position modulo 3
+* named ratings    - the same with aspect names; English rows are of type "system", others "human"
 * candidate pool   - every sentence of every document plus every benchmark text
 * holdout source   - every sentence of every user turn of ``conversations``
 * scores           - ``events`` (group = user_id, item = event_id, score = value)
@@ -52,6 +54,23 @@ def rated_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.lit(100.0) * F.col("quality")).alias("label"))
 
 
+def coded_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(original, simplification, original_sentence_id, rating, aspect: 0, 1, 2)."""
+    code = F.pmod(F.substring_index("pair_id", ":", -1).cast("long"), F.lit(3)).cast("int")
+    return rated_pairs(spark, sf_dir).select("original", "simplification", F.col("pair_id").alias("original_sentence_id"),
+                                             F.col("label").alias("rating"), code.alias("aspect"))
+
+
+def named_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source, simplification, rating, sentence_id, simplification_type, aspect: a name)."""
+    code = F.pmod(F.substring_index("pair_id", ":", -1).cast("long"), F.lit(3))
+    return rated_pairs(spark, sf_dir).select(
+        F.col("original").alias("source"), "simplification", F.col("label").alias("rating"),
+        F.col("pair_id").alias("sentence_id"),
+        F.when(F.col("lang") == "en", "system").otherwise("human").alias("simplification_type"),
+        F.when(code == 0, "meaning").when(code == 1, "fluency").otherwise("simplicity").alias("aspect"))
+
+
 def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(cand_id, cand_text): documents' sentences (id = doc_id:position) and benchmark texts (id = item:item_id)."""
     docs = _each_sentence(table(spark, sf_dir, "documents"), ["doc_id"]).select(
