@@ -13,13 +13,15 @@ all links together, without comparing all pairs of a cell:
   item's partner lies within 2 theta of that pivot, so the region's next cell is the region and its window
   (theta, 2 theta]; everything in no region stays in the remaining cell.  Pivots are done: they have met
   everything.  The cells that arise are handled in the next round in the same way;
-* windows need no distances, only what is surely beyond 2 theta: where sketches bound distances from below,
-  a window is what the bounds leave within 2 theta, and payloads move only where a link is possible;
+* where sketches bound distances from below, cells are worked on by bounds alone: a window is what they leave
+  within 2 theta, and a region, which hangs together, meets its window once and is then done.  Pairs that the
+  bounds leave within theta are collected over all cells, and each is measured once;
 * items of one component need no comparison among themselves: a cell of one component is closed, and
   pivots are picked outside a cell's largest component, so that region needs none.
 
-Items meet in blocks of bounded size: a small cluster, or the pivots of a cell and about ``block`` of its
-other items.  An item's payload (its set, its line) is shipped once per block.  Every aggregate has a fixed
+Items meet in blocks of bounded size: a small cluster, the pivots of a cell and about ``block`` of its
+other items, or two chunks of a group of possible links.  An item's payload (its set, its line) is shipped
+once per block.  Every aggregate has a fixed
 number of values per cell and combines before its shuffle; rounds are written to the shared folder.
 """
 
@@ -37,7 +39,9 @@ from pairlab.llm.components import components, merged
 from pairlab.session import discard, materialize
 
 SMALL, PIVOTS, BLOCK, BLOCK_WEIGHT, STARS = 16, 24, 256, 1 << 22, 3
-MEMBER, PIVOT = 1, 2
+MEMBER, PIVOT, REGION = 1, 2, 4
+#: What a cell holds: items to be compared with each other, or a region and its window.
+ALL, INSIDE, AROUND = 0, 1, 2
 #: Bits of the fixed-size filter of wanted items.
 FILTER_BITS = 1 << 26
 
@@ -92,12 +96,14 @@ def link_cells(members: DataFrame, payloads: DataFrame, distance: Callable[[byte
     groups = materialize(open_.select("x", F.col("x").alias("c")).distinct(), "groups")
     for turn in range(STARS):
         live = _live(open_, groups, block)
-        rows, _ = _promising(_stars(live, turn, block, near_sizes), payloads, bounds, theta)
+        rows = _promising(_stars(live, turn, block, near_sizes), payloads, bounds, theta)
         near = materialize(_meet(rows.join(payloads, "x"), distance, theta).filter(
             F.col("d") <= theta).select("a", "b"), "near")
         discard(live, rows)
         links, groups = links.union(near), merged(groups, near)
-    return _cell_by_cell(open_, links, groups, payloads, distance, theta, small, pivots, block, bounds)
+    if bounds is not None:
+        return _cells_by_bounds(open_, links, groups, payloads, distance, theta, pivots, block, bounds)
+    return _cell_by_cell(open_, links, groups, payloads, distance, theta, small, pivots, block)
 
 
 def _live(open_: DataFrame, groups: DataFrame, block: int) -> DataFrame:
@@ -135,7 +141,7 @@ def _stars(live: DataFrame, turn: int, block: int, near_sizes: Callable | None)
 
 
 def _cell_by_cell(open_: DataFrame, links: DataFrame, groups: DataFrame, payloads: DataFrame, distance: Callable,
-                  theta: float, small: int, pivots: int, block: int, bounds: Callable | None = None) -> DataFrame:
+                  theta: float, small: int, pivots: int, block: int) -> DataFrame:
     while True:
         live = _live(open_, groups, block)
         sizes = live.agg(F.count(F.lit(1)), F.max("n")).first()
@@ -147,20 +153,55 @@ def _cell_by_cell(open_: DataFrame, links: DataFrame, groups: DataFrame, payload
             large = live.filter(F.col("n") > small)
             chosen = materialize(_pivots(large, pivots), "pivots")
             rows = rows.union(_large_blocks(large, chosen))
-        rows, window = _promising(rows, payloads, bounds, theta, windows=True)
         near = materialize(_meet(rows.join(payloads, "x"), distance, theta), "near")
         found = near.filter(F.col("d") <= theta).select("a", "b")
         links = links.union(found)
         if sizes[1] <= small:
             return links
-        met = near.filter("not star").select("cell", "a", "b", "d")
-        if window is not None:  # whatever the bounds leave within 2 theta of a pivot, but for its links
-            met = met.filter(F.col("d") <= theta)
-            met = met.union(window.join(met, ["cell", "a", "b"], "left_anti").select(
-                "cell", "a", "b", F.lit(2 * theta).alias("d")))
         groups, last = merged(groups, found), open_
-        open_ = materialize(_next_cells(large, chosen, met, theta), "cells")
-        discard(last, live, chosen, rows)
+        open_ = materialize(_next_cells(large, chosen, near.filter("not star"), theta), "cells")
+        discard(last, live, chosen)
+
+
+def _cells_by_bounds(open_: DataFrame, links: DataFrame, groups: DataFrame, payloads: DataFrame, distance: Callable,
+                     theta: float, pivots: int, block: int, bounds: Callable) -> DataFrame:
+    """Cells of at most ``block`` items are compared by their sketches; larger ones give regions with windows and
+    the cell of all others, a round each."""
+    cells = open_.withColumn("side", F.lit(ALL))
+    while True:
+        live = _live(cells, groups, block)
+        sizes = live.agg(F.count(F.lit(1)), F.max(F.when(F.col("side") == ALL, F.col("n")))).first()
+        if not sizes[0]:
+            return links
+        crowded = (sizes[1] or 0) > block
+        rows = live.filter((F.col("side") == ALL) & (F.col("n") <= block)).select(
+            F.col("cell").alias("block"), "cell", F.lit(True).alias("star"), F.lit(MEMBER | PIVOT).alias("role"), "x", "c")
+        rows = rows.union(_halves(live.filter(F.col("side") != ALL)))
+        if crowded:
+            large = live.filter((F.col("side") == ALL) & (F.col("n") > block))
+            chosen = materialize(_pivots(large, pivots), "pivots")
+            rows = rows.union(_large_blocks(large, chosen))
+        near = _near(rows, payloads, bounds, theta)
+        possible = materialize(near.filter("link").select(
+            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "possible")
+        found = _verified(possible, live, groups, payloads, distance, theta, block, bounds)
+        links = links.union(found.select("a", "b"))
+        discard(possible)
+        if not crowded:
+            return links
+        groups = merged(groups, found.select("a", "b"))
+        cells = materialize(_regions(large, chosen, near.filter("NOT link"), found), "cells")
+        discard(live, chosen, near)
+
+
+def _halves(live: DataFrame) -> DataFrame:
+    """Every chunk of a region and every chunk of its window in a block."""
+    own = F.pmod(F.xxhash64("x"), "chunks")
+    rows = live.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    inside = F.col("side") == INSIDE
+    return rows.select(
+        F.when(inside, F.xxhash64("cell", own, "other")).otherwise(F.xxhash64("cell", "other", own)).alias("block"), "cell",
+        F.lit(False).alias("star"), F.when(inside, F.lit(REGION)).otherwise(F.lit(MEMBER)).alias("role"), "x", "c")
 
 
 def _chunks(n, weight, block: int):
@@ -204,72 +245,118 @@ def _pivots(large: DataFrame, k: int) -> DataFrame:
         .select("cell", "p.q", "p.qc")
 
 
-def may_meet(items: list[tuple[int, int, bytes, int]], star: bool, bounds, theta: float) \
-        -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """Of the (x, role, sketch, component) of one block: which may have a link to another component there (in a
-    star block with any other item, else between a member and a pivot), and in other than star blocks the
-    (member, pivot) that may be within 2 theta of each other, by their places."""
-    own = np.array([i[3] for i in items])
+def _each_block(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """((block, cell, star), its rows of ``columns``) of batches sorted by block."""
+    head, items = None, []
+    for batch in batches:
+        for row in zip(*(batch.column(k).to_pylist() for k in ("block", "cell", "star", *columns))):
+            if head is None or row[0] != head[0]:
+                if head is not None:
+                    yield head, items
+                head, items = row[:3], []
+            items.append(row[3:])
+    if head is not None:
+        yield head, items
+
+
+def _dealt(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select("block", "cell", "star", *columns).repartition("block").sortWithinPartitions("block")
+
+
+def near_pairs(items: list[tuple[int, int, bytes, int]], star: bool, bounds, theta: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of pairs of different components among the (x, role, sketch, component) of one block: those that may
+    be within theta (in a star block any two, else a member and a pivot or an item of a region), and the members
+    that may be within 2 theta of a pivot."""
+    role, own = (np.array([i[k] for i in items], np.int64) for k in (1, 3))
+    one = np.flatnonzero(role & MEMBER)
+    two = one if star else np.flatnonzero(role & (PIVOT | REGION))
+    if not len(one) or not len(two):
+        return np.zeros((0, 2), np.int64), np.zeros((0, 2), np.int64)
+    low = bounds([items[k][2] for k in one], [items[k][2] for k in two])
+    low[own[one][:, None] == own[two]] = np.inf
     if star:
-        sketches = [i[2] for i in items]
-        return ((bounds(sketches, sketches) <= theta) & (own[:, None] != own)).any(1), []
-    member = np.array([k for k, i in enumerate(items) if i[1] & MEMBER], np.int64)
-    pivot = np.array([k for k, i in enumerate(items) if i[1] & PIVOT], np.int64)
-    keep = np.zeros(len(items), bool)
-    if not len(member) or not len(pivot):
-        return keep, []
-    low = bounds([items[k][2] for k in member], [items[k][2] for k in pivot])
-    low[own[member][:, None] == own[pivot]] = np.inf
-    keep[member] = (low <= theta).any(1)
-    keep[pivot] |= (low <= theta).any(0)
-    a, b = np.nonzero(low <= 2 * theta)
-    return keep, list(zip(member[a].tolist(), pivot[b].tolist()))
-
-
-def _promising(rows: DataFrame, payloads: DataFrame, bounds: Callable | None, theta: float, windows: bool = False) \
-        -> tuple[DataFrame, DataFrame | None]:
-    """The rows of ``rows`` (block, cell, star, role, x, c) that may have a link in their block and, if asked for,
-    (cell, a, b): the items a that may lie within 2 theta of a pivot b of their cell.  Exact: what is within reach
-    has a lower bound within reach.  Without bounds all rows, and None."""
+        low[np.tril_indices(len(one))] = np.inf
+    a, b = np.nonzero(low <= theta)
+    c, d = np.nonzero((low <= 2 * theta) & ((role[two] & PIVOT) > 0) & (not star))
+    return np.stack([one[a], two[b]], 1), np.stack([one[c], two[d]], 1)
+
+
+def _near(rows: DataFrame, payloads: DataFrame, bounds: Callable, theta: float) -> DataFrame:
+    """``near_pairs`` of every block: (cell, a, b, link: may be within theta, else a may be within 2 theta of the
+    pivot b).  Exact: what is within reach has a lower bound within reach."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for head, items in _each_block(batches, ("x", "role", "s", "c")):
+            links, windows = near_pairs(items, head[2], bounds, theta + 1e-9)
+            x = np.array([i[0] for i in items], np.int64)
+            both = np.concatenate([links, windows])
+            yield {"cell": np.full(len(both), head[1], np.int64), "a": x[both[:, 0]], "b": x[both[:, 1]],
+                   "link": np.arange(len(both)) < len(links)}
+
+    dealt = _dealt(rows.join(payloads.select("x", "s"), "x"), "x", "role", "s", "c")
+    return materialize(map_rows(dealt, run, "cell long, a long, b long, link boolean", {
+        "cell": pa.int64(), "a": pa.int64(), "b": pa.int64(), "link": pa.bool_()}), "near")
+
+
+def _promising(rows: DataFrame, payloads: DataFrame, bounds: Callable | None, theta: float) -> DataFrame:
+    """The rows of ``rows`` (block, cell, star, role, x, c) that may have a link in their block; without bounds all."""
     if bounds is None:
-        return rows, None
+        return rows
 
     def run(batches: Iterator[pa.RecordBatch]):
-        head, items = None, []
-
-        def settled():
-            if head is None:
-                return
-            keep, near = may_meet(items, head[2], bounds, theta + 1e-9)
-            kept = [i for i, k in zip(items, keep) if k]
-            if not windows:
-                near = []
-            n, m = len(kept), len(near)
-            yield {"block": [head[0]] * (n + m), "cell": [head[1]] * (n + m), "star": [head[2]] * (n + m),
-                   "role": [i[1] for i in kept] + [0] * m, "x": [i[0] for i in kept] + [items[a][0] for a, _ in near],
-                   "c": [i[3] for i in kept] + [items[b][0] for _, b in near]}
-
-        for batch in batches:
-            for block, cell, star, role, x, s, c in zip(*(batch.column(k).to_pylist()
-                                                          for k in ("block", "cell", "star", "role", "x", "s", "c"))):
-                if head is None or block != head[0]:
-                    yield from settled()
-                    head, items = (block, cell, star), []
-                items.append((x, role, s, c))
-        yield from settled()
-
-    dealt = rows.join(payloads.select("x", "s"), "x").select("block", "cell", "star", "role", "x", "s", "c") \
-        .repartition("block").sortWithinPartitions("block")
-    both = materialize(map_rows(dealt, run, "block long, cell long, star boolean, role int, x long, c long",
+        for head, items in _each_block(batches, ("x", "role", "s", "c")):
+            links, _ = near_pairs(items, head[2], bounds, theta + 1e-9)
+            kept = [items[k] for k in np.unique(links).tolist()]
+            n = len(kept)
+            yield {"block": [head[0]] * n, "cell": [head[1]] * n, "star": [head[2]] * n,
+                   "role": [i[1] for i in kept], "x": [i[0] for i in kept], "c": [i[3] for i in kept]}
+
+    dealt = _dealt(rows.join(payloads.select("x", "s"), "x"), "x", "role", "s", "c")
+    return materialize(map_rows(dealt, run, "block long, cell long, star boolean, role int, x long, c long",
                                 {"block": pa.int64(), "cell": pa.int64(), "star": pa.bool_(), "role": pa.int32(),
                                  "x": pa.int64(), "c": pa.int64()}), "promising")
-    kept = both.filter("role > 0")
-    kept._scratch_path = both._scratch_path
-    return kept, both.filter("role = 0").select("cell", F.col("x").alias("a"), F.col("c").alias("b"))
 
 
-def meet(items: list[tuple[int, int, bytes, int]], star: bool, distance, theta: float) -> list[tuple[int, int, float]]:
-    """(a, b, d) among the (x, role, payload, component) of one block: in a star block links until its items hang
+def _verified(possible: DataFrame, live: DataFrame, groups: DataFrame, payloads: DataFrame, distance: Callable,
+              theta: float, block: int, bounds: Callable) -> DataFrame:
+    """(a, b, d): links that join what all links among the ``possible`` pairs join.  Pairs hang together in groups;
+    a group's items are dealt into chunks, and chunks that hold a pair meet."""
+    nodes = components(possible).select(F.col("node").alias("x"), F.col("component").alias("g"))
+    items = nodes.join(live.groupBy("x").agg(F.max("w").alias("w")), "x").join(groups, "x")
+    sizes = items.groupBy("g").agg(_chunks(F.count(F.lit(1)), F.sum("w"), block).alias("chunks"))
+    items = materialize(items.join(sizes, "g").select("x", "g", "c", F.pmod(F.xxhash64("x"), "chunks").alias("k")), "dealt")
+    one = items.select(F.col("x").alias("a"), "g", F.col("c").alias("ca"), F.col("k").alias("ka"))
+    two = items.select(F.col("x").alias("b"), F.col("c").alias("cb"), F.col("k").alias("kb"))
+    ends = F.array(F.struct(F.col("a").alias("x"), F.col("ca").alias("c")), F.struct(F.col("b").alias("x"), F.col("cb").alias("c")))
+    rows = possible.join(one, "a").join(two, "b").select(
+        F.xxhash64("g", F.least("ka", "kb"), F.greatest("ka", "kb")).alias("block"), F.col("g").alias("cell"),
+        F.explode(ends).alias("end")).select(
+        "block", "cell", F.lit(True).alias("star"), F.lit(MEMBER | PIVOT).alias("role"), "end.x", "end.c").distinct()
+    found = materialize(_meet(rows.join(payloads, "x"), distance, theta, bounds).select("a", "b", "d"), "found")
+    discard(items)
+    return found
+
+
+def _regions(large: DataFrame, chosen: DataFrame, windows: DataFrame, found: DataFrame) -> DataFrame:
+    """The cells (cell, x, w, side) that remain of large ones: per pivot its region (what is linked to it and to no
+    nearer pivot) and its window, and what is in no region.  ``windows``: (cell, a, b); pivots have met everything."""
+    both = found.select("a", "b", "d").union(found.select(F.col("b").alias("a"), F.col("a").alias("b"), "d"))
+    homes = windows.join(both, ["a", "b"]).groupBy("cell", F.col("a").alias("x")).agg(F.min(F.struct("d", "b")).alias("home")) \
+        .select("cell", "x", F.col("home.b").alias("q"))
+    done = chosen.select("cell", F.col("q").alias("x"))
+    items = large.select("cell", "x", "w")
+    inside = homes.join(done, ["cell", "x"], "left_anti")
+    around = windows.join(both, ["a", "b"], "left_anti").select("cell", F.col("a").alias("x"), F.col("b").alias("q")) \
+        .join(done, ["cell", "x"], "left_anti").join(inside.select("cell", "q"), ["cell", "q"], "left_semi")
+    halves = inside.select("cell", "x", "q", F.lit(INSIDE).alias("side")).union(
+        around.select("cell", "x", "q", F.lit(AROUND).alias("side")))
+    rest = items.join(homes.select("cell", "x").union(done).distinct(), ["cell", "x"], "left_anti")
+    return halves.join(items, ["cell", "x"]).select(F.xxhash64("cell", "q").alias("cell"), "x", "w", "side").union(
+        rest.select(F.xxhash64("cell", F.lit("rest")).alias("cell"), "x", "w", F.lit(ALL).alias("side")))
+
+
+def meet(items: list[tuple], star: bool, distance, theta: float, bounds=None) -> list[tuple[int, int, float]]:
+    """(a, b, d) among the (x, role, payload, component and, with bounds, sketch) of one block: in a star block links until its items hang
     together as they do by all links, else members against pivots of other components within 2 theta.  (Where a
     member has its pivot's component, whatever lies within theta of the pivot joins that component too.)"""
     out = []
@@ -281,7 +368,9 @@ def meet(items: list[tuple[int, int, bytes, int]], star: bool, distance, theta:
                         out.append((x, q, d))
         return out
     first: dict[int, int] = {}
-    root = [first.setdefault(c, k) for k, (_, _, _, c) in enumerate(items)]
+    root = [first.setdefault(i[3], k) for k, i in enumerate(items)]
+    sketches = [i[4] for i in items] if bounds else []
+    may = bounds(sketches, sketches) <= theta + 1e-9 if bounds else np.ones((len(items), len(items)), bool)
 
     def top(k: int) -> int:
         while root[k] != k:
@@ -291,36 +380,23 @@ def meet(items: list[tuple[int, int, bytes, int]], star: bool, distance, theta:
 
     for k in range(len(items)):
         for j in range(k):
-            if top(k) != top(j) and (d := distance(items[k][2], items[j][2])) <= theta:
+            if may[k, j] and top(k) != top(j) and (d := distance(items[k][2], items[j][2])) <= theta:
                 root[top(k)] = top(j)
                 out.append((items[k][0], items[j][0], d))
     return out
 
 
-def _meet(rows: DataFrame, distance: Callable, theta: float) -> DataFrame:
+def _meet(rows: DataFrame, distance: Callable, theta: float, bounds: Callable | None = None) -> DataFrame:
     """Runs ``meet`` on every block; blocks are sorted within hash partitions and streamed."""
+    columns = ("x", "role", "p", "c", "s") if bounds else ("x", "role", "p", "c")
 
     def run(batches: Iterator[pa.RecordBatch]):
-        head, items = None, []
-
-        def settled():
-            if head is None:
-                return
-            found = meet(sorted(items), head[2], distance, theta)
+        for head, items in _each_block(batches, columns):
+            found = meet(sorted(items), head[2], distance, theta, bounds)
             yield {"cell": [head[1]] * len(found), "star": [head[2]] * len(found), "a": [f[0] for f in found],
                    "b": [f[1] for f in found], "d": [f[2] for f in found]}
 
-        for batch in batches:
-            for block, cell, star, role, x, p, c in zip(*(batch.column(k).to_pylist()
-                                                          for k in ("block", "cell", "star", "role", "x", "p", "c"))):
-                if head is None or block != head[0]:
-                    yield from settled()
-                    head, items = (block, cell, star), []
-                items.append((x, role, p, c))
-        yield from settled()
-
-    dealt = rows.select("block", "cell", "star", "role", "x", "p", "c").repartition("block").sortWithinPartitions("block")
-    return map_rows(dealt, run, "cell long, star boolean, a long, b long, d double", {
+    return map_rows(_dealt(rows, *columns), run, "cell long, star boolean, a long, b long, d double", {
         "cell": pa.int64(), "star": pa.bool_(), "a": pa.int64(), "b": pa.int64(), "d": pa.float64()})
 
 

@@ -9,10 +9,11 @@ from hypothesis import strategies as st
 from messy_table import rows_of
 from pyspark.sql import functions as F
 
+from pairlab.llm import regions
 from pairlab.llm.components import components
 from pairlab.llm.line_dedup import drop_duplicate_lines, edit_distance, line_classes, places, segment
 from pairlab.llm.ngram_join import Shingler, distance_bounds, ngram_components, one_of_each, set_distance, sketch
-from pairlab.llm.regions import FILTER_BITS, _cell_by_cell, link_cells, may_meet, maybe_wanted, meet, wanted_filter
+from pairlab.llm.regions import FILTER_BITS, _cell_by_cell, link_cells, maybe_wanted, meet, near_pairs, wanted_filter
 
 
 def test_components_of_a_path_a_star_and_loops(spark):
@@ -193,27 +194,30 @@ def test_sketches_bound_distances_from_below():
     big = [k for k, s in enumerate(every) if 250 < len(s) < 400]
     assert all(low[a, b] > 0.2 for a in big for b in big if real[a, b] > 0.75)  # what is far apart is told apart
     items = [(k, 3, sketch(s), k) for k, s in enumerate(every)]
-    keep, _ = may_meet(items, True, distance_bounds, 0.2)
-    assert all(keep[a] for a in range(len(every)) for b in range(len(every)) if a != b and real[a, b] <= 0.2)
+    near = set(map(tuple, near_pairs(items, True, distance_bounds, 0.2)[0].tolist()))
+    assert all((a, b) in near for b in range(len(every)) for a in range(b) if real[a, b] <= 0.2)
     roles = [(k, 2 if k % 3 == 0 else 1, sketch(s), k) for k, s in enumerate(every)]
-    keep, near = may_meet(roles, False, distance_bounds, 0.2)
-    near = set(near)
+    links, windows = (set(map(tuple, x.tolist())) for x in near_pairs(roles, False, distance_bounds, 0.2))
     for a in range(len(every)):
         for b in range(0, len(every), 3):
             if a % 3 and real[a, b] <= 0.4:
-                assert (a, b) in near and (real[a, b] > 0.2 or (keep[a] and keep[b]))
+                assert (a, b) in windows and (real[a, b] > 0.2 or (a, b) in links)
+    regions = [(k, 4 if k % 3 == 0 else 1, sketch(s), k) for k, s in enumerate(every)]
+    assert {tuple(x) for x in near_pairs(regions, False, distance_bounds, 0.2)[0].tolist()} == links
+    assert not len(near_pairs(regions, False, distance_bounds, 0.2)[1])
 
 
-def test_windows_by_bounds_link_as_all_pairs_do(spark):
+def test_windows_by_bounds_link_as_all_pairs_do(spark, monkeypatch):
+    monkeypatch.setattr(regions, "STARS", 0)  # leaves all links to the cells
     rng = np.random.default_rng(23)
     pool = np.unique(rng.integers(0, 1 << 63, 9000, dtype=np.uint64))
     sets = []
-    for _ in range(4):  # families whose members lie within one to three thresholds of each other
+    for _ in range(2):  # families whose members lie within one to three thresholds of each other
         base = rng.choice(pool, 120, replace=False)
-        for _ in range(30):
+        for _ in range(26):
             s = base.copy()
-            s[rng.choice(120, int(rng.integers(3, 28)), replace=False)] = rng.choice(pool, 1)
-            sets.append(np.unique(np.concatenate([s, rng.choice(pool, int(rng.integers(0, 14)))])))
+            s[rng.choice(120, int(rng.integers(2, 16)), replace=False)] = rng.choice(pool, 1)
+            sets.append(np.unique(np.concatenate([s, rng.choice(pool, int(rng.integers(0, 8)))])))
             base = s if rng.random() < 0.3 else base
     rows = [(k, s.tobytes(), sketch(s)) for k, s in enumerate(sets)]
     payloads = spark.createDataFrame(rows, "x long, p binary, s binary").repartition(4)
@@ -226,8 +230,7 @@ def test_windows_by_bounds_link_as_all_pairs_do(spark):
     for k in range(len(sets)):
         every.setdefault(root[k], []).append(k)
     want = {k: min(group) for group in every.values() if len(group) > 1 for k in group}
-    assert len(every) > 20 and max(map(len, every.values())) > 9
-    for block in (8, 16):
-        links = link_cells(members.select(F.col("cell").cast("long"), "x", "w"), payloads, set_distance(0.8), 0.2 + 1e-12,
-                           small=6, pivots=5, block=block, bounds=distance_bounds)
-        assert {r["node"]: r["component"] for r in components(links).collect()} == want
+    assert len(every) > 3 and max(map(len, every.values())) > 5
+    links = link_cells(members.select(F.col("cell").cast("long"), "x", "w"), payloads, set_distance(0.8), 0.2 + 1e-12,
+                       pivots=16, block=24, bounds=distance_bounds)
+    assert {r["node"]: r["component"] for r in components(links).collect()} == want
