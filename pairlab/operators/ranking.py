@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pairlab.operators.scored import ordered_prefix
+
 HASH_BUCKET_HEX_DIGITS = 4  # 16^4 = 65,536 ordered buckets for hash keys
 
 
@@ -72,3 +74,16 @@ def with_global_rank(df: DataFrame, order: list, name: str = "rank", bucket: Col
     if limit is not None:
         out = out.filter(F.col(name) <= F.lit(int(limit)))
     return out.drop("_rk_bucket", "_rk_off")
+
+
+def with_range_rank(df: DataFrame, order: list[str], name: str = "rank") -> DataFrame:
+    """Add a 1-based global row number in the order of any columns (NULL first).
+
+    Ranges come from a sample of the rows themselves, on all order columns and
+    then on the rest, so equal values of the first column spread over as many
+    ranges as they need as long as the rows differ.  The input is evaluated once:
+    ranges are written, then numbered with the counts of the ranges before."""
+    rest = [c for c in df.columns if c not in order]
+    rows = df.withColumn("_every", F.lit(True))
+    ranked = ordered_prefix(rows, "_every", [F.col(f"`{c}`").asc() for c in [*order, *rest]], {"_before": F.lit(1)})
+    return ranked.select(*[F.col(f"`{c}`") for c in df.columns], (F.col("_before") + 1).cast("bigint").alias(name))

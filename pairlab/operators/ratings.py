@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pairlab.operators.ranking import numeric_cut_bucket, with_global_rank
+from pairlab.operators.ranking import with_range_rank
 from pairlab.operators.scored import ordered_prefix, with_stats
 
 QUANTILES = [0.25, 0.5, 0.75]
@@ -86,8 +86,9 @@ def rating_table(df: DataFrame, col: str, by: str, groups: list[str], all_label:
 
 def zip_by_position(x: DataFrame, x_order: str, y: DataFrame, y_order: str, y_cols: list[str]) -> DataFrame:
     """J2 (compat): the k-th row of ``x`` (in ``x_order``) gets the k-th row's
-    ``y_cols`` of ``y`` (in ``y_order``).  Both ranks are distributed (W1)."""
-    xr = with_global_rank(x, [x_order], "_zip_rank", bucket=numeric_cut_bucket(x, x_order))
-    yr = with_global_rank(y.select(y_order, *y_cols), [y_order], "_zip_rank", bucket=numeric_cut_bucket(y, y_order))
+    ``y_cols`` of ``y`` (in ``y_order``); rows of equal order follow their other
+    columns.  Both ranks are distributed (W1)."""
+    xr = with_range_rank(x, [x_order], "_zip_rank")
+    yr = with_range_rank(y.select(y_order, *y_cols), [y_order], "_zip_rank")
     yr = yr.select("_zip_rank", *[F.col(c).alias(c) for c in y_cols])
     return xr.join(yr, "_zip_rank", "left").drop("_zip_rank")

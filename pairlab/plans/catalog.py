@@ -16,13 +16,14 @@ from pairlab.operators.batch import batch_apply
 from pairlab.operators.ngrams import copied_followers, copied_ngrams, penalise, repeated_ngram_share, self_copies
 from pairlab.operators.scored import best_by, cut_at, pick_by, prefix_score, softmax_by, top_k, top_k_top_p
 from pairlab.functions.text import keep_tokens, word_tokens
-from pairlab.sources.io import read_delimited, read_split, write_delimited
-from pairlab.session import scratch_path
+from pairlab.sources.io import read_delimited, read_split, split_folders, write_delimited
+from pairlab.session import materialize, scratch_path
 from pairlab.operators.harmonize import harmonize, identical_pairs, inverse_pairs, recode
 from pairlab.operators.matching import match_unrelated
 from pairlab.operators.ratings import describe_ratings, mean_rating, rating_table, zip_by_position
 from pairlab.operators.ranking import hash_key, with_global_rank
 from pairlab.operators.scoring import flag_unrelated, score_pairs
+from pairlab.operators.sketches import QUARTILES, corpus_sketches, merge_sketches, read_sketches
 from pairlab.operators.split import split3, split_sizes
 from pairlab.operators.textstats import (corpus_report, describe_corpus, doc_stats, metrics_long, top_words,
                                          top_words_by, wide_report, write_report)
@@ -183,6 +184,31 @@ def q13_vocabulary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _corpus_report(S.table(spark, sf_dir, "documents").select("lang", "text"), ["lang"])
 
 
+def q13a_vocabulary_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A7, A8, A4 by sketches: stored per language, merged to one row for all, and held against exact figures.
+    ``*_close``: a vocabulary within 5 %, quartiles of tokens per text within 4 % of all ranks."""
+    docs = S.table(spark, sf_dir, "documents").select("lang", "text")
+    stored = materialize(corpus_sketches(docs, "text", ["lang"]), "sketches")
+    keys = ["lang", "is_all"]
+    every = merge_sketches(stored, []).select(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("is_all"), "*")
+    got = read_sketches(stored.withColumn("is_all", F.lit(False)).unionByName(every), keys)
+    got = got.select(F.col("lang").alias("_l"), F.col("is_all").alias("_a"), F.col("vocab_size").alias("_v"),
+                     F.col("lexical_vocab_size").alias("_x"), "p25", "p50", "p75")
+    same = F.expr("lang <=> _l AND is_all = _a")
+    twice = F.explode(F.array(F.struct("lang", F.lit(False).alias("is_all")),
+                              F.struct(F.lit(None).cast("string").alias("lang"), F.lit(True).alias("is_all"))))
+    texts = docs.select(twice.alias("_g"), "text").select("_g.*", "text")
+    exact = describe_corpus(texts, "text", keys)
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= F.lit(0.05) * F.col(b)
+    lengths = doc_stats(texts.filter(F.col("text").isNotNull()), "text").select(*keys, "n_tokens")
+    off = [(F.avg((F.col("n_tokens") < F.col(f"p{int(100 * q)}")).cast("int")) <= q + 0.04)
+           & (F.avg((F.col("n_tokens") <= F.col(f"p{int(100 * q)}")).cast("int")) >= q - 0.04) for q in QUARTILES]
+    ranks = lengths.join(got, same).groupBy("_l", "_a").agg((off[0] & off[1] & off[2]).alias("quartiles_close"))
+    out = exact.join(got.drop("p25", "p50", "p75"), same).drop("_l", "_a").join(ranks, same)
+    return out.select(*keys, "n_texts", "vocab_size", "lexical_vocab_size", near("_v", "vocab_size").alias("vocab_close"),
+                      near("_x", "lexical_vocab_size").alias("lexical_close"), "quartiles_close")
+
+
 def q14_top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A12 + L1: 50 most frequent lexical words."""
     return top_words(S.table(spark, sf_dir, "documents"), "text", 50)
@@ -265,14 +291,19 @@ def _rated_rows(spark, sf_dir):
 
 
 def q21_unrelated_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """J4 + A14: one unrelated candidate per rated original (rounds until done).
-    No SQL oracle: checked by invariants and brute force in tests."""
+    """J4 + A14: one unrelated candidate per rated original (rounds until done)."""
     rows = _rated_rows(spark, sf_dir).select(F.col("pair_id").alias("row_id"), "original")
     m = match_unrelated(rows, S.candidate_pool(spark, sf_dir), seed=SEED)
     return m.pairs.select(F.col("row_id").alias("pair_id"), "cand_id", "round", r6("rouge1").alias("rouge1"),
                           r6("rouge2").alias("rouge2"), r6("bleu").alias("bleu"))
 
 
+def q21s_match_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per round of q21 its window, open rows, scored pairs, accepted and thrown-away candidates."""
+    rows = _rated_rows(spark, sf_dir).select(F.col("pair_id").alias("row_id"), "original")
+    return match_unrelated(rows, S.candidate_pool(spark, sf_dir), seed=SEED).stats
+
+
 def q22_identical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P8 + G1: one self-pair (label 100) per rated row."""
     return identical_pairs(_rated_rows(spark, sf_dir).select("pair_id", "original"))
@@ -425,8 +456,7 @@ def q37_tsv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     conv = S.table(spark, sf_dir, "conversations")
     path = scratch_path(spark, "tsv-roundtrip")
     write_delimited(conv, path, sep="\t", partition_by="role")
-    roles = [r["role"] for r in conv.select("role").distinct().collect()]  # a handful of split names
-    catalog = {"conversations": {r: f"{path}/role={r}" for r in roles}}
+    catalog = {"conversations": split_folders(conv, "role", path)}
     schema = "conv_id bigint, turn bigint, text string"
     back = read_split(spark, catalog, "conversations", "full", schema=schema)
     return back.select("conv_id", "turn", F.col("split").alias("role"), "text")
@@ -502,6 +532,7 @@ QUERIES = {
     "q11_doc_token_stats": q11_doc_token_stats,
     "q12_sentence_length": q12_sentence_length,
     "q13_vocabulary": q13_vocabulary,
+    "q13a_vocabulary_sketches": q13a_vocabulary_sketches,
     "q14_top_words": q14_top_words,
     "q14g_top_words_by_side": q14g_top_words_by_side,
     "q15_corpus_report": q15_corpus_report,
@@ -513,6 +544,7 @@ QUERIES = {
     "q19_bleu": q19_bleu,
     "q20_unrelated_filter": q20_unrelated_filter,
     "q21_unrelated_match": q21_unrelated_match,
+    "q21s_match_counters": q21s_match_counters,
     "q22_identical": q22_identical,
     "q23_commutative": q23_commutative,
     "q24_augmented_dataset": q24_augmented_dataset,

@@ -211,6 +211,11 @@ FROM g LEFT JOIN v ON {join}"""
 
 SQL["q13_vocabulary"] = corpus_report_sql("documents", ["lang"])
 
+_LANG_AND_ALL = """(SELECT lang, false AS is_all, text FROM documents
+  UNION ALL SELECT CAST(NULL AS VARCHAR) AS lang, true AS is_all, text FROM documents)"""
+SQL["q13a_vocabulary_sketches"] = f"""SELECT lang, is_all, n_texts, vocab_size, lexical_vocab_size, true AS vocab_close,
+       true AS lexical_close, true AS quartiles_close FROM ({corpus_report_sql(_LANG_AND_ALL, ["lang", "is_all"])})"""
+
 SQL["q14_top_words"] = f"""
 WITH t AS (SELECT unnest({lexical_tokens(_tok('text'))}) AS token FROM documents)
 SELECT token, count(*) AS freq FROM t GROUP BY token ORDER BY freq DESC, token LIMIT 50"""
@@ -402,6 +407,13 @@ _MATCHED = _RATED + f",\n{pool_cte()},\n{matching_ctes('a', 'rated', 'pool', 0.2
 _SCORED = "round(rouge1, 6) AS rouge1, round(rouge2, 6) AS rouge2, round(bleu, 6) AS bleu"
 SQL["q21_unrelated_match"] = _MATCHED + f"\nSELECT pair_id, cand_id, round, {_SCORED} FROM aacc"
 
+_COUNTERS = " UNION ALL ".join(f"""
+SELECT CAST({r} AS INTEGER) AS round, CAST(w AS BIGINT) AS "window", rows AS rows_open,
+       (SELECT count(*) FROM a{r}p) AS pairs_scored, (SELECT count(*) FROM a{r}d WHERE ck = first_ok) AS accepted,
+       (SELECT count(*) FROM a{r}d WHERE first_ok IS NULL OR ck < first_ok) AS rejected
+FROM a{r}n WHERE rows > 0 AND free > 0""" for r in range(1, ROUNDS + 1))
+SQL["q21s_match_counters"] = _MATCHED + _COUNTERS
+
 SQL["q24_augmented_dataset"] = _MATCHED + f""",
 keys AS (
   SELECT 'rated' AS kind, pair_id FROM rated

@@ -78,14 +78,23 @@ def union_all(*dfs: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), dfs)
 
 
+def split_folders(df: DataFrame, column: str, path: str) -> dict[str | None, str]:
+    """Value of ``column`` (a handful of split names, NULL included) -> its folder below ``path``, as
+    ``write_delimited(..., partition_by=column)`` names it."""
+    names = [r[0] for r in df.select(F.col(column).cast("string")).distinct().collect()]
+    utils = df.sparkSession._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils
+    folder = lambda v: utils.escapePathName(v) if v else "__HIVE_DEFAULT_PARTITION__"
+    return {v: f"{path}/{column}={folder(v)}" for v in names if v != "" or None not in names}
+
+
 def read_split(spark: SparkSession, catalog: Mapping[str, Mapping[str, str]], config: str, split: str = "full",
                schema: T.StructType | None = PAIR_SCHEMA, sep: str = "\t") -> DataFrame:
     """Named table source: (config, split) -> DataFrame.
 
     ``catalog`` maps config -> {split -> path}.  ``split="full"`` is the union of
-    all splits of the config, each row tagged with its split name.
+    all splits of the config, each row tagged with its split name (None: NULL).
     """
     splits = catalog[config]
     names = list(splits) if split == "full" else [split]
-    frames = [read_delimited(spark, splits[s], schema=schema, sep=sep).withColumn("split", F.lit(s)) for s in names]
+    frames = [read_delimited(spark, splits[s], schema=schema, sep=sep).withColumn("split", F.lit(s).cast("string")) for s in names]
     return union_all(*frames)
