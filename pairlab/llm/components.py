@@ -2,7 +2,7 @@
 
 Every step is a grouped minimum joined back on its key, so a node with very many neighbours is combined
 before the shuffle and its join partition can be split.  Each step is written to the shared folder; only
-two numbers a step (count and checksum of the edges) reach the driver.
+one truth value a step (whether the edges are stars yet) reaches the driver.
 """
 
 from __future__ import annotations
@@ -26,17 +26,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.union(least.select("a", F.col("m").alias("b")))
 
 
+def _unsettled(edges: DataFrame) -> bool:
+    """Whether a node has two smaller neighbours, or one that has a smaller one itself; if none has, every edge
+    points from a node to the smallest of its component.  Edges point from the larger to the smaller node, each once."""
+    ends = edges.select(F.col("a").alias("x"), F.lit(1).alias("up"), F.lit(False).alias("down")).union(
+        edges.select("b", F.lit(0), F.lit(True)))
+    per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.bool_or("down").alias("down"))
+    return bool(per.agg(F.bool_or((F.col("up") > 1) | ((F.col("up") > 0) & F.col("down")))).first()[0])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of ``edges`` (two long columns a, b; loops and repeats are fine);
     the component is its smallest node.  No edges give an empty result."""
     now = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
                       .distinct(), "star")
-    before = None
-    while True:
-        mark = tuple(now.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
-        if mark == before or not mark[0]:
-            break
-        before, last = mark, now
+    while _unsettled(now):
+        last = now
         now = materialize(_small_star(_large_star(last)).distinct(), "star")
         discard(last)
     return now.select(F.col("a").alias("node"), F.col("b").alias("component")).union(
