@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from pairlab.functions.metrics import clipped_overlap
 from pairlab.operators import matching, scored
+from pairlab.operators.ngrams import copied_followers
 from pairlab.operators.ratings import describe_ratings, rating_table
 from pairlab.operators.scored import ordered_prefix, prefix_score, softmax_by, top_k, top_k_top_p, with_stats
 from pairlab.operators.split import split3
@@ -174,3 +175,51 @@ def test_empty_strings_and_nulls_are_told_apart(spark, tmp_path):
     write_delimited(spark.createDataFrame(rows, "k long, a string, b string"), f"{tmp_path}/t")
     back = read_delimited(spark, f"{tmp_path}/t", schema="k long, a string, b string", sep="\t")
     assert sorted(tuple(r) for r in back.collect()) == rows
+
+
+def test_only_wanted_ngrams_are_counted(spark):
+    gen = spark.createDataFrame([(1, "a b c".split()), (2, "x b c".split()), (3, "q a b c".split())], "item_id long, t array<string>")
+    src = spark.createDataFrame([("a b c d a b c e a b c d".split(),), ("b c d e f g".split(),), (None,)], "t array<string>")
+    out = copied_followers(gen, ["item_id"], "t", src, "t", 3)
+    assert sorted(map(tuple, out.collect())) == [(1, "d", 2), (1, "e", 1), (3, "d", 2), (3, "e", 1)]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("Aggregate"):]  # below the count
+
+
+def test_later_rounds_rank_only_what_is_open(spark, monkeypatch):
+    rng = random.Random(7)
+    text = lambda: " ".join(rng.choice("abcdefghijklmnopqrstuvwxyz") * 3 for _ in range(4))
+    rows = spark.createDataFrame([(i, text()) for i in range(300)], "row_id long, original string").repartition(3)
+    pool = spark.createDataFrame([(i, text()) for i in range(3000)], "cand_id long, cand_text string").repartition(3)
+    ranked, rank = [], matching.with_global_rank
+
+    def spy(df, *args, **kwargs):
+        ranked.append(df.count())
+        return rank(df, *args, **kwargs)
+
+    monkeypatch.setattr(matching, "with_global_rank", spy)
+    m = matching.match_unrelated(rows, pool)
+    stats = m.stats.orderBy("round").collect()
+    assert len(stats) > 2 and all(r["window"] == min(2 ** (r["round"] - 1), r["window"]) for r in stats)
+    assert sum(r["accepted"] for r in stats) == m.pairs.select("cand_id").distinct().count() == 300
+    assert sum(r["accepted"] + r["rejected"] for r in stats) == m.used.count() == m.used.distinct().count()
+    assert max(ranked, default=0) < 300  # neither all rows nor the pool
+
+
+def test_ids_that_repeat_are_done_once(spark):
+    own, far = "the cat sat on the mat today", "colourless green ideas sleep furiously tonight"
+    rows = spark.createDataFrame([(i // 2, own) for i in range(40)], "row_id long, original string")
+    pool = spark.createDataFrame([(i // 2, far if rng % 3 else own) for i, rng in enumerate(range(400))], "cand_id long, cand_text string")
+    m = matching.match_unrelated(rows, pool)  # ended never while a copy of a matched row was still counted as open
+    assert {r["row_id"] for r in m.pairs.collect()} == set(range(20)) and m.unmatched.count() == 0
+
+
+def test_excluded_candidates_are_not_met(spark):
+    rows = spark.createDataFrame([(i, "one two three four") for i in range(30)], "row_id long, original string")
+    pool = spark.createDataFrame([(i, f"five six seven {i}") for i in range(100)], "cand_id long, cand_text string")
+    used = spark.createDataFrame([(i,) for i in range(0, 100, 2)], "cand_id long")
+    for down in (False, True):
+        got = {r["row_id"]: r["cand_id"] for r in matching.match_unrelated(rows, pool, descending=down, exclude=used).pairs.collect()}
+        want = {r["row_id"]: r["cand_id"] for r in matching.match_unrelated(
+            rows, pool.join(used, "cand_id", "left_anti"), descending=down).pairs.collect()}
+        assert got == want and len(got) == 30 and not {c for c in got.values() if c % 2 == 0}
