@@ -47,10 +47,12 @@ def copied_ngrams(gen: DataFrame, gen_id: list[str], gen_tokens: str, src: DataF
 def copied_followers(gen: DataFrame, gen_id: list[str], gen_tokens: str, src: DataFrame, src_tokens: str,
                      n: int = 3) -> DataFrame:
     """N1 by follower: (gen ids, next_token, n_places: how often the last n-gram stands before it in all sources).
-    The sources are counted per (n-gram, follower) before the join, so a common n-gram is as many rows as it has
-    followers, however often it occurs."""
+    Only n-grams that some sequence ends with are counted (a semi join, broadcast where they are few), per
+    (n-gram, follower) and before the join, so a common n-gram is as many rows as it has followers, however often
+    it occurs."""
     g = gen.select(*gen_id, last_ngram(gen_tokens, n).alias("gram")).filter(F.col("gram").isNotNull())
-    s = shingles_with_next(src, [], src_tokens, n).groupBy("gram", "next_token").agg(F.count(F.lit(1)).alias("n_places"))
+    s = shingles_with_next(src, [], src_tokens, n).join(g.select("gram"), "gram", "left_semi")
+    s = s.groupBy("gram", "next_token").agg(F.count(F.lit(1)).alias("n_places"))
     return g.join(s, "gram").drop("gram")
 
 
