@@ -13,7 +13,9 @@ all links together, without comparing all pairs of a cell:
   item's partner lies within 2 theta of that pivot, so the region's next cell is the region and its window
   (theta, 2 theta]; everything in no region stays in the remaining cell.  Pivots are done: they have met
   everything.  The cells that arise are handled in the next round in the same way;
-* where sketches bound distances from below, cells are worked on by bounds alone: a window is what they leave
+* where sketches bound distances from below, cells are worked on by bounds alone: those of up to ``DIRECT * WIDE``
+  blocks in one round, chunk by chunk.  Larger ones take a share of their items as pivots, so that rounds grow
+  with the logarithm of a cell; a window is what the bounds leave
   within 2 theta, and a region, which hangs together, meets its window once and is then done.  Pairs that the
   bounds leave within theta are collected over all cells, and each is measured once;
 * items of one component need no comparison among themselves: a cell of one component is closed, and
@@ -40,6 +42,9 @@ from pairlab.session import discard, materialize
 
 SMALL, PIVOTS, BLOCK, BLOCK_WEIGHT, STARS = 16, 24, 256, 1 << 22, 3
 MEMBER, PIVOT, REGION = 1, 2, 4
+#: Where only sketches meet, a block holds WIDE times as many items; cells of up to DIRECT such blocks are compared
+#: directly; of larger ones one item in SHARE is a pivot.
+WIDE, DIRECT, SHARE = 4, 4, 16
 #: What a cell holds: items to be compared with each other, or a region and its window.
 ALL, INSIDE, AROUND = 0, 1, 2
 #: Bits of the fixed-size filter of wanted items.
@@ -86,7 +91,7 @@ def link_cells(members: DataFrame, payloads: DataFrame, distance: Callable[[byte
     rows = clusters.filter("m <= most").select(
         F.xxhash64(F.lit("cluster"), "cell").alias("block"), "cell", F.lit(True).alias("star"),
         F.lit(MEMBER | PIVOT).alias("role"), "x", F.col("x").alias("c"))
-    near = materialize(_meet(rows.join(payloads, "x"), distance, theta), "near")
+    near = materialize(_meet(rows.join(payloads, "x"), distance, theta, bounds), "near")
     links = near.filter(F.col("d") <= theta).select("a", "b")
     open_ = materialize(members.join(clusters.filter("m > most").select("x"), "x", "left_semi"), "cells")
     if not open_.limit(1).count():
@@ -94,8 +99,10 @@ def link_cells(members: DataFrame, payloads: DataFrame, distance: Callable[[byte
 
     discard(members)
     groups = materialize(open_.select("x", F.col("x").alias("c")).distinct(), "groups")
-    for turn in range(STARS):
+    for turn in range(STARS if bounds is None else min(STARS, 2)):  # bounds leave few pairs to compare without a third
         live = _live(open_, groups, block)
+        if not live.limit(1).count():
+            return links
         rows = _promising(_stars(live, turn, block, near_sizes), payloads, bounds, theta)
         near = materialize(_meet(rows.join(payloads, "x"), distance, theta).filter(
             F.col("d") <= theta).select("a", "b"), "near")
@@ -165,25 +172,27 @@ def _cell_by_cell(open_: DataFrame, links: DataFrame, groups: DataFrame, payload
 
 def _cells_by_bounds(open_: DataFrame, links: DataFrame, groups: DataFrame, payloads: DataFrame, distance: Callable,
                      theta: float, pivots: int, block: int, bounds: Callable) -> DataFrame:
-    """Cells of at most ``block`` items are compared by their sketches; larger ones give regions with windows and
-    the cell of all others, a round each."""
+    """Cells of at most ``WIDE * DIRECT`` blocks are compared by their sketches; larger ones give regions with windows
+    and the cell of all others, a round each."""
     cells = open_.withColumn("side", F.lit(ALL))
+    wide, most = block * WIDE, block * WIDE * DIRECT
     while True:
         live = _live(cells, groups, block)
         sizes = live.agg(F.count(F.lit(1)), F.max(F.when(F.col("side") == ALL, F.col("n")))).first()
         if not sizes[0]:
             return links
-        crowded = (sizes[1] or 0) > block
-        rows = live.filter((F.col("side") == ALL) & (F.col("n") <= block)).select(
-            F.col("cell").alias("block"), "cell", F.lit(True).alias("star"), F.lit(MEMBER | PIVOT).alias("role"), "x", "c")
+        crowded = (sizes[1] or 0) > most
+        rows = _chunk_pairs(live.filter((F.col("side") == ALL) & (F.col("n") <= most)), wide)
         rows = rows.union(_halves(live.filter(F.col("side") != ALL)))
         if crowded:
-            large = live.filter((F.col("side") == ALL) & (F.col("n") > block))
-            chosen = materialize(_pivots(large, pivots), "pivots")
+            large = live.filter((F.col("side") == ALL) & (F.col("n") > most))
+            chosen = materialize(_share_of_pivots(large, pivots), "pivots")
             rows = rows.union(_large_blocks(large, chosen))
         near = _near(rows, payloads, bounds, theta)
         possible = materialize(near.filter("link").select(
             F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "possible")
+        if not crowded and not possible.count():
+            return links
         found = _verified(possible, live, groups, payloads, distance, theta, block, bounds)
         links = links.union(found.select("a", "b"))
         discard(possible)
@@ -194,6 +203,17 @@ def _cells_by_bounds(open_: DataFrame, links: DataFrame, groups: DataFrame, payl
         discard(live, chosen, near)
 
 
+def _chunk_pairs(cells: DataFrame, size: int) -> DataFrame:
+    """Every two chunks of a cell in a block: a member's chunk and a later one, or a chunk by itself."""
+    own = F.pmod(F.xxhash64("x"), "parts")
+    rows = cells.withColumn("parts", F.ceil(F.col("n") / size)).withColumn(
+        "other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    return rows.select(
+        F.xxhash64("cell", F.least(own, "other"), F.greatest(own, "other")).alias("block"), "cell",
+        (own == F.col("other")).alias("star"),
+        F.when(own == F.col("other"), MEMBER | PIVOT).when(own < F.col("other"), MEMBER).otherwise(REGION).alias("role"), "x", "c")
+
+
 def _halves(live: DataFrame) -> DataFrame:
     """Every chunk of a region and every chunk of its window in a block."""
     own = F.pmod(F.xxhash64("x"), "chunks")
@@ -245,6 +265,18 @@ def _pivots(large: DataFrame, k: int) -> DataFrame:
         .select("cell", "p.q", "p.qc")
 
 
+def _share_of_pivots(large: DataFrame, k: int) -> DataFrame:
+    """(cell, q, qc: its component): of each cell's items outside its largest component about ``k``, or one in
+    ``SHARE`` of the cell where that is more, by hash; one at least."""
+    per = large.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("of"))
+    most = per.groupBy("cell").agg(F.max(F.struct("of", "c")).alias("most"), F.sum("of").alias("all"))
+    rest = large.join(most, "cell").filter(F.col("c") != F.col("most.c")).select(
+        "cell", F.xxhash64(F.lit("pivot"), "x").alias("h"), F.col("x").alias("q"), F.col("c").alias("qc"),
+        F.greatest(F.lit(1), F.floor((F.col("all") - F.col("most.of")) / F.greatest(F.lit(k), F.col("all") / SHARE))).alias("step"))
+    first = rest.groupBy("cell").agg(F.min(F.struct("h", "q", "qc")).alias("p")).select("cell", "p.q", "p.qc")
+    return first.union(rest.filter(F.pmod("h", "step") == 0).select("cell", "q", "qc")).distinct()
+
+
 def _each_block(batches: Iterator[pa.RecordBatch], columns: tuple[str, ...]) -> Iterator[tuple[tuple, list[tuple]]]:
     """((block, cell, star), its rows of ``columns``) of batches sorted by block."""
     head, items = None, []

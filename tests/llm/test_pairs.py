@@ -9,8 +9,9 @@ from hypothesis import strategies as st
 from messy_table import rows_of
 from pyspark.sql import functions as F
 
+from pairlab.llm import components as steps
 from pairlab.llm import regions
-from pairlab.llm.components import components
+from pairlab.llm.components import components, stars
 from pairlab.llm.line_dedup import drop_duplicate_lines, edit_distance, line_classes, places, segment
 from pairlab.llm.ngram_join import Shingler, distance_bounds, ngram_components, one_of_each, set_distance, sketch
 from pairlab.llm.regions import FILTER_BITS, _cell_by_cell, link_cells, maybe_wanted, meet, near_pairs, wanted_filter
@@ -234,3 +235,69 @@ def test_windows_by_bounds_link_as_all_pairs_do(spark, monkeypatch):
     links = link_cells(members.select(F.col("cell").cast("long"), "x", "w"), payloads, set_distance(0.8), 0.2 + 1e-12,
                        pivots=16, block=24, bounds=distance_bounds)
     assert {r["node"]: r["component"] for r in components(links).collect()} == want
+
+
+def _writes(monkeypatch, module):
+    done = []
+    real = module.materialize
+    monkeypatch.setattr(module, "materialize", lambda df, name="stage": done.append(name) or real(df, name))
+    return done
+
+
+def test_few_edges_are_settled_by_one_task_whatever_their_shape(spark, monkeypatch):
+    done = _writes(monkeypatch, steps)
+    path = spark.createDataFrame([(k, k + 1) for k in range(300)], "a long, b long")
+    assert {r["component"] for r in components(path).collect()} == {0}
+    assert len(done) == 2  # the edges and their stars; a path took a chain of steps before
+
+
+def test_more_edges_than_a_share_hang_together_as_well(spark, monkeypatch):
+    monkeypatch.setattr(steps, "SHARE", 16)
+    rng = np.random.default_rng(4)
+    edges = [(k, k + 1) for k in range(60)] + [(int(a) + 1000, int(b) + 1000) for a, b in rng.integers(0, 90, (70, 2))]
+    want = brute.groups({x for e in edges for x in e}, lambda a, b: (a, b) in set(edges) or (b, a) in set(edges))
+    least = {}
+    for x, g in want.items() if isinstance(want, dict) else enumerate(want):
+        least[g] = min(x, least.get(g, x))
+    loose = {x for a, b in edges if a == b for x in (a,)} - {x for a, b in edges if a != b for x in (a, b)}
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(5)).collect()}
+    assert got == {x: least[g] for x, g in want.items() if x not in loose}
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=40))
+def test_stars_of_a_share(edges):
+    root = {x: x for e in edges for x in e}
+    for _ in edges:
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    a, b = stars(*(np.array([e[k] for e in edges], np.int64) for k in (0, 1)))
+    assert dict(zip(a.tolist(), b.tolist())) == {x: r for x, r in root.items() if x != r}
+
+
+def _far_apart(spark, n):
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 63, 20, dtype=np.uint64)) for _ in range(n)]
+    sets += [np.unique(np.append(s[1:], np.uint64(k))) for k, s in enumerate(sets[:5])]  # each near one other
+    payloads = spark.createDataFrame([(k, s.tobytes(), sketch(s)) for k, s in enumerate(sets)], "x long, p binary, s binary")
+    return payloads, payloads.select(F.lit(1).cast("long").alias("cell"), "x", F.lit(20).cast("long").alias("w")), \
+        {k: k % n for k in [*range(5), *range(n, n + 5)]}
+
+
+def test_a_crowded_cell_of_strangers_takes_one_round(spark, monkeypatch):
+    monkeypatch.setattr(regions, "STARS", 0)
+    payloads, members, want = _far_apart(spark, 120)
+    done = _writes(monkeypatch, regions)
+    links = link_cells(members, payloads, set_distance(0.8), 0.2 + 1e-12, pivots=4, block=8, bounds=distance_bounds)
+    assert {r["node"]: r["component"] for r in components(links).collect()} == want
+    assert done.count("found") == 1  # pivots took 4 items a round, 29 rounds, before
+
+
+def test_larger_cells_give_a_share_of_pivots_a_round(spark, monkeypatch):
+    for name, value in (("STARS", 0), ("WIDE", 1), ("DIRECT", 2), ("SHARE", 3)):
+        monkeypatch.setattr(regions, name, value)
+    payloads, members, want = _far_apart(spark, 60)
+    done = _writes(monkeypatch, regions)
+    links = link_cells(members, payloads, set_distance(0.8), 0.2 + 1e-12, pivots=4, block=8, bounds=distance_bounds)
+    assert {r["node"]: r["component"] for r in components(links).collect()} == want
+    assert done.count("found") <= 7
