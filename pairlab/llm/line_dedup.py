@@ -6,7 +6,7 @@ Lines (split at \\n, holding a word) are collapsed to distinct ones.  If two lin
 hashes of its own segments (by length and number) and of the substrings at the places where a segment of
 an equally long or shorter line could be (the multi-match-aware choice: 12 keys in all for threshold 2).
 Lines under a common key are candidates; crowded keys are narrowed by pivots (``regions.link_cells``), as
-edit distance is a metric.  Candidates are verified on the whole lines by banded bit-parallel edit
+edit distance is a metric, and by sketches that bound it from below.  Candidates that the sketches leave are verified on the whole lines by banded bit-parallel edit
 distance.  Linked lines form a class; its first occurrence by (doc_id, line number, hash of the text) stays.
 
 Defined cases: a null text has no lines; lines shorter than ``min_chars`` are equal or different; a row is
@@ -33,6 +33,8 @@ from pairlab.llm.regions import link_cells, maybe_wanted, one_cell_each, wanted_
 from pairlab.session import discard, materialize
 
 THRESHOLD, MIN_CHARS = 2, 30
+#: Buckets of a line's sketch (a power of two).
+BITS = 512
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 
@@ -142,6 +144,25 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
+def sketch(line: str) -> bytes:
+    """Length of a line and the parities of its pairs of neighbouring characters in ``BITS`` buckets.  An edit takes
+    or adds four pairs at most."""
+    c = np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32).astype(_U)
+    at = ((c[:-1] * _U(0xA24BAED4963EE407) + c[1:] + _U(1)) * _U(_BASE)) >> _U(64 - BITS.bit_length() + 1)
+    odd = np.bincount(at.astype(np.int64), minlength=BITS) & 1
+    return len(c).to_bytes(8, "little") + np.packbits(odd.astype(np.uint8)).tobytes()
+
+
+def edit_bounds(a: list[bytes], b: list[bytes]) -> np.ndarray:
+    """Lower bounds of the edit distances of lines by their sketches."""
+    x, y = (np.frombuffer(b"".join(s), _U).reshape(len(s), -1) for s in (a, b))
+    differ = np.zeros((len(a), len(b)), np.uint16)
+    for k in range(1, x.shape[1]):
+        differ += np.bitwise_count(x[:, k, None] ^ y[:, k])
+    n, m = (z[:, 0].astype(np.int64) for z in (x, y))
+    return np.maximum(differ / 4, np.abs(n[:, None] - m))
+
+
 def _row() -> Column:
     """Names a row beside its doc_id."""
     return F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
@@ -196,15 +217,18 @@ def line_links(texts: DataFrame, threshold: int = THRESHOLD, min_chars: int = MI
 
     def texts_of(batches: Iterator[pa.RecordBatch]):
         for new in _new_lines(batches, min_chars, lambda x: maybe_wanted(bits.value, x)):
-            yield {"x": [x for x, _ in new], "p": [line.encode("utf-8", "surrogatepass") for _, line in new]}
+            yield {"x": [x for x, _ in new], "p": [line.encode("utf-8", "surrogatepass") for _, line in new],
+                   "s": [sketch(line) for _, line in new]}
 
-    lines = map_rows(texts.select("text"), texts_of, "x long, p binary", {"x": pa.int64(), "p": pa.binary()})
+    lines = map_rows(texts.select("text"), texts_of, "x long, p binary, s binary",
+                     {"x": pa.int64(), "p": pa.binary(), "s": pa.binary()})
     lines = materialize(lines.join(cells.select("x").distinct(), "x", "left_semi").dropDuplicates(["x"]), "line-texts")
 
     def distance(p: bytes, q: bytes) -> float:
         return float(edit_distance(p.decode("utf-8", "surrogatepass"), q.decode("utf-8", "surrogatepass"), 2 * threshold))
 
-    return link_cells(cells, lines, distance, float(threshold), near_sizes=lambda w, v: F.abs(w - v) <= threshold)
+    return link_cells(cells, lines, distance, float(threshold), near_sizes=lambda w, v: F.abs(w - v) <= threshold,
+                      bounds=edit_bounds)
 
 
 def _classes(docs: DataFrame, threshold: int, min_chars: int) -> DataFrame:

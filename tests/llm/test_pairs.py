@@ -10,9 +10,9 @@ from messy_table import rows_of
 from pyspark.sql import functions as F
 
 from pairlab.llm import components as steps
-from pairlab.llm import regions
+from pairlab.llm import line_dedup, regions
 from pairlab.llm.components import components, stars
-from pairlab.llm.line_dedup import drop_duplicate_lines, edit_distance, line_classes, places, segment
+from pairlab.llm.line_dedup import drop_duplicate_lines, edit_bounds, edit_distance, line_classes, places, segment
 from pairlab.llm.ngram_join import Shingler, distance_bounds, ngram_components, one_of_each, set_distance, sketch
 from pairlab.llm.regions import FILTER_BITS, _cell_by_cell, link_cells, maybe_wanted, meet, near_pairs, wanted_filter
 
@@ -301,3 +301,31 @@ def test_larger_cells_give_a_share_of_pivots_a_round(spark, monkeypatch):
     links = link_cells(members, payloads, set_distance(0.8), 0.2 + 1e-12, pivots=4, block=8, bounds=distance_bounds)
     assert {r["node"]: r["component"] for r in components(links).collect()} == want
     assert done.count("found") <= 7
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text("ab \u00e9\U0001f600", max_size=14), min_size=1, max_size=6))
+def test_line_sketches_bound_edits_from_below(lines):
+    marks = [line_dedup.sketch(x) for x in lines]
+    low = edit_bounds(marks, marks)
+    assert all(low[i, j] <= brute.edit(a, b) for i, a in enumerate(lines) for j, b in enumerate(lines))
+
+
+def test_a_large_group_of_near_lines_measures_few_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    stem = "".join(rng.choice(list("abcdefghijklmnop "), 90))
+    lines = []
+    for _ in range(150):  # three edits each: far from one another, though under common keys
+        line = list(stem)
+        for at in rng.choice(90, 3, replace=False):
+            line[at] = "xyz"[int(rng.integers(0, 3))]
+        lines.append("".join(line))
+    lines += [lines[0][:-1], lines[1] + "q"]
+    a = [line_dedup.sketch(x) for x in lines]
+    low = edit_bounds(a, a)
+    real = np.array([[edit_distance(x, y, 4) for y in lines] for x in lines])
+    assert (low <= 2).sum() < 2 * (real <= 2).sum() < (real <= 4).sum() + 2 * len(lines) ** 2
+    rows = [(k, x) for k, x in enumerate(lines)]
+    got = {(r["doc_id"], r["line_no"]): (r["first_doc_id"], r["first_line_no"])
+           for r in line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute.line_firsts(rows, 2, 30)
