@@ -6,8 +6,9 @@ Lines (split at \\n, holding a word) are collapsed to distinct ones.  If two lin
 hashes of its own segments (by length and number) and of the substrings at the places where a segment of
 an equally long or shorter line could be (the multi-match-aware choice: 12 keys in all for threshold 2).
 Lines under a common key are candidates; crowded keys are narrowed by pivots (``regions.link_cells``), as
-edit distance is a metric, and by sketches that bound it from below.  Candidates that the sketches leave are verified on the whole lines by banded bit-parallel edit
-distance.  Linked lines form a class; its first occurrence by (doc_id, line number, hash of the text) stays.
+edit distance is a metric, and by sketches that bound it from below.  Candidates that the sketches leave are
+verified on the whole lines by banded bit-parallel edit distance.  Linked lines form a class; its first
+occurrence by (doc_id, line number, hash of the text) stays.
 
 Defined cases: a null text has no lines; lines shorter than ``min_chars`` are equal or different; a row is
 known by its doc_id and the hash of its whole text, so rows without an id or with equal ids keep lines of
