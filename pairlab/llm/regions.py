@@ -271,7 +271,7 @@ def _share_of_pivots(large: DataFrame, k: int) -> DataFrame:
     per = large.groupBy("cell", "c").agg(F.count(F.lit(1)).alias("of"))
     most = per.groupBy("cell").agg(F.max(F.struct("of", "c")).alias("most"), F.sum("of").alias("all"))
     rest = large.join(most, "cell").filter(F.col("c") != F.col("most.c")).select(
-        "cell", F.xxhash64(F.lit("pivot"), "x").alias("h"), F.col("x").alias("q"), F.col("c").alias("qc"),
+        "cell", F.xxhash64(F.lit("pivot"), "cell", "x").alias("h"), F.col("x").alias("q"), F.col("c").alias("qc"),  # anew each round
         F.greatest(F.lit(1), F.floor((F.col("all") - F.col("most.of")) / F.greatest(F.lit(k), F.col("all") / SHARE))).alias("step"))
     first = rest.groupBy("cell").agg(F.min(F.struct("h", "q", "qc")).alias("p")).select("cell", "p.q", "p.qc")
     return first.union(rest.filter(F.pmod("h", "step") == 0).select("cell", "q", "qc")).distinct()
