@@ -112,9 +112,10 @@ def _level(units: DataFrame, seed: int, level: int) -> DataFrame:
                         F.aggregate(rest, start, lambda acc, x: _pair(acc, x, seed, level)).alias("r"))
 
 
-def _mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED,
+def _units(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED,
         fan: int = FAN, cut_last: bool = False) -> DataFrame:
-    """Rows of ``mix`` and k, the row's number among the m of equal (doc_id, source, size)."""
+    """One row per (doc_id, source, size), with the m rows that share them: each is taken ``base`` times, the first
+    ``full`` once more, and the one after them ``last`` times more."""
     sizes = materialize(sized(docs), "mix-sizes")
     targets = source_targets(sizes, weights, budget, cap)
     units = sizes.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("m"))
@@ -146,38 +147,40 @@ def _mixed(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float
         every = every.unionByName(more)
     base = F.floor(F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0))
     last = F.col("u.p") if cut_last else (_uniform(F.col("u.h"), F.lit(seed), F.lit(-1)) < F.col("u.p")).cast("double")
-    extra = F.when(F.col("k") <= F.col("u.full"), 1.0).when(F.col("k") == F.col("u.full") + 1, last).otherwise(0.0)
-    return every.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("u.m")))).select(
-        F.col("u.doc_id").alias("doc_id"), "source", F.col("u.size").alias("size"), "source_size", "target", "k",
-        F.col("u.m").alias("m"),
-        (base + extra).alias("copies")) \
-        .withColumn("taken", F.least(F.round(F.col("copies") * F.col("size")), F.col("size") * 2.0).cast("long"))
+    return every.select(F.col("u.doc_id").alias("doc_id"), "source", F.col("u.size").alias("size"), "source_size", "target",
+                        F.col("u.m").alias("m"), F.col("u.full").alias("full"), base.alias("base"), last.alias("last"))
+
+
+def _copies() -> Column:
+    """How often the mix takes the k-th of the m rows of a unit."""
+    return F.col("base") + F.when(F.col("k") <= F.col("full"), 1.0).when(F.col("k") == F.col("full") + 1, F.col("last")).otherwise(0.0)
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, cap: float = CAP, seed: int = SEED,
         fan: int = FAN, cut_last: bool = False) -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target, copies (a fraction only for the
     last document of a source under ``cut_last``) and taken = the words the mix takes of it."""
-    return _mixed(docs, weights, budget, cap, seed, fan, cut_last).drop("k", "m")
+    rows = _units(docs, weights, budget, cap, seed, fan, cut_last).withColumn(
+        "k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("m"))))
+    return rows.select("doc_id", "source", "size", "source_size", "target", _copies().alias("copies")).withColumn(
+        "taken", F.least(F.round(F.col("copies") * F.col("size")), F.col("size") * 2.0).cast("long"))
 
 
 def mixed_documents(docs: DataFrame, **choices) -> DataFrame:
     """The documents of the mix, each as often as it is taken (whole copies), all columns as they were.
-    The caller's row travels as one struct.  Only rows that share (doc_id, source, size) with others are
-    numbered (by text); every other row is shuffled once."""
-    picks = materialize(_mixed(docs, **choices).filter("copies >= 1").select(
+    The caller's row travels as one struct and is shuffled once, by (doc_id, source, size); of the rows that share
+    these, and only of them, the texts are compared to number them."""
+    picks = materialize(_units(docs, **choices).select(
         F.coalesce("doc_id", F.lit(0)).alias("i"), F.col("doc_id").isNull().alias("no_i"),
         F.coalesce("source", F.lit("")).alias("s"), F.col("source").isNull().alias("no_s"),
-        F.col("size").alias("z"), "k", "m", F.col("copies").cast("int").alias("copies")), "mix-picks")
+        F.col("size").alias("z"), "m", "full", "base", "last").filter(
+        (F.col("base") >= 1) | (F.col("full") >= 1) | (F.col("base") + F.col("last") >= 1)), "mix-picks")
     key = ["i", "no_i", "s", "no_s", "z"]
     doc_id, source = F.col("doc_id").cast("long"), F.col("source").cast("string")
     rows = docs.select(
         F.coalesce(doc_id, F.lit(0)).alias("i"), doc_id.isNull().alias("no_i"), F.coalesce(source, F.lit("")).alias("s"),
         source.isNull().alias("no_s"), _words("text").alias("z"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    alone = rows.join(picks.filter("m = 1").drop("k", "m"), key)
-    several = picks.filter("m > 1")
-    same = Window.partitionBy(*key).orderBy("row.text")
-    numbered = rows.join(several.select(*key).distinct(), key, "left_semi") \
-        .withColumn("k", F.row_number().over(same).cast("long")).join(several.drop("m"), [*key, "k"])
-    taken = alone.select("row", "copies").unionByName(numbered.select("row", "copies"))
+    same = Window.partitionBy(*key).orderBy(F.when(F.col("m") > 1, F.col("row.text")))
+    taken = rows.join(picks, key).withColumn("k", F.row_number().over(same).cast("long")) \
+        .select("row", _copies().cast("int").alias("copies")).filter("copies >= 1")
     return taken.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("row.*")

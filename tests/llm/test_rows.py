@@ -291,6 +291,24 @@ def test_mixed_documents_come_as_often_as_taken(spark, messy, empty):
     assert mixed_documents(empty).count() == 0 and source_targets(sized(empty)).count() == 0
 
 
+def test_mixed_documents_shuffle_every_text_once(spark):
+    rows = [(k, f"{'w ' * (k % 7 + 1)}{k}", "en", "ab"[k % 2], 9) for k in range(60)]
+    rows += [(7, f"{c} w w", "en", "a", 9) for c in "edcba"]  # equal ids, sources and sizes: numbered by text
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        mixed = mixed_documents(docs)
+        plan = mixed._jdf.queryExecution().executedPlan().toString()
+        got = Counter(r["text"] for r in mixed.collect())
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("Exchange hashpartitioning") == 2  # the documents and what is taken; the documents went twice before
+    assert got == Counter(r["text"] for r in mixed_documents(docs).collect())
+    same = sorted((int(r["copies"]) for r in mix(docs).filter("doc_id = 7 AND size = 3").collect()), reverse=True)
+    assert [got[f"{c} w w"] for c in "abcde"] == same
+
+
 # ---- pipeline ----------------------------------------------------------------------
 
 def test_pipeline_stages(spark, messy, empty, tmp_path):
