@@ -13,11 +13,14 @@ all links together, without comparing all pairs of a cell:
   item's partner lies within 2 theta of that pivot, so the region's next cell is the region and its window
   (theta, 2 theta]; everything in no region stays in the remaining cell.  Pivots are done: they have met
   everything.  The cells that arise are handled in the next round in the same way;
-* where sketches bound distances from below, cells are worked on by bounds alone: those of up to ``DIRECT * WIDE``
-  blocks in one round, chunk by chunk.  Larger ones take a share of their items as pivots, so that rounds grow
+* where sketches bound distances from below, there are no clusters, and cells are worked on by bounds alone: those of
+  up to ``DIRECT * WIDE`` blocks in one round, chunk by chunk.  Larger ones are measured against one pivot first and
+  take a share of their items as pivots then, so that rounds grow
   with the logarithm of a cell; a window is what the bounds leave
   within 2 theta, and a region, which hangs together, meets its window once and is then done.  Pairs that the
-  bounds leave within theta are collected over all cells, and each is measured once;
+  bounds leave within theta are collected over all cells and measured; where a block has over ``DENSE`` of them an
+  item, those that hang together are collected as one part (a row an item, not a row a pair), and the items
+  of a part, or of parts that overlap, meet each other;
 * items of one component need no comparison among themselves: a cell of one component is closed, and
   pivots are picked outside a cell's largest component, so that region needs none.
 
@@ -37,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pairlab.llm.common import map_rows
-from pairlab.llm.components import components, merged
+from pairlab.llm.components import components, merged, stars
 from pairlab.session import discard, materialize
 
 SMALL, PIVOTS, BLOCK, BLOCK_WEIGHT, STARS = 16, 24, 256, 1 << 22, 3
@@ -45,6 +48,10 @@ MEMBER, PIVOT, REGION = 1, 2, 4
 #: Where only sketches meet, a block holds WIDE times as many items; cells of up to DIRECT such blocks are compared
 #: directly; of larger ones one item in SHARE is a pivot.
 WIDE, DIRECT, SHARE = 4, 4, 16
+#: Possible links an item, in a block, beyond which the block lists items and not pairs.
+DENSE = 4
+#: What sketches leave: a possible link, a member of a pivot's window, an item of a part.
+LINK, WINDOW, PART = 0, 1, 2
 #: What a cell holds: items to be compared with each other, or a region and its window.
 ALL, INSIDE, AROUND = 0, 1, 2
 #: Bits of the fixed-size filter of wanted items.
@@ -87,11 +94,13 @@ def link_cells(members: DataFrame, payloads: DataFrame, distance: Callable[[byte
     ``payloads`` many times smaller than ``p``: payloads move only to blocks where they may have a partner.
     No members give no links."""
     members = materialize(members.select("cell", "x", "w"), "cells")
+    if bounds is not None:
+        return _cells_by_bounds(members, payloads, distance, theta, pivots, block, near_sizes, bounds)
     clusters = _clusters(members, block)
     rows = clusters.filter("m <= most").select(
         F.xxhash64(F.lit("cluster"), "cell").alias("block"), "cell", F.lit(True).alias("star"),
         F.lit(MEMBER | PIVOT).alias("role"), "x", F.col("x").alias("c"))
-    near = materialize(_meet(rows.join(payloads, "x"), distance, theta, bounds), "near")
+    near = materialize(_meet(rows.join(payloads, "x"), distance, theta), "near")
     links = near.filter(F.col("d") <= theta).select("a", "b")
     open_ = materialize(members.join(clusters.filter("m > most").select("x"), "x", "left_semi"), "cells")
     if not open_.limit(1).count():
@@ -99,26 +108,28 @@ def link_cells(members: DataFrame, payloads: DataFrame, distance: Callable[[byte
 
     discard(members)
     groups = materialize(open_.select("x", F.col("x").alias("c")).distinct(), "groups")
-    for turn in range(STARS if bounds is None else min(STARS, 2)):  # bounds leave few pairs to compare without a third
-        live = _live(open_, groups, block)
+    for turn in range(STARS):
+        live = _live(open_, groups, block, turn)
         if not live.limit(1).count():
             return links
-        rows = _promising(_stars(live, turn, block, near_sizes), payloads, bounds, theta)
-        near = materialize(_meet(rows.join(payloads, "x"), distance, theta).filter(
+        near = materialize(_meet(_stars(live, block, near_sizes).join(payloads, "x"), distance, theta).filter(
             F.col("d") <= theta).select("a", "b"), "near")
-        discard(live, rows)
+        discard(live)
         links, groups = links.union(near), merged(groups, near)
-    if bounds is not None:
-        return _cells_by_bounds(open_, links, groups, payloads, distance, theta, pivots, block, bounds)
     return _cell_by_cell(open_, links, groups, payloads, distance, theta, small, pivots, block)
 
 
-def _live(open_: DataFrame, groups: DataFrame, block: int) -> DataFrame:
-    """(cell, x, w, c, n, chunks): the cells that hold more than one component."""
-    tagged = open_.join(groups, "x")
+def _live(open_: DataFrame, groups: DataFrame | None, block: int, turn: int = 0) -> DataFrame:
+    """(cell, x, w, c, n, chunks, p: the cell's foremost pivot of this turn): the cells that hold more than one component.
+    An item that is not in ``groups`` (x, c) is its own component."""
+    if groups is None:
+        tagged = open_.withColumn("c", F.col("x"))
+    else:
+        tagged = open_.join(groups, "x", "left").withColumn("c", F.coalesce("c", "x"))
+    pivot = F.struct(F.xxhash64(F.lit(turn), "x").alias("h"), F.col("x").alias("q"), F.col("c").alias("qc"), F.col("w").alias("qw"))
     alive = tagged.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("sw"),
-                                       F.min("c").alias("lo"), F.max("c").alias("hi")) \
-        .filter("lo < hi").select("cell", "n", _chunks(F.col("n"), F.col("sw"), block).alias("chunks"))
+                                       F.min("c").alias("lo"), F.max("c").alias("hi"), F.min(pivot).alias("p")) \
+        .filter("lo < hi").select("cell", "n", _chunks(F.col("n"), F.col("sw"), block).alias("chunks"), "p")
     return materialize(tagged.join(alive, "cell"), "cells")
 
 
@@ -135,12 +146,9 @@ def _measure(pairs: DataFrame, block: int) -> DataFrame:
                                    F.col("q").alias("c")))
 
 
-def _stars(live: DataFrame, turn: int, block: int, near_sizes: Callable | None) -> DataFrame:
+def _stars(live: DataFrame, block: int, near_sizes: Callable | None) -> DataFrame:
     """Every item and the foremost pivot of its cells, where their sizes can be near: one distance an item."""
-    first = live.groupBy("cell").agg(F.min(F.struct(
-        F.xxhash64(F.lit(turn), "x").alias("h"), F.col("x").alias("q"), F.col("c").alias("qc"),
-        F.col("w").alias("qw"))).alias("p"))
-    pairs = live.join(first, "cell").filter(F.col("c") != F.col("p.qc"))
+    pairs = live.filter(F.col("c") != F.col("p.qc"))
     if near_sizes is not None:
         pairs = pairs.filter(near_sizes(F.col("w"), F.col("p.qw")))
     return _measure(pairs.groupBy("x").agg(F.max("w").alias("w"), F.min(F.struct("p.h", "p.q")).alias("p")).select(
@@ -170,18 +178,28 @@ def _cell_by_cell(open_: DataFrame, links: DataFrame, groups: DataFrame, payload
         discard(last, live, chosen)
 
 
-def _cells_by_bounds(open_: DataFrame, links: DataFrame, groups: DataFrame, payloads: DataFrame, distance: Callable,
-                     theta: float, pivots: int, block: int, bounds: Callable) -> DataFrame:
+def _cells_by_bounds(members: DataFrame, payloads: DataFrame, distance: Callable, theta: float, pivots: int, block: int,
+                     near_sizes: Callable | None, bounds: Callable) -> DataFrame:
     """Cells of at most ``WIDE * DIRECT`` blocks are compared by their sketches; larger ones give regions with windows
-    and the cell of all others, a round each."""
-    cells = open_.withColumn("side", F.lit(ALL))
+    and the cell of all others, a round each, after two rounds of one pivot."""
+    cells = members.withColumn("side", F.lit(ALL))
     wide, most = block * WIDE, block * WIDE * DIRECT
+    links = groups = None
+    turn = 0
     while True:
-        live = _live(cells, groups, block)
+        live = _live(cells, groups, block, turn)
         sizes = live.agg(F.count(F.lit(1)), F.max(F.when(F.col("side") == ALL, F.col("n")))).first()
         if not sizes[0]:
-            return links
+            return live.select(F.col("x").alias("a"), F.col("x").alias("b")) if links is None else links
         crowded = (sizes[1] or 0) > most
+        if crowded and turn < min(STARS, 2):  # bounds leave few pairs to compare without a third
+            rows = _promising(_stars(live, block, near_sizes), payloads, bounds, theta)
+            found = materialize(_meet(rows.join(payloads, "x"), distance, theta).filter(
+                F.col("d") <= theta).select("a", "b"), "near")
+            discard(live, rows)
+            links = found if links is None else links.union(found)
+            groups, turn = _named(links), turn + 1
+            continue
         rows = _chunk_pairs(live.filter((F.col("side") == ALL) & (F.col("n") <= most)), wide)
         rows = rows.union(_halves(live.filter(F.col("side") != ALL)))
         if crowded:
@@ -189,20 +207,21 @@ def _cells_by_bounds(open_: DataFrame, links: DataFrame, groups: DataFrame, payl
             chosen = materialize(_share_of_pivots(large, pivots), "pivots")
             rows = rows.union(_large_blocks(large, chosen))
         near = _near(rows, payloads, bounds, theta)
-        possible = materialize(near.filter("link").select(
-            F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "possible")
-        if not crowded and not possible.count():
-            return links
-        found = _verified(possible, live, groups, payloads, distance, theta, block, bounds)
-        links = links.union(found.select("a", "b"))
-        discard(possible)
+        found = _verified(near, live, payloads, distance, theta, block, bounds)
+        links = found.select("a", "b") if links is None else links.union(found.select("a", "b"))
         if not crowded:
+            discard(near, live)
             return links
-        groups = merged(groups, found.select("a", "b"))
-        cells = materialize(_regions(large, chosen, near.filter("NOT link"), found), "cells")
+        groups = _named(links)
+        cells = materialize(_regions(large, chosen, near.filter(F.col("kind") == WINDOW).drop("kind"), found), "cells")
         discard(live, chosen, near)
 
 
+def _named(links: DataFrame) -> DataFrame:
+    """(x, c: its component) of the items that have links."""
+    return components(links).select(F.col("node").alias("x"), F.col("component").alias("c"))
+
+
 def _chunk_pairs(cells: DataFrame, size: int) -> DataFrame:
     """Every two chunks of a cell in a block: a member's chunk and a later one, or a chunk by itself."""
     own = F.pmod(F.xxhash64("x"), "parts")
@@ -313,27 +332,44 @@ def near_pairs(items: list[tuple[int, int, bytes, int]], star: bool, bounds, the
     return np.stack([one[a], two[b]], 1), np.stack([one[c], two[d]], 1)
 
 
+def dense_parts(pairs: np.ndarray, items: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(the pairs to list; item and part (an item of it) of the others): where ``items`` items have over ``DENSE`` times as
+    many pairs, items that hang together by over ``DENSE`` times as many pairs are a part."""
+    none = np.zeros(0, np.int64)
+    if len(pairs) <= DENSE * items:
+        return pairs, none, none
+    own = np.arange(items)
+    node, low = stars(pairs[:, 0], pairs[:, 1])
+    own[node] = low
+    size, held = np.bincount(own, minlength=items), np.bincount(own[pairs[:, 0]], minlength=items)
+    dense = held > DENSE * size
+    at = np.flatnonzero(dense[own])
+    return pairs[~dense[own[pairs[:, 0]]]], at, own[at]
+
+
 def _near(rows: DataFrame, payloads: DataFrame, bounds: Callable, theta: float) -> DataFrame:
-    """``near_pairs`` of every block: (cell, a, b, link: may be within theta, else a may be within 2 theta of the
-    pivot b).  Exact: what is within reach has a lower bound within reach."""
+    """``near_pairs`` of every block: (cell, a, b, kind): a and b may be within theta, a may be within 2 theta of the
+    pivot b, or the item b is in the part a.  At most a few rows an item and window: the possible links of a part are not listed.
+    Exact: what is within reach has a lower bound within reach."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for head, items in _each_block(batches, ("x", "role", "s", "c")):
             links, windows = near_pairs(items, head[2], bounds, theta + 1e-9)
+            links, at, part = dense_parts(links, len(items))
             x = np.array([i[0] for i in items], np.int64)
-            both = np.concatenate([links, windows])
-            yield {"cell": np.full(len(both), head[1], np.int64), "a": x[both[:, 0]], "b": x[both[:, 1]],
-                   "link": np.arange(len(both)) < len(links)}
+            names = x[part] ^ np.int64(head[0])  # parts whose names are equal by chance meet as one
+            yield {"cell": np.full(len(links) + len(windows) + len(at), head[1], np.int64),
+                   "a": np.concatenate([x[links[:, 0]], x[windows[:, 0]], names]),
+                   "b": np.concatenate([x[links[:, 1]], x[windows[:, 1]], x[at]]),
+                   "kind": np.repeat(np.array([LINK, WINDOW, PART], np.int8), [len(links), len(windows), len(at)])}
 
     dealt = _dealt(rows.join(payloads.select("x", "s"), "x"), "x", "role", "s", "c")
-    return materialize(map_rows(dealt, run, "cell long, a long, b long, link boolean", {
-        "cell": pa.int64(), "a": pa.int64(), "b": pa.int64(), "link": pa.bool_()}), "near")
+    return materialize(map_rows(dealt, run, "cell long, a long, b long, kind byte", {
+        "cell": pa.int64(), "a": pa.int64(), "b": pa.int64(), "kind": pa.int8()}), "near")
 
 
-def _promising(rows: DataFrame, payloads: DataFrame, bounds: Callable | None, theta: float) -> DataFrame:
-    """The rows of ``rows`` (block, cell, star, role, x, c) that may have a link in their block; without bounds all."""
-    if bounds is None:
-        return rows
+def _promising(rows: DataFrame, payloads: DataFrame, bounds: Callable, theta: float) -> DataFrame:
+    """The rows of ``rows`` (block, cell, star, role, x, c) that may have a link in their block."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for head, items in _each_block(batches, ("x", "role", "s", "c")):
@@ -349,24 +385,57 @@ def _promising(rows: DataFrame, payloads: DataFrame, bounds: Callable | None, th
                                  "x": pa.int64(), "c": pa.int64()}), "promising")
 
 
-def _verified(possible: DataFrame, live: DataFrame, groups: DataFrame, payloads: DataFrame, distance: Callable,
-              theta: float, block: int, bounds: Callable) -> DataFrame:
-    """(a, b, d): links that join what all links among the ``possible`` pairs join.  Pairs hang together in groups;
-    a group's items are dealt into chunks, and chunks that hold a pair meet."""
+def _verified(near: DataFrame, live: DataFrame, payloads: DataFrame, distance: Callable, theta: float, block: int,
+              bounds: Callable) -> DataFrame:
+    """(a, b, d): links that join what all links among the possible pairs and in the parts of ``near`` join."""
+    items = live.groupBy("x").agg(F.max("w").alias("w"), F.max("c").alias("c"))  # an item has one component
+    possible = materialize(near.filter(F.col("kind") == LINK).select(
+        F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "possible")
+    parts = materialize(near.filter(F.col("kind") == PART).select(F.col("a").alias("part"), F.col("b").alias("x")).distinct(), "parts")
+    rows = _pair_blocks(possible, items, block).union(_part_blocks(parts, items, block))
+    found = materialize(_meet(rows.join(payloads, "x"), distance, theta, bounds).select("a", "b", "d"), "found")
+    discard(possible, parts)
+    return found
+
+
+def _side(own: Column, other: Column) -> Column:
+    """The role of an item of chunk ``own`` in the star block of two chunks: two different ones meet only each other."""
+    return F.when(own == other, MEMBER | PIVOT).when(own < other, MEMBER).otherwise(REGION)
+
+
+def _pair_blocks(possible: DataFrame, items: DataFrame, block: int) -> DataFrame:
+    """Pairs hang together in groups; a group's items are dealt into chunks, and chunks that hold a pair meet."""
     nodes = components(possible).select(F.col("node").alias("x"), F.col("component").alias("g"))
-    items = nodes.join(live.groupBy("x").agg(F.max("w").alias("w")), "x").join(groups, "x")
+    items = nodes.join(items, "x")
     sizes = items.groupBy("g").agg(_chunks(F.count(F.lit(1)), F.sum("w"), block).alias("chunks"))
     items = materialize(items.join(sizes, "g").select("x", "g", "c", F.pmod(F.xxhash64("x"), "chunks").alias("k")), "dealt")
     one = items.select(F.col("x").alias("a"), "g", F.col("c").alias("ca"), F.col("k").alias("ka"))
     two = items.select(F.col("x").alias("b"), F.col("c").alias("cb"), F.col("k").alias("kb"))
-    ends = F.array(F.struct(F.col("a").alias("x"), F.col("ca").alias("c")), F.struct(F.col("b").alias("x"), F.col("cb").alias("c")))
-    rows = possible.join(one, "a").join(two, "b").select(
+    ka, kb = F.col("ka"), F.col("kb")
+    ends = F.array(F.struct(F.col("a").alias("x"), F.col("ca").alias("c"), _side(ka, kb).alias("role")),
+                   F.struct(F.col("b").alias("x"), F.col("cb").alias("c"), _side(kb, ka).alias("role")))
+    return possible.join(one, "a").join(two, "b").select(
         F.xxhash64("g", F.least("ka", "kb"), F.greatest("ka", "kb")).alias("block"), F.col("g").alias("cell"),
-        F.explode(ends).alias("end")).select(
-        "block", "cell", F.lit(True).alias("star"), F.lit(MEMBER | PIVOT).alias("role"), "end.x", "end.c").distinct()
-    found = materialize(_meet(rows.join(payloads, "x"), distance, theta, bounds).select("a", "b", "d"), "found")
-    discard(items)
-    return found
+        F.explode(ends).alias("end")).select("block", "cell", F.lit(True).alias("star"), "end.role", "end.x", "end.c").distinct()
+
+
+def _part_blocks(parts: DataFrame, items: DataFrame, block: int) -> DataFrame:
+    """Every two chunks of a part in a block.  Parts that overlap, in chains, are one where that takes no more rows."""
+    united = components(parts.select(F.col("part").alias("a"), F.col("x").alias("b"))).select(
+        F.col("node").alias("part"), F.col("component").alias("g"))
+    tagged = parts.join(united, "part")
+    cost = lambda n: n * F.ceil(n / block)  # noqa: E731  rows of the chunk pairs of n items
+    apart = tagged.groupBy("g", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("g").agg(F.sum(cost(F.col("n"))).alias("apart"))
+    whole = tagged.select("g", "x").distinct().groupBy("g").agg(F.count(F.lit(1)).alias("m"))
+    choice = apart.join(whole, "g").select("g", (cost(F.col("m")) <= F.col("apart")).alias("one"))
+    units = tagged.join(choice, "g").select(F.when(F.col("one"), F.col("g")).otherwise(F.col("part")).alias("g"), "x").distinct() \
+        .join(items, "x")
+    sizes = units.groupBy("g").agg(_chunks(F.count(F.lit(1)), F.sum("w"), block).alias("chunks"))
+    own, other = F.pmod(F.xxhash64("x"), "chunks"), F.col("other")
+    rows = units.join(sizes, "g").withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    return rows.select(
+        F.xxhash64(F.lit("part"), "g", F.least(own, other), F.greatest(own, other)).alias("block"), F.col("g").alias("cell"),
+        F.lit(True).alias("star"), _side(own, other).alias("role"), "x", "c")
 
 
 def _regions(large: DataFrame, chosen: DataFrame, windows: DataFrame, found: DataFrame) -> DataFrame:
@@ -389,7 +458,7 @@ def _regions(large: DataFrame, chosen: DataFrame, windows: DataFrame, found: Dat
 
 def meet(items: list[tuple], star: bool, distance, theta: float, bounds=None) -> list[tuple[int, int, float]]:
     """(a, b, d) among the (x, role, payload, component and, with bounds, sketch) of one block: in a star block links until its items hang
-    together as they do by all links, else members against pivots of other components within 2 theta.  (Where a
+    together as they do by all links (of two chunks: by all links between them), else members against pivots of other components within 2 theta.  (Where a
     member has its pivot's component, whatever lies within theta of the pivot joins that component too.)"""
     out = []
     if not star:
@@ -403,6 +472,8 @@ def meet(items: list[tuple], star: bool, distance, theta: float, bounds=None) ->
     root = [first.setdefault(i[3], k) for k, i in enumerate(items)]
     sketches = [i[4] for i in items] if bounds else []
     may = bounds(sketches, sketches) <= theta + 1e-9 if bounds else np.ones((len(items), len(items)), bool)
+    side = np.array([i[1] for i in items], np.int64)
+    may &= (side[:, None] != side) | (side == MEMBER | PIVOT)  # items of one of two chunks meet elsewhere
 
     def top(k: int) -> int:
         while root[k] != k:
@@ -411,8 +482,8 @@ def meet(items: list[tuple], star: bool, distance, theta: float, bounds=None) ->
         return k
 
     for k in range(len(items)):
-        for j in range(k):
-            if may[k, j] and top(k) != top(j) and (d := distance(items[k][2], items[j][2])) <= theta:
+        for j in np.flatnonzero(may[k, :k]).tolist():
+            if top(k) != top(j) and (d := distance(items[k][2], items[j][2])) <= theta:
                 root[top(k)] = top(j)
                 out.append((items[k][0], items[j][0], d))
     return out

@@ -14,7 +14,7 @@ from pairlab.llm import line_dedup, regions
 from pairlab.llm.components import components, stars
 from pairlab.llm.line_dedup import drop_duplicate_lines, edit_bounds, edit_distance, line_classes, places, segment
 from pairlab.llm.ngram_join import Shingler, distance_bounds, ngram_components, one_of_each, set_distance, sketch
-from pairlab.llm.regions import FILTER_BITS, _cell_by_cell, link_cells, maybe_wanted, meet, near_pairs, wanted_filter
+from pairlab.llm.regions import FILTER_BITS, _cell_by_cell, dense_parts, link_cells, maybe_wanted, meet, near_pairs, wanted_filter
 
 
 def test_components_of_a_path_a_star_and_loops(spark):
@@ -329,3 +329,54 @@ def test_a_large_group_of_near_lines_measures_few_pairs(spark, monkeypatch):
     got = {(r["doc_id"], r["line_no"]): (r["first_doc_id"], r["first_line_no"])
            for r in line_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute.line_firsts(rows, 2, 30)
+
+
+def _near_copies(spark, n, cells):
+    """``n`` sets of which every two are near, in each of ``cells`` cells all but one, and two strangers."""
+    rng = np.random.default_rng(9)
+    stem = rng.integers(0, 1 << 63, 60, dtype=np.uint64)
+    sets = [np.unique(np.append(np.delete(stem, k % 60), np.uint64(k))) for k in range(n)]
+    sets += [np.unique(rng.integers(0, 1 << 63, 60, dtype=np.uint64)) for _ in range(2)]
+    payloads = spark.createDataFrame([(k, s.tobytes(), sketch(s)) for k, s in enumerate(sets)], "x long, p binary, s binary")
+    rows = [(c, k, 60) for c in range(cells) for k in range(n + 2) if k != c]
+    return payloads, spark.createDataFrame(rows, "cell long, x long, w long")
+
+
+def test_a_cell_of_near_copies_lists_items_and_not_pairs(spark, monkeypatch):
+    counts, real = {}, regions.materialize
+
+    def counted(df, name="stage"):
+        out = real(df, name)
+        counts[name] = counts.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(regions, "materialize", counted)
+    payloads, members = _near_copies(spark, 120, 6)
+    for block in (256, 16):  # one part in one block, or chunk by chunk
+        counts.clear()
+        links = link_cells(members, payloads, set_distance(0.8), 0.2 + 1e-12, block=block, bounds=distance_bounds)
+        assert {r["node"]: r["component"] for r in components(links).collect()} == dict.fromkeys(range(120), 0)
+        assert counts["near"] <= 8 * 122 * 6  # 6 * 119 * 118 / 2 pairs before
+    assert "pairs" not in counts and "clusters" not in counts  # cells that are not crowded take no rounds of one pivot
+
+
+def test_dense_parts_hold_all_pairs_that_are_not_listed():
+    ring = [(k, k + 1) for k in range(30, 40)]
+    full = [(a, b) for a in range(0, 20, 1) for b in range(a + 1, 20)]
+    listed, at, part = dense_parts(np.array(ring + full, np.int64), 41)
+    assert list(map(tuple, listed.tolist())) == ring
+    assert at.tolist() == list(range(20)) and set(part.tolist()) == {0}
+    listed, at, part = dense_parts(np.array(ring, np.int64), 41)
+    assert len(listed) == 10 and not len(at) and not len(part)
+
+
+def test_two_chunks_in_a_star_block_meet_only_each_other():
+    seen = []
+
+    def far(p, q):
+        seen.append({p, q})
+        return float(abs(int(p) - int(q)))
+
+    items = [(k, 1 if k < 3 else 4, str(v).encode(), k) for k, v in enumerate([0, 1, 50, 2, 51, 52])]
+    assert {frozenset(x[:2]) for x in meet(items, True, far, 2.0)} == {frozenset(x) for x in ((0, 3), (1, 3), (2, 4), (2, 5))}
+    assert {b"0", b"1"} not in seen and {b"51", b"52"} not in seen
