@@ -7,7 +7,7 @@ hashes of its own segments (by length and number) and of the substrings at the p
 an equally long or shorter line could be (the multi-match-aware choice: 12 keys in all for threshold 2).
 Lines under a common key are candidates; crowded keys are narrowed by pivots (``regions.link_cells``), as
 edit distance is a metric, and by sketches that bound it from below.  Candidates that the sketches leave are
-verified on the whole lines by banded bit-parallel edit distance.  Linked lines form a class; its first
+verified on the whole lines by the edit distance itself.  Linked lines form a class; its first
 occurrence by (doc_id, line number, hash of the text) stays.
 
 Defined cases: a null text has no lines; lines shorter than ``min_chars`` are equal or different; a row is
@@ -109,40 +109,38 @@ class Segments:
         return np.concatenate(keys), np.concatenate(owner)
 
 
+def _alike(a: str, b: str, i: int, j: int) -> int:
+    """Where in ``a`` the stretch ends that ``a`` from i and ``b`` from j have in common: by slices of doubled, then halved, length."""
+    n = 16
+    while i + n <= len(a) and a[i:i + n] == b[j:j + n]:
+        i, j, n = i + n, j + n, 2 * n
+    while n:
+        if i + n <= len(a) and a[i:i + n] == b[j:j + n]:
+            i, j = i + n, j + n
+        n >>= 1
+    return i
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance if at most ``most``, else ``most + 1``: bit-parallel over a band of
-    2 * most + 1 diagonals that moves down one row a column."""
+    """Levenshtein distance if at most ``most``, else ``most + 1``: how far each diagonal gets with no edit, one, two
+    and so on, so that the steps do not grow with the lines."""
     if len(a) < len(b):
         a, b = b, a
     lean = len(a) - len(b)
     if lean > most:
         return most + 1
-    if a == b:
-        return 0
-    where: dict[str, int] = {}
-    for k, c in enumerate(a):
-        where[c] = where.get(c, 0) | (1 << k)
-    width = 2 * most + 1
-    mask, top = (1 << width) - 1, 1 << (width - 1)
-    down = ((1 << (most + 1)) - 1)  # rows up to 0 fall towards row 0, the others rise
-    vp, vn = mask & ~down, down
-    goal, score = 1 << (most + lean), lean
-    for j, c in enumerate(b, 1):
-        vp, vn = (vp >> 1) | top, vn >> 1
-        shift = j - most - 1
-        bits = where.get(c, 0)
-        eq = (bits >> shift if shift >= 0 else bits << -shift) & mask
-        x = eq | vn
-        d0 = (((x & vp) + vp) ^ vp) | x
-        hp = vn | ~(d0 | vp)
-        hn = vp & d0
-        if not d0 & goal:
-            score += 1
-            if score > most:
-                return score
-        vp = ((hn << 1) | ~(d0 | (hp << 1))) & mask
-        vn = (d0 & (hp << 1)) & mask
-    return score
+    far = {0: _alike(a, b, 0, 0)}
+    for edits in range(most + 1):
+        if edits:
+            last, far = far, {}
+            for d in range(max(-edits, lean - most + edits), min(edits, lean + most - edits) + 1):  # place in a less that in b
+                i = max(last.get(d, -2) + 1, last.get(d - 1, -2) + 1, last.get(d + 1, -1))
+                i = min(i, len(a), len(b) + d)
+                if i >= max(0, d):
+                    far[d] = _alike(a, b, i, i - d)
+        if far.get(lean, -1) == len(a):
+            return edits
+    return most + 1
 
 
 def sketch(line: str) -> bytes:

@@ -380,3 +380,12 @@ def test_two_chunks_in_a_star_block_meet_only_each_other():
     items = [(k, 1 if k < 3 else 4, str(v).encode(), k) for k, v in enumerate([0, 1, 50, 2, 51, 52])]
     assert {frozenset(x[:2]) for x in meet(items, True, far, 2.0)} == {frozenset(x) for x in ((0, 3), (1, 3), (2, 4), (2, 5))}
     assert {b"0", b"1"} not in seen and {b"51", b"52"} not in seen
+
+
+def test_the_steps_of_an_edit_distance_do_not_grow_with_the_lines(monkeypatch):
+    steps_, real = [], line_dedup._alike
+    monkeypatch.setattr(line_dedup, "_alike", lambda *a: steps_.append(1) or real(*a))
+    stem = "ab c" * 50_000
+    assert edit_distance(stem, stem[:70_000] + "x" + stem[70_001:150_000] + stem[150_001:], 4) == 2
+    assert edit_distance(stem, "".join(reversed(stem)), 4) == 5
+    assert len(steps_) <= 50
